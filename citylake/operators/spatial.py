@@ -35,13 +35,17 @@ def _low(i: Column, cell: float) -> Column:
     return i * F.lit(float(cell))
 
 
-def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL, prefix: str = "") -> DataFrame:
-    """One row per (feature, grid cell): id, cx, cy, area, full, ray, anchors."""
+def tiles(
+    df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL, prefix: str = "", keep: tuple | list = ()
+) -> DataFrame:
+    """One row per (feature, grid cell): id, cx, cy, area, full, ray, anchors, and the kept columns."""
     box = F.col("g")["bbox"]
-    base = df.where(F.col(geom_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(geom_col).alias("g"))
+    base = df.where(F.col(geom_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(geom_col).alias("g"), F.struct(F.lit(0), *keep).alias("kept")
+    )
     # rows of cells first: the band of edges is cut once per row, not once per cell
     bands = base.select(
-        "id",
+        "id", "kept",
         (F.col("g")["kind"] == G.POLYGON).alias("area"),
         box.alias("box"),
         F.transform(F.col("g")["parts"], lambda p: p[0][0]).alias("first"),
@@ -50,16 +54,16 @@ def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL
     )
     y0, y1 = _low(F.col("cy"), cell), _low(F.col("cy") + 1, cell)
     bands = bands.select(
-        "id", "area", "first", "cy", "box",
+        "id", "kept", "area", "first", "cy", "box",
         F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1)).alias("band"),
     )
     cells = bands.select(
-        "id", "area", "first", "cy", "band",
+        "id", "kept", "area", "first", "cy", "band",
         F.explode(F.sequence(_index(F.col("box.xmin"), cell), _index(F.col("box.xmax"), cell))).alias("cx"),
     )
     x0, x1 = _low(F.col("cx"), cell), _low(F.col("cx") + 1, cell)
     cells = cells.select(
-        "id", "area", "cx", "cy",
+        "id", "kept", "area", "cx", "cy",
         F.filter("band", lambda e: F.greatest(e["x1"], e["x2"]) >= x0).alias("ray"),
         F.filter("first", lambda p: (_index(p[0], cell) == F.col("cx")) & (_index(p[1], cell) == F.col("cy"))).alias("anchors"),
     )
@@ -73,7 +77,7 @@ def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL
         "ray", F.when(F.col("full"), no_edges).otherwise(F.col("ray"))
     )
     names = ("id", "cx", "cy", "area", "full", "ray", "anchors")
-    return cells.select(*[F.col(n).alias(prefix + n) for n in names])
+    return cells.select(*[F.col(n).alias(prefix + n) for n in names], *[F.col("kept")[k].alias(k) for k in keep])
 
 
 def _inside(tile: str, x: Column, y: Column, strict: bool = False) -> Column:
@@ -129,15 +133,17 @@ def spatial_join(
     right_id: str,
     left_geom: str = "geom",
     right_geom: str = "geom",
+    keep: tuple | list = (),
     cell: float = CELL,
     salts: int = SALTS,
 ) -> DataFrame:
     """Distinct pairs (left_id, right_id) of features that share at least one point.
 
     Works for any mix of points, lines and polygons. A feature that crosses two zones is
-    paired with both. ``right`` is the side whose tiles are repeated for each salt.
+    paired with both. ``keep`` names left columns (measures) to carry along, which saves a join
+    back to the left table. ``right`` is the side whose tiles are repeated for each salt.
     """
-    a = tiles(left, left_id, left_geom, cell, "_a_").withColumnsRenamed({"_a_cx": "_cx", "_a_cy": "_cy"})
+    a = tiles(left, left_id, left_geom, cell, "_a_", keep).withColumnsRenamed({"_a_cx": "_cx", "_a_cy": "_cy"})
     b = tiles(right, right_id, right_geom, cell, "_b_").withColumnsRenamed({"_b_cx": "_cx", "_b_cy": "_cy"})
     a, b, extra = _salted(a, b, F.col("_a_id"), salts)
     x1 = _low(F.col("_cx") + 1, cell)
@@ -159,7 +165,9 @@ def spatial_join(
     out_left, out_right = left_id, right_id
     if left_id == right_id:
         out_left, out_right = f"left_{left_id}", f"right_{right_id}"
-    return pairs.select(F.col("_a_id").alias(out_left), F.col("_b_id").alias(out_right)).distinct()
+    return pairs.select(F.col("_a_id").alias(out_left), F.col("_b_id").alias(out_right), *keep).dropDuplicates(
+        [out_left, out_right]
+    )
 
 
 def segments(lines: DataFrame, id_col: str, geom_col: str = "geom") -> DataFrame:
