@@ -9,7 +9,10 @@ from citylake.functions import scalars as S
 from citylake.operators import raster as R
 from citylake.operators import spatial as J
 from citylake.operators.hierarchy import from_provinces
-from citylake.operators.select import active
+from citylake.operators.select import active, broadcast_if_few, latest_touching
+
+# Up to this many zones, the rasters chosen for them (one per zone and index) are broadcast.
+MAX_ZONES = 10_000
 
 # The thermal indices that are reported.
 THERMAL_KINDS = ("lst", "tmrt", "pet", "utci", "svf", "suhii")
@@ -75,22 +78,28 @@ def urban_morphology(
     )
 
 
+def latest_rasters(cells: DataFrame, rasters: DataFrame, province: DataFrame) -> DataFrame:
+    """(province_id, kind, raster_id): the latest raster of each kind whose extent touches the province.
+
+    Extents come from the raster table when it has them, else from the cells.
+    """
+    ext = rasters.select(F.col("id").alias("raster_id"), "geom") if "geom" in rasters.columns else R.raster_bounds(
+        cells
+    ).select("raster_id", F.col("bounds").alias("geom"))
+    touching = J.spatial_join(ext, _zones(province), "raster_id", "province_id")
+    return latest_touching(rasters, touching, "province_id")
+
+
 def thermal_indices(cells: DataFrame, rasters: DataFrame, province: DataFrame, digits: int | None = 2) -> DataFrame:
     """Statistics of the latest raster of each index that touches the province, one row per index.
 
-    One pass over the cells: every raster is reduced to its statistics per zone, and the latest
-    touching one is chosen among those few rows. A raster touches a zone when its extent does; a
-    latest raster without a cell inside leaves the index empty.
+    The rasters are chosen first, so only their cells are read into the zonal statistics, for all
+    indices in one job. A chosen raster without a cell inside leaves the index empty.
     """
-    z = _zones(province)
-    stats = R.zonal_stats(cells, z, "province_id", digits=digits)
-    ext = R.raster_bounds(cells).select("raster_id", F.col("bounds").alias("geom"))
-    touching = J.spatial_join(ext, z, "raster_id", "province_id")
-    r = rasters.select(F.col("id").alias("raster_id"), "kind", "date_time")
-    latest = touching.join(r, "raster_id").groupBy("province_id", "kind").agg(
-        F.max_by("raster_id", F.struct("date_time", "raster_id")).alias("raster_id")
-    )
-    return latest.join(stats, ["province_id", "raster_id"]).select(
+    picked = latest_rasters(cells, rasters, province)
+    wanted = broadcast_if_few(picked.select("raster_id").distinct(), province, MAX_ZONES)
+    stats = R.zonal_stats(cells.join(wanted, "raster_id", "left_semi"), _zones(province), "province_id", digits=digits)
+    return picked.join(stats, ["province_id", "raster_id"]).select(
         "province_id", "kind", "raster_id", "min", "max", "mean", "stddev", "count"
     )
 

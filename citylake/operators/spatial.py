@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from citylake.functions import geometry as G
 
 CELL = 5000.0
-SALTS = 8
+SALTS = 4
 
 
 def _index(v: Column, cell: float) -> Column:
