@@ -1,4 +1,4 @@
-"""Geometry as a plain struct, with its functions as native Column expressions.
+"""Geometry as a plain struct, with its functions as native Spark SQL expressions.
 
 geom = struct<kind, srid, parts, bbox>
   kind   POINT | LINE | POLYGON (always the multi form)
@@ -8,10 +8,16 @@ geom = struct<kind, srid, parts, bbox>
 
 An *edge* is struct<x1, y1, x2, y2>. Most predicates work on edge arrays, which is also the
 form in which the spatial join ships geometry.
+
+Arguments are column names or SQL text; every function returns a Column, and ``name.sql(...)``
+returns the text, to be nested in other expressions. Text is parsed once in the JVM, which keeps
+plans with many nested lambdas cheap to build.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,325 +31,314 @@ GEOM_TYPE = (
 )
 
 
-def record(**fields: Column) -> Column:
-    """A struct with the given field names; unlike aliases, the names survive inside lambdas."""
-    return F.named_struct(*[v for k, c in fields.items() for v in (F.lit(k), c)])
+class expression:
+    """A function that writes SQL text, callable as a Column."""
+
+    def __init__(self, fn: Callable[..., str]):
+        self.sql = fn
+        self.__doc__ = fn.__doc__
+        self.__name__ = fn.__name__
+
+    def __call__(self, *args, **kwargs) -> Column:
+        return F.expr(self.sql(*args, **kwargs))
+
+
+def let(name: str, value: str, body: str) -> str:
+    """Text of ``body`` with ``name`` bound to a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def num(v) -> str:
+    """Text of a double: a number becomes a literal, text stays."""
+    return v if isinstance(v, str) else f"{float(v)!r}D"
 
 
 # --- construction ---------------------------------------------------------------------
 
-def vertices(parts: Column) -> Column:
+def vertices(parts: str) -> str:
     """All vertices of a parts array, in order."""
-    return F.flatten(F.flatten(parts))
+    return f"flatten(flatten({parts}))"
 
 
-def _bbox(parts: Column) -> Column:
-    v = vertices(parts)
-    xs = F.transform(v, lambda p: p[0])
-    ys = F.transform(v, lambda p: p[1])
-    return record(xmin=F.array_min(xs), ymin=F.array_min(ys), xmax=F.array_max(xs), ymax=F.array_max(ys))
+def _bbox(parts: str) -> str:
+    xs, ys = "transform(bv, bp -> bp[0])", "transform(bv, bp -> bp[1])"
+    box = f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))"
+    return let("bv", vertices(parts), box)
 
 
-def make_geom(kind: Column | str, srid: Column | int, parts: Column) -> Column:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    srid = F.lit(srid) if isinstance(srid, int) else srid
-    parts = parts.cast(PARTS_TYPE)
-    return F.when(
-        F.size(vertices(parts)) > 0,
-        record(kind=kind, srid=srid.cast("int"), parts=parts, bbox=_bbox(parts)),
-    )
+@expression
+def make_geom(kind: str, srid: str | int, parts: str) -> str:
+    """Geometry of a kind (SQL text) with its box; NULL when there is no vertex."""
+    some = "exists(gp, gq -> exists(gq, gr -> size(gr) > 0))"
+    built = f"named_struct('kind', {kind}, 'srid', CAST({srid} AS INT), 'parts', gp, 'bbox', {_bbox('gp')})"
+    return let("gp", f"CAST({parts} AS {PARTS_TYPE})", f"CASE WHEN {some} THEN {built} END")
 
 
-def _xy(x, y) -> Column:
-    as_col = lambda v: v.cast("double") if isinstance(v, Column) else F.lit(float(v))
-    return F.array(as_col(x), as_col(y))
+def _xy(x, y) -> str:
+    return f"array(CAST({num(x)} AS DOUBLE), CAST({num(y)} AS DOUBLE))"
 
 
-def point(x: Column, y: Column, srid: int = RD) -> Column:
-    return make_geom(POINT, srid, F.array(F.array(F.array(_xy(x, y)))))
+def _ring(xys: list) -> str:
+    return f"array({', '.join(_xy(x, y) for x, y in xys)})"
 
 
-def multipoint(xys: list, srid: int = RD) -> Column:
-    return make_geom(POINT, srid, F.array(*[F.array(F.array(_xy(x, y))) for x, y in xys]))
+@expression
+def point(x, y, srid: int = RD) -> str:
+    return make_geom.sql(f"'{POINT}'", srid, f"array(array(array({_xy(x, y)})))")
 
 
-def line(xys: list, srid: int = RD) -> Column:
-    return make_geom(LINE, srid, F.array(F.array(F.array(*[_xy(x, y) for x, y in xys]))))
+@expression
+def multipoint(xys: list, srid: int = RD) -> str:
+    return make_geom.sql(f"'{POINT}'", srid, f"array({', '.join(f'array(array({_xy(x, y)}))' for x, y in xys)})")
 
 
-def ring(xys: list) -> Column:
-    return F.array(*[_xy(x, y) for x, y in xys])
+@expression
+def line(xys: list, srid: int = RD) -> str:
+    return make_geom.sql(f"'{LINE}'", srid, f"array(array({_ring(xys)}))")
 
 
-def polygon(shell: list, holes: list | None = None, srid: int = RD) -> Column:
-    return make_geom(POLYGON, srid, F.array(F.array(ring(shell), *[ring(h) for h in holes or []])))
+@expression
+def polygon(shell: list, holes: list | None = None, srid: int = RD) -> str:
+    rings = ", ".join(_ring(r) for r in [shell, *(holes or [])])
+    return make_geom.sql(f"'{POLYGON}'", srid, f"array(array({rings}))")
 
 
-def box(xmin, ymin, xmax, ymax, srid: int = RD) -> Column:
-    return polygon([(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)], srid=srid)
+@expression
+def box(xmin, ymin, xmax, ymax, srid: int = RD) -> str:
+    return polygon.sql([(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)], srid=srid)
 
 
-def with_srid(geom: Column, default: int) -> Column:
+@expression
+def with_srid(geom: str, default: int) -> str:
     """Fill a missing reference system."""
-    return F.when(geom.isNotNull(), geom.withField("srid", F.coalesce(geom["srid"], F.lit(default))))
+    fields = ", ".join(f"'{f}', {geom}.{f}" if f != "srid" else f"'srid', coalesce({geom}.srid, {default})" for f in ("kind", "srid", "parts", "bbox"))
+    return f"CASE WHEN {geom} IS NOT NULL THEN named_struct({fields}) END"
 
 
-def from_geojson(type_: Column, coordinates: Column, srid: int) -> Column:
+@expression
+def from_geojson(type_: str, coordinates: str, srid: int) -> str:
     """Geometry of a GeoJSON ``type`` and the raw text of its ``coordinates``.
 
-    Single geometries become their multi form; unknown types give NULL.
+    Single geometries become their multi form; unknown types give NULL. Only x and y are kept.
     """
-    pt = F.from_json(coordinates, "array<double>")
-    pts = F.from_json(coordinates, "array<array<double>>")
-    rings = F.from_json(coordinates, "array<array<array<double>>>")
-    polys = F.from_json(coordinates, PARTS_TYPE)
-    parts = (
-        F.when(type_ == "Point", F.array(F.array(F.array(pt))))
-        .when(type_ == "MultiPoint", F.transform(pts, lambda p: F.array(F.array(p))))
-        .when(type_ == "LineString", F.array(F.array(pts)))
-        .when(type_ == "MultiLineString", F.transform(rings, lambda r: F.array(r)))
-        .when(type_ == "Polygon", F.array(rings))
-        .when(type_ == "MultiPolygon", polys)
-    )
-    kind = (
-        F.when(type_.isin("Point", "MultiPoint"), POINT)
-        .when(type_.isin("LineString", "MultiLineString"), LINE)
-        .when(type_.isin("Polygon", "MultiPolygon"), POLYGON)
-    )
-    # GeoJSON allows a third ordinate; only x and y are kept
-    flat = F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.slice(v, 1, 2))))
-    return F.when(kind.isNotNull(), make_geom(kind, srid, flat))
-
-
-def to_multi(geom: Column, kind: str) -> Column:
+    read = lambda depth: f"from_json({coordinates}, '{'array<' * depth}double{'>' * depth}')"
+    parts = f"""CASE {type_}
+        WHEN 'Point' THEN array(array(array({read(1)})))
+        WHEN 'MultiPoint' THEN transform({read(2)}, jp -> array(array(jp)))
+        WHEN 'LineString' THEN array(array({read(2)}))
+        WHEN 'MultiLineString' THEN transform({read(3)}, jr -> array(jr))
+        WHEN 'Polygon' THEN array({read(3)})
+        WHEN 'MultiPolygon' THEN {read(4)} END"""
+    flat = f"transform({parts}, fp -> transform(fp, fr -> transform(fr, fv -> slice(fv, 1, 2))))"
+    kind = f"""CASE WHEN {type_} IN ('Point', 'MultiPoint') THEN '{POINT}'
+        WHEN {type_} IN ('LineString', 'MultiLineString') THEN '{LINE}'
+        WHEN {type_} IN ('Polygon', 'MultiPolygon') THEN '{POLYGON}' END"""
+    return f"CASE WHEN {kind} IS NOT NULL THEN {make_geom.sql(kind, srid, flat)} END"
+
+
+@expression
+def to_multi(geom: str, kind: str) -> str:
     """The geometry if it is of the wanted kind, else NULL. Parts are multi already."""
-    return F.when(geom["kind"] == kind, geom)
+    return f"CASE WHEN {geom}.kind = '{kind}' THEN {geom} END"
 
 
-def geojson_struct(geom: Column) -> Column:
-    """struct<type, coordinates> where coordinates is JSON text of the right nesting."""
-    type_ = (
-        F.when(geom["kind"] == POINT, "MultiPoint").when(geom["kind"] == LINE, "MultiLineString").otherwise("MultiPolygon")
-    )
-    coords = (
-        F.when(geom["kind"] == POINT, F.to_json(F.transform(geom["parts"], lambda p: p[0][0])))
-        .when(geom["kind"] == LINE, F.to_json(F.transform(geom["parts"], lambda p: p[0])))
-        .otherwise(F.to_json(geom["parts"]))
-    )
-    return record(type=type_, coordinates=coords)
+@expression
+def geojson_text(geom: str) -> str:
+    """The geometry as GeoJSON text in its multi form."""
+    part = lambda type_, coords: f"concat('{{\"type\":\"{type_}\",\"coordinates\":', to_json({coords}), '}}')"
+    return f"""CASE {geom}.kind
+        WHEN '{POINT}' THEN {part('MultiPoint', f'transform({geom}.parts, tp -> tp[0][0])')}
+        WHEN '{LINE}' THEN {part('MultiLineString', f'transform({geom}.parts, tp -> tp[0])')}
+        WHEN '{POLYGON}' THEN {part('MultiPolygon', f'{geom}.parts')} END"""
 
 
 # --- edges ----------------------------------------------------------------------------
 
-def ring_edges(r: Column) -> Column:
-    n = F.greatest(F.size(r) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(r, F.lit(1), n),
-        F.slice(r, F.lit(2), n),
-        lambda a, b: record(x1=a[0], y1=a[1], x2=b[0], y2=b[1]),
-    )
+@expression
+def ring_edges(r: str) -> str:
+    n = f"greatest(size({r}) - 1, 0)"
+    edge = "named_struct('x1', ra[0], 'y1', ra[1], 'x2', rb[0], 'y2', rb[1])"
+    return f"zip_with(slice({r}, 1, {n}), slice({r}, 2, {n}), (ra, rb) -> {edge})"
 
 
-def edges(geom: Column) -> Column:
-    return F.flatten(F.transform(F.flatten(geom["parts"]), ring_edges))
+@expression
+def edges(geom: str) -> str:
+    return f"flatten(transform(flatten({geom}.parts), er -> {ring_edges.sql('er')}))"
 
 
-def _cross(ax, ay, bx, by) -> Column:
-    return ax * by - ay * bx
+@expression
+def anchors(geom: str) -> str:
+    """First vertex of every part."""
+    return f"transform({geom}.parts, ap -> ap[0][0])"
 
 
-def _side(e: Column, x: Column, y: Column) -> Column:
+def _side(e: str, x: str, y: str) -> str:
     """> 0 left of the edge, < 0 right of it, 0 on its line."""
-    return _cross(e["x2"] - e["x1"], e["y2"] - e["y1"], x - e["x1"], y - e["y1"])
+    return f"(({e}.x2 - {e}.x1) * (({y}) - {e}.y1) - ({e}.y2 - {e}.y1) * (({x}) - {e}.x1))"
 
 
-def _in_edge_box(e: Column, x: Column, y: Column) -> Column:
+def _in_edge_box(e: str, x: str, y: str) -> str:
     return (
-        (x >= F.least(e["x1"], e["x2"]))
-        & (x <= F.greatest(e["x1"], e["x2"]))
-        & (y >= F.least(e["y1"], e["y2"]))
-        & (y <= F.greatest(e["y1"], e["y2"]))
+        f"(({x}) BETWEEN least({e}.x1, {e}.x2) AND greatest({e}.x1, {e}.x2) "
+        f"AND ({y}) BETWEEN least({e}.y1, {e}.y2) AND greatest({e}.y1, {e}.y2))"
     )
 
 
-def parity_inside(x: Column, y: Column, edge_array: Column) -> Column:
-    """Even-odd rule with a ray towards +x, half-open in y. Holes and parts need no special care."""
+@expression
+def crossings(x: str, y: str, edge_array: str) -> str:
+    """Number of edges that a ray from the point towards +x crosses, half-open in y."""
+    spans = f"(ie.y1 > ({y})) <> (ie.y2 > ({y}))"
+    right = f"CASE WHEN ie.y2 > ie.y1 THEN {_side('ie', x, y)} > 0 ELSE {_side('ie', x, y)} < 0 END"
+    return f"size(filter({edge_array}, ie -> {spans} AND {right}))"
 
-    def crossed(e: Column) -> Column:
-        up = e["y2"] > e["y1"]
-        side = _side(e, x, y)
-        return ((e["y1"] > y) != (e["y2"] > y)) & F.when(up, side > 0).otherwise(side < 0)
 
-    return F.size(F.filter(edge_array, crossed)) % 2 == 1
+@expression
+def parity_inside(x: str, y: str, edge_array: str) -> str:
+    """Even-odd rule. Holes and parts need no special care."""
+    return f"{crossings.sql(x, y, edge_array)} % 2 = 1"
 
 
-def on_edge(x: Column, y: Column, edge_array: Column) -> Column:
-    return F.exists(edge_array, lambda e: _in_edge_box(e, x, y) & (_side(e, x, y) == 0))
+@expression
+def on_edge(x: str, y: str, edge_array: str) -> str:
+    return f"exists({edge_array}, oe -> {_in_edge_box('oe', x, y)} AND {_side('oe', x, y)} = 0)"
 
 
-def segments_touch(a: Column, b: Column) -> Column:
+@expression
+def segments_touch(a: str, b: str) -> str:
     """True when two closed segments share a point."""
-    s1, s2 = _side(a, b["x1"], b["y1"]), _side(a, b["x2"], b["y2"])
-    s3, s4 = _side(b, a["x1"], a["y1"]), _side(b, a["x2"], a["y2"])
-    proper = (F.signum(s1) * F.signum(s2) < 0) & (F.signum(s3) * F.signum(s4) < 0)
-    touch = (
-        ((s1 == 0) & _in_edge_box(a, b["x1"], b["y1"]))
-        | ((s2 == 0) & _in_edge_box(a, b["x2"], b["y2"]))
-        | ((s3 == 0) & _in_edge_box(b, a["x1"], a["y1"]))
-        | ((s4 == 0) & _in_edge_box(b, a["x2"], a["y2"]))
+    s1, s2 = _side(a, f"{b}.x1", f"{b}.y1"), _side(a, f"{b}.x2", f"{b}.y2")
+    s3, s4 = _side(b, f"{a}.x1", f"{a}.y1"), _side(b, f"{a}.x2", f"{a}.y2")
+    return f"""((signum({s1}) * signum({s2}) < 0 AND signum({s3}) * signum({s4}) < 0)
+        OR ({s1} = 0 AND {_in_edge_box(a, f'{b}.x1', f'{b}.y1')}) OR ({s2} = 0 AND {_in_edge_box(a, f'{b}.x2', f'{b}.y2')})
+        OR ({s3} = 0 AND {_in_edge_box(b, f'{a}.x1', f'{a}.y1')}) OR ({s4} = 0 AND {_in_edge_box(b, f'{a}.x2', f'{a}.y2')}))"""
+
+
+def _edge_boxes_meet(a: str, b: str) -> str:
+    one = lambda c: (
+        f"least({a}.{c}1, {a}.{c}2) <= greatest({b}.{c}1, {b}.{c}2) AND least({b}.{c}1, {b}.{c}2) <= greatest({a}.{c}1, {a}.{c}2)"
     )
-    return proper | touch
+    return f"{one('x')} AND {one('y')}"
 
 
-def edges_touch(a: Column, b: Column) -> Column:
-    return F.exists(a, lambda e: F.exists(b, lambda f: segments_touch(e, f)))
+@expression
+def edges_touch(a: str, b: str) -> str:
+    return f"exists({a}, ta -> exists({b}, tb -> {_edge_boxes_meet('ta', 'tb')} AND {segments_touch.sql('ta', 'tb')}))"
 
 
-def distance2_to_edge(x: Column, y: Column, e: Column) -> Column:
+@expression
+def distance2_to_edge(x: str, y: str, e: str) -> str:
     """Squared distance from a point to a closed segment."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    t = F.try_divide((x - e["x1"]) * dx + (y - e["y1"]) * dy, dx * dx + dy * dy)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
-    ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-    return ex * ex + ey * ey
+    dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+    t = f"greatest(0D, least(1D, coalesce(try_divide((({x}) - {e}.x1) * {dx} + (({y}) - {e}.y1) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D)))"
+    off = f"named_struct('u', ({x}) - ({e}.x1 + dt * {dx}), 'v', ({y}) - ({e}.y1 + dt * {dy}))"
+    return let("dt", t, let("dd", off, "dd.u * dd.u + dd.v * dd.v"))
 
 
-def segments_within(a: Column, b: Column, d: float) -> Column:
-    d2 = F.lit(float(d) ** 2)
-    return (
-        segments_touch(a, b)
-        | (distance2_to_edge(a["x1"], a["y1"], b) <= d2)
-        | (distance2_to_edge(a["x2"], a["y2"], b) <= d2)
-        | (distance2_to_edge(b["x1"], b["y1"], a) <= d2)
-        | (distance2_to_edge(b["x2"], b["y2"], a) <= d2)
-    )
+@expression
+def segments_within(a: str, b: str, d: float) -> str:
+    d2 = num(float(d) ** 2)
+    ends = [(b, a, 1), (b, a, 2), (a, b, 1), (a, b, 2)]
+    near = " OR ".join(f"{distance2_to_edge.sql(f'{p}.x{i}', f'{p}.y{i}', q)} <= {d2}" for q, p, i in ends)
+    return f"({segments_touch.sql(a, b)} OR {near})"
 
 
 # --- predicates on whole geometries ---------------------------------------------------
 
-def contains_point(geom: Column, x: Column, y: Column) -> Column:
+@expression
+def contains_point(geom: str, x: str, y: str) -> str:
     """Strict: a point on the boundary is not contained."""
-    e = edges(geom)
-    return (geom["kind"] == POLYGON) & ~on_edge(x, y, e) & parity_inside(x, y, e)
+    inside = f"NOT {on_edge.sql(x, y, 'ce')} AND {parity_inside.sql(x, y, 'ce')}"
+    return f"({geom}.kind = '{POLYGON}' AND {let('ce', edges.sql(geom), inside)})"
 
 
-def bbox_overlap(a: Column, b: Column) -> Column:
-    return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+@expression
+def bbox_overlap(a: str, b: str) -> str:
+    return f"({a}.xmin <= {b}.xmax AND {b}.xmin <= {a}.xmax AND {a}.ymin <= {b}.ymax AND {b}.ymin <= {a}.ymax)"
 
 
-def intersects(a: Column, b: Column) -> Column:
+@expression
+def intersects(a: str, b: str) -> str:
     """Share at least one point, boundaries included. For pairs; use the spatial join for tables."""
-    ea, eb = edges(a), edges(b)
+    def hit(g, of, e):
+        inside = f"({on_edge.sql('hp[0]', 'hp[1]', e)} OR ({of}.kind = '{POLYGON}' AND {parity_inside.sql('hp[0]', 'hp[1]', e)}))"
+        return f"exists({anchors.sql(g)}, hp -> {inside})"
 
-    def first_vertices(g):
-        return F.transform(g["parts"], lambda p: p[0][0])
-
-    def any_hit(pts, g, e):
-        area = g["kind"] == POLYGON
-        return F.exists(pts, lambda p: on_edge(p[0], p[1], e) | (area & parity_inside(p[0], p[1], e)))
-
-    same_point = F.exists(first_vertices(a), lambda p: F.exists(first_vertices(b), lambda q: p == q))
-    return (
-        bbox_overlap(a["bbox"], b["bbox"])
-        & (same_point | edges_touch(ea, eb) | any_hit(first_vertices(a), b, eb) | any_hit(first_vertices(b), a, ea))
-    )
+    same = f"arrays_overlap({anchors.sql(a)}, {anchors.sql(b)})"
+    any_ = f"({same} OR {edges_touch.sql('xa', 'xb')} OR {hit(a, b, 'xb')} OR {hit(b, a, 'xa')})"
+    return f"({bbox_overlap.sql(f'{a}.bbox', f'{b}.bbox')} AND {let('xa', edges.sql(a), let('xb', edges.sql(b), any_))})"
 
 
 # --- measures -------------------------------------------------------------------------
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def _total(values: str) -> str:
+    return f"aggregate({values}, 0D, (sa, sv) -> sa + sv)"
 
 
-def _ring_moments(r: Column) -> Column:
-    """struct<a, mx, my> of one ring, relative to its first vertex: area and first moments, sign removed."""
-    ox, oy = r[0][0], r[0][1]
+def _moment_fields(a: str, x: str, y: str) -> str:
+    return f"named_struct('a', {a}, 'mx', {x}, 'my', {y})"
 
-    def per_edge(e):
-        ax, ay, bx, by = e["x1"] - ox, e["y1"] - oy, e["x2"] - ox, e["y2"] - oy
-        c = _cross(ax, ay, bx, by)
-        return record(a=c / 2, mx=c * (ax + bx) / 6, my=c * (ay + by) / 6)
 
-    m = F.aggregate(
-        F.transform(ring_edges(r), per_edge),
-        record(a=F.lit(0.0), mx=F.lit(0.0), my=F.lit(0.0)),
-        lambda acc, v: record(a=acc["a"] + v["a"], mx=acc["mx"] + v["mx"], my=acc["my"] + v["my"]),
+def _ring_moments(r: str, weight: str) -> str:
+    """struct<a, mx, my> of one ring: area and first moments, orientation removed, times the weight."""
+    ox, oy = f"{r}[0][0]", f"{r}[0][1]"
+    cross = f"((me.x1 - {ox}) * (me.y2 - {oy}) - (me.y1 - {oy}) * (me.x2 - {ox}))"
+    step = _moment_fields(
+        "ma.a + mc / 2", f"ma.mx + mc * (me.x1 + me.x2 - 2 * {ox}) / 6", f"ma.my + mc * (me.y1 + me.y2 - 2 * {oy}) / 6"
+    )
+    start = _moment_fields("0D", "0D", "0D")
+    done = _moment_fields(
+        f"sign(mf.a) * {weight} * mf.a", f"sign(mf.a) * {weight} * (mf.mx + mf.a * {ox})", f"sign(mf.a) * {weight} * (mf.my + mf.a * {oy})"
     )
-    sign = F.when(m["a"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    a = sign * m["a"]
-    return record(a=a, mx=sign * m["mx"] + a * ox, my=sign * m["my"] + a * oy)
+    return f"aggregate({ring_edges.sql(r)}, {start}, (ma, me) -> {let('mc', cross, step)}, mf -> {done})"
 
 
-def _signed_rings(geom: Column) -> Column:
+@expression
+def ring_moments(geom: str) -> str:
     """Moments of every ring, holes negative."""
+    shell = f"transform(slice(mp, 1, 1), mr -> {_ring_moments('mr', '1')})"
+    holes = f"transform(slice(mp, 2, greatest(size(mp) - 1, 0)), mr -> {_ring_moments('mr', '-1')})"
+    return f"flatten(transform({geom}.parts, mp -> concat({shell}, {holes})))"
 
-    def part(p):
-        shell = F.transform(F.slice(p, 1, 1), _ring_moments)
-        holes = F.transform(
-            F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))),
-            lambda r: _negate(_ring_moments(r)),
-        )
-        return F.concat(shell, holes)
 
-    return F.flatten(F.transform(geom["parts"], part))
+@expression
+def area(geom: str) -> str:
+    """Planar area in square units of the reference system; 0 for points and lines."""
+    total = _total(f"transform({ring_moments.sql(geom)}, am -> am.a)")
+    return f"CASE WHEN {geom}.kind = '{POLYGON}' THEN {total} WHEN {geom} IS NOT NULL THEN 0D END"
 
 
-def _negate(m: Column) -> Column:
-    return record(a=-m["a"], mx=-m["mx"], my=-m["my"])
+@expression
+def edge_length(e: str) -> str:
+    return f"hypot({e}.x2 - {e}.x1, {e}.y2 - {e}.y1)"
 
 
-def area(geom: Column) -> Column:
-    """Planar area in square units of the reference system; 0 for points and lines."""
+def _edge_sum(geom: str) -> str:
+    one = edge_length.sql("le")
+    return _total(f"transform({edges.sql(geom)}, le -> {one})")
 
-    def ring_area(r):
-        ox, oy = r[0][0], r[0][1]
-        return F.abs(
-            _total(
-                F.transform(
-                    ring_edges(r), lambda e: _cross(e["x1"] - ox, e["y1"] - oy, e["x2"] - ox, e["y2"] - oy)
-                )
-            )
-            / 2
-        )
-
-    def part_area(p):
-        rings = F.transform(p, ring_area)
-        return 2 * rings[0] - _total(rings)
-
-    return F.when(geom["kind"] == POLYGON, _total(F.transform(geom["parts"], part_area))).when(
-        geom.isNotNull(), F.lit(0.0)
-    )
 
+@expression
+def length(geom: str) -> str:
+    return f"CASE WHEN {geom} IS NOT NULL THEN {_edge_sum(geom)} END"
 
-def edge_length(e: Column) -> Column:
-    return F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
 
+def _weighted(values: str, v: str, w: str, x: str, y: str) -> str:
+    """struct<x, y> of weighted sums over the weight sum; NULL fields when the weight is zero."""
+    fields = lambda a, b, c: f"named_struct('w', {a}, 'x', {b}, 'y', {c})"
+    total = f"aggregate({values}, {fields('0D', '0D', '0D')}, (wa, {v}) -> {fields(f'wa.w + {w}', f'wa.x + {x}', f'wa.y + {y}')})"
+    return let("wt", total, "named_struct('x', try_divide(wt.x, wt.w), 'y', try_divide(wt.y, wt.w))")
 
-def length(geom: Column) -> Column:
-    return F.when(geom.isNotNull(), _total(F.transform(edges(geom), edge_length)))
 
-
-def centroid(geom: Column) -> Column:
+@expression
+def centroid(geom: str) -> str:
     """struct<x, y>: area-weighted for polygons, length-weighted for lines, mean for points."""
-    rings = _signed_rings(geom)
-    a = _total(F.transform(rings, lambda m: m["a"]))
-    px = F.try_divide(_total(F.transform(rings, lambda m: m["mx"])), a)
-    py = F.try_divide(_total(F.transform(rings, lambda m: m["my"])), a)
-    es = edges(geom)
-    ln = _total(F.transform(es, edge_length))
-    lx = F.try_divide(_total(F.transform(es, lambda e: edge_length(e) * (e["x1"] + e["x2"]) / 2)), ln)
-    ly = F.try_divide(_total(F.transform(es, lambda e: edge_length(e) * (e["y1"] + e["y2"]) / 2)), ln)
-    vs = vertices(geom["parts"])
-    vx = _total(F.transform(vs, lambda v: v[0])) / F.size(vs)
-    vy = _total(F.transform(vs, lambda v: v[1])) / F.size(vs)
-    poly, ln_ = geom["kind"] == POLYGON, geom["kind"] == LINE
-    return F.when(
-        geom.isNotNull(),
-        record(
-            x=F.coalesce(F.when(poly, px).when(ln_, lx), vx),
-            y=F.coalesce(F.when(poly, py).when(ln_, ly), vy),
-        ),
-    )
+    poly = _weighted(ring_moments.sql(geom), "cm", "cm.a", "cm.mx", "cm.my")
+    ln = edge_length.sql("cl")
+    along = _weighted(edges.sql(geom), "cl", ln, f"{ln} * (cl.x1 + cl.x2) / 2", f"{ln} * (cl.y1 + cl.y2) / 2")
+    middle = _weighted(vertices(f"{geom}.parts"), "cv", "1", "cv[0]", "cv[1]")
+    best = f"CASE {geom}.kind WHEN '{POLYGON}' THEN {poly} WHEN '{LINE}' THEN {along} ELSE {middle} END"
+    # a polygon without area or a line without length has no weighted centre
+    return f"CASE WHEN {geom} IS NOT NULL THEN {let('cb', best, f'CASE WHEN cb.x IS NOT NULL THEN cb ELSE {middle} END')} END"
 
 
 # --- reprojection between the Dutch grid and WGS84 ------------------------------------
@@ -360,66 +355,57 @@ _Y = ((1, 0, 309056.544), (0, 2, 3638.893), (2, 0, 73.077), (1, 2, -157.984), (3
 _X0, _Y0, _LAT0, _LON0 = 155000.0, 463000.0, 52.15517440, 5.38720621
 
 
-def _power(v, p: int):
-    out = v
-    for _ in range(p - 1):
-        out = out * v
-    return out
+def _poly_text(terms, a: str, b: str) -> str:
+    """Sum of c * a^p * b^q as SQL text."""
+    return " + ".join(f"({' * '.join([a] * p + [b] * q + [num(c)])})" for p, q, c in terms)
 
 
-def _poly(terms, a, b):
-    """Sum of c * a^p * b^q; works on Columns and on plain numbers."""
-    out = None
-    for p, q, c in terms:
-        t = c
-        if p:
-            t = _power(a, p) * t
-        if q:
-            t = _power(b, q) * t
-        out = t if out is None else out + t
-    return out
+def _poly_value(terms, a: float, b: float) -> float:
+    return sum(c * a**p * b**q for p, q, c in terms)
 
 
-def rd_to_wgs84(x, y):
-    """(lon, lat) of a point of the Dutch grid."""
-    dx, dy = (x - _X0) * 1e-5, (y - _Y0) * 1e-5
-    return _poly(_LON, dx, dy) / 3600 + _LON0, _poly(_LAT, dx, dy) / 3600 + _LAT0
+def _supported(from_srid: int, to_srid: int) -> None:
+    if from_srid != to_srid and {from_srid, to_srid} != {RD, WGS84}:
+        raise ValueError(f"no transformation from {from_srid} to {to_srid}")
 
 
-def wgs84_to_rd(lon, lat):
-    """(x, y) on the Dutch grid of a longitude and latitude."""
-    dlat, dlon = (lat - _LAT0) * 0.36, (lon - _LON0) * 0.36
-    return _poly(_X, dlat, dlon) + _X0, _poly(_Y, dlat, dlon) + _Y0
-
-
-def project(from_srid: int, to_srid: int):
-    """Function (a, b) -> (a, b) between two supported reference systems."""
+def project_point(a: float, b: float, from_srid: int, to_srid: int) -> tuple[float, float]:
+    """Move one point given as plain numbers, such as a corner of a filter box."""
+    _supported(from_srid, to_srid)
     if from_srid == to_srid:
-        return lambda a, b: (a, b)
-    if (from_srid, to_srid) == (RD, WGS84):
-        return rd_to_wgs84
-    if (from_srid, to_srid) == (WGS84, RD):
-        return wgs84_to_rd
-    raise ValueError(f"no transformation from {from_srid} to {to_srid}")
-
-
-def transform_geom(geom: Column, to_srid: int) -> Column:
+        return a, b
+    if from_srid == RD:
+        u, v = (a - _X0) * 1e-5, (b - _Y0) * 1e-5
+        return _poly_value(_LON, u, v) / 3600 + _LON0, _poly_value(_LAT, u, v) / 3600 + _LAT0
+    u, v = (b - _LAT0) * 0.36, (a - _LON0) * 0.36
+    return _poly_value(_X, u, v) + _X0, _poly_value(_Y, u, v) + _Y0
+
+
+@expression
+def project_xy(a: str, b: str, from_srid: int, to_srid: int) -> str:
+    """array(x, y) of a point moved between two supported reference systems."""
+    _supported(from_srid, to_srid)
+    if from_srid == to_srid:
+        return f"array({a}, {b})"
+    if from_srid == RD:
+        start = f"named_struct('u', (({a}) - {num(_X0)}) * 1e-5D, 'v', (({b}) - {num(_Y0)}) * 1e-5D)"
+        first = f"({_poly_text(_LON, 'pj.u', 'pj.v')}) / 3600 + {num(_LON0)}"
+        second = f"({_poly_text(_LAT, 'pj.u', 'pj.v')}) / 3600 + {num(_LAT0)}"
+    else:
+        start = f"named_struct('u', (({b}) - {num(_LAT0)}) * 0.36D, 'v', (({a}) - {num(_LON0)}) * 0.36D)"
+        first = f"({_poly_text(_X, 'pj.u', 'pj.v')}) + {num(_X0)}"
+        second = f"({_poly_text(_Y, 'pj.u', 'pj.v')}) + {num(_Y0)}"
+    return let("pj", start, f"array({first}, {second})")
+
+
+@expression
+def transform_geom(geom: str, to_srid: int) -> str:
     """Reproject; geometry already in the target system is untouched, other systems are an error."""
     if to_srid not in (RD, WGS84):
         raise ValueError(f"no transformation to {to_srid}")
     from_srid = WGS84 if to_srid == RD else RD
-    move = project(from_srid, to_srid)
-
-    def vertex(v):
-        a, b = move(v[0], v[1])
-        return F.array(a, b)
-
-    moved = F.transform(geom["parts"], lambda p: F.transform(p, lambda r: F.transform(r, vertex)))
-    return (
-        F.when(geom["srid"] == to_srid, geom)
-        .when(geom["srid"] == from_srid, make_geom(geom["kind"], to_srid, moved))
-        .when(
-            geom.isNotNull(),
-            F.raise_error(F.concat(F.lit("no transformation from srid "), F.coalesce(geom["srid"].cast("string"), F.lit("NULL")))).cast(GEOM_TYPE),
-        )
-    )
+    vertex = project_xy.sql("pv[0]", "pv[1]", from_srid, to_srid)
+    moved = f"transform({geom}.parts, pp -> transform(pp, pr -> transform(pr, pv -> {vertex})))"
+    return f"""CASE WHEN {geom}.srid = {to_srid} THEN {geom}
+        WHEN {geom}.srid = {from_srid} THEN {make_geom.sql(f'{geom}.kind', to_srid, moved)}
+        WHEN {geom} IS NOT NULL THEN CAST(raise_error(concat('no transformation from srid ', coalesce(CAST({geom}.srid AS STRING), 'NULL'))) AS {GEOM_TYPE}) END"""

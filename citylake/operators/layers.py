@@ -91,8 +91,7 @@ def layers_for_theme(inventory: DataFrame, theme: str) -> DataFrame:
 
 def clip_to_box(layer: DataFrame, box: tuple[float, float, float, float], srid: int, layer_srid: int, geom: str = "geom") -> DataFrame:
     """Features whose box meets the given one. The corners are moved once, so the scan sees four plain comparisons."""
-    move = G.project(srid, layer_srid)
-    x0, y0 = move(box[0], box[1])
-    x1, y1 = move(box[2], box[3])
+    x0, y0 = G.project_point(box[0], box[1], srid, layer_srid)
+    x1, y1 = G.project_point(box[2], box[3], srid, layer_srid)
     b = F.col(geom)["bbox"]
     return layer.where((b["xmin"] <= x1) & (b["xmax"] >= x0) & (b["ymin"] <= y1) & (b["ymax"] >= y0))

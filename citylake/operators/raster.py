@@ -65,7 +65,7 @@ def raster_extent(cells: DataFrame) -> DataFrame:
 def raster_bounds(cells: DataFrame) -> DataFrame:
     """The extent as a polygon."""
     return raster_extent(cells).select(
-        "raster_id", G.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("bounds")
+        "raster_id", G.box("xmin", "ymin", "xmax", "ymax").alias("bounds")
     )
 
 
@@ -150,7 +150,7 @@ def station_values(
         m = in_window(m, "date", at, hours).withColumn("raster_id", F.lit(0))
     else:
         width = 2 * hours * 3600
-        slot = lambda c: F.floor(F.unix_seconds(c) / width).cast("long")
+        slot = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width).cast("long")
         w = F.make_dt_interval(hours=F.lit(hours))
         r = requests.select("raster_id", "at", F.explode(F.sequence(slot(F.col("at") - w), slot(F.col("at") + w))).alias("_slot"))
         m = m.withColumn("_slot", slot(F.col("date"))).join(r, "_slot")
@@ -200,14 +200,10 @@ def interpolate_idw(bounds: DataFrame, values: DataFrame, res: float, keys: Sequ
     keys = list(keys)
     chunks = station_chunks(values, keys, ["x", "y", "value"])
     cells = _cells_with_stations(bounds, chunks, res, keys)
-    px, py = F.col("x"), F.col("y")
-    weight = lambda s: F.lit(1.0) / (F.hypot(px - s["x"], py - s["y"]) + F.lit(1e-10))
-    sums = F.aggregate(
-        "stations",
-        G.record(w=F.lit(0.0), v=F.lit(0.0)),
-        lambda acc, s: G.record(w=acc["w"] + weight(s), v=acc["v"] + weight(s) * s["value"]),
-    )
-    part = cells.select(*keys, "col", "row", "x", "y", sums.alias("_s"))
+    weight = "1 / (hypot(x - s.x, y - s.y) + 1e-10D)"
+    add = G.let("w", weight, "named_struct('w', acc.w + w, 'v', acc.v + w * s.value)")
+    sums = f"aggregate(stations, named_struct('w', 0D, 'v', 0D), (acc, s) -> {add})"
+    part = cells.selectExpr(*keys, "col", "row", "x", "y", f"{sums} AS _s")
     return part.groupBy(*keys, "col", "row", "x", "y").agg(
         (F.sum("_s.v") / F.sum("_s.w")).alias("value")
     )
@@ -255,14 +251,10 @@ def interpolate_rbf(
     keys = list(keys)
     chunks = station_chunks(rbf_weights(values, kernel, keys), keys, ["x", "y", "weight", "epsilon"])
     cells = _cells_with_stations(bounds, chunks, res, keys)
-    px, py = F.col("x"), F.col("y")
-
-    def term(s):
-        r = F.hypot(px - s["x"], py - s["y"])
-        return s["weight"] * (r if kernel == "linear" else F.exp(-F.pow(r / s["epsilon"], F.lit(2.0))))
-
-    part = cells.select(
-        *keys, "col", "row", "x", "y", F.aggregate("stations", F.lit(0.0), lambda acc, s: acc + term(s)).alias("_v")
+    r = "hypot(x - s.x, y - s.y)"
+    basis = r if kernel == "linear" else f"exp(-pow({r} / s.epsilon, 2))"
+    part = cells.selectExpr(
+        *keys, "col", "row", "x", "y", f"aggregate(stations, 0D, (acc, s) -> acc + s.weight * {basis}) AS _v"
     )
     return part.groupBy(*keys, "col", "row", "x", "y").agg(F.sum("_v").alias("value"))
 
@@ -311,8 +303,8 @@ def reproject_cells(
     """
     if method not in ("bilinear", "nearest"):
         raise ValueError(f"unknown method {method}")
-    a, b = G.project(to_srid, from_srid)(F.col("x"), F.col("y"))
-    g = grid.select("raster_id", "col", "row", "x", "y", a.alias("_a"), b.alias("_b")).join(cell_size(cells), "raster_id")
+    g = grid.select("raster_id", "col", "row", "x", "y", G.project_xy("x", "y", to_srid, from_srid).alias("_p"))
+    g = g.select("*", F.col("_p")[0].alias("_a"), F.col("_p")[1].alias("_b")).join(cell_size(cells), "raster_id")
     fc = (F.col("_a") - F.col("x0")) / F.col("dx") + F.col("c0")
     fr = (F.col("_b") - F.col("y0")) / F.col("dy") + F.col("r0")
     if method == "nearest":

@@ -3,8 +3,9 @@
 Every feature is cut into *tiles*, one for each grid cell its bounding box meets. A tile
 carries only what a test inside that cell needs:
 
-  ray      edges that overlap the cell's band in y and are not left of the cell: enough for
-           the even-odd rule at any point of the cell, and a superset of the edges in the cell
+  near     edges whose box meets the cell
+  far, odd what the even-odd rule needs from the edges right of the cell: the y-intervals of
+           those that end inside the cell's band, and the parity of those that span it
   full     the cell lies wholly inside the polygon (no edge near it), so no edge is shipped
   anchors  first vertex of every part, in the tile of the cell that holds it
 
@@ -18,7 +19,9 @@ salt spreads a cell that holds a large share of all features.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citylake.functions import geometry as G
@@ -27,75 +30,87 @@ CELL = 5000.0
 SALTS = 4
 
 
-def _index(v: Column, cell: float) -> Column:
-    return F.floor(v / F.lit(float(cell))).cast("long")
+def index(v: str, cell: float) -> str:
+    return f"CAST(floor(({v}) / {G.num(cell)}) AS BIGINT)"
+
 
+def low(i: str, cell: float) -> str:
+    return f"(({i}) * {G.num(cell)})"
 
-def _low(i: Column, cell: float) -> Column:
-    return i * F.lit(float(cell))
+
+def cells_between(a: str, b: str, cell: float) -> str:
+    return f"explode(sequence({index(a, cell)}, {index(b, cell)}))"
 
 
 def tiles(
-    df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL, prefix: str = "", keep: tuple | list = ()
+    df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL, prefix: str = "", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per (feature, grid cell): id, cx, cy, area, full, ray, anchors, and the kept columns."""
-    box = F.col("g")["bbox"]
+    """One row per (feature, grid cell): id, cx, cy, area, full, anchors, near, far, odd, and the kept columns."""
     base = df.where(F.col(geom_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(geom_col).alias("g"), F.struct(F.lit(0), *keep).alias("kept")
     )
     # rows of cells first: the band of edges is cut once per row, not once per cell
-    bands = base.select(
-        "id", "kept",
-        (F.col("g")["kind"] == G.POLYGON).alias("area"),
-        box.alias("box"),
-        F.transform(F.col("g")["parts"], lambda p: p[0][0]).alias("first"),
-        G.edges(F.col("g")).alias("edges"),
-        F.explode(F.sequence(_index(box["ymin"], cell), _index(box["ymax"], cell))).alias("cy"),
+    bands = base.selectExpr(
+        "id", "kept", f"g.kind = '{G.POLYGON}' AS area", "g.bbox AS box", f"{G.anchors.sql('g')} AS first",
+        f"{G.edges.sql('g')} AS edges", f"{cells_between('g.bbox.ymin', 'g.bbox.ymax', cell)} AS cy",
     )
-    y0, y1 = _low(F.col("cy"), cell), _low(F.col("cy") + 1, cell)
-    bands = bands.select(
+    y0, y1 = low("cy", cell), low("cy + 1", cell)
+    bands = bands.selectExpr(
         "id", "kept", "area", "first", "cy", "box",
-        F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1)).alias("band"),
+        f"filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band",
     )
-    cells = bands.select(
-        "id", "kept", "area", "first", "cy", "band",
-        F.explode(F.sequence(_index(F.col("box.xmin"), cell), _index(F.col("box.xmax"), cell))).alias("cx"),
+    cells = bands.selectExpr(
+        "id", "kept", "area", "first", "cy", "band", f"{cells_between('box.xmin', 'box.xmax', cell)} AS cx"
     )
-    x0, x1 = _low(F.col("cx"), cell), _low(F.col("cx") + 1, cell)
-    cells = cells.select(
+    x0, x1 = low("cx", cell), low("cx + 1", cell)
+    cells = cells.selectExpr(
         "id", "kept", "area", "cx", "cy",
-        F.filter("band", lambda e: F.greatest(e["x1"], e["x2"]) >= x0).alias("ray"),
-        F.filter("first", lambda p: (_index(p[0], cell) == F.col("cx")) & (_index(p[1], cell) == F.col("cy"))).alias("anchors"),
+        f"filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1}) AS near",
+        f"CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END AS right",
+        f"filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy) AS anchors",
+    )
+    spans = f"least(e.y1, e.y2) <= {y0} AND greatest(e.y1, e.y2) >= {y1}"
+    cells = cells.selectExpr(
+        "id", "kept", "area", "cx", "cy", "near", "anchors",
+        f"transform(filter(right, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2)) AS far",
+        f"size(filter(right, e -> {spans})) % 2 AS odd",
     )
-    near = F.exists("ray", lambda e: F.least(e["x1"], e["x2"]) <= x1)
-    cells = cells.withColumn("near", near)
-    mid_inside = G.parity_inside(x0 + cell / 2, y0 + cell / 2, F.col("ray"))
-    full = F.col("area") & ~F.col("near") & mid_inside
-    cells = cells.withColumn("full", full)
-    no_edges = F.slice(F.col("ray"), 1, 0)
-    cells = cells.where(F.col("near") | F.col("full") | (F.size("anchors") > 0)).withColumn(
-        "ray", F.when(F.col("full"), no_edges).otherwise(F.col("ray"))
+    mid = f"{y0} + {G.num(cell / 2)}"
+    cells = cells.selectExpr(
+        "*", f"area AND size(near) = 0 AND (size({_straddling('far', mid)}) + odd) % 2 = 1 AS full"
+    ).where("size(near) > 0 OR full OR size(anchors) > 0")
+    names = ("id", "cx", "cy", "area", "full", "anchors", "near", "odd")
+    return cells.selectExpr(
+        *[f"{n} AS {prefix}{n}" for n in names], f"CASE WHEN full THEN slice(far, 1, 0) ELSE far END AS {prefix}far",
+        *[f"kept.{k} AS {k}" for k in keep],
     )
-    names = ("id", "cx", "cy", "area", "full", "ray", "anchors")
-    return cells.select(*[F.col(n).alias(prefix + n) for n in names], *[F.col("kept")[k].alias(k) for k in keep])
 
 
-def _inside(tile: str, x: Column, y: Column, strict: bool = False) -> Column:
+def _straddling(far: str, y: str) -> str:
+    return f"filter({far}, h -> (h.a > ({y})) <> (h.b > ({y})))"
+
+
+def _inside(tile: str, x: str, y: str, strict: bool = False) -> str:
     """Test of a point that lies in the tile's own cell."""
-    full, area, ray = F.col(tile + "full"), F.col(tile + "area"), F.col(tile + "ray")
-    inside = area & G.parity_inside(x, y, ray)
-    edge = G.on_edge(x, y, ray)
-    return full | ((inside & ~edge) if strict else (inside | edge))
+    near = tile + "near"
+    crossed = f"{G.crossings.sql(x, y, near)} + size({_straddling(tile + 'far', y)}) + {tile}odd"
+    inside = f"({tile}area AND ({crossed}) % 2 = 1)"
+    edge = G.on_edge.sql(x, y, near)
+    return f"({tile}full OR {f'({inside} AND NOT {edge})' if strict else f'{inside} OR {edge}'})"
 
 
-def _salted(left: DataFrame, right: DataFrame, left_key: Column, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _salted(left: DataFrame, right: DataFrame, left_key: str, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
     if salts <= 1:
         return left, right, []
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(left_key), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = left.selectExpr("*", f"CAST(pmod(xxhash64({left_key}), {salts}) AS INT) AS _salt")
+    right = right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     return left, right, ["_salt"]
 
 
+def _zone_tiles(zones: DataFrame, zone_id: str, geom: str, cell: float) -> DataFrame:
+    return tiles(zones, zone_id, geom, cell, "_z_").withColumnsRenamed({"_z_cx": "_cx", "_z_cy": "_cy"})
+
+
 def point_join(
     points: DataFrame,
     zones: DataFrame,
@@ -112,20 +127,15 @@ def point_join(
 
     A point has one cell, so no pair can come out twice and nothing is shuffled afterwards.
     """
-    px, py = F.col(x), F.col(y)
-    left = points.where(px.isNotNull() & py.isNotNull()).withColumn("_cx", _index(px, cell)).withColumn("_cy", _index(py, cell))
-    right = tiles(zones, zone_id, geom, cell, "_z_").withColumnsRenamed({"_z_cx": "_cx", "_z_cy": "_cy"})
-    right = right.where(F.col("_z_full") | (F.size("_z_ray") > 0))
-    left, right, extra = _salted(left, right, F.struct(px, py, *[F.col(c) for c in _hashable(points)]), salts)
-    hit = left.join(right, ["_cx", "_cy", *extra]).where(_inside("_z_", px, py, strict))
+    left = points.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").selectExpr("*", f"{index(x, cell)} AS _cx", f"{index(y, cell)} AS _cy")
+    right = _zone_tiles(zones, zone_id, geom, cell).where("_z_full OR size(_z_near) > 0")
+    # a few plain columns spread rows that share one coordinate
+    plain = [f.name for f in points.schema.fields if f.dataType.typeName() in ("long", "integer", "string")][:2]
+    left, right, extra = _salted(left, right, ", ".join([x, y, *plain]), salts)
+    hit = left.join(right, ["_cx", "_cy", *extra]).where(_inside("_z_", x, y, strict))
     return hit.select(*points.columns, F.col("_z_id").alias(alias))
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    """A few cheap columns to spread rows that share one coordinate."""
-    return [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "string")][:2]
-
-
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -133,7 +143,7 @@ def spatial_join(
     right_id: str,
     left_geom: str = "geom",
     right_geom: str = "geom",
-    keep: tuple | list = (),
+    keep: Sequence[str] = (),
     cell: float = CELL,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -145,26 +155,16 @@ def spatial_join(
     """
     a = tiles(left, left_id, left_geom, cell, "_a_", keep).withColumnsRenamed({"_a_cx": "_cx", "_a_cy": "_cy"})
     b = tiles(right, right_id, right_geom, cell, "_b_").withColumnsRenamed({"_b_cx": "_cx", "_b_cy": "_cy"})
-    a, b, extra = _salted(a, b, F.col("_a_id"), salts)
-    x1 = _low(F.col("_cx") + 1, cell)
-
-    def near(ray):
-        return F.filter(ray, lambda e: F.least(e["x1"], e["x2"]) <= x1)
-
-    anchor_hit = F.exists("_a_anchors", lambda p: _inside("_b_", p[0], p[1])) | F.exists(
-        "_b_anchors", lambda p: _inside("_a_", p[0], p[1])
-    )
-    same_point = F.arrays_overlap(
-        F.transform("_a_anchors", lambda p: G.record(x=p[0], y=p[1])),
-        F.transform("_b_anchors", lambda p: G.record(x=p[0], y=p[1])),
-    )
-    touch = G.edges_touch(near("_a_ray"), near("_b_ray"))
-    pairs = a.join(b, ["_cx", "_cy", *extra]).where(
-        (F.col("_a_full") & F.col("_b_full")) | anchor_hit | F.coalesce(same_point, F.lit(False)) | touch
-    )
-    out_left, out_right = left_id, right_id
-    if left_id == right_id:
-        out_left, out_right = f"left_{left_id}", f"right_{right_id}"
+    a, b, extra = _salted(a, b, "_a_id", salts)
+    tests = [
+        "(_a_full AND _b_full)",
+        f"exists(_a_anchors, p -> {_inside('_b_', 'p[0]', 'p[1]')})",
+        f"exists(_b_anchors, p -> {_inside('_a_', 'p[0]', 'p[1]')})",
+        "coalesce(arrays_overlap(_a_anchors, _b_anchors), false)",
+        G.edges_touch.sql("_a_near", "_b_near"),
+    ]
+    pairs = a.join(b, ["_cx", "_cy", *extra]).where(" OR ".join(tests))
+    out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
     return pairs.select(F.col("_a_id").alias(out_left), F.col("_b_id").alias(out_right), *keep).dropDuplicates(
         [out_left, out_right]
     )
@@ -172,33 +172,30 @@ def spatial_join(
 
 def segments(lines: DataFrame, id_col: str, geom_col: str = "geom") -> DataFrame:
     """One row per edge of every line: id, e."""
-    return lines.where(F.col(geom_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.explode(G.edges(F.col(geom_col))).alias("e")
-    )
+    return lines.where(F.col(geom_col).isNotNull()).selectExpr(f"{id_col} AS id", f"explode({G.edges.sql(geom_col)}) AS e")
+
+
+def _segment_cells(seg: DataFrame, cell: float, d: float = 0.0) -> DataFrame:
+    """Segments repeated for every cell of their box grown by d."""
+    span = lambda c: cells_between(f"least(e.{c}1, e.{c}2) - {G.num(d)}", f"greatest(e.{c}1, e.{c}2) + {G.num(d)}", cell)
+    return seg.selectExpr("*", f"{span('x')} AS _cx").selectExpr("*", f"{span('y')} AS _cy")
 
 
 def distance_join(
     lines: DataFrame, zones: DataFrame, line_id: str, zone_id: str, d: float,
     line_geom: str = "geom", zone_geom: str = "geom", cell: float = CELL, salts: int = SALTS,
 ) -> DataFrame:
-    """Distinct pairs of a line and a polygon at most ``d`` apart (exact, no buffer polygon)."""
-    e = F.col("e")
-    seg = segments(lines, line_id, line_geom)
-    seg = seg.select(
-        F.col("id").alias("_line"), "e",
-        F.explode(F.sequence(_index(F.least(e["x1"], e["x2"]) - d, cell), _index(F.greatest(e["x1"], e["x2"]) + d, cell))).alias("_cx"),
-    ).withColumn(
-        "_cy",
-        F.explode(F.sequence(_index(F.least(e["y1"], e["y2"]) - d, cell), _index(F.greatest(e["y1"], e["y2"]) + d, cell))),
-    )
-    z = tiles(zones, zone_id, zone_geom, cell, "_z_").withColumnsRenamed({"_z_cx": "_cx", "_z_cy": "_cy"})
-    seg, z, extra = _salted(seg, z, F.struct("_line", "e"), salts)
-    x, y = e["x1"], e["y1"]
-    start_here = (_index(x, cell) == F.col("_cx")) & (_index(y, cell) == F.col("_cy"))
-    close = F.exists("_z_ray", lambda f: G.segments_within(e, f, d))
-    # a cell wholly inside the zone that the segment itself enters also counts through its start cell
-    hit = seg.join(z, ["_cx", "_cy", *extra]).where((start_here & _inside("_z_", x, y)) | close)
-    return hit.select(F.col("_line").alias(line_id), F.col("_z_id").alias(zone_id)).distinct()
+    """Distinct pairs of a line and a polygon at most ``d`` apart (exact, no buffer polygon).
+
+    A segment inside a zone is found in the cell of its start; any other near one in the cell of
+    the zone's nearest edge point.
+    """
+    seg = _segment_cells(segments(lines, line_id, line_geom), cell, d)
+    seg, z, extra = _salted(seg, _zone_tiles(zones, zone_id, zone_geom, cell), "id, e", salts)
+    start_here = f"({index('e.x1', cell)} = _cx AND {index('e.y1', cell)} = _cy)"
+    close = f"exists(_z_near, f -> {G.segments_within.sql('e', 'f', d)})"
+    hit = seg.join(z, ["_cx", "_cy", *extra]).where(f"({start_here} AND {_inside('_z_', 'e.x1', 'e.y1')}) OR {close}")
+    return hit.select(F.col("id").alias(line_id), F.col("_z_id").alias(zone_id)).distinct()
 
 
 def clip_length(
@@ -212,55 +209,28 @@ def clip_length(
     whose midpoint is inside are added up. A cut on a grid line belongs to the cell of its
     midpoint, so nothing is counted twice.
     """
-    e = F.col("e")
-    seg = segments(lines, line_id, line_geom)
-    seg = seg.select(
-        "id", "e",
-        F.explode(F.sequence(_index(F.least(e["x1"], e["x2"]), cell), _index(F.greatest(e["x1"], e["x2"]), cell))).alias("_cx"),
-    ).withColumn("_cy", F.explode(F.sequence(_index(F.least(e["y1"], e["y2"]), cell), _index(F.greatest(e["y1"], e["y2"]), cell))))
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-
-    def span(delta, start, low, high):
-        """[enter, leave] of the parameter t along one axis."""
-        a, b = F.try_divide(low - start, delta), F.try_divide(high - start, delta)
-        return F.coalesce(F.least(a, b), F.lit(0.0)), F.coalesce(F.greatest(a, b), F.lit(1.0))
-
-    tx0, tx1 = span(dx, e["x1"], _low(F.col("_cx"), cell), _low(F.col("_cx") + 1, cell))
-    ty0, ty1 = span(dy, e["y1"], _low(F.col("_cy"), cell), _low(F.col("_cy") + 1, cell))
-    seg = seg.withColumn("_t0", F.greatest(F.lit(0.0), tx0, ty0)).withColumn("_t1", F.least(F.lit(1.0), tx1, ty1))
-    tm = (F.col("_t0") + F.col("_t1")) / 2
-    seg = seg.where(
-        (F.col("_t0") < F.col("_t1"))
-        & (_index(e["x1"] + tm * dx, cell) == F.col("_cx"))
-        & (_index(e["y1"] + tm * dy, cell) == F.col("_cy"))
-    )
-    z = tiles(zones, zone_id, zone_geom, cell, "_z_").withColumnsRenamed({"_z_cx": "_cx", "_z_cy": "_cy"})
-    seg, z, extra = _salted(seg, z, F.struct("id", "e"), salts)
-
-    def cut(f):
-        """t where the segment crosses the line through edge f (NULL when parallel)."""
-        fx, fy = f["x2"] - f["x1"], f["y2"] - f["y1"]
-        den = dx * fy - dy * fx
-        return F.try_divide((f["x1"] - e["x1"]) * fy - (f["y1"] - e["y1"]) * fx, den)
-
-    cuts = F.filter(F.transform("_z_ray", cut), lambda t: (t > F.col("_t0")) & (t < F.col("_t1")))
-    stops = F.array_sort(F.concat(F.array(F.col("_t0"), F.col("_t1")), cuts))
-    joined = seg.join(z, ["_cx", "_cy", *extra]).withColumn("_stops", stops)
-
-    n = F.size("_stops") - 1
-    pieces = F.zip_with(
-        F.slice("_stops", F.lit(1), n), F.slice("_stops", F.lit(2), n),
-        lambda a, b: G.record(a=a, b=b),
-    )
-
-    def inside_share(p):
-        m = (p["a"] + p["b"]) / 2
-        ok = _inside("_z_", e["x1"] + m * dx, e["y1"] + m * dy)
-        return F.when(ok, p["b"] - p["a"]).otherwise(F.lit(0.0))
-
-    share = F.aggregate(F.transform(pieces, inside_share), F.lit(0.0), lambda s, v: s + v)
+    seg = _segment_cells(segments(lines, line_id, line_geom), cell)
+    seg = seg.selectExpr("*", "e.x2 - e.x1 AS _dx", "e.y2 - e.y1 AS _dy")
+
+    def enter_leave(c):
+        a = f"try_divide({low(f'_c{c}', cell)} - e.{c}1, _d{c})"
+        b = f"try_divide({low(f'_c{c} + 1', cell)} - e.{c}1, _d{c})"
+        return f"coalesce(least({a}, {b}), 0D)", f"coalesce(greatest({a}, {b}), 1D)"
+
+    (xa, xb), (ya, yb) = enter_leave("x"), enter_leave("y")
+    seg = seg.selectExpr("*", f"greatest(0D, {xa}, {ya}) AS _t0", f"least(1D, {xb}, {yb}) AS _t1")
+    mid = lambda c: f"e.{c}1 + (_t0 + _t1) / 2 * _d{c}"
+    seg = seg.where(f"_t0 < _t1 AND {index(mid('x'), cell)} = _cx AND {index(mid('y'), cell)} = _cy")
+    seg, z, extra = _salted(seg, _zone_tiles(zones, zone_id, zone_geom, cell), "id, e", salts)
+    # where the segment crosses the line through an edge; NULL when parallel
+    cut = "try_divide((f.x1 - e.x1) * (f.y2 - f.y1) - (f.y1 - e.y1) * (f.x2 - f.x1), _dx * (f.y2 - f.y1) - _dy * (f.x2 - f.x1))"
+    stops = f"array_sort(concat(array(_t0, _t1), filter(transform(_z_near, f -> {cut}), t -> t > _t0 AND t < _t1)))"
+    joined = seg.join(z, ["_cx", "_cy", *extra]).selectExpr("*", f"{stops} AS _stops")
+    n = "size(_stops) - 1"
+    inside = _inside("_z_", "e.x1 + m * _dx", "e.y1 + m * _dy")
+    share = f"zip_with(slice(_stops, 1, {n}), slice(_stops, 2, {n}), (a, b) -> CASE WHEN {G.let('m', '(a + b) / 2', inside)} THEN b - a ELSE 0D END)"
     return (
-        joined.select(F.col("_z_id").alias(zone_id), (share * F.hypot(dx, dy)).alias("_len"))
+        joined.selectExpr(f"_z_id AS {zone_id}", f"aggregate({share}, 0D, (s, v) -> s + v) * hypot(_dx, _dy) AS _len")
         .groupBy(zone_id)
         .agg(F.sum("_len").alias("length"))
     )
@@ -274,7 +244,7 @@ def assign_by_centroid(
 
     Exactly one zone must match; none or several leave zone_id NULL and name the error.
     """
-    c = features.select(feature_id, G.centroid(F.col(geom)).alias("_c")).select(feature_id, "_c.x", "_c.y")
+    c = features.selectExpr(feature_id, f"{G.centroid.sql(geom)} AS _c").select(feature_id, "_c.x", "_c.y")
     found = point_join(c, zones, zone_id, geom=zone_geom, strict=True, cell=cell, salts=salts, alias="_zone")
     per_feature = found.groupBy(feature_id).agg(F.count("*").alias("matches"), F.min("_zone").alias("_zone"))
     out = features.select(feature_id).join(per_feature, feature_id, "left")
@@ -294,23 +264,19 @@ def buffer_cells(lines: DataFrame, group: str, d: float, step: float, geom: str
     diagonal costs its own corridor and not its bounding box. Distinct runs on (group, col, row),
     which spreads a group with many lines over all tasks.
     """
-    e = F.col("e")
-    seg = segments(lines, group, geom)
-    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-    rows = seg.withColumn("row", F.explode(F.sequence(_index(low - d, step), _index(high + d, step))))
-    yc = _low(F.col("row"), step) + step / 2
-    dy = e["y2"] - e["y1"]
-    # part of the segment within d of the row in y
-    ta = F.coalesce(F.try_divide(yc - d - e["y1"], dy), F.lit(0.0))
-    tb = F.coalesce(F.try_divide(yc + d - e["y1"], dy), F.lit(1.0))
-    clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    xa = e["x1"] + clamp(ta) * (e["x2"] - e["x1"])
-    xb = e["x1"] + clamp(tb) * (e["x2"] - e["x1"])
-    cells = rows.withColumn(
-        "col", F.explode(F.sequence(_index(F.least(xa, xb) - d, step), _index(F.greatest(xa, xb) + d, step)))
+    d_ = G.num(d)
+    rows = segments(lines, group, geom).selectExpr(
+        "*", f"{cells_between(f'least(e.y1, e.y2) - {d_}', f'greatest(e.y1, e.y2) + {d_}', step)} AS row"
+    )
+    rows = rows.selectExpr("*", f"{low('row', step)} + {G.num(step / 2)} AS _yc")
+    # x of the segment where it enters and leaves the band that is within d of the row
+    at = lambda sign, default: (
+        f"e.x1 + greatest(0D, least(1D, coalesce(try_divide(_yc {sign} {d_} - e.y1, e.y2 - e.y1), {default}))) * (e.x2 - e.x1)"
     )
-    xc = _low(F.col("col"), step) + step / 2
-    hit = cells.where(G.distance2_to_edge(xc, yc, e) <= F.lit(float(d) ** 2))
+    rows = rows.selectExpr("*", f"{at('-', '0D')} AS _xa", f"{at('+', '1D')} AS _xb")
+    cells = rows.selectExpr("*", f"{cells_between(f'least(_xa, _xb) - {d_}', f'greatest(_xa, _xb) + {d_}', step)} AS col")
+    xc = f"{low('col', step)} + {G.num(step / 2)}"
+    hit = cells.where(f"{G.distance2_to_edge.sql(xc, '_yc', 'e')} <= {G.num(float(d) ** 2)}")
     return hit.select(F.col("id").alias(group), "col", "row").distinct()
 
 

@@ -69,7 +69,7 @@ def pipe_derived(pipe: DataFrame) -> DataFrame:
     """Length in km and both diameters."""
     out = pipe
     if "geom" in pipe.columns:
-        out = out.withColumn("length_km", G.length(F.col("geom")) / 1000)
+        out = out.withColumn("length_km", G.length("geom") / 1000)
     inch = S.pipe_diameter_in("diameter_mm", "diameter_in")
     mm = S.pipe_diameter_mm("diameter_mm", "diameter_in")
     return out.withColumns({"diameter_in": inch, "diameter_mm": mm})

@@ -75,7 +75,7 @@ def layer_rows(
         F.col("geom").isNotNull() & (F.col("geom.kind") != spec.kind), F.concat(F.lit("wrong geometry kind: "), F.col("geom.kind"))
     )
     rows = rows.withColumn("errors", F.array_compact(F.concat("errors", F.array(wrong)))).withColumn(
-        "geom", G.to_multi(F.col("geom"), spec.kind)
+        "geom", G.to_multi("geom", spec.kind)
     )
     return rows if limit is None else limit_features(rows, limit, spec.unique)
 

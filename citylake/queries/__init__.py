@@ -1,0 +1,13 @@
+"""Registered queries and their check SQL."""
+
+from citylake.queries import relational
+
+MODULES = (relational,)
+
+
+def all_queries() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+
+def all_oracles() -> dict:
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -19,8 +19,8 @@ _CELL = "raster_id long, date date, band string, col long, row long, x double, y
 
 
 def _with_geom(df: DataFrame, srid: int) -> DataFrame:
-    g = F.col("_f.geometry")
-    return df.select(F.col("_f.properties").alias("properties"), G.from_geojson(g["type"], g["coordinates"], srid).alias("geom"))
+    geom = G.from_geojson("_f.geometry.type", "_f.geometry.coordinates", srid)
+    return df.select(F.col("_f.properties").alias("properties"), geom.alias("geom"))
 
 
 def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.WGS84, multiline: bool = True) -> DataFrame:
@@ -68,7 +68,8 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     c = F.transform(F.split(F.trim("georss:box"), r"\s+"), lambda v: v.try_cast("double"))
     ok = F.size(c) == 4
     # the feed writes latitude before longitude
-    box = F.when(ok, G.record(xmin=c[1], ymin=c[0], xmax=c[3], ymax=c[2]))
+    sides = [c[i].alias(n) for i, n in ((1, "xmin"), (0, "ymin"), (3, "xmax"), (2, "ymax"))]
+    box = F.when(ok, F.struct(*sides))
     return feed.where(F.size(alt) > 0).select(
         alt[0]["_href"].alias("url"), box.alias("box"), (F.col("georss:box").isNotNull() & ~ok).alias("bad_box")
     ).where(~F.coalesce("bad_box", F.lit(False))).drop("bad_box")
