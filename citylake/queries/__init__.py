@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from citylake.queries import relational
+from citylake.queries import dashboards, raster, relational, spatial
 
-MODULES = (relational,)
+MODULES = (relational, spatial, raster, dashboards)
 
 
 def all_queries() -> dict:
