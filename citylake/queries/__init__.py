@@ -1,8 +1,8 @@
 """Registered queries and their check SQL."""
 
-from citylake.queries import dashboards, raster, relational, spatial
+from citylake.queries import dashboards, ingest, raster, relational, spatial, streams
 
-MODULES = (relational, spatial, raster, dashboards)
+MODULES = (relational, spatial, raster, dashboards, ingest, streams)
 
 
 def all_queries() -> dict:

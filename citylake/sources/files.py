@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citylake.functions import geometry as G
 from citylake.functions import scalars as S
 
-_FEATURE = "struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+_FEATURE = "geometry struct<type:string,coordinates:string>, properties map<string,string>"
 _MEASUREMENT = (
     "station_id long, date timestamp, precipitation double, wind double, temperature double, "
     "radiation double, humidity double, vapor_pressure double"
@@ -27,9 +27,9 @@ def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.W
     """Features as (properties map, geom). With ``multiline`` each file is one FeatureCollection (a page);
     without it each line is one Feature, which also splits large files."""
     if multiline:
-        pages = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
+        pages = spark.read.schema(f"features array<struct<{_FEATURE}>>").option("multiLine", True).json(path)
         return _with_geom(pages.select(F.explode("features").alias("_f")), srid)
-    lines = spark.read.schema(_FEATURE[len("struct<"):-1]).json(path)
+    lines = spark.read.schema(_FEATURE).json(path)
     return _with_geom(lines.select(F.struct("geometry", "properties").alias("_f")), srid)
 
 

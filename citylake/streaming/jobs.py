@@ -57,22 +57,33 @@ def population_handler(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = newest(batch, ["id"], "seq")
+        # kept while the batch runs: every level reads the touched ids twice
+        rows = newest(batch, ["id"], "seq").persist()
         old = neighborhoods.read(batch_id).join(rows.select("id"), "id", "left_semi")
-        touched = old.select(F.col("district_id").alias("id")).unionByName(rows.select(F.col("district_id").alias("id")))
-        touched = touched.where(F.col("id").isNotNull()).distinct()
+        touched = _ids(old, "district_id").union(_ids(rows, "district_id")).distinct().persist()
         neighborhoods.apply(rows, batch_id)
-        after = batch_id + 1
-        chain = ((neighborhoods, districts, "district_id", "city_id"), (districts, cities, "city_id", "province_id"), (cities, provinces, "province_id", None))
-        for child, parent, key, up in chain:
-            parent.apply(refresh_parents(child.read(after), parent.read(batch_id), touched, key), batch_id)
+        kept, after = [rows, touched], batch_id + 1
+        steps = (
+            (neighborhoods, districts, "district_id", "city_id"),
+            (districts, cities, "city_id", "province_id"),
+            (cities, provinces, "province_id", None),
+        )
+        for child, parent, key, up in steps:
+            before = parent.read(batch_id)
+            parent.apply(refresh_parents(child.read(after), before, touched, key), batch_id)
             if up:
-                touched = parent.read(after).join(touched, "id", "left_semi").select(F.col(up).alias("id"))
-                touched = touched.where(F.col("id").isNotNull()).distinct()
+                touched = _ids(before.join(touched, "id", "left_semi"), up).distinct().persist()
+                kept.append(touched)
+        for df in kept:
+            df.unpersist()
 
     return handle
 
 
+def _ids(df: DataFrame, key: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"))
+
+
 def consumption_handler(cities: SnapshotTable, consumption: SnapshotTable) -> Callable[[DataFrame, int], None]:
     """City changes (id, population, …, seq) → yearly consumption of those cities."""
 

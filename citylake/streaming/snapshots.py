@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citylake.operators.quality import upsert
 
@@ -25,25 +26,35 @@ def work_dir(spark: SparkSession) -> str:
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16):
-        self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 16, schema: T.StructType | None = None
+    ):
+        self.spark, self.path, self.keys, self.buckets, self.schema = spark, path, list(keys), buckets, schema
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        """Replace the buckets present in ``df``; one shuffle, files per bucket follow the data size."""
-        (
-            df.withColumn("bucket", self._bucket())
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
-        )
+    def _write(self, rows: DataFrame, touched: DataFrame, version: int) -> None:
+        """Write the rows, with an empty marker for each touched bucket, so that a bucket that loses
+        its last row still gets a version of its own. One shuffle at most; files follow the data."""
+        fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        marker = touched.select(*fields, F.lit(True).alias(DELETED), "bucket")
+        out = rows.withColumn(DELETED, F.lit(False)).withColumn("bucket", self._bucket()).unionByName(marker)
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
 
     def create(self, df: DataFrame) -> "SnapshotTable":
-        self.write(df, -1)
+        """Write the first version (below every batch)."""
+        self.schema = df.schema
+        every = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket"))
+        self._write(df, every, -1)
         return self
 
     def _latest(self, before: int | None) -> tuple[DataFrame, DataFrame]:
-        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        reader = self.spark.read.option("basePath", self.path)
+        if self.schema is not None:
+            stored = T.StructType([*self.schema.fields, T.StructField(DELETED, T.BooleanType())])
+            reader = reader.schema(stored.add("version", T.IntegerType()).add("bucket", T.IntegerType()))
+        rows = reader.parquet(self.path)
         if before is not None:
             rows = rows.where(F.col("version") < before)
         # at most one row per bucket, a fixed number
@@ -54,7 +65,7 @@ class SnapshotTable:
         if touched is not None:
             latest = latest.join(touched, "bucket", "left_semi")
         out = rows.join(F.broadcast(latest), ["bucket", "version"], "left_semi").drop("bucket", "version")
-        return out.where(~F.col(DELETED)).drop(DELETED) if DELETED in out.columns else out
+        return out.where(~F.col(DELETED)).drop(DELETED)
 
     def apply(self, updates: DataFrame, version: int) -> None:
         """Upsert unique-key updates into the touched buckets; rows with ``_deleted`` set are removed."""
@@ -65,9 +76,4 @@ class SnapshotTable:
         new = upsert(old, rows, self.keys)
         if gone:
             new = new.join(updates.where(F.col(DELETED)).select(*self.keys), self.keys, "left_anti")
-        # a bucket that ends up empty still needs a version of its own
-        marker = touched.select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema.fields], F.lit(True).alias(DELETED), "bucket"
-        )
-        out = new.withColumn(DELETED, F.lit(False)).withColumn("bucket", self._bucket()).unionByName(marker)
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        self._write(new, touched, version)
