@@ -42,73 +42,64 @@ def cells_between(a: str, b: str, cell: float) -> str:
     return f"explode(sequence({index(a, cell)}, {index(b, cell)}))"
 
 
-def tiles(
-    df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL, prefix: str = "", keep: Sequence[str] = ()
-) -> DataFrame:
-    """One row per (feature, grid cell): id, cx, cy, area, full, anchors, near, far, odd, and the kept columns."""
-    base = df.where(F.col(geom_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(geom_col).alias("g"), F.struct(F.lit(0), *keep).alias("kept")
-    )
-    # rows of cells first: the band of edges is cut once per row, not once per cell
-    bands = base.selectExpr(
-        "id", "kept", f"g.kind = '{G.POLYGON}' AS area", "g.bbox AS box", f"{G.anchors.sql('g')} AS first",
-        f"{G.edges.sql('g')} AS edges", f"{cells_between('g.bbox.ymin', 'g.bbox.ymax', cell)} AS cy",
-    )
-    y0, y1 = low("cy", cell), low("cy + 1", cell)
-    bands = bands.selectExpr(
-        "id", "kept", "area", "first", "cy", "box",
-        f"filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band",
-    )
-    cells = bands.selectExpr(
-        "id", "kept", "area", "first", "cy", "band", f"{cells_between('box.xmin', 'box.xmax', cell)} AS cx"
-    )
-    x0, x1 = low("cx", cell), low("cx + 1", cell)
-    cells = cells.selectExpr(
-        "id", "kept", "area", "cx", "cy",
-        f"filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1}) AS near",
-        f"CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END AS right",
-        f"filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy) AS anchors",
-    )
+def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[str] = (), salts: int = 1) -> str:
+    """Query text for the tiles of a table: id, cx, cy, area, full, anchors, near, far, odd, kept columns, salt.
+
+    Rows of cells come first: the band of edges is cut once per row, not once per cell. With salts
+    every tile is repeated once for each of them.
+    """
+    kept = "".join(f", {k}" for k in keep)
+    x0, x1, y0, y1 = low("cx", cell), low("cx + 1", cell), low("cy", cell), low("cy + 1", cell)
     spans = f"least(e.y1, e.y2) <= {y0} AND greatest(e.y1, e.y2) >= {y1}"
-    cells = cells.selectExpr(
-        "id", "kept", "area", "cx", "cy", "near", "anchors",
-        f"transform(filter(right, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2)) AS far",
-        f"size(filter(right, e -> {spans})) % 2 AS odd",
-    )
-    mid = f"{y0} + {G.num(cell / 2)}"
-    cells = cells.selectExpr(
-        "*", f"area AND size(near) = 0 AND (size({_straddling('far', mid)}) + odd) % 2 = 1 AS full"
-    ).where("size(near) > 0 OR full OR size(anchors) > 0")
-    names = ("id", "cx", "cy", "area", "full", "anchors", "near", "odd")
-    return cells.selectExpr(
-        *[f"{n} AS {prefix}{n}" for n in names], f"CASE WHEN full THEN slice(far, 1, 0) ELSE far END AS {prefix}far",
-        *[f"kept.{k} AS {k}" for k in keep],
-    )
+    middle = f"{y0} + {G.num(cell / 2)}"
+    rows = f"""
+        SELECT {id_col} AS id{kept}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
+               {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', cell)} AS cy
+        FROM {source} WHERE {geom} IS NOT NULL"""
+    bands = f"""
+        SELECT id{kept}, area, first, cy, filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band,
+               {cells_between('box.xmin', 'box.xmax', cell)} AS cx
+        FROM ({rows})"""
+    cells = f"""
+        SELECT id{kept}, area, cx, cy,
+               filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1}) AS near,
+               CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END AS beyond,
+               filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy) AS anchors
+        FROM ({bands})"""
+    cut = f"""
+        SELECT id{kept}, area, cx, cy, near, anchors, size(filter(beyond, e -> {spans})) % 2 AS odd,
+               transform(filter(beyond, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2)) AS far
+        FROM ({cells})"""
+    full = f"SELECT *, area AND size(near) = 0 AND (size({_straddling('far', middle)}) + odd) % 2 = 1 AS full FROM ({cut})"
+    salt = f", explode(sequence(0, {salts - 1})) AS salt" if salts > 1 else ""
+    return f"""
+        SELECT id{kept}, area, cx, cy, near, anchors, odd, full, CASE WHEN full THEN slice(far, 1, 0) ELSE far END AS far{salt}
+        FROM ({full}) WHERE size(near) > 0 OR full OR size(anchors) > 0"""
 
 
 def _straddling(far: str, y: str) -> str:
     return f"filter({far}, h -> (h.a > ({y})) <> (h.b > ({y})))"
 
 
-def _inside(tile: str, x: str, y: str, strict: bool = False) -> str:
-    """Test of a point that lies in the tile's own cell."""
-    near = tile + "near"
-    crossed = f"{G.crossings.sql(x, y, near)} + size({_straddling(tile + 'far', y)}) + {tile}odd"
-    inside = f"({tile}area AND ({crossed}) % 2 = 1)"
-    edge = G.on_edge.sql(x, y, near)
-    return f"({tile}full OR {f'({inside} AND NOT {edge})' if strict else f'{inside} OR {edge}'})"
+def _inside(t: str, x: str, y: str, strict: bool = False) -> str:
+    """Test of a point that lies in the cell of tile ``t``."""
+    crossed = f"{G.crossings.sql(x, y, f'{t}.near')} + size({_straddling(f'{t}.far', y)}) + {t}.odd"
+    inside = f"({t}.area AND ({crossed}) % 2 = 1)"
+    edge = G.on_edge.sql(x, y, f"{t}.near")
+    return f"({t}.full OR {f'({inside} AND NOT {edge})' if strict else f'{inside} OR {edge}'})"
+
+
+def _salt_of(key: str, salts: int) -> str:
+    return f"CAST(pmod(xxhash64({key}), {salts}) AS INT) AS salt" if salts > 1 else "0 AS salt"
 
 
-def _salted(left: DataFrame, right: DataFrame, left_key: str, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    if salts <= 1:
-        return left, right, []
-    left = left.selectExpr("*", f"CAST(pmod(xxhash64({left_key}), {salts}) AS INT) AS _salt")
-    right = right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
-    return left, right, ["_salt"]
+def _same_cell(a: str, b: str, salts: int) -> str:
+    same = f"{a}.cx = {b}.cx AND {a}.cy = {b}.cy"
+    return f"{same} AND {a}.salt = {b}.salt" if salts > 1 else same
 
 
-def _zone_tiles(zones: DataFrame, zone_id: str, geom: str, cell: float) -> DataFrame:
-    return tiles(zones, zone_id, geom, cell, "_z_").withColumnsRenamed({"_z_cx": "_cx", "_z_cy": "_cy"})
+def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL) -> DataFrame:
+    return df.sparkSession.sql(tiles_sql("{df}", id_col, geom_col, cell), df=df)
 
 
 def point_join(
@@ -127,13 +118,16 @@ def point_join(
 
     A point has one cell, so no pair can come out twice and nothing is shuffled afterwards.
     """
-    left = points.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").selectExpr("*", f"{index(x, cell)} AS _cx", f"{index(y, cell)} AS _cy")
-    right = _zone_tiles(zones, zone_id, geom, cell).where("_z_full OR size(_z_near) > 0")
     # a few plain columns spread rows that share one coordinate
     plain = [f.name for f in points.schema.fields if f.dataType.typeName() in ("long", "integer", "string")][:2]
-    left, right, extra = _salted(left, right, ", ".join([x, y, *plain]), salts)
-    hit = left.join(right, ["_cx", "_cy", *extra]).where(_inside("_z_", x, y, strict))
-    return hit.select(*points.columns, F.col("_z_id").alias(alias))
+    columns = ", ".join(f"p.`{c}`" for c in points.columns)
+    text = f"""
+        SELECT {columns}, z.id AS {alias}
+        FROM (SELECT *, {index(x, cell)} AS cx, {index(y, cell)} AS cy, {_salt_of(', '.join([x, y, *plain]), salts)}
+              FROM {{points}} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) p
+        JOIN ({tiles_sql('{zones}', zone_id, geom, cell, salts=salts)}) z ON {_same_cell('p', 'z', salts)}
+        WHERE (z.full OR size(z.near) > 0) AND {_inside('z', f'p.{x}', f'p.{y}', strict)}"""
+    return points.sparkSession.sql(text, points=points, zones=zones)
 
 
 def spatial_join(
@@ -153,32 +147,33 @@ def spatial_join(
     paired with both. ``keep`` names left columns (measures) to carry along, which saves a join
     back to the left table. ``right`` is the side whose tiles are repeated for each salt.
     """
-    a = tiles(left, left_id, left_geom, cell, "_a_", keep).withColumnsRenamed({"_a_cx": "_cx", "_a_cy": "_cy"})
-    b = tiles(right, right_id, right_geom, cell, "_b_").withColumnsRenamed({"_b_cx": "_cx", "_b_cy": "_cy"})
-    a, b, extra = _salted(a, b, "_a_id", salts)
+    out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
+    kept = "".join(f", a.{k}" for k in keep)
     tests = [
-        "(_a_full AND _b_full)",
-        f"exists(_a_anchors, p -> {_inside('_b_', 'p[0]', 'p[1]')})",
-        f"exists(_b_anchors, p -> {_inside('_a_', 'p[0]', 'p[1]')})",
-        "coalesce(arrays_overlap(_a_anchors, _b_anchors), false)",
-        G.edges_touch.sql("_a_near", "_b_near"),
+        "(a.full AND b.full)",
+        f"exists(a.anchors, p -> {_inside('b', 'p[0]', 'p[1]')})",
+        f"exists(b.anchors, p -> {_inside('a', 'p[0]', 'p[1]')})",
+        "coalesce(arrays_overlap(a.anchors, b.anchors), false)",
+        G.edges_touch.sql("a.near", "b.near"),
     ]
-    pairs = a.join(b, ["_cx", "_cy", *extra]).where(" OR ".join(tests))
-    out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
-    return pairs.select(F.col("_a_id").alias(out_left), F.col("_b_id").alias(out_right), *keep).dropDuplicates(
-        [out_left, out_right]
-    )
+    text = f"""
+        SELECT a.id AS {out_left}, b.id AS {out_right}{kept}
+        FROM (SELECT *, {_salt_of('id', salts)} FROM ({tiles_sql('{left}', left_id, left_geom, cell, keep)})) a
+        JOIN ({tiles_sql('{right}', right_id, right_geom, cell, salts=salts)}) b ON {_same_cell('a', 'b', salts)}
+        WHERE {' OR '.join(tests)}"""
+    pairs = left.sparkSession.sql(text, left=left, right=right)
+    return pairs.dropDuplicates([out_left, out_right])
 
 
-def segments(lines: DataFrame, id_col: str, geom_col: str = "geom") -> DataFrame:
+def segments_sql(source: str, id_col: str, geom: str) -> str:
     """One row per edge of every line: id, e."""
-    return lines.where(F.col(geom_col).isNotNull()).selectExpr(f"{id_col} AS id", f"explode({G.edges.sql(geom_col)}) AS e")
+    return f"SELECT {id_col} AS id, explode({G.edges.sql(geom)}) AS e FROM {source} WHERE {geom} IS NOT NULL"
 
 
-def _segment_cells(seg: DataFrame, cell: float, d: float = 0.0) -> DataFrame:
+def _segment_cells_sql(segments: str, cell: float, d: float = 0.0) -> str:
     """Segments repeated for every cell of their box grown by d."""
     span = lambda c: cells_between(f"least(e.{c}1, e.{c}2) - {G.num(d)}", f"greatest(e.{c}1, e.{c}2) + {G.num(d)}", cell)
-    return seg.selectExpr("*", f"{span('x')} AS _cx").selectExpr("*", f"{span('y')} AS _cy")
+    return f"SELECT *, {span('y')} AS cy FROM (SELECT id, e, {span('x')} AS cx FROM ({segments}))"
 
 
 def distance_join(
@@ -190,12 +185,14 @@ def distance_join(
     A segment inside a zone is found in the cell of its start; any other near one in the cell of
     the zone's nearest edge point.
     """
-    seg = _segment_cells(segments(lines, line_id, line_geom), cell, d)
-    seg, z, extra = _salted(seg, _zone_tiles(zones, zone_id, zone_geom, cell), "id, e", salts)
-    start_here = f"({index('e.x1', cell)} = _cx AND {index('e.y1', cell)} = _cy)"
-    close = f"exists(_z_near, f -> {G.segments_within.sql('e', 'f', d)})"
-    hit = seg.join(z, ["_cx", "_cy", *extra]).where(f"({start_here} AND {_inside('_z_', 'e.x1', 'e.y1')}) OR {close}")
-    return hit.select(F.col("id").alias(line_id), F.col("_z_id").alias(zone_id)).distinct()
+    start_here = f"{index('s.e.x1', cell)} = s.cx AND {index('s.e.y1', cell)} = s.cy"
+    close = f"exists(z.near, f -> {G.segments_within.sql('s.e', 'f', d)})"
+    text = f"""
+        SELECT DISTINCT s.id AS {line_id}, z.id AS {zone_id}
+        FROM (SELECT *, {_salt_of('id, e', salts)} FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell, d)})) s
+        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cell, salts=salts)}) z ON {_same_cell('s', 'z', salts)}
+        WHERE ({start_here} AND {_inside('z', 's.e.x1', 's.e.y1')}) OR {close}"""
+    return lines.sparkSession.sql(text, lines=lines, zones=zones)
 
 
 def clip_length(
@@ -209,31 +206,29 @@ def clip_length(
     whose midpoint is inside are added up. A cut on a grid line belongs to the cell of its
     midpoint, so nothing is counted twice.
     """
-    seg = _segment_cells(segments(lines, line_id, line_geom), cell)
-    seg = seg.selectExpr("*", "e.x2 - e.x1 AS _dx", "e.y2 - e.y1 AS _dy")
 
     def enter_leave(c):
-        a = f"try_divide({low(f'_c{c}', cell)} - e.{c}1, _d{c})"
-        b = f"try_divide({low(f'_c{c} + 1', cell)} - e.{c}1, _d{c})"
+        a = f"try_divide({low(f'c{c}', cell)} - e.{c}1, d{c})"
+        b = f"try_divide({low(f'c{c} + 1', cell)} - e.{c}1, d{c})"
         return f"coalesce(least({a}, {b}), 0D)", f"coalesce(greatest({a}, {b}), 1D)"
 
     (xa, xb), (ya, yb) = enter_leave("x"), enter_leave("y")
-    seg = seg.selectExpr("*", f"greatest(0D, {xa}, {ya}) AS _t0", f"least(1D, {xb}, {yb}) AS _t1")
-    mid = lambda c: f"e.{c}1 + (_t0 + _t1) / 2 * _d{c}"
-    seg = seg.where(f"_t0 < _t1 AND {index(mid('x'), cell)} = _cx AND {index(mid('y'), cell)} = _cy")
-    seg, z, extra = _salted(seg, _zone_tiles(zones, zone_id, zone_geom, cell), "id, e", salts)
+    mid = lambda c: f"e.{c}1 + (t0 + t1) / 2 * d{c}"
+    delta = f"SELECT *, e.x2 - e.x1 AS dx, e.y2 - e.y1 AS dy FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell)})"
+    pieces = f"SELECT *, greatest(0D, {xa}, {ya}) AS t0, least(1D, {xb}, {yb}) AS t1 FROM ({delta})"
+    own = f"t0 < t1 AND {index(mid('x'), cell)} = cx AND {index(mid('y'), cell)} = cy"
     # where the segment crosses the line through an edge; NULL when parallel
-    cut = "try_divide((f.x1 - e.x1) * (f.y2 - f.y1) - (f.y1 - e.y1) * (f.x2 - f.x1), _dx * (f.y2 - f.y1) - _dy * (f.x2 - f.x1))"
-    stops = f"array_sort(concat(array(_t0, _t1), filter(transform(_z_near, f -> {cut}), t -> t > _t0 AND t < _t1)))"
-    joined = seg.join(z, ["_cx", "_cy", *extra]).selectExpr("*", f"{stops} AS _stops")
-    n = "size(_stops) - 1"
-    inside = _inside("_z_", "e.x1 + m * _dx", "e.y1 + m * _dy")
-    share = f"zip_with(slice(_stops, 1, {n}), slice(_stops, 2, {n}), (a, b) -> CASE WHEN {G.let('m', '(a + b) / 2', inside)} THEN b - a ELSE 0D END)"
-    return (
-        joined.selectExpr(f"_z_id AS {zone_id}", f"aggregate({share}, 0D, (s, v) -> s + v) * hypot(_dx, _dy) AS _len")
-        .groupBy(zone_id)
-        .agg(F.sum("_len").alias("length"))
-    )
+    cut = "try_divide((f.x1 - s.e.x1) * (f.y2 - f.y1) - (f.y1 - s.e.y1) * (f.x2 - f.x1), s.dx * (f.y2 - f.y1) - s.dy * (f.x2 - f.x1))"
+    stops = f"array_sort(concat(array(s.t0, s.t1), filter(transform(z.near, f -> {cut}), t -> t > s.t0 AND t < s.t1)))"
+    inside = _inside("z", "s.e.x1 + m * s.dx", "s.e.y1 + m * s.dy")
+    n = "size(k) - 1"
+    share = f"zip_with(slice(k, 1, {n}), slice(k, 2, {n}), (a, b) -> CASE WHEN {G.let('m', '(a + b) / 2', inside)} THEN b - a ELSE 0D END)"
+    text = f"""
+        SELECT z.id AS {zone_id}, sum({G.let('k', stops, f'aggregate({share}, 0D, (u, v) -> u + v)')} * hypot(s.dx, s.dy)) AS length
+        FROM (SELECT *, {_salt_of('id, e', salts)} FROM ({pieces}) WHERE {own}) s
+        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cell, salts=salts)}) z ON {_same_cell('s', 'z', salts)}
+        GROUP BY z.id"""
+    return lines.sparkSession.sql(text, lines=lines, zones=zones)
 
 
 def assign_by_centroid(
@@ -265,19 +260,17 @@ def buffer_cells(lines: DataFrame, group: str, d: float, step: float, geom: str
     which spreads a group with many lines over all tasks.
     """
     d_ = G.num(d)
-    rows = segments(lines, group, geom).selectExpr(
-        "*", f"{cells_between(f'least(e.y1, e.y2) - {d_}', f'greatest(e.y1, e.y2) + {d_}', step)} AS row"
-    )
-    rows = rows.selectExpr("*", f"{low('row', step)} + {G.num(step / 2)} AS _yc")
     # x of the segment where it enters and leaves the band that is within d of the row
     at = lambda sign, default: (
-        f"e.x1 + greatest(0D, least(1D, coalesce(try_divide(_yc {sign} {d_} - e.y1, e.y2 - e.y1), {default}))) * (e.x2 - e.x1)"
+        f"e.x1 + greatest(0D, least(1D, coalesce(try_divide(yc {sign} {d_} - e.y1, e.y2 - e.y1), {default}))) * (e.x2 - e.x1)"
     )
-    rows = rows.selectExpr("*", f"{at('-', '0D')} AS _xa", f"{at('+', '1D')} AS _xb")
-    cells = rows.selectExpr("*", f"{cells_between(f'least(_xa, _xb) - {d_}', f'greatest(_xa, _xb) + {d_}', step)} AS col")
     xc = f"{low('col', step)} + {G.num(step / 2)}"
-    hit = cells.where(f"{G.distance2_to_edge.sql(xc, '_yc', 'e')} <= {G.num(float(d) ** 2)}")
-    return hit.select(F.col("id").alias(group), "col", "row").distinct()
+    rows = f"""SELECT id, e, {cells_between(f'least(e.y1, e.y2) - {d_}', f'greatest(e.y1, e.y2) + {d_}', step)} AS row
+        FROM ({segments_sql('{lines}', group, geom)})"""
+    reach = f"SELECT *, {at('-', '0D')} AS xa, {at('+', '1D')} AS xb FROM (SELECT *, {low('row', step)} + {G.num(step / 2)} AS yc FROM ({rows}))"
+    cells = f"SELECT *, {cells_between(f'least(xa, xb) - {d_}', f'greatest(xa, xb) + {d_}', step)} AS col FROM ({reach})"
+    text = f"SELECT DISTINCT id AS {group}, col, row FROM ({cells}) WHERE {G.distance2_to_edge.sql(xc, 'yc', 'e')} <= {G.num(float(d) ** 2)}"
+    return lines.sparkSession.sql(text, lines=lines)
 
 
 def buffer_area(lines: DataFrame, group: str, d: float, step: float, geom: str = "geom") -> DataFrame:

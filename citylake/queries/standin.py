@@ -334,8 +334,8 @@ def oracle(tables: str, body: str, **extra: str) -> str:
 
 
 def rnd(expr: str, digits: int) -> str:
-    """Half-up rounding of a double, by way of a decimal."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38, 14)), {digits}) AS DOUBLE)"
+    """Half-up rounding of a double as it prints, by way of its text and a decimal."""
+    return f"CAST(round(CAST(CAST(CAST(({expr}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 14)), {digits}) AS DOUBLE)"
 
 
 def in_province(x: str, y: str, p: str = "p") -> str:
