@@ -293,18 +293,21 @@ def cell_size(cells: DataFrame) -> DataFrame:
 
 
 def reproject_cells(
-    cells: DataFrame, grid: DataFrame, from_srid: int, to_srid: int, method: str = "bilinear"
+    cells: DataFrame, grid: DataFrame, from_srid: int, to_srid: int, method: str = "bilinear",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Values of ``cells`` (y ascending with row) on the positions of ``grid`` (raster_id, col, row, x, y).
 
     Every target position is moved back into the source system and meets its one or four source
     cells by equi-join on (raster, col, row). Bilinear weights of missing neighbours are shared
-    among the known ones; a position with no known neighbour has no row.
+    among the known ones; a position with no known neighbour has no row. ``sizes`` gives the grids
+    of the sources (see ``cell_size``); a stored table of them saves a pass over the cells and, being
+    small, lets the position join be a broadcast.
     """
     if method not in ("bilinear", "nearest"):
         raise ValueError(f"unknown method {method}")
     g = grid.select("raster_id", "col", "row", "x", "y", G.project_xy("x", "y", to_srid, from_srid).alias("_p"))
-    g = g.select("*", F.col("_p")[0].alias("_a"), F.col("_p")[1].alias("_b")).join(cell_size(cells), "raster_id")
+    g = g.select("*", F.col("_p")[0].alias("_a"), F.col("_p")[1].alias("_b")).join(sizes if sizes is not None else cell_size(cells), "raster_id")
     fc = (F.col("_a") - F.col("x0")) / F.col("dx") + F.col("c0")
     fr = (F.col("_b") - F.col("y0")) / F.col("dy") + F.col("r0")
     if method == "nearest":
@@ -411,7 +414,5 @@ def composite_mean(
     if band is not None:
         c = c.where(F.col("band") == band)
     if region is not None:
-        keep = J.point_join(c, region, region_id, cell=cell, alias="_region").drop("_region")
-        # a cell inside two overlapping parts of the region counts once
-        c = keep.dropDuplicates(["raster_id", "date", "band", "col", "row"])
+        c = J.points_within(c, region, region_id, cell=cell)
     return c.groupBy("band", "col", "row").agg(F.avg("value").alias("value"))

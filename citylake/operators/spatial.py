@@ -43,17 +43,18 @@ def cells_between(a: str, b: str, cell: float) -> str:
 
 
 def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[str] = (), salts: int = 1) -> str:
-    """Query text for the tiles of a table: id, cx, cy, area, full, anchors, near, far, odd, kept columns, salt.
+    """Query text for the tiles of a table: id, cx, cy, area, full, anchors, near, far, odd, kept (a struct), salt.
 
     Rows of cells come first: the band of edges is cut once per row, not once per cell. With salts
     every tile is repeated once for each of them.
     """
-    kept = "".join(f", {k}" for k in keep)
+    kept = ", kept" if keep else ""
+    pack = f", struct({', '.join(keep)}) AS kept" if keep else ""
     x0, x1, y0, y1 = low("cx", cell), low("cx + 1", cell), low("cy", cell), low("cy + 1", cell)
     spans = f"least(e.y1, e.y2) <= {y0} AND greatest(e.y1, e.y2) >= {y1}"
     middle = f"{y0} + {G.num(cell / 2)}"
     rows = f"""
-        SELECT {id_col} AS id{kept}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
+        SELECT {id_col} AS id{pack}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
                {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', cell)} AS cy
         FROM {source} WHERE {geom} IS NOT NULL"""
     bands = f"""
@@ -118,18 +119,30 @@ def point_join(
 
     A point has one cell, so no pair can come out twice and nothing is shuffled afterwards.
     """
+    return _point_query(points, zones, zone_id, x, y, geom, strict, cell, salts, alias)
+
+
+def _point_query(points, zones, zone_id, x, y, geom, strict, cell, salts, alias) -> DataFrame:
     # a few plain columns spread rows that share one coordinate
     plain = [f.name for f in points.schema.fields if f.dataType.typeName() in ("long", "integer", "string")][:2]
     columns = ", ".join(f"p.`{c}`" for c in points.columns)
     text = f"""
-        SELECT {columns}, z.id AS {alias}
+        SELECT {columns}{f', z.id AS {alias}' if alias else ''}
         FROM (SELECT *, {index(x, cell)} AS cx, {index(y, cell)} AS cy, {_salt_of(', '.join([x, y, *plain]), salts)}
               FROM {{points}} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) p
-        JOIN ({tiles_sql('{zones}', zone_id, geom, cell, salts=salts)}) z ON {_same_cell('p', 'z', salts)}
-        WHERE (z.full OR size(z.near) > 0) AND {_inside('z', f'p.{x}', f'p.{y}', strict)}"""
+        {'JOIN' if alias else 'LEFT SEMI JOIN'} ({tiles_sql('{zones}', zone_id, geom, cell, salts=salts)}) z
+          ON {_same_cell('p', 'z', salts)} AND (z.full OR size(z.near) > 0) AND {_inside('z', f'p.{x}', f'p.{y}', strict)}"""
     return points.sparkSession.sql(text, points=points, zones=zones)
 
 
+def points_within(
+    points: DataFrame, zones: DataFrame, zone_id: str, x: str = "x", y: str = "y", geom: str = "geom",
+    cell: float = CELL, salts: int = SALTS,
+) -> DataFrame:
+    """Points that lie in at least one zone, each once. A semi join, so overlapping zones need no clean-up."""
+    return _point_query(points, zones, zone_id, x, y, geom, False, cell, salts, None)
+
+
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -148,7 +161,7 @@ def spatial_join(
     back to the left table. ``right`` is the side whose tiles are repeated for each salt.
     """
     out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
-    kept = "".join(f", a.{k}" for k in keep)
+    kept = "".join(f", a.kept.{k} AS {k}" for k in keep)
     tests = [
         "(a.full AND b.full)",
         f"exists(a.anchors, p -> {_inside('b', 'p[0]', 'p[1]')})",
