@@ -247,19 +247,18 @@ add(
 
 
 def _outcomes(t):
-    target = t["neighborhood"].where("id % 2 = 0").select("id", "name", "population")
-    upd = t["neighborhood"].select(
-        F.when(F.col("id") % 29 != 0, F.col("id")).alias("id"), "name",
-        F.when(F.col("id") % 6 == 0, F.lit(None)).when(F.col("id") % 5 == 0, F.col("population") + 1).otherwise(F.col("population")).alias("population"),
-        F.when(F.col("id") % 7 != 0, F.col("geom")).alias("geom"), F.when(F.col("id") % 31 == 0, F.array(F.lit("FK not found"))).alias("errs"),
-        F.col("id").alias("line"),
+    """The suppliers play the existing rows, all customers the upload; keys overlap in part."""
+    target = t.base("supplier").selectExpr("s_suppkey AS id", "concat('N', s_suppkey) AS name", "s_suppkey % 900 + 100 AS population")
+    upd = t["neighborhood"].selectExpr(
+        "CASE WHEN id % 29 <> 0 THEN id END AS id", "concat('N', id) AS name",
+        "CASE WHEN id % 6 = 0 THEN NULL WHEN id % 5 = 0 THEN population + 1 ELSE population END AS population",
+        "CASE WHEN id % 7 <> 0 THEN geom END AS geom", "CASE WHEN id % 31 = 0 THEN array('FK not found') END AS errs", "id AS line",
     )
     return Q.classify_rows(upd, target, ["id"], ["name", "population"], "geom", "errs")
 
 
-# half of the table plays the existing rows, all of it the update
-_OUT = """SELECT id AS line, CASE WHEN id % 29 = 0 OR id % 31 = 0 THEN 'error' WHEN id % 7 = 0 THEN 'skipped' WHEN id % 2 <> 0 THEN 'created'
-    WHEN id % 6 <> 0 AND id % 5 = 0 THEN 'updated' ELSE 'skipped' END AS outcome,
+_OUT = """SELECT id AS line, CASE WHEN id % 29 = 0 OR id % 31 = 0 THEN 'error' WHEN id % 7 = 0 THEN 'skipped'
+    WHEN id NOT IN (SELECT s_suppkey FROM supplier) THEN 'created' WHEN id % 6 <> 0 AND id % 5 = 0 THEN 'updated' ELSE 'skipped' END AS outcome,
     concat_ws('; ', CASE WHEN id % 29 = 0 THEN 'missing key id' END, CASE WHEN id % 31 = 0 THEN 'FK not found' END) AS reasons FROM neighborhood"""
 add("row_outcomes", lambda t: _outcomes(t).select("line", "outcome", F.array_join("reasons", "; ").alias("reasons")), oracle("neighborhood", _OUT))
 add(
@@ -346,9 +345,9 @@ def _layer(t):
         F.when(F.col("id") % 2 == 0, "in use").alias("status"), F.col("footprint").alias("oppervlakte"), "geom",
     )
     K.write_geojson(src, path)
-    target = t["building"].select(
+    target = t["park"].select(
         F.col("id").cast("string").alias("bag_id"), F.lit(None).cast("int").alias("construction_year"), F.lit("unknown").alias("status"), F.lit(None).cast("double").alias("area_m2"), "geom",
-    ).where("CAST(bag_id AS BIGINT) % 5 = 0")
+    )
     snapshot, _ = I.import_layer(t.spark, "buildings", path, target, srid=G.WGS84, multiline=False)
     return snapshot.select("bag_id", "construction_year", "status", "area_m2")
 
@@ -357,8 +356,8 @@ add(
     "building_layer_import",
     _layer,
     oracle(
-        "building",
-        """SELECT CAST(id AS STRING) AS bag_id, CAST(1900 + id % 120 AS INT) AS construction_year, CASE WHEN id % 2 = 0 THEN 'in use' WHEN id % 5 = 0 THEN 'unknown' END AS status,
-              footprint AS area_m2 FROM building""",
+        "building park",
+        """SELECT CAST(coalesce(b.id, k.id) AS STRING) AS bag_id, CAST(1900 + b.id % 120 AS INT) AS construction_year,
+              CASE WHEN b.id % 2 = 0 THEN 'in use' WHEN k.id IS NOT NULL THEN 'unknown' END AS status, footprint AS area_m2 FROM building b FULL JOIN park k ON b.id = k.id""",
     ),
 )

@@ -324,9 +324,9 @@ add(
     oracle("station", "SELECT id, name FROM station ORDER BY name, id"),
 )
 add(
-    "newest_measurements",
-    lambda t: X.ordered_measurements(t["measurement"]).limit(10).select("station_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")),
-    oracle("measurement", "SELECT station_id, strftime(date, '%Y-%m-%d %H:%M:%S.%f') AS at FROM measurement ORDER BY date DESC, station_id LIMIT 10"),
+    "ordered_measurements",
+    lambda t: X.ordered_measurements(t["measurement"]).select("station_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")),
+    oracle("measurement", "SELECT station_id, strftime(date, '%Y-%m-%d %H:%M:%S.%f') AS at FROM measurement ORDER BY date DESC, station_id"),
 )
 add(
     "union_of_layers",
