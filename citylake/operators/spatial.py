@@ -52,30 +52,30 @@ def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[s
     pack = f", struct({', '.join(keep)}) AS kept" if keep else ""
     x0, x1, y0, y1 = low("cx", cell), low("cx + 1", cell), low("cy", cell), low("cy + 1", cell)
     spans = f"least(e.y1, e.y2) <= {y0} AND greatest(e.y1, e.y2) >= {y1}"
+    near = f"filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1})"
+    beyond = f"CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END"
+    odd = f"size(filter(bd, e -> {spans})) % 2"
+    far = f"transform(filter(bd, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2))"
+    anchors = f"filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy)"
     middle = f"{y0} + {G.num(cell / 2)}"
+    full = f"area AND size(nr) = 0 AND (size({_straddling('fa', middle)}) + od) % 2 = 1"
+    fields = f"""named_struct('cx', cx, 'near', nr, 'anchors', {anchors}, 'odd', od, 'full', fu, 'far', CASE WHEN fu THEN slice(fa, 1, 0) ELSE fa END)"""
+    # everything of one cell is built by the generator, so later filters cannot make it run twice
+    one = G.let("nr", near, G.let("bd", beyond, G.let("od", odd, G.let("fa", far, G.let("fu", full, fields)))))
     rows = f"""
         SELECT {id_col} AS id{pack}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
                {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', cell)} AS cy
         FROM {source} WHERE {geom} IS NOT NULL"""
     bands = f"""
-        SELECT id{kept}, area, first, cy, filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band,
-               {cells_between('box.xmin', 'box.xmax', cell)} AS cx
+        SELECT id{kept}, area, first, cy, box, filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band
         FROM ({rows})"""
     cells = f"""
-        SELECT id{kept}, area, cx, cy,
-               filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1}) AS near,
-               CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END AS beyond,
-               filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy) AS anchors
+        SELECT id{kept}, area, cy, explode(transform(sequence({index('box.xmin', cell)}, {index('box.xmax', cell)}), cx -> {one})) AS t
         FROM ({bands})"""
-    cut = f"""
-        SELECT id{kept}, area, cx, cy, near, anchors, size(filter(beyond, e -> {spans})) % 2 AS odd,
-               transform(filter(beyond, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2)) AS far
-        FROM ({cells})"""
-    full = f"SELECT *, area AND size(near) = 0 AND (size({_straddling('far', middle)}) + odd) % 2 = 1 AS full FROM ({cut})"
     salt = f", explode(sequence(0, {salts - 1})) AS salt" if salts > 1 else ""
     return f"""
-        SELECT id{kept}, area, cx, cy, near, anchors, odd, full, CASE WHEN full THEN slice(far, 1, 0) ELSE far END AS far{salt}
-        FROM ({full}) WHERE size(near) > 0 OR full OR size(anchors) > 0"""
+        SELECT id{kept}, area, t.cx, cy, t.near, t.anchors, t.odd, t.full, t.far{salt}
+        FROM ({cells}) WHERE size(t.near) > 0 OR t.full OR size(t.anchors) > 0"""
 
 
 def _straddling(far: str, y: str) -> str:

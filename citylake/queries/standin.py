@@ -295,9 +295,12 @@ class City:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._base: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._base[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
