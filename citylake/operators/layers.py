@@ -79,10 +79,9 @@ def layer_counts(inventory: DataFrame, visible: Sequence[str] = ()) -> DataFrame
 
 
 def layers_by_app(inventory: DataFrame) -> DataFrame:
-    """Layers listed under their app. The inventory has one row a layer, so the lists are short."""
-    return inventory.groupBy("app").agg(
-        F.count("*").alias("layers"), F.array_sort(F.collect_list("key")).alias("keys")
-    )
+    """Every layer under its app, with the app's number of layers. Rows, not lists: an app may own many rasters."""
+    sizes = inventory.groupBy("app").agg(F.count("*").alias("layers"))
+    return inventory.select("app", "key", "display_name").join(sizes, "app")
 
 
 def layers_for_theme(inventory: DataFrame, theme: str) -> DataFrame:

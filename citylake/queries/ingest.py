@@ -50,19 +50,19 @@ add(
 
 
 def _pages(t) -> DataFrame:
-    """FeatureCollections, one document per neighborhood group, with mixed and missing geometry."""
+    """Features with mixed and missing geometry, numbered into pages of a fixed size."""
     x, y = "CAST(x AS STRING)", "CAST(y AS STRING)"
     geometry = f"""CASE id % 4 WHEN 0 THEN concat('{{"type":"Point","coordinates":[', {x}, ',', {y}, ']}}')
         WHEN 1 THEN concat('{{"type":"LineString","coordinates":[[', {x}, ',', {y}, '],[', {x}, ',0]]}}')
         WHEN 2 THEN concat('{{"type":"Polygon","coordinates":[[[', {x}, ',', {y}, '],[0,0],[1,0],[', {x}, ',', {y}, ']]]}}') ELSE 'null' END"""
     feature = f"""concat('{{"type":"Feature","geometry":', {geometry}, ',"properties":{{"code":"', id, '"}}}}')"""
-    return t["nbs_point"].selectExpr("id % 16 AS page", f"{feature} AS feature")
+    return t["nbs_point"].selectExpr("floor(id / 500) AS page", f"{feature} AS feature")
 
 
 def _collections(t):
     path = landing(t, "pages")
     pages = _pages(t).groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
-    pages.repartition(16, "page").select("page", "value").write.partitionBy("page").text(path)
+    pages.select("page", "value").write.partitionBy("page").text(path)
     f = files.read_geojson(t.spark, f"{path}/page=*", G.RD)
     return f.select(F.col("properties")["code"].cast("long").alias("id"), F.col("geom.kind").alias("kind"), F.size(F.expr(G.vertices("geom.parts"))).alias("n"))
 
@@ -86,14 +86,11 @@ _ODATA_COLS = ["Gebruiksfunctie", "RegioS", "Perioden", "EindstandVoorraad_22",
 def _odata(t, **kw):
     path = landing(t, "odata")
     row = f"""concat('{{"Gebruiksfunctie":"', {_USE}, '","RegioS":"', {_REG}, '","Perioden":"', {_PER}, '","EindstandVoorraad_22":', o_orderkey, ',"VergundeNieuwbouw_2":', o_custkey, '}}')"""
-    rows = t.base("orders").selectExpr("o_orderkey % 64 AS page", f"{row} AS r")
+    # pages of a fixed number of rows, as the service sends them
+    rows = t.base("orders").selectExpr("floor(o_orderkey / 500) AS page", f"{row} AS r")
     pages = rows.groupBy("page").agg(F.concat(F.lit('{"value":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
-    pages.repartition(8).select("value").write.text(path)
-    # one document a line here; real pages are one document a file
-    text = t.spark.read.text(path).select(F.from_json("value", "value array<map<string,string>>").alias("p"))
-    split = landing(t, "odata-pages")
-    text.select(F.to_json("p").alias("value")).withColumn("n", F.monotonically_increasing_id()).write.partitionBy("n").text(split)
-    return files.read_odata(t.spark, f"{split}/n=*", **kw)
+    pages.select("value").write.text(path)
+    return files.read_odata(t.spark, path, multiline=False, **kw)
 
 
 _OD = f"SELECT o_orderkey, o_custkey, {_USE} AS use, {_REG} AS reg, {_PER} AS per FROM orders"
@@ -133,7 +130,7 @@ def _tiles(t):
     path = landing(t, "atom")
     box = "CASE WHEN id % 9 = 0 THEN '' ELSE concat('<georss:box>', 51 + id % 7, ' ', 4 + id % 5, ' ', 52 + id % 7, ' ', 5 + id % 5, '</georss:box>') END"
     entry = f"""concat('<entry><id>', id, '</id><link rel="self" href="x"/><link rel="alternate" href="tile-', lpad(id, 9, '0'), '"/>', {box}, '</entry>')"""
-    pages = t["well"].selectExpr("id % 4 AS page", f"{entry} AS e").groupBy("page").agg(
+    pages = t["well"].selectExpr("floor(id / 500) AS page", f"{entry} AS e").groupBy("page").agg(
         F.concat(F.lit('<feed xmlns:georss="http://www.georss.org/georss">'), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("value")
     )
     pages.write.partitionBy("page").text(path)

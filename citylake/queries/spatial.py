@@ -333,8 +333,8 @@ add(
 )
 add(
     "layers_by_app",
-    lambda t: L.layers_by_app(L.layer_inventory(_layers(t))).select("app", "layers", F.array_join("keys", ",").alias("keys")),
-    oracle(_LAYER_TABLES, "SELECT app, count(*) AS layers, string_agg(key, ',' ORDER BY key) AS keys FROM i GROUP BY app", i=_LAYER_SQL),
+    lambda t: L.layers_by_app(_inventory(t)),
+    oracle(_LAYER_TABLES, "SELECT app, key, display_name, count(*) OVER (PARTITION BY app) AS layers FROM i", i=f"{_LAYER_SQL} UNION ALL {_RASTER_SQL}"),
 )
 add(
     "layers_for_theme",

@@ -34,10 +34,14 @@ def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.W
 
 
 def read_odata(
-    spark: SparkSession, path: str | Sequence[str], where: Column | None = None, select: Sequence[str] | None = None
+    spark: SparkSession, path: str | Sequence[str], where: Column | None = None, select: Sequence[str] | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Rows of landed OData pages as a map column ``properties``, or as the selected text columns."""
-    rows = spark.read.schema("value array<map<string,string>>").option("multiLine", True).json(path)
+    """Rows of landed OData pages as a map column ``properties``, or as the selected text columns.
+
+    A page is a file, or a line when ``multiline`` is off.
+    """
+    rows = spark.read.schema("value array<map<string,string>>").option("multiLine", multiline).json(path)
     rows = rows.select(F.explode("value").alias("properties"))
     if select is not None:
         rows = rows.select(*[F.col("properties")[c].alias(c) for c in select])

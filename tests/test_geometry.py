@@ -148,3 +148,23 @@ def test_assign_by_centroid_reports_errors(spark):
     things = spark.createDataFrame([(1, 4.0), (2, 16.0), (3, 90.0)], "id int, x double").select("id", G.box("x", 1, "x + 1", 2).alias("geom"))
     got = {r.id: (r.zone, r.error) for r in J.assign_by_centroid(things, zones, "id", "zone").collect()}
     assert got == {1: (1, None), 2: (None, "several matches"), 3: (None, "no match")}
+
+
+def test_hot_cell_keeps_every_pair(spark):
+    """A third of all points on one spot, joined with shuffles and salts only."""
+    zones = spark.createDataFrame([(1, 0.0), (2, 50.0), (3, 100.0)], "zone int, x double").select("zone", G.box("x", 0, "x + 60", 50).alias("geom"))
+    pts = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 55D ELSE CAST(id % 160 AS DOUBLE) + 0.5 END AS x", "CAST(id % 50 AS DOUBLE) + 0.5 AS y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = J.point_join(pts, zones, "zone", cell=20.0, salts=4).groupBy("zone_id").count().collect()
+        plain = pts.selectExpr("explode(filter(array(IF(x <= 60, 1, 0), IF(x BETWEEN 50 AND 110, 2, 0), IF(x BETWEEN 100 AND 160, 3, 0)), z -> z > 0)) AS zone_id").groupBy("zone_id").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r) for r in got} == {tuple(r) for r in plain}
+
+
+def test_points_within_overlapping_zones_come_once(spark):
+    zones = spark.createDataFrame([(1, 0.0), (2, 5.0)], "zone int, x double").select("zone", G.box("x", 0, "x + 10", 10).alias("geom"))
+    pts = spark.createDataFrame([(1, 7.0, 5.0), (2, 1.0, 1.0), (3, 20.0, 1.0)], "id int, x double, y double")
+    assert sorted(r.id for r in J.points_within(pts, zones, "zone", cell=3.0).collect()) == [1, 2]
