@@ -33,7 +33,7 @@ def zones(t):
 add(
     "polygon_area",
     lambda t: t["province"].select("id", G.area("geom").alias("area")).unionByName(t["building"].select("id", G.area("geom").alias("area"))),
-    oracle("province building", "SELECT id, 3255000000.0 AS area FROM province UNION ALL SELECT id, 1600.0 FROM building"),
+    oracle("province building", "SELECT id, CAST(3255000000 AS DOUBLE) AS area FROM province UNION ALL SELECT id, CAST(1600 AS DOUBLE) FROM building"),
 )
 add(
     "line_length",
