@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -25,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@functools.lru_cache(maxsize=8)
+def _shipped(application: str, spark: SparkSession) -> None:
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/citylake_code", "zip", root, "citylake"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the tasks of a session, once; workers need not have it installed."""
+    _shipped(spark.sparkContext.applicationId, spark)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to a new table in the shared folder and read them back: a cut in the lineage that
     outlives any executor."""
@@ -34,6 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
