@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citylake.llm import language, quality, secrets
+from citylake.llm import class_lm, embedding_dedup, language, quality, secrets
 from citylake.llm.automaton import round_trip
 from citylake.llm.codes import read_codes, write_codes
-from citylake.llm.common import documents
+from citylake.llm.common import documents, ship
 from citylake.llm.packing import pack
 from citylake.llm.simhash import near_duplicates
 from citylake.llm.suffix_dedup import remove_repeats
@@ -85,3 +85,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality.judge(docs, quality.ratio(quality.trusted(docs, labels), docs))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@register
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
+@register
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.perplexities(documents(spark, sf_dir))
