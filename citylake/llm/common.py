@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,23 @@ def ship(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to a new table in the shared folder and read them back: a cut in the lineage that
-    outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    outlives any executor. The driver then collects its garbage, upon which Spark deletes the shuffle
+    files of steps that are over."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of a table as one struct, so that none of their names can meet one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def of_row(docs: DataFrame, without: Sequence[str] = ()) -> list[Column]:
+    """The columns of ``as_row`` again, but for those named in ``without``."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in without]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

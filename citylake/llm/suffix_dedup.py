@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citylake.llm.common import stored
+from citylake.llm.common import as_row, of_row, stored, whole_groups
 
 GRAM = 24  # bytes of the first digit
 SLICE = 1 << 20  # window starts that are hashed at once
+PART = 1 << 14  # runs with one first digit that a task compares at once
 
 _rng = np.random.default_rng(20240229)
 #: Byte values and multipliers of the two rolling hashes.
@@ -121,9 +122,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     window is the least hash of its 24-byte grams, so that neighbours mostly share it and a pass moves one
     row for each run of neighbours, about one in 90 bytes. Digit 2 is the run's whole string: where two runs
     agree in both digits all their windows are repeated. Only runs that share digit 1 but not all of digit 2
-    are opened into windows, with one run of each class that they could equal; digit 3 is the whole
-    window. After each pass, groups of one are dropped: nothing else holds their windows. What agrees in all
-    digits is a repeated window. Digits are pairs of independent 64-bit hashes.
+    are opened, with one run of each class that they could equal; digit 3 is the whole window, compared in
+    the task that has the runs of one first digit, or a part of them where there are many. After each
+    pass, groups of one are dropped: nothing else holds their windows. What agrees in all digits is a
+    repeated window. Digits are pairs of independent 64-bit hashes.
 
     Counting is combined before each shuffle, and rows meet counts in joins whose large keys Spark can
     split, so a passage that most documents share does not fill a task.
@@ -152,39 +154,74 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     alike = classes.where("n > 1").select("g", "f")
     whole = kept.join(alike, ["g", "f"]).select("doc_id", "h", "s", (F.col("e") + length - 1).alias("e"))
     mixed_groups = classes.groupBy("g").agg(F.min("n").alias("n")).where("n = 1").select("g")
-    open_ = classes.join(mixed_groups, "g").groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    open_ = classes.join(mixed_groups, "g").groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     todo = classes.join(open_, "g").select("one.*", F.col("g"), (F.col("n") == 1).alias("ask"))
     todo = todo.groupBy("doc_id", "h").agg(F.collect_list(F.struct("g", "s", "e", "ask")).alias("runs"))
-    found = stored(_windows(keyed, todo, length, kind), "windows")
-    twice = found.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w")
-    hits = found.where("ask").join(twice, ["g", "w"]).select("doc_id", "h", "s", (F.col("s") + length).alias("e"))
-    return whole.unionByName(hits)
+    opened = stored(_opened(keyed, todo, length, kind), "opened").join(open_, "g")
+    opened = opened.withColumn("parts", F.ceil(F.col("k") / PART).cast("int"))
+    opened = opened.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", "s"), F.col("parts")).cast("int"))
+    order = ["g", "part"]
+    opened = opened.select(*order, "parts", "doc_id", "h", "s", "ask", "bytes").repartition(*order).sortWithinPartitions(*order)
+    found = stored(_matched(opened, length, kind), "matched")
+    across = found.where("g is not null")
+    twice = across.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w")
+    hits = across.where("ask").join(twice, ["g", "w"]).select("doc_id", "h", "s", "e")
+    return whole.unionByName(found.where("g is null").select("doc_id", "h", "s", "e")).unionByName(hits)
 
 
-def _windows(keyed: DataFrame, todo: DataFrame, length: int, kind: str) -> DataFrame:
-    """The windows of the runs to open: first digit, whole digit, place."""
+def _opened(keyed: DataFrame, todo: DataFrame, length: int, kind: str) -> DataFrame:
+    """The bytes of the runs to open; a run has at most length - GRAM + 1 windows."""
 
     def run(frames):
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                data = np.frombuffer(row.text.encode(), np.uint8)
-                g, s, e, ask = (np.asarray(x) for x in (row.gs, row.starts, row.ends, row.asks))
-                for k in range(0, len(data), SLICE):  # long texts by slices of window starts
-                    a, b = np.maximum(s, k), np.minimum(e, k + SLICE)
-                    on = a < b
-                    if not on.any():
-                        continue
-                    n = (b - a)[on]
-                    starts = np.repeat(a[on] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                    digit = _Rolling(data[k : k + SLICE + length], 1)(starts - k, starts - k + length)
-                    yield pd.DataFrame(
-                        {"g": np.repeat(g[on], n), "w": _signed(digit), "doc_id": row.doc_id, "h": row.h, "s": starts, "ask": np.repeat(ask[on], n)}
-                    )
+            out = []
+            for doc_id, h, text, *lists in frame.itertuples(index=False):
+                raw = text.encode()
+                out += [(g, doc_id, h, s, ask, raw[s : e + length - 1]) for g, s, e, ask in zip(*lists)]
+            yield pd.DataFrame(out, columns=["g", "doc_id", "h", "s", "ask", "bytes"])
 
     key = [keyed["doc_id"].eqNullSafe(todo["doc_id"]), keyed["h"] == todo["h"]]
     lists = [F.col(f"runs.{k}").alias(name) for k, name in (("g", "gs"), ("s", "starts"), ("e", "ends"), ("ask", "asks"))]
     rows = keyed.join(todo, key).select(keyed["doc_id"], keyed["h"], "text", *lists)
-    return rows.mapInPandas(run, f"g long, w long, doc_id {kind}, h long, s long, ask boolean")
+    return rows.mapInPandas(run, f"g long, doc_id {kind}, h long, s long, ask boolean, bytes binary")
+
+
+def _matched(opened: DataFrame, length: int, kind: str) -> DataFrame:
+    """Digit 3 within the parts of a first digit: spans of repeated windows of the runs that ask, with g null.
+    Where a first digit has several parts, also what the parts must be compared by: the windows that are
+    single in a part (ask), and each of the others once."""
+
+    def run(frames):
+        for frame in whole_groups(frames, ["g", "part"]):
+            sizes = frame["bytes"].map(len).to_numpy() - length + 1
+            first = np.append(0, np.cumsum(sizes + length - 1))[:-1]
+            row = np.repeat(np.arange(len(frame)), sizes)
+            inside = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(sizes))[:-1], sizes)
+            at = first[row] + inside
+            data = np.frombuffer(b"".join(frame["bytes"]), np.uint8)
+            w = _Rolling(data, 1)(at, at + length)
+            g = frame["g"].to_numpy(np.int64)
+            own = mixed(w ^ mixed(g.view(np.uint64) + frame["part"].to_numpy(np.uint64))[row])
+            _, one, which, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+            twice, ask = count[which] > 1, frame["ask"].to_numpy(bool)
+            s = frame["s"].to_numpy(np.int64)[row] + inside
+            on = np.flatnonzero(twice & ask[row])
+            new = np.append(True, (np.diff(row[on]) != 0) | (np.diff(on) != 1))[: len(on)]
+            start = on[new]
+            end = np.append(on[:-1][new[1:]], on[-1:])
+            yield _placed(frame, row[start], s[start], s[end] + length)
+            split = frame["parts"].to_numpy()[row] > 1
+            for some, asks in ((np.flatnonzero(split & ask[row] & ~twice), True), (one[split[one] & (twice[one] | ~ask[row[one]])], False)):
+                if len(some):
+                    yield _placed(frame, row[some], s[some], s[some] + length, g[row[some]], _signed(w[some]), asks)
+
+    return opened.mapInPandas(run, f"doc_id {kind}, h long, s long, e long, g long, w long, ask boolean")
+
+
+def _placed(frame, row, s, e, g=None, w=None, ask=None) -> pd.DataFrame:
+    kinds = {"g": "Int64", "w": "Int64", "ask": "boolean"}
+    own = frame[["doc_id", "h"]].iloc[row].reset_index(drop=True)
+    return own.assign(s=s, e=e, g=g, w=w, ask=ask).astype(kinds)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -195,20 +232,19 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     bytes around it starts anywhere else too, in the same text or another. Null is the empty text, and
     texts shorter than ``length`` keep everything. Rows that are repeated, with their ids or with others,
     are copies of each other and lose all. Null doc_ids are ids like any other. Columns of docs may have
-    any names. An empty table gives no rows.
+    any names; those with a result's name are replaced. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("_cut"))
-    left = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    right = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), "_cut")
-    rows = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    spans = repeated_spans(docs, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("cut"))
+    left = docs.select(as_row(docs), F.xxhash64(F.col("text").cast("string")).alias("own"))
+    rows = left.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("h")), "left")
     out = ["n_bytes", "n_removed", "n_spans", "kept", "spans"]
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:long,e:long>>")
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_cut(*row) for row in zip(text, starts, ends)], columns=out)
 
-    marked = rows.withColumn("_out", cut(F.col("text").cast("string"), "_cut.s", "_cut.e"))
-    return marked.select(*[docs[c] for c in docs.columns if c not in out], *[F.col("_out")[c].alias(c) for c in out])
+    marked = rows.select("row", cut(F.col("row.text").cast("string"), "cut.s", "cut.e").alias("out"))
+    return marked.select(*of_row(docs, out), "out.*")
 
 
 def _cut(text: str | None, starts, ends) -> tuple:
