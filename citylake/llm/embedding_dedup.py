@@ -4,70 +4,68 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylake.llm.common import components, forest, group_starts, in_block_pairs, stored, whole_groups
 
 MOST_PIVOTS = 4096  # of one label; the documented bound of the sample that the index is fitted on
+SLICE = 8192  # vectors that are described at once
+SPACE = ["label", "width"]  # vectors are compared within these
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """(label, key, vec, weight, least): each different usable vector of a label once, with how many rows have
+    """(label, width, key, vec, weight, least): each different usable vector of a label once, with how many rows have
     it and their smallest vec_id. Usable: label and vector not null, all components finite, not all zero.
-    vec is in doubles, key is the hash of (label, vec); copies are combined before they move."""
+    width is the length, vec is in doubles, key is the hash of (label, vec); copies are combined before they move."""
     vec = F.col("embedding").cast("array<double>")
     usable = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("vec", lambda x: x != 0)
-    good = rows.select("vec_id", "label", vec.alias("vec")).where(F.col("label").isNotNull() & F.col("vec").isNotNull() & usable & some)
-    keyed = good.withColumn("key", F.xxhash64("label", "vec"))
-    return keyed.groupBy("label", "key").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
+    good = rows.select("vec_id", "label", vec.alias("vec")).where(F.col("label").isNotNull() & F.col("vec").isNotNull() & usable)
+    keyed = good.where(some).withColumns({"key": F.xxhash64("label", "vec"), "width": F.size("vec")})
+    return keyed.groupBy(*SPACE, "key").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
 
 
 def pivots(distinct: DataFrame) -> DataFrame:
-    """(label, pivot, pvec): the reference points, a sample of each label's different vectors: about four times
-    the root of their number, at most MOST_PIVOTS, those whose keys hash lowest."""
-    counts = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(4 * F.sqrt("n"))).cast("long")
-    # expected twice the wanted number; the rest is cut off by rank, so no label is ranked as a whole
+    """(label, width, pivot, pvec): the reference points, a sample of each label's different vectors: about four
+    times the root of their number, at most MOST_PIVOTS, those whose keys hash lowest."""
+    counts = distinct.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("m", F.least(F.lit(MOST_PIVOTS), F.ceil(4 * F.sqrt("n"))).cast("long"))
+    # about twice as many as wanted are drawn; only they are ranked, not a whole label
     share = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    near = distinct.join(counts.select("label", "n", wanted.alias("m")), "label").where(share < 2.0 * F.col("m") / F.col("n") + 32.0 / F.col("n"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(share, "key"))
-    return near.withColumn("pivot", rank.cast("int")).where(F.col("pivot") <= F.col("m")).select("label", "pivot", F.col("vec").alias("pvec"))
+    near = distinct.join(counts, SPACE).where(share < (2.0 * F.col("m") + 32.0) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy(*SPACE).orderBy(share, "key"))
+    return near.withColumn("pivot", rank.cast("int")).where(F.col("pivot") <= F.col("m")).select(*SPACE, "pivot", F.col("vec").alias("pvec"))
 
 
 def described(distinct: DataFrame, points: DataFrame, nearest: int) -> DataFrame:
-    """Each vector with its ``nearest`` pivots, nearest first: label, key, vec, weight, least, near.
+    """Each vector with its ``nearest`` pivots, nearest first: label, width, key, vec, weight, near.
 
-    A label's vectors are dealt to tasks by (label, salt), and its pivots, a bounded table, go to each salt.
+    A label's vectors are dealt out in slices of about SLICE, and its pivots, a bounded table, go to each.
     """
     kind = distinct.schema["label"].dataType.simpleString()
-    rows = distinct.select("label", "key", "vec", "weight")
-    gathered = points.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pivot", "pvec"))).alias("p"))
-    joined = rows.join(gathered.select("label", F.col("p.pvec").alias("pvecs")), "label")
-
-    def run(frames):
-        for frame in frames:
-            for _, part in frame.groupby("label", sort=False):
-                points_ = _unit(np.stack([np.asarray(v, float) for v in part["pvecs"].iloc[0]]))
-                width = points_.shape[1]
-                same = np.array([len(v) == width for v in part["vec"]])
-                for some in (part[same], part[~same]):
-                    if not len(some):
-                        continue
-                    if some["vec"].map(len).iloc[0] == width:
-                        close = _unit(np.stack(some["vec"].to_list())) @ points_.T
-                        m = min(nearest, close.shape[1])
-                        top = np.argpartition(-close, m - 1, axis=1)[:, :m]
-                        order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
-                        near = np.take_along_axis(top, order, 1) + 1
-                    else:  # of another length than the label's pivots: one list for them all
-                        near = np.zeros((len(some), 1), np.int64)
-                    yield pd.DataFrame({c: some[c] for c in ("label", "key", "vec", "weight")} | {"near": list(near.astype(np.int32))})
-
-    return joined.mapInPandas(run, f"label {kind}, key long, vec array<double>, weight long, near array<int>")
+    counts = distinct.groupBy(*SPACE).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    rows = distinct.join(counts, SPACE).withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    rows = rows.select(*SPACE, "slice", "key", "vec", "weight")
+    points = stored(points, "pivots").join(counts, SPACE).select(*SPACE, "pivot", "pvec", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+    def run(some: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
+        if not len(some):
+            return pd.DataFrame({c: [] for c in (*SPACE, "key", "vec", "weight", "near")})
+        reference = reference.sort_values("pivot")
+        target = _unit(np.stack(reference["pvec"].to_list()))
+        own, m = _unit(np.stack(some["vec"].to_list())), min(nearest, len(target))
+        near = []
+        for k in range(0, len(own), 1024):
+            close = own[k : k + 1024] @ target.T
+            top = np.argpartition(-close, m - 1, axis=1)[:, :m]
+            order = np.argsort(-np.take_along_axis(close, top, 1), axis=1, kind="stable")
+            near += list((np.take_along_axis(top, order, 1) + 1).astype(np.int32))
+        return some[[*SPACE, "key", "vec", "weight"]].assign(near=near)
+
+    by = [*SPACE, "slice"]
+    schema = f"label {kind}, width int, key long, vec array<double>, weight long, near array<int>"
+    return rows.groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, schema)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -83,52 +81,47 @@ def search(index: DataFrame, least: float, shared: int, block: int) -> DataFrame
     vectors share are counted; pairs with ``shared`` or more are taken up in the list of the first pivot
     they share, and kept if their cosine is at least ``least``. Long lists are tested by pairs of blocks.
     """
+    order = [*SPACE, "pivot", "lo", "hi"]
 
     def run(frames):
-        for frame in whole_groups(frames, ["label", "pivot", "lo", "hi"]):
-            cuts = group_starts(frame, ["label", "pivot", "lo", "hi"])
+        for frame in whole_groups(frames, order):
+            cuts = group_starts(frame, order)
             for s, e in zip(cuts[:-1], cuts[1:]):
                 group = frame.iloc[s:e]
                 yield from _group(group, least, shared)
 
-    listed = index.select("label", "key", "vec", "weight", "near", F.explode("near").alias("pivot"))
-    rows = in_block_pairs(listed, ["label", "pivot"], "key", block)
-    return rows.select("label", "pivot", "lo", "hi", "part", "key", "vec", "weight", "near").mapInPandas(run, "kind int, key long, other long, weight long")
+    listed = index.select(*SPACE, "key", "vec", "weight", "near", F.explode("near").alias("pivot"))
+    rows = in_block_pairs(listed, [*SPACE, "pivot"], "key", block)
+    return rows.select(*order, "part", "key", "vec", "weight", "near").mapInPandas(run, "kind int, key long, other long, weight long")
 
 
 def _group(group: pd.DataFrame, least: float, shared: int):
     """One list, or one pair of blocks of it."""
     key, weight, part = (group[c].to_numpy() for c in ("key", "weight", "part"))
     pivot, across = int(group["pivot"].iloc[0]), group["lo"].iloc[0] != group["hi"].iloc[0]
-    widths = group["vec"].map(len).to_numpy()
-    for width in np.unique(widths):
-        on = np.flatnonzero(widths == width)
-        if len(on) < 2:
-            continue
-        unit = _unit(np.stack([group["vec"].iloc[k] for k in on]))
-        near = [np.asarray(group["near"].iloc[k]) for k in on]
-        names = np.unique(np.concatenate(near))
-        has = np.zeros((len(on), len(names)), np.float32)
-        for k, n in enumerate(near):
-            has[k, np.searchsorted(names, n)] = 1
-        before = has[:, names < pivot]  # a pair that shares an earlier pivot is that list's
-        wanted = min(shared, min(len(n) for n in near))
-        total, ends = np.zeros(len(on), np.int64), []
-        for a in range(0, len(on), 256):
-            rows = np.arange(a, min(a + 256, len(on)))
-            ok = (has[rows] @ has.T >= wanted) & (before[rows] @ before.T == 0)
-            ok &= unit[rows] @ unit.T >= least
-            ok[np.arange(len(rows)), rows] = False
-            if across:
-                ok &= part[on][rows][:, None] != part[on][None, :]
-            total[rows] += ok @ weight[on]
-            i, j = np.nonzero(ok)
-            i, j = rows[i], j
-            ends.append(np.stack(forest(key[on[i]], key[on[j]])))
-        x, y = forest(*np.concatenate(ends, axis=1))
-        hit = total > 0
-        yield pd.DataFrame({"kind": 0, "key": key[on[hit]], "other": 0, "weight": total[hit]})
-        yield pd.DataFrame({"kind": 1, "key": x, "other": y, "weight": 0})
+    unit = _unit(np.stack(group["vec"].to_list()))
+    near = [np.asarray(n) for n in group["near"]]
+    names = np.unique(np.concatenate(near))
+    has = np.zeros((len(group), len(names)), np.float32)
+    for k, n in enumerate(near):
+        has[k, np.searchsorted(names, n)] = 1
+    before = has[:, names < pivot]  # a pair that shares an earlier pivot is that list's
+    wanted = min(shared, min(map(len, near)))
+    total, ends = np.zeros(len(group), np.int64), []
+    for a in range(0, len(group), 256):
+        rows = np.arange(a, min(a + 256, len(group)))
+        ok = (has[rows] @ has.T >= wanted) & (before[rows] @ before.T == 0)
+        ok &= unit[rows] @ unit.T >= least
+        ok[np.arange(len(rows)), rows] = False
+        if across:
+            ok &= part[rows][:, None] != part[None, :]
+        total[rows] += ok @ weight
+        i, j = np.nonzero(ok)
+        ends.append(np.stack(forest(key[rows[i]], key[j])))
+    x, y = forest(*np.concatenate(ends, axis=1))
+    hit = total > 0
+    yield pd.DataFrame({"kind": 0, "key": key[hit], "other": 0, "weight": total[hit]})
+    yield pd.DataFrame({"kind": 1, "key": x, "other": y, "weight": 0})
 
 
 def near_duplicates(

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citylake.llm.common import as_row, of_row
+
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BITS = 21  # of a code point; three fit into a long
@@ -117,8 +119,8 @@ def predict(docs: DataFrame, learned: DataFrame, size: int = 400, orders: Sequen
         out = [made[0].predict(grams(t, orders)) if isinstance(t, str) else (UNKNOWN, 0.0) for t in text]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    marked = docs.drop("lang_pred", "score").withColumn("_out", judge(F.col("text").cast("string")))
-    return marked.withColumns({"lang_pred": F.col("_out.lang_pred"), "score": F.col("_out.score")}).drop("_out")
+    marked = docs.select(as_row(docs), judge(F.col("text").cast("string")).alias("out"))
+    return marked.select(*of_row(docs, ["lang_pred", "score"]), "out.*")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citylake.llm.common import as_row, of_row
+
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 BUCKETS = 1 << 16
@@ -121,8 +123,8 @@ def judge(
             out.append((*statistics(t), float(table.value[at].mean()) if len(at) else 0.0))
         return pd.DataFrame(out, columns=[*names, "llr"])
 
-    marked = docs.drop(*names, "llr", "base_failed", "kept").withColumn("_out", measure(F.col("text").cast("string")))
-    marked = marked.withColumns({n: F.col(f"_out.{n}") for n in [*names, "llr"]}).drop("_out")
+    marked = docs.select(as_row(docs), measure(F.col("text").cast("string")).alias("out"))
+    marked = marked.select(*of_row(docs, [*names, "llr", "base_failed", "kept"]), "out.*")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     marked = marked.withColumn("base_failed", failed)
     return marked.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

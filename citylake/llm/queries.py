@@ -50,13 +50,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = remove_repeats(documents(spark, sf_dir))
+    rows = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @register
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     rows = secrets.findings(docs, secrets.scan(docs))
 
     def of(*kinds: str):

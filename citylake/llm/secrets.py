@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citylake.llm.common import as_row, of_row, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -109,14 +111,13 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES,
     rank = F.create_map(*[F.lit(x) for item in order.items() for x in item])
     hits = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
     hits = hits.select("blob", F.explode("spans").alias("x")).groupBy("blob").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("x.start").alias("start"), rank[F.col("x.kind")].alias("rank"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind")))).alias("_found")
+        F.sort_array(F.collect_list(F.struct(F.col("x.start").alias("start"), rank[F.col("x.kind")].alias("rank"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind")))).alias("found")
     )
     own = F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256)
-    rows = docs.drop("spans").withColumn("_blob", own)
-    hits = hits.withColumnRenamed("blob", "_of")
-    spans = F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    joined = rows.join(hits, F.col("_blob") == F.col("_of"), "left")
-    return joined.withColumn("spans", F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))).drop("_blob", "_of", "_found")
+    hits = stored(hits, "findings")  # a table of its own: Spark can then split a content that very many rows have
+    spans = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    joined = docs.select(as_row(docs), own.alias("own")).join(hits, F.col("own") == F.col("blob"), "left")
+    return joined.select(*of_row(docs, ["spans"]), F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def listed(spans: str) -> Column:
