@@ -9,10 +9,7 @@ from citylake.functions import scalars as S
 from citylake.operators import raster as R
 from citylake.operators import spatial as J
 from citylake.operators.hierarchy import from_provinces
-from citylake.operators.select import active, broadcast_if_few, latest_touching
-
-# Up to this many zones, the rasters chosen for them (one per zone and index) are broadcast.
-MAX_ZONES = 10_000
+from citylake.operators.select import active, latest_touching
 
 # The thermal indices that are reported.
 THERMAL_KINDS = ("lst", "tmrt", "pet", "utci", "svf", "suhii")
@@ -97,7 +94,7 @@ def thermal_indices(cells: DataFrame, rasters: DataFrame, province: DataFrame, d
     indices in one job. A chosen raster without a cell inside leaves the index empty.
     """
     picked = latest_rasters(cells, rasters, province)
-    wanted = broadcast_if_few(picked.select("raster_id").distinct(), province, MAX_ZONES)
+    wanted = picked.select("raster_id").distinct()
     stats = R.zonal_stats(cells.join(wanted, "raster_id", "left_semi"), _zones(province), "province_id", digits=digits)
     return picked.join(stats, ["province_id", "raster_id"]).select(
         "province_id", "kind", "raster_id", "min", "max", "mean", "stddev", "count"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citylake.functions import geometry as G
 from citylake.operators.select import union_layers
+from citylake.schema import TABLES
 
 # The colours that vector layers take in turn, and the raster colour.
 PALETTE = (
@@ -21,7 +22,7 @@ RASTER_COLOR = "#ff6b6b"
 THEMES = {
     "overview": (),
     "common": ("common",),
-    "temperature": ("temperature", "heat", "weather", "urban_heat,"),
+    "temperature": ("temperature", "heat", "weather", "urban_heat"),
     "builtup": ("builtup",),
     "energy": ("Energy",),
     "housing": ("housing",),
@@ -35,13 +36,14 @@ THEMES = {
 def layer_inventory(tables: Sequence[tuple[str, str, DataFrame]], rasters: DataFrame | None = None) -> DataFrame:
     """One row per layer: key, app, kind, colour, display name and number of rows.
 
-    ``tables`` lists (app, name, layer) in display order. ``rasters`` (id, app, name, product_path)
-    adds each raster that has a product. Counting a columnar layer reads its metadata and one
-    column of the geometry.
+    ``tables`` lists (app, name, layer) in display order. ``rasters`` (id, app, model, name, product_path)
+    adds each raster that has a product. The kind is the declared one of the table, so that an empty layer
+    has one too; a layer that is not declared has that of its rows. Counting reads only metadata then.
     """
     rows = []
     for i, (app, name, df) in enumerate(tables):
-        kind = F.max(F.col("geom")["kind"]) if "geom" in df.columns else F.lit(None)
+        declared = TABLES[name].geom if name in TABLES else None
+        kind = F.lit(declared) if declared or "geom" not in df.columns else F.max(F.col("geom")["kind"])
         rows.append(
             df.agg(F.count("*").alias("count"), F.lower(kind.cast("string")).alias("kind")).select(
                 F.lit(f"{app}.{name}").alias("key"), F.lit(app).alias("app"), "kind",
@@ -52,7 +54,7 @@ def layer_inventory(tables: Sequence[tuple[str, str, DataFrame]], rasters: DataF
     out = union_layers(*rows)
     if rasters is not None:
         r = rasters.where(F.col("product_path").isNotNull() & (F.col("product_path") != "")).select(
-            F.concat_ws("-", F.lit("raster"), "app", F.col("id").cast("string")).alias("key"), "app",
+            F.concat_ws("-", F.lit("raster"), "app", "model", F.col("id").cast("string")).alias("key"), "app",
             F.lit("raster").alias("kind"), F.lit(RASTER_COLOR).alias("color"),
             F.coalesce(F.col("name"), F.concat(F.lit("Raster "), F.col("id").cast("string"))).alias("display_name"),
             F.lit(1).cast("long").alias("count"),

@@ -26,7 +26,6 @@ TRUE_COLOR_BANDS, TRUE_COLOR_GAIN = ("B04", "B03", "B02"), 2.5
 TILE = 64
 TILE_SALTS = 16
 STATION_CHUNK = 512
-MAX_RBF_STATIONS = 3000
 
 
 # --- zonal statistics -----------------------------------------------------------------
@@ -209,56 +208,6 @@ def interpolate_idw(bounds: DataFrame, values: DataFrame, res: float, keys: Sequ
     )
 
 
-def rbf_weights(values: DataFrame, kernel: str = "linear", keys: Sequence[str] = ("raster_id",)) -> DataFrame:
-    """Weights of the radial basis functions, solved per raster: keys, x, y, weight, epsilon.
-
-    The system is stations × stations, so a group is solved in one task. The group size is checked
-    first, in Spark: a raster with more than MAX_RBF_STATIONS stations raises an error rather than
-    being thinned out; inverse-distance weighting has no such bound.
-    """
-    if kernel not in ("linear", "gaussian"):
-        raise ValueError(f"unknown kernel {kernel}")
-    keys = list(keys)
-    size = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_RBF_STATIONS} stations in one raster")).cast("long")
-    size = size.select(*keys, F.when(F.col("_n") <= MAX_RBF_STATIONS, F.col("_n")).otherwise(too_many).alias("_n"))
-    checked = values.join(size, keys).where(F.col("_n") > 0).select(*keys, "x", "y", "value")
-    types = dict(values.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "x double, y double, weight double, epsilon double"])
-
-    def solve(pdf):
-        import numpy as np
-
-        p = pdf[["x", "y"]].to_numpy(float)
-        r = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-        extent = p.max(axis=0) - p.min(axis=0)
-        extent = extent[extent != 0]
-        eps = float((extent.prod() / len(p)) ** (1.0 / extent.size)) if extent.size else 1.0
-        phi = r if kernel == "linear" else np.exp(-((r / eps) ** 2))
-        out = pdf[keys].copy()
-        out["x"], out["y"] = p[:, 0], p[:, 1]
-        out["weight"] = np.linalg.solve(phi, pdf["value"].to_numpy(float))
-        out["epsilon"] = eps
-        return out
-
-    return checked.groupBy(*keys).applyInPandas(solve, schema)
-
-
-def interpolate_rbf(
-    bounds: DataFrame, values: DataFrame, res: float, kernel: str = "linear", keys: Sequence[str] = ("raster_id",)
-) -> DataFrame:
-    """Radial basis interpolation. Only the small solve is Python; the evaluation is an expression per cell."""
-    keys = list(keys)
-    chunks = station_chunks(rbf_weights(values, kernel, keys), keys, ["x", "y", "weight", "epsilon"])
-    cells = _cells_with_stations(bounds, chunks, res, keys)
-    r = "hypot(x - s.x, y - s.y)"
-    basis = r if kernel == "linear" else f"exp(-pow({r} / s.epsilon, 2))"
-    part = cells.selectExpr(
-        *keys, "col", "row", "x", "y", f"aggregate(stations, 0D, (acc, s) -> acc + s.weight * {basis}) AS _v"
-    )
-    return part.groupBy(*keys, "col", "row", "x", "y").agg(F.sum("_v").alias("value"))
-
-
 def raster_summary(cells: DataFrame, values: DataFrame, meta: DataFrame) -> DataFrame:
     """Summary of interpolated rasters: stations used, time, bounds, min, max, mean and unit of the field.
 

@@ -86,12 +86,3 @@ def in_window(df: DataFrame, ts: str, center: Column, hours: int) -> DataFrame:
     w = F.make_dt_interval(hours=F.lit(hours))
     return df.where(F.col(ts).between(center - w, center + w))
 
-
-
-
-def broadcast_if_few(df: DataFrame, bounding: DataFrame, limit: int) -> DataFrame:
-    """Broadcast ``df`` when the dimension that bounds its size has at most ``limit`` rows.
-
-    The check counts no further than the limit. Beyond it the frame is left to an ordinary shuffle join.
-    """
-    return F.broadcast(df) if bounding.limit(limit + 1).count() <= limit else df

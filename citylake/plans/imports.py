@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citylake.functions import geometry as G
 from citylake.operators.layers import clip_to_box
-from citylake.operators.quality import MAX_SAMPLE_ERRORS, join_city, map_columns, run_import, upsert
+from citylake.operators.quality import join_city, map_columns, run_import, upsert
 from citylake.operators.select import limit_features
 from citylake.operators.spatial import assign_by_centroid
 from citylake.sources import files
@@ -82,33 +82,31 @@ def layer_rows(
 
 def import_layer(
     spark: SparkSession, name: str, path: str, target: DataFrame, bbox: tuple | None = None, srid: int = G.RD,
-    limit: int | None = None, dry_run: bool = False, multiline: bool = True,
+    limit: int | None = None, dry_run: bool = False, multiline: bool = True, max_errors: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(snapshot, report) of one landed vector layer, upserted by the layer's unique column.
 
-    The last feature of a repeated key wins, by content order, so the result does not depend on
-    how the files were split.
+    The last feature of a repeated key wins, by file and place in it. Rows with errors are in the report
+    only; the others are written, unless the caller sets ``max_errors`` and more rows than that fail.
     """
     spec = LAYERS[name]
     rows = layer_rows(files.read_geojson(spark, path, srid, multiline), spec, bbox, srid=srid, limit=limit)
-    rows = rows.withColumn("_ord", F.struct(*[F.col(c) for c in spec.columns.values()], F.col("geom.bbox").alias("b")))
     compare = [c for c in (*spec.columns.values(), "geom") if c != spec.unique]
     return run_import(
-        target, rows, [spec.unique], compare, "_ord", dry_run, required_geom="geom", errors="errors",
-        max_errors=MAX_SAMPLE_ERRORS,
+        target, rows, [spec.unique], compare, "arrival", dry_run, required_geom="geom", errors="errors",
+        max_errors=max_errors,
     )
 
 
 def housing_lifecycle(odata: DataFrame, city: DataFrame, target: DataFrame) -> DataFrame:
-    """New (city, year) supply-and-demand snapshot from the housing lifecycle table.
+    """New (city, year) supply-and-demand snapshot from the housing lifecycle table; the last row that arrived wins.
 
     Rows with a bad municipality number, or one that is unknown, are left out; see
     ``sources.files.housing_updates`` for their errors.
     """
     rows = files.housing_updates(files.housing_rows(odata)).where(F.col("error").isNull())
-    rows = join_city(rows, city, "code").select("city_id", "year", "supply", "demand")
-    rows = rows.withColumn("_ord", F.struct("supply", "demand"))
-    return upsert(target, rows, ["city_id", "year"], "_ord")
+    rows = join_city(rows, city, "code").select("city_id", "year", "supply", "demand", "arrival")
+    return upsert(target, rows, ["city_id", "year"], "arrival")
 
 
 def assign_parent(child: DataFrame, parent: DataFrame, fk: str) -> DataFrame:

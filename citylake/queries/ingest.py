@@ -15,7 +15,7 @@ from citylake.plans import imports as I
 from citylake.queries.standin import City, oracle
 from citylake.sinks import geojson as K
 from citylake.sources import files
-from citylake.streaming.snapshots import work_dir
+from citylake.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,7 +28,7 @@ def add(name, fn, sql=None):
 
 
 def landing(t: City, kind: str) -> str:
-    return f"{work_dir(t.spark)}/landing/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/landing/{kind}-{uuid.uuid4().hex}"
 
 
 # --- readers --------------------------------------------------------------------------
@@ -62,8 +62,9 @@ def _pages(t) -> DataFrame:
 def _collections(t):
     path = landing(t, "pages")
     pages = _pages(t).groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
-    pages.select("page", "value").write.partitionBy("page").text(path)
-    f = files.read_geojson(t.spark, f"{path}/page=*", G.RD)
+    # a page is a line of one of the files that all tasks write
+    pages.select("value").write.text(path)
+    f = files.read_geojson(t.spark, path, G.RD, pages=True)
     return f.select(F.col("properties")["code"].cast("long").alias("id"), F.col("geom.kind").alias("kind"), F.size(F.expr(G.vertices("geom.parts"))).alias("n"))
 
 
@@ -88,7 +89,7 @@ def _odata(t, **kw):
     row = f"""concat('{{"Gebruiksfunctie":"', {_USE}, '","RegioS":"', {_REG}, '","Perioden":"', {_PER}, '","EindstandVoorraad_22":', o_orderkey, ',"VergundeNieuwbouw_2":', o_custkey, '}}')"""
     # pages of a fixed number of rows, as the service sends them
     rows = t.base("orders").selectExpr("floor(o_orderkey / 500) AS page", f"{row} AS r")
-    pages = rows.groupBy("page").agg(F.concat(F.lit('{"value":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
+    pages = rows.groupBy("page").agg(F.concat(F.lit('{"value":['), F.array_join(F.sort_array(F.collect_list("r")), ","), F.lit("]}")).alias("value"))
     pages.select("value").write.text(path)
     return files.read_odata(t.spark, path, multiline=False, **kw)
 
@@ -133,8 +134,8 @@ def _tiles(t):
     pages = t["well"].selectExpr("floor(id / 500) AS page", f"{entry} AS e").groupBy("page").agg(
         F.concat(F.lit('<feed xmlns:georss="http://www.georss.org/georss">'), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("value")
     )
-    pages.write.partitionBy("page").text(path)
-    return files.select_tiles(files.read_atom(t.spark, f"{path}/page=*"), (5.5, 51.5, 6.5, 52.5), 40).select("url")
+    pages.select("value").write.text(path)
+    return files.select_tiles(files.read_atom(t.spark, path), (5.5, 51.5, 6.5, 52.5)).select("url")
 
 
 add(
@@ -143,7 +144,7 @@ add(
     oracle(
         "well",
         """SELECT concat('tile-', lpad(CAST(id AS STRING), 9, '0')) AS url FROM well
-           WHERE id % 9 = 0 OR (4 + id % 5 <= 6.5 AND 5 + id % 5 >= 5.5 AND 51 + id % 7 <= 52.5 AND 52 + id % 7 >= 51.5) ORDER BY 1 LIMIT 40""",
+           WHERE id % 9 = 0 OR (4 + id % 5 <= 6.5 AND 5 + id % 5 >= 5.5 AND 51 + id % 7 <= 52.5 AND 52 + id % 7 >= 51.5)""",
     ),
 )
 
@@ -318,12 +319,15 @@ add(
 
 # --- end-to-end jobs ------------------------------------------------------------------
 
+# the second delivery (k = 1) wins over the first; within it all rows of a city and year have one value
 _HL = f"""SELECT city_id, year, arg_max(supply, k) AS supply, arg_max(demand, k) AS demand FROM (
-    SELECT try_cast(replace(trim(reg), 'GM', '') AS BIGINT) AS city_id, CAST(substring(per, 1, 4) AS INT) AS year, o_orderkey AS supply, o_custkey AS demand, o_orderkey AS k
-    FROM ({_OD}) WHERE use = 'A045364' AND reg LIKE 'GM%' AND per LIKE '%KW04%') WHERE city_id IN (SELECT n_nationkey FROM nation) GROUP BY 1, 2"""
+    SELECT try_cast(replace(trim(reg), 'GM', '') AS BIGINT) AS city_id, CAST(substring(per, 1, 4) AS INT) AS year, supply, demand, k
+    FROM (SELECT o_custkey, use, reg, per, o_custkey % 30 + 1000 AS supply, o_custkey % 30 + 2000 AS demand, 0 AS k FROM ({_OD})
+          UNION ALL SELECT o_custkey, use, reg, per, o_custkey % 30, o_custkey % 30 + 1, 1 FROM ({_OD}) WHERE o_custkey % 2 = 0)
+    WHERE use = 'A045364' AND reg LIKE 'GM%' AND per LIKE '%KW04%') WHERE city_id IN (SELECT n_nationkey FROM nation) GROUP BY 1, 2"""
 add(
     "housing_lifecycle_import",
-    lambda t: I.housing_lifecycle(_odata(t, select=_ODATA_COLS), t["city"], t["consumption_capita"].select(
+    lambda t: I.housing_lifecycle(_deliveries(t), t["city"], t["consumption_capita"].select(
         "city_id", F.col("year") + 2, F.lit(0).cast("long").alias("supply"), F.lit(None).cast("long").alias("demand")
     ).toDF("city_id", "year", "supply", "demand")),
     oracle(
@@ -335,10 +339,22 @@ add(
 )
 
 
+def _deliveries(t):
+    """Two landed deliveries; the later one corrects half of the cities downward."""
+    path = landing(t, "odata")
+    for name, where, supply, demand in (("a", "true", "o_custkey % 30 + 1000", "o_custkey % 30 + 2000"), ("b", "o_custkey % 2 = 0", "o_custkey % 30", "o_custkey % 30 + 1")):
+        row = f"""concat('{{"Gebruiksfunctie":"', {_USE}, '","RegioS":"', {_REG}, '","Perioden":"', {_PER}, '","EindstandVoorraad_22":', {supply}, ',"VergundeNieuwbouw_2":', {demand}, '}}')"""
+        rows = t.base("orders").where(where).selectExpr("floor(o_orderkey / 500) AS page", f"{row} AS r")
+        pages = rows.groupBy("page").agg(F.concat(F.lit('{"value":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
+        pages.select("value").write.text(f"{path}/{name}")
+    return files.read_odata(t.spark, [f"{path}/a", f"{path}/b"], multiline=False, select=_ODATA_COLS)
+
+
 def _layer(t):
     path = landing(t, "buildings")
     src = t["building"].select(
-        F.col("id").alias("identificatie"), (F.lit(1900) + F.col("id") % 120).alias("bouwjaar"),
+        F.col("id").alias("identificatie"),
+        F.when(F.col("id") % 7 == 0, "unknown").otherwise((F.lit(1900) + F.col("id") % 120).cast("string")).alias("bouwjaar"),
         F.when(F.col("id") % 2 == 0, "in use").alias("status"), F.col("footprint").alias("oppervlakte"), "geom",
     )
     K.write_geojson(src, path)
@@ -355,6 +371,7 @@ add(
     oracle(
         "building park",
         """SELECT CAST(coalesce(b.id, k.id) AS STRING) AS bag_id, CAST(1900 + b.id % 120 AS INT) AS construction_year,
-              CASE WHEN b.id % 2 = 0 THEN 'in use' WHEN k.id IS NOT NULL THEN 'unknown' END AS status, footprint AS area_m2 FROM building b FULL JOIN park k ON b.id = k.id""",
+              CASE WHEN b.id % 2 = 0 THEN 'in use' WHEN k.id IS NOT NULL THEN 'unknown' END AS status, footprint AS area_m2
+           FROM (SELECT * FROM building WHERE id % 7 <> 0) b FULL JOIN park k ON b.id = k.id""",
     ),
 )

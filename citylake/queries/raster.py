@@ -150,17 +150,6 @@ add(
     lambda t: R.interpolate_idw(_bounds(t), _values(t), 10000.0).withColumn("value", F.round("value", 6)),
     oracle("measurement station", f"SELECT raster_id, col, row, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, {rnd('value', 6)} AS value FROM idw", req=_REQ, val=_VAL, idw=_IDW),
 )
-add("interpolate_rbf_linear", lambda t: R.interpolate_rbf(_bounds(t), _many(t), 10000.0, "linear").withColumn("value", F.round("value", 4)))
-add("interpolate_rbf_gaussian", lambda t: R.interpolate_rbf(_bounds(t), _many(t), 10000.0, "gaussian").withColumn("value", F.round("value", 4)))
-
-
-def _many(t):
-    """Rasters with at least two stations: a linear basis has no solution for one."""
-    v = _values(t)
-    enough = v.groupBy("raster_id").agg(F.count("*").alias("n")).where("n > 1").select("raster_id")
-    return v.join(enough, "raster_id", "left_semi")
-
-
 add(
     "raster_summary",
     lambda t: R.raster_summary(

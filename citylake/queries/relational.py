@@ -726,3 +726,14 @@ add(
             LEFT JOIN (SELECT b.province_id, a.* FROM affordability a JOIN bridge b USING (neighborhood_id)) a ON a.province_id = p.id AND a.year = y.year GROUP BY 1, 2""",
     ),
 )
+
+add(
+    "reporting_period",
+    lambda t: t["housing_supply_demand"].select("year").unionByName(t["consumption_capita"].select("year")).unionByName(t["loss"].select("year"))
+    .groupBy("year").agg(F.count("*").alias("facts")).withColumn("reported", F.col("year").isin(YEARS)),
+    oracle(
+        "housing_supply_demand consumption_capita loss",
+        """SELECT year, count(*) AS facts, year BETWEEN 1995 AND 2001 AS reported FROM (
+             SELECT year FROM housing_supply_demand UNION ALL SELECT year FROM consumption_capita UNION ALL SELECT year FROM loss) GROUP BY 1""",
+    ),
+)

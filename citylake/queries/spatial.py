@@ -299,23 +299,24 @@ def _layers(t):
     return [
         ("builtup", "building", t["building"]), ("builtup", "street", t["street"]), ("builtup", "park", t["park"]),
         ("watersupply", "pipe", t["pipe"]), ("watersupply", "well", t["well"]), ("common", "neighborhood", t["neighborhood"]),
+        ("urban_heat", "land_cover", t["land_cover"]),
     ]
 
 
 def _inventory(t):
-    rasters = t["raster_meta"].select("id", F.lit("weather").alias("app"), "name", "product_path")
+    rasters = t["raster_meta"].select("id", F.lit("weather").alias("app"), F.col("kind").alias("model"), "name", "product_path")
     return L.layer_inventory(_layers(t), rasters)
 
 
 _LAYER_SQL = " UNION ALL ".join(
-    f"SELECT '{app}.{n}' AS key, '{app}' AS app, '{kind}' AS kind, '{L.PALETTE[i]}' AS color, '{n.title()}' AS display_name, count(*) AS count FROM {n}"
+    f"SELECT '{app}.{n}' AS key, '{app}' AS app, {'NULL' if kind is None else repr(kind)} AS kind, '{L.PALETTE[i]}' AS color, '{n.replace("_", " ").title()}' AS display_name, count(*) AS count FROM {n}"
     for i, (app, n, kind) in enumerate(
         [("builtup", "building", "polygon"), ("builtup", "street", "line"), ("builtup", "park", "polygon"), ("watersupply", "pipe", "line"),
-         ("watersupply", "well", "point"), ("common", "neighborhood", "polygon")]
+         ("watersupply", "well", "point"), ("common", "neighborhood", "polygon"), ("urban_heat", "land_cover", None)]
     )
 )
-_RASTER_SQL = "SELECT concat('raster-weather-', id) AS key, 'weather' AS app, 'raster' AS kind, '#ff6b6b' AS color, name AS display_name, CAST(1 AS BIGINT) AS count FROM raster_meta WHERE product_path IS NOT NULL"
-_LAYER_TABLES = "building street park pipe well neighborhood raster_meta"
+_RASTER_SQL = "SELECT concat('raster-weather-', kind, '-', id) AS key, 'weather' AS app, 'raster' AS kind, '#ff6b6b' AS color, name AS display_name, CAST(1 AS BIGINT) AS count FROM raster_meta WHERE product_path IS NOT NULL"
+_LAYER_TABLES = "building street park pipe well neighborhood land_cover raster_meta"
 add("layer_inventory", _inventory, oracle(_LAYER_TABLES, f"{_LAYER_SQL} UNION ALL {_RASTER_SQL}"))
 add(
     "layer_extent",
@@ -336,8 +337,23 @@ add(
     lambda t: L.layers_by_app(_inventory(t)),
     oracle(_LAYER_TABLES, "SELECT app, key, display_name, count(*) OVER (PARTITION BY app) AS layers FROM i", i=f"{_LAYER_SQL} UNION ALL {_RASTER_SQL}"),
 )
+def _themes(t):
+    """Every theme with its layers; an urban heat layer is there for the temperature theme."""
+    inventory = _inventory(t)
+    themes = [L.layers_for_theme(inventory, k).select(F.lit(k).alias("theme"), "key", "count") for k in L.THEMES]
+    out = themes[0]
+    for x in themes[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 add(
     "layers_for_theme",
-    lambda t: L.layers_for_theme(_inventory(t), "water").select("key", "count"),
-    oracle(_LAYER_TABLES, "SELECT key, count FROM i WHERE app = 'watersupply'", i=f"{_LAYER_SQL} UNION ALL {_RASTER_SQL}"),
+    _themes,
+    oracle(
+        _LAYER_TABLES,
+        """SELECT theme, key, count FROM i JOIN (VALUES ('common', 'common'), ('temperature', 'temperature'), ('temperature', 'heat'), ('temperature', 'weather'),
+             ('temperature', 'urban_heat'), ('builtup', 'builtup'), ('energy', 'Energy'), ('housing', 'housing'), ('green', 'green'), ('green', 'vegetation'),
+             ('green', 'trees'), ('green', 'Park'), ('green', 'LandCover'), ('water', 'watersupply'), ('groundwater', 'groundwater')) AS v(theme, app) USING (app)""",
+        i=f"{_LAYER_SQL} UNION ALL {_RASTER_SQL}"),
 )

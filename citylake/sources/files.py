@@ -18,19 +18,30 @@ _MEASUREMENT = (
 _CELL = "raster_id long, date date, band string, col long, row long, x double, y double, value double"
 
 
-def _with_geom(df: DataFrame, srid: int) -> DataFrame:
+def _with_geom(df: DataFrame, srid: int, order: Sequence[Column]) -> DataFrame:
     geom = G.from_geojson("_f.geometry.type", "_f.geometry.coordinates", srid)
-    return df.select(F.col("_f.properties").alias("properties"), geom.alias("geom"))
+    return df.select(F.col("_f.properties").alias("properties"), geom.alias("geom"), *order)
 
 
-def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.WGS84, multiline: bool = True) -> DataFrame:
-    """Features as (properties map, geom). With ``multiline`` each file is one FeatureCollection (a page);
-    without it each line is one Feature, which also splits large files."""
-    if multiline:
-        pages = spark.read.schema(f"features array<struct<{_FEATURE}>>").option("multiLine", True).json(path)
-        return _with_geom(pages.select(F.explode("features").alias("_f")), srid)
+def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.WGS84, multiline: bool = True, pages: bool = False) -> DataFrame:
+    """Features as (properties map, geom). With ``multiline`` each file is one FeatureCollection (a page),
+    with ``pages`` each line is one; without them each line is one Feature, which also splits large files. ``arrival`` orders the features: by
+    file, and by place in it; of lines, by the part of the file and the place in that part."""
+    if multiline or pages:
+        read = spark.read.schema(f"features array<struct<{_FEATURE}>>").option("multiLine", not pages).json(path)
+        rows = read.select(_line_order().alias("_o"), F.posexplode("features").alias("_pos", "_f"))
+        return _with_geom(rows, srid, [F.struct("_o", F.col("_pos").alias("row")).alias("arrival")])
     lines = spark.read.schema(_FEATURE).json(path)
-    return _with_geom(lines.select(F.struct("geometry", "properties").alias("_f")), srid)
+    rows = lines.select(F.struct("geometry", "properties").alias("_f"), _line_order().alias("_o"))
+    return _with_geom(rows, srid, [F.col("_o").alias("arrival")])
+
+
+def _line_order() -> Column:
+    """File, start of the block that a task reads, and the row's number in the task, which only grows."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("position"),
+    )
 
 
 def read_odata(
@@ -39,12 +50,15 @@ def read_odata(
 ) -> DataFrame:
     """Rows of landed OData pages as a map column ``properties``, or as the selected text columns.
 
-    A page is a file, or a line when ``multiline`` is off.
+    A page is a file, or a line when ``multiline`` is off. ``arrival`` orders the rows by file, page and row.
     """
     rows = spark.read.schema("value array<map<string,string>>").option("multiLine", multiline).json(path)
-    rows = rows.select(F.explode("value").alias("properties"))
+    rows = rows.select(_line_order().alias("_o"), F.posexplode("value").alias("_pos", "properties"))
+    arrival = F.struct("_o", F.col("_pos").alias("row")).alias("arrival")
     if select is not None:
-        rows = rows.select(*[F.col("properties")[c].alias(c) for c in select])
+        rows = rows.select(*[F.col("properties")[c].alias(c) for c in select], arrival)
+    else:
+        rows = rows.select("properties", arrival)
     return rows if where is None else rows.where(where)
 
 
@@ -79,12 +93,13 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     ).where(~F.coalesce("bad_box", F.lit(False))).drop("bad_box")
 
 
-def select_tiles(entries: DataFrame, bbox: tuple[float, float, float, float], max_tiles: int = 4, order: str = "url") -> DataFrame:
-    """The first ``max_tiles`` entries whose box meets the area; entries without a box are kept."""
+def select_tiles(entries: DataFrame, bbox: tuple[float, float, float, float], max_tiles: int | None = None, order: str = "url") -> DataFrame:
+    """Entries whose box meets the area; entries without a box are kept. With ``max_tiles`` the first ones by ``order``."""
     x0, y0, x1, y1 = (float(v) for v in bbox)
     b = F.col("box")
     meets = (b["xmin"] <= x1) & (b["xmax"] >= x0) & (b["ymin"] <= y1) & (b["ymax"] >= y0)
-    return entries.where(b.isNull() | meets).orderBy(order).limit(max_tiles)
+    kept = entries.where(b.isNull() | meets)
+    return kept if max_tiles is None else kept.orderBy(order).limit(max_tiles)
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -153,4 +168,5 @@ def housing_updates(odata: DataFrame) -> DataFrame:
         code.alias("code"), S.period_year("Perioden").alias("year"),
         S.cast_to("EindstandVoorraad_22", "long").alias("supply"), S.cast_to("VergundeNieuwbouw_2", "long").alias("demand"),
         F.when(code.isNull(), F.concat(F.lit("Invalid GM code: "), F.coalesce(F.trim("RegioS"), F.lit("")))).alias("error"),
+        *(["arrival"] if "arrival" in odata.columns else []),
     ).where(F.col("year").isNotNull())

@@ -1,15 +1,16 @@
 """Change-feed jobs that keep derived tables current.
 
-Each job is a foreachBatch over a stream of changed rows. It finds the touched keys and recomputes
-only those from the current snapshots; nothing is added up incrementally, so a batch that is run
-again gives the same tables.
+Each job is a foreachBatch over a stream of changed rows. A table is a folder of plain Parquet, one
+``batch=<id>`` partition for each batch that changed it, and the rows it began with as batch -1; readers
+take the latest row of each key, whole. A batch that is run again reads the batches before it and
+overwrites its own partitions, so it gives the same tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,10 +18,10 @@ from citylake.functions.scalars import density
 from citylake.operators.raster import overviews
 from citylake.operators.select import latest_raster, pending_exports
 from citylake.operators.water import city_consumption_yr
-from citylake.streaming.snapshots import DELETED, SnapshotTable
 
 # Raster kinds that have a latest view (wind has none).
 LATEST_KINDS = ("temperature", "precipitation", "humidity")
+DELETED = "_deleted"
 
 
 def run(changes: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -30,26 +31,44 @@ def run(changes: DataFrame, handler: Callable[[DataFrame, int], None], checkpoin
     )
 
 
+def write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Rows that a batch sets, whole; those with ``_deleted`` take their key away."""
+    if DELETED not in rows.columns:
+        rows = rows.withColumn(DELETED, F.lit(False))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str], before: int | None = None) -> DataFrame:
+    """The latest row of every key, NULL fields included; ``before`` leaves out that batch and later ones."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).where(~F.col("_r")[DELETED])
+    return latest.select(*keys, *[F.col("_r")[c].alias(c) for c in rest if c != DELETED])
+
+
 def newest(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last change of every key in the batch."""
+    """Last change of every key in the batch, whole."""
     rest = [c for c in batch.columns if c not in keys]
     picked = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
     return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest if c != order])
 
 
 def refresh_parents(children: DataFrame, parents: DataFrame, touched: DataFrame, parent_key: str) -> DataFrame:
-    """(id, population, density) of the touched parents, summed from their current children."""
+    """The touched parents with population and density summed from their current children; all other columns stay."""
     total = (
         children.join(touched, children[parent_key] == touched["id"], "left_semi")
         .groupBy(F.col(parent_key).alias("id")).agg(F.sum("population").alias("_t"))
     )
-    p = parents.join(touched, "id", "left_semi").select("id", "area_km2").join(total, "id", "left")
+    p = parents.join(touched, "id", "left_semi").join(total, "id", "left")
     pop = F.coalesce("_t", F.lit(0)).cast("long")
-    return p.select("id", pop.alias("population"), density(pop, "area_km2").alias("density"))
+    new = {"population": pop, "density": density(pop, "area_km2")}
+    return p.select(*[new[c].alias(c) if c in new else F.col(c) for c in parents.columns])
 
 
 def population_handler(
-    neighborhoods: SnapshotTable, districts: SnapshotTable, cities: SnapshotTable, provinces: SnapshotTable
+    spark: SparkSession, neighborhoods: str, districts: str, cities: str, provinces: str
 ) -> Callable[[DataFrame, int], None]:
     """Neighborhood changes (id, district_id, population, …, seq, _deleted) → district → city → province.
 
@@ -59,9 +78,9 @@ def population_handler(
     def handle(batch: DataFrame, batch_id: int) -> None:
         # kept while the batch runs: every level reads the touched ids twice
         rows = newest(batch, ["id"], "seq").persist()
-        old = neighborhoods.read(batch_id).join(rows.select("id"), "id", "left_semi")
+        old = current(spark, neighborhoods, ["id"], batch_id).join(rows.select("id"), "id", "left_semi")
         touched = _ids(old, "district_id").union(_ids(rows, "district_id")).distinct().persist()
-        neighborhoods.apply(rows, batch_id)
+        write_batch(rows, neighborhoods, batch_id)
         kept, after = [rows, touched], batch_id + 1
         steps = (
             (neighborhoods, districts, "district_id", "city_id"),
@@ -69,8 +88,8 @@ def population_handler(
             (cities, provinces, "province_id", None),
         )
         for child, parent, key, up in steps:
-            before = parent.read(batch_id)
-            parent.apply(refresh_parents(child.read(after), before, touched, key), batch_id)
+            before = current(spark, parent, ["id"], batch_id)
+            write_batch(refresh_parents(current(spark, child, ["id"], after), before, touched, key), parent, batch_id)
             if up:
                 touched = _ids(before.join(touched, "id", "left_semi"), up).distinct().persist()
                 kept.append(touched)
@@ -84,44 +103,45 @@ def _ids(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"))
 
 
-def consumption_handler(cities: SnapshotTable, consumption: SnapshotTable) -> Callable[[DataFrame, int], None]:
+def consumption_handler(spark: SparkSession, cities: str, consumption: str) -> Callable[[DataFrame, int], None]:
     """City changes (id, population, …, seq) → yearly consumption of those cities."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = newest(batch, ["id"], "seq")
-        cities.apply(rows, batch_id)
-        records = consumption.read(batch_id).join(rows.select(F.col("id").alias("city_id")), "city_id", "left_semi")
-        consumption.apply(city_consumption_yr(records, cities.read(batch_id + 1)), batch_id)
+        write_batch(rows, cities, batch_id)
+        before = current(spark, consumption, ["id"], batch_id)
+        records = before.join(rows.select(F.col("id").alias("city_id")), "city_id", "left_semi")
+        write_batch(city_consumption_yr(records, current(spark, cities, ["id"], batch_id + 1)).select(before.columns), consumption, batch_id)
 
     return handle
 
 
-def latest_raster_handler(rasters: SnapshotTable, latest: SnapshotTable) -> Callable[[DataFrame, int], None]:
+def latest_raster_handler(spark: SparkSession, rasters: str, latest: str) -> Callable[[DataFrame, int], None]:
     """Saved or deleted rasters → the latest raster of each touched kind."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = newest(batch, ["id"], "seq")
-        rasters.apply(rows, batch_id)
+        write_batch(rows, rasters, batch_id)
         kinds = rows.where(F.col("kind").isin(*LATEST_KINDS)).select("kind").distinct()
-        now = latest_raster(rasters.read(batch_id + 1).join(kinds, "kind", "left_semi"))
+        now = latest_raster(current(spark, rasters, ["id"], batch_id + 1).join(kinds, "kind", "left_semi"))
         # a kind whose last raster was deleted loses its row
         gone = kinds.join(now.select("kind"), "kind", "left_anti").withColumn(DELETED, F.lit(True))
-        latest.apply(now.withColumn(DELETED, F.lit(False)).unionByName(gone, allowMissingColumns=True), batch_id)
+        write_batch(now.withColumn(DELETED, F.lit(False)).unionByName(gone, allowMissingColumns=True), latest, batch_id)
 
     return handle
 
 
 def overview_handler(
-    cells: DataFrame, exports: SnapshotTable, out_path: str, levels: int = 6
+    spark: SparkSession, cells: DataFrame, exports: str, out_path: str, levels: int = 6
 ) -> Callable[[DataFrame, int], None]:
     """New rasters without a product → their pyramid, one folder per batch, then the product record."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ids = batch.select("id").distinct()
-        todo = pending_exports(ids, exports.read(batch_id)).select(F.col("id").alias("raster_id"))
+        todo = pending_exports(ids, current(spark, exports, ["raster_id"], batch_id)).select(F.col("id").alias("raster_id"))
         pyramid = overviews(cells.join(todo, "raster_id", "left_semi"), levels)
         pyramid.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        exports.apply(todo.withColumn("path", F.lit(f"{out_path}/batch={batch_id}")), batch_id)
+        write_batch(todo.withColumn("path", F.lit(f"{out_path}/batch={batch_id}")), exports, batch_id)
 
     return handle
 

@@ -142,28 +142,6 @@ def test_idw_over_several_chunks(spark, monkeypatch):
         assert r.value == pytest.approx((w * s[:, 2]).sum() / w.sum())
 
 
-@pytest.mark.parametrize("kernel", ["linear", "gaussian"])
-def test_rbf_against_numpy_and_at_the_nodes(spark, kernel):
-    rows, values = _stations(spark)
-    s = np.array(rows)[:, 2:]
-    d = np.hypot(s[:, None, 0] - s[None, :, 0], s[:, None, 1] - s[None, :, 1])
-    span = s[:, :2].max(axis=0) - s[:, :2].min(axis=0)
-    eps = (span.prod() / len(s)) ** 0.5
-    basis = (lambda r: r) if kernel == "linear" else (lambda r: np.exp(-((r / eps) ** 2)))
-    w = np.linalg.solve(basis(d), s[:, 2])
-    for r in R.interpolate_rbf(_bounds(spark), values, 25.0, kernel).collect():
-        assert r.value == pytest.approx(float(basis(np.hypot(s[:, 0] - r.x, s[:, 1] - r.y)) @ w), abs=1e-6)
-    x, y, v = rows[0][2:]
-    node = spark.createDataFrame([(1, x, y, x + 1, y + 1)], "raster_id long, xmin double, ymin double, xmax double, ymax double")
-    assert R.interpolate_rbf(node, values, 5.0, kernel).first().value == pytest.approx(v, abs=1e-6)
-
-
-def test_rbf_refuses_groups_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_RBF_STATIONS", 5)
-    with pytest.raises(Exception, match="more than 5 stations"):
-        R.rbf_weights(_stations(spark)[1]).collect()
-
-
 def test_zonal_stats_and_nodata(spark):
     cells = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (1, 2.0, 1.0, 4.0), (1, 3.0, 1.0, None), (1, 50.0, 1.0, 9.0)], "raster_id long, x double, y double, value double")
     zone = one(spark, zone_id=1, geom=G.box(0, 0, 10, 10))

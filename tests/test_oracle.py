@@ -12,8 +12,6 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# the long ones are covered by the driver and by the streaming tests
-SLOW = {"heat_scenarios", "heat_bands", "water_scenarios", "housing_scenarios", "stream_population"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +35,7 @@ def _rows(df):
     return cols, sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_matches_check_sql(spark, con, name):
     got = _rows(entry.queries()[name](spark, SF).toPandas())
     want = _rows(con.execute(entry.oracle_sql()[name]).df())
