@@ -112,14 +112,89 @@ def _means(cols: Sequence[str]) -> dict:
     return out
 
 
-def _mean(c: str):
-    return mean(f"_s_{c}", f"_n_{c}")
+def _mean(c: str, prefix: str = ""):
+    return mean(f"{prefix}_s_{c}", f"{prefix}_n_{c}")
 
 
-def mortgage_indicators(
-    mortgage: DataFrame, prop: DataFrame, building: DataFrame, bridge: DataFrame,
-    policy: DataFrame, credit: DataFrame, province: DataFrame, years: Sequence[int], digits: int | None = 2,
+def _loan_sums() -> dict:
+    return {**_means(["monthly", "rate", "loan"]), "_n": F.count("*")}
+
+
+def _loan_columns(digits: int | None, prefix: str = "") -> list:
+    return [
+        S.round_or_null(_mean("monthly", prefix), digits).alias("avg_monthly_payment"),
+        S.round_or_null(_mean("rate", prefix), digits).alias("avg_interest_rate"),
+        S.round_or_null(_mean("loan", prefix), digits).alias("avg_loan_amount"),
+        S.or_zero(f"{prefix}_n").alias("total_mortgages"),
+    ]
+
+
+def _rent_sums() -> dict:
+    return {**_means(["monthly", "annual", "price_to_rent"]), "_n": F.count("*")}
+
+
+def _rent_columns(digits: tuple, prefix: str = "") -> list:
+    return [
+        S.round_or_null(_mean("monthly", prefix), digits[0]).alias("avg_monthly_rent"),
+        S.round_or_null(_mean("annual", prefix), digits[0]).alias("avg_annual_rent"),
+        S.round_or_null(_mean("price_to_rent", prefix), digits[1]).alias("avg_price_to_rent_ratio"),
+        S.or_zero(f"{prefix}_n").alias("total_rentals"),
+    ]
+
+
+def _market_sums() -> dict:
+    return {**_means(["sale", "listing", "per_sqm", "living_area"]), "_n": F.count("*")}
+
+
+def _market_columns(digits: tuple, prefix: str = "") -> list:
+    return [
+        S.round_or_null(_mean("sale", prefix), digits[0]).alias("avg_sale_price"),
+        S.round_or_null(_mean("listing", prefix), digits[0]).alias("avg_listing_price"),
+        S.round_or_null(_mean("per_sqm", prefix), digits[0]).alias("avg_price_sqm"),
+        S.round_or_null(_mean("living_area", prefix), digits[1]).alias("avg_living_area"),
+        S.or_zero(f"{prefix}_n").alias("total_properties"),
+    ]
+
+
+def _vacancy_sums() -> dict:
+    return {"_u": F.sum("units"), "_v": F.count_if(F.col("vacant")), "_b": F.count("*"), **_means(["vacancy_rate"])}
+
+
+def _vacancy_columns(digits: int | None, prefix: str = "") -> list:
+    return [
+        S.or_zero(f"{prefix}_u").alias("total_units"), S.or_zero(f"{prefix}_v").alias("vacant_buildings"),
+        S.or_zero(f"{prefix}_b").alias("total_buildings"),
+        S.round_or_null(_mean("vacancy_rate", prefix), digits).alias("avg_vacancy_rate"),
+    ]
+
+
+def _named(measures: dict, prefix: str) -> list:
+    return [c.alias(f"{prefix}{k}") for k, c in measures.items()]
+
+
+def estate_indicators(
+    mortgage: DataFrame, rental: DataFrame, prop: DataFrame, building: DataFrame, bridge: DataFrame, province: DataFrame,
+    digits: tuple = (2, 1),
 ) -> DataFrame:
+    """Loan, rent, market and vacancy columns of each province in one climb: loans and rents are summed by
+    property, properties by building, buildings by neighborhood, and each table is read once."""
+    sums = lambda df, *keys: [F.sum(c).alias(c) for c in df.columns if c not in keys]
+    m = mortgage.groupBy(F.col("property_id").alias("id")).agg(*_named(_loan_sums(), "m"))
+    r = rental.groupBy(F.col("property_id").alias("id")).agg(*_named(_rent_sums(), "r"))
+    p = prop.groupBy("building_id", "id").agg(*_named(_market_sums(), "p")).join(m, "id", "left").join(r, "id", "left").drop("id")
+    p = p.groupBy(F.col("building_id").alias("id")).agg(*sums(p, "building_id"))
+    b = building.groupBy("neighborhood_id", "id").agg(*_named(_vacancy_sums(), "b")).join(p, "id", "left").drop("id")
+    b = b.groupBy("neighborhood_id").agg(*sums(b, "neighborhood_id"))
+    up = b.join(bridge.select("neighborhood_id", "province_id"), "neighborhood_id").drop("neighborhood_id")
+    up = up.groupBy("province_id").agg(*sums(up, "province_id"))
+    return from_provinces(province, up).select(
+        "province_id", *_loan_columns(digits[0], "m"), *_rent_columns(digits, "r"), *_market_columns(digits, "p"),
+        *_vacancy_columns(digits[1], "b"),
+    )
+
+
+def credit_terms(policy: DataFrame, credit: DataFrame, province: DataFrame, years: Sequence[int]) -> DataFrame:
+    """First policy and credit record of each province and year."""
     keys = ["province_id", "year"]
     pol = first_by(_in_years(policy, years).select(*keys, "id", "rate", "ltv", "lti"), keys)
     pol = pol.select(*keys, F.col("rate").alias("interest_rate"), F.col("ltv").alias("ltv_limit"), F.col("lti").alias("lti_limit"))
@@ -128,15 +203,18 @@ def mortgage_indicators(
         *keys, F.col("rate").alias("mortgage_rate"), F.col("approval").alias("approval_rate"),
         F.col("down_payment").alias("avg_down_payment_pct"),
     )
-    measures = {**_means(["monthly", "rate", "loan"]), "_n": F.count("*")}
-    loans = climb(mortgage, "property_id", measures, _property_chain(prop, building, bridge))
-    out = from_provinces(province, pol, years).join(cre, keys, "left").join(loans, "province_id", "left")
+    return from_provinces(province, pol, years).join(cre, keys, "left")
+
+
+def mortgage_indicators(
+    mortgage: DataFrame, prop: DataFrame, building: DataFrame, bridge: DataFrame,
+    policy: DataFrame, credit: DataFrame, province: DataFrame, years: Sequence[int], digits: int | None = 2,
+) -> DataFrame:
+    loans = climb(mortgage, "property_id", _loan_sums(), _property_chain(prop, building, bridge))
+    out = credit_terms(policy, credit, province, years).join(loans, "province_id", "left")
     return out.select(
-        *keys, "interest_rate", "ltv_limit", "lti_limit", "mortgage_rate", "approval_rate", "avg_down_payment_pct",
-        S.round_or_null(_mean("monthly"), digits).alias("avg_monthly_payment"),
-        S.round_or_null(_mean("rate"), digits).alias("avg_interest_rate"),
-        S.round_or_null(_mean("loan"), digits).alias("avg_loan_amount"),
-        S.or_zero("_n").alias("total_mortgages"),
+        "province_id", "year", "interest_rate", "ltv_limit", "lti_limit", "mortgage_rate", "approval_rate", "avg_down_payment_pct",
+        *_loan_columns(digits),
     )
 
 
@@ -164,42 +242,21 @@ def rent_indicators(
     rental: DataFrame, prop: DataFrame, building: DataFrame, bridge: DataFrame, province: DataFrame,
     digits: tuple = (2, 1),
 ) -> DataFrame:
-    measures = {**_means(["monthly", "annual", "price_to_rent"]), "_n": F.count("*")}
-    t = climb(rental, "property_id", measures, _property_chain(prop, building, bridge))
-    return from_provinces(province, t).select(
-        "province_id",
-        S.round_or_null(_mean("monthly"), digits[0]).alias("avg_monthly_rent"),
-        S.round_or_null(_mean("annual"), digits[0]).alias("avg_annual_rent"),
-        S.round_or_null(_mean("price_to_rent"), digits[1]).alias("avg_price_to_rent_ratio"),
-        S.or_zero("_n").alias("total_rentals"),
-    )
+    t = climb(rental, "property_id", _rent_sums(), _property_chain(prop, building, bridge))
+    return from_provinces(province, t).select("province_id", *_rent_columns(digits))
 
 
 def vacancy(building: DataFrame, bridge: DataFrame, province: DataFrame, digits: int | None = 1) -> DataFrame:
     """Units, vacant buildings and mean known vacancy rate; one row per building, so no fan-out."""
-    measures = {
-        "_u": F.sum("units"), "_v": F.count_if(F.col("vacant")), "_b": F.count("*"), **_means(["vacancy_rate"]),
-    }
-    t = by_neighborhood(building, bridge, measures)
-    return from_provinces(province, t).select(
-        "province_id", S.or_zero("_u").alias("total_units"), S.or_zero("_v").alias("vacant_buildings"),
-        S.or_zero("_b").alias("total_buildings"), S.round_or_null(_mean("vacancy_rate"), digits).alias("avg_vacancy_rate"),
-    )
+    t = by_neighborhood(building, bridge, _vacancy_sums())
+    return from_provinces(province, t).select("province_id", *_vacancy_columns(digits))
 
 
 def property_indicators(
     prop: DataFrame, building: DataFrame, bridge: DataFrame, province: DataFrame, digits: tuple = (2, 1)
 ) -> DataFrame:
-    measures = {**_means(["sale", "listing", "per_sqm", "living_area"]), "_n": F.count("*")}
-    t = climb(prop, "building_id", measures, _building_chain(building, bridge))
-    market = from_provinces(province, t).select(
-        "province_id",
-        S.round_or_null(_mean("sale"), digits[0]).alias("avg_sale_price"),
-        S.round_or_null(_mean("listing"), digits[0]).alias("avg_listing_price"),
-        S.round_or_null(_mean("per_sqm"), digits[0]).alias("avg_price_sqm"),
-        S.round_or_null(_mean("living_area"), digits[1]).alias("avg_living_area"),
-        S.or_zero("_n").alias("total_properties"),
-    )
+    t = climb(prop, "building_id", _market_sums(), _building_chain(building, bridge))
+    market = from_provinces(province, t).select("province_id", *_market_columns(digits))
     return market.join(vacancy(building, bridge, province, digits[1]), "province_id")
 
 

@@ -227,12 +227,27 @@ def opex_recovery(
 ) -> DataFrame:
     """Revenue of the province against the first OPEX record of the year."""
     revenue = _meters_up(meters, users, bridge, {"_rev": F.sum("recovery")})
+    return _recovered(from_provinces(province, revenue), opex, years, digits)
+
+
+def meter_indicators(
+    meters: DataFrame, users: DataFrame, bridge: DataFrame, opex: DataFrame, province: DataFrame,
+    years: Sequence[int], digits: tuple = (2, 1),
+) -> DataFrame:
+    """``collection_ratio`` and ``opex_recovery`` from one climb of the meters."""
+    sums = {"_i": F.sum("installed"), "_c": F.sum("collected"), "_rev": F.sum("recovery")}
+    base = from_provinces(province, _meters_up(meters, users, bridge, sums))
+    base = base.withColumn("collection_ratio", S.percent(S.or_zero("_c"), S.or_zero("_i"), digits[1]))
+    return _recovered(base.drop("_i", "_c"), opex, years, digits, "collection_ratio")
+
+
+def _recovered(base: DataFrame, opex: DataFrame, years: Sequence[int], digits: tuple, *more: str) -> DataFrame:
     first = first_by(_years(opex, years).select("year", "id", "total"), ["year"]).select("year", F.col("total").alias("_opex"))
-    base = from_provinces(province, revenue).withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
+    base = base.withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
     rev = S.or_zero("_rev")
     opex_ok = F.when(F.col("_opex") > 0, F.col("_opex"))
     return base.join(first, "year", "left").select(
-        "province_id", "year",
+        "province_id", "year", *more,
         S.rounded(rev, digits[0]).alias("revenue_eur"),
         S.rounded(opex_ok, digits[0]).alias("total_opex_eur"),
         S.percent(rev, opex_ok, digits[1]).alias("recovery_pct"),

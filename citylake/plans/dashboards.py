@@ -49,8 +49,7 @@ def water_base(t: Tables, years: Sequence[int]) -> DataFrame:
         W.network_length(t["pipe"], p),
         W.nrw(t["loss"], years),
         W.water_quality(t["water_treatment"], years),
-        W.collection_ratio(t["metered_residential"], t["users_location"], t["bridge"], p),
-        W.opex_recovery(t["metered_residential"], t["users_location"], t["bridge"], t["opex"], p, years),
+        W.meter_indicators(t["metered_residential"], t["users_location"], t["bridge"], t["opex"], p, years),
         W.coverage(t["coverage"], t["city"], p),
         W.drought_area(t["drought_area"], p, years),
     )
@@ -119,12 +118,9 @@ def housing_base(t: Tables, years: Sequence[int]) -> DataFrame:
     return _join(
         H.supply_demand(t["housing_supply_demand"], t["city"], p, years).join(name, "province_id"),
         H.new_units(t["housing_project"], n, p, years),
-        H.mortgage_indicators(
-            t["mortgage"], t["property"], t["building"], n, t["central_bank_policy"], t["credit_supply"], p, years
-        ),
-        H.rent_indicators(t["rental"], t["property"], t["building"], n, p),
+        H.credit_terms(t["central_bank_policy"], t["credit_supply"], p, years),
+        H.estate_indicators(t["mortgage"], t["rental"], t["property"], t["building"], n, p),
         hpi,
-        H.property_indicators(t["property"], t["building"], n, p),
         H.zoning(t["zoning_area"], n, p),
         aff,
     )
