@@ -43,7 +43,7 @@ def cells_between(a: str, b: str, cell: float) -> str:
 
 
 def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[str] = (), salts: int = 1) -> str:
-    """Query text for the tiles of a table: id, cx, cy, area, full, anchors, near, far, odd, kept (a struct), salt.
+    """Query text for the tiles of a table: id, cx, cy, area, box, full, anchors, near, far, odd, kept (a struct), salt.
 
     Rows of cells come first: the band of edges is cut once per row, not once per cell. With salts
     every tile is repeated once for each of them.
@@ -70,11 +70,11 @@ def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[s
         SELECT id{kept}, area, first, cy, box, filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band
         FROM ({rows})"""
     cells = f"""
-        SELECT id{kept}, area, cy, explode(transform(sequence({index('box.xmin', cell)}, {index('box.xmax', cell)}), cx -> {one})) AS t
+        SELECT id{kept}, area, cy, box, explode(transform(sequence({index('box.xmin', cell)}, {index('box.xmax', cell)}), cx -> {one})) AS t
         FROM ({bands})"""
     salt = f", explode(sequence(0, {salts - 1})) AS salt" if salts > 1 else ""
     return f"""
-        SELECT id{kept}, area, t.cx, cy, t.near, t.anchors, t.odd, t.full, t.far{salt}
+        SELECT id{kept}, area, box, t.cx, cy, t.near, t.anchors, t.odd, t.full, t.far{salt}
         FROM ({cells}) WHERE size(t.near) > 0 OR t.full OR size(t.anchors) > 0"""
 
 
@@ -173,6 +173,7 @@ def spatial_join(
         SELECT a.id AS {out_left}, b.id AS {out_right}{kept}
         FROM (SELECT *, {_salt_of('id', salts)} FROM ({tiles_sql('{left}', left_id, left_geom, cell, keep)})) a
         JOIN ({tiles_sql('{right}', right_id, right_geom, cell, salts=salts)}) b ON {_same_cell('a', 'b', salts)}
+          AND a.box.xmin <= b.box.xmax AND b.box.xmin <= a.box.xmax AND a.box.ymin <= b.box.ymax AND b.box.ymin <= a.box.ymax
         WHERE {' OR '.join(tests)}"""
     pairs = left.sparkSession.sql(text, left=left, right=right)
     return pairs.dropDuplicates([out_left, out_right])

@@ -375,3 +375,88 @@ add(
            FROM (SELECT * FROM building WHERE id % 7 <> 0) b FULL JOIN park k ON b.id = k.id""",
     ),
 )
+
+# --- every other layer job, on features derived from buildings or streets ---------------
+
+_TEXT = "concat('{0}', CAST(id {1} AS STRING))"
+_NAMED = {"naam": _TEXT.format("name ", ""), "type": _TEXT.format("type ", "% 4")}
+_FEATURES = {
+    "provinces": ("building", {"naam": _NAMED["naam"], "code": _TEXT.format("c", "% 9")}),
+    "cities": ("building", {"naam": _NAMED["naam"], "code": _TEXT.format("c", "% 9")}),
+    "districts": ("building", {"wijkcode": _TEXT.format("WK", ""), "wijknaam": _NAMED["naam"]}),
+    "neighborhoods": ("building", {"buurtcode": _TEXT.format("BU", ""), "buurtnaam": _NAMED["naam"], "aantalInwoners": "id * 3"}),
+    "streets": ("street", {"identificatie": _TEXT.format("S", ""), "openbareruimtenaam": _NAMED["naam"], "type": _NAMED["type"]}),
+    "protected_areas": ("building", {"naam": _NAMED["naam"], "sitecode": _TEXT.format("NL", "% 50"), "type": _NAMED["type"]}),
+    "water_bodies": ("building", _NAMED),
+    "waterways": ("street", _NAMED),
+    "forests": (
+        "building",
+        {
+            "id": _TEXT.format("F", ""), "naam": _NAMED["naam"],
+            "typelandgebruik": "CASE id % 4 WHEN 0 THEN 'bos: loofbos' WHEN 1 THEN 'bos: naaldbos' WHEN 2 THEN 'water' ELSE 'bos: gemengd bos' END",
+        },
+    ),
+    "energy_labels": (
+        "building",
+        {
+            "pand_id": _TEXT.format("P", ""), "energieklasse": "CASE WHEN id % 5 <> 0 THEN 'A' END",
+            "registratiedatum": "concat('2020-01-', lpad(CAST(id % 28 + 1 AS STRING), 2, '0'))",
+        },
+    ),
+}
+
+
+def _add_layer(name: str) -> None:
+    table, attributes = _FEATURES[name]
+    spec = I.LAYERS[name]
+    of = {target: attributes[source] for source, target in spec.columns.items()}
+    kind = lambda c: spec.types.get(c, "string")
+
+    def run(t):
+        path = landing(t, name)
+        K.write_geojson(t[table].select(*[F.expr(e).alias(a) for a, e in attributes.items()], "geom"), path)
+        # some features are there already, without values, and some that are not delivered stay
+        key = F.expr(of[spec.unique])
+        keys = t[table].where("id % 3 = 0").select(key.alias("k")).unionByName(t[table].where("id % 5 = 0").select(F.concat(F.lit("old "), key).alias("k")))
+        target = keys.select(*[(F.col("k") if c == spec.unique else F.lit(None).cast(kind(c))).alias(c) for c in of], F.lit(None).cast(G.GEOM_TYPE).alias("geom"))
+        snapshot, _ = I.import_layer(t.spark, name, path, target, srid=G.WGS84, multiline=False)
+        return snapshot.select(*[F.col(c).cast("string").alias(c) for c in of], F.col("geom").isNotNull().alias("placed"))
+
+    new = ", ".join(f"CAST({e} AS STRING) AS {c}" for c, e in of.items())
+    old = ", ".join(f"concat('old ', {e}) AS {c}" if c == spec.unique else f"NULL AS {c}" for c, e in of.items())
+    where = "" if spec.any_of is None else " WHERE id % 4 <> 2"
+    none = "" if spec.any_of is None else ", ".join(f"{e} AS {c}" if c == spec.unique else f"NULL AS {c}" for c, e in of.items())
+    there = f" UNION ALL SELECT {none}, false AS placed FROM {table} WHERE id % 4 = 2 AND id % 3 = 0" if none else ""
+    add(
+        f"layer_import_{name}",
+        run,
+        oracle(table, f"SELECT {new}, true AS placed FROM {table}{where} UNION ALL SELECT {old}, false FROM {table} WHERE id % 5 = 0{there}"),
+    )
+
+
+for _name in _FEATURES:
+    _add_layer(_name)
+
+
+# --- cells, bounds and measurements as files that arrive --------------------------------
+
+
+def _cells(t):
+    path = landing(t, "cells")
+    t["cells"].withColumn("value", F.coalesce("value", F.lit(-9999.0))).write.parquet(path)
+    return files.read_cells(t.spark, path, nodata=-9999.0).select("raster_id", "col", "row", "value")
+
+
+add("read_cells", _cells, oracle("cells", "SELECT raster_id, col, row, value FROM cells"))
+
+
+def _arriving(t):
+    path, out = landing(t, "measurements"), landing(t, "stored")
+    t["measurement"].withColumn("date", F.col("date").cast("timestamp")).withColumn("vapor_pressure", F.lit(None).cast("double")).write.parquet(path)
+    stream = files.stream_measurements_source(t.spark, path)
+    job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(out).groupBy("station_id").agg(F.count("*").alias("n"), F.sum("humidity").alias("h"))
+
+
+add("stream_measurements", _arriving, oracle("measurement", "SELECT station_id, count(*) AS n, sum(humidity) AS h FROM measurement GROUP BY 1"))

@@ -61,6 +61,18 @@ add(
 # --- grids, metadata ------------------------------------------------------------------
 
 add("raster_bounds", lambda t: R.raster_bounds(t["cells"]).select("raster_id", "bounds.bbox.*"), oracle("cells", _EXT))
+add(
+    "raster_bounds_filled",
+    lambda t: R.fill_bounds(
+        t["cells"].select(F.col("raster_id").alias("id")).distinct().withColumn("bounds", F.when(F.col("id") % 2 == 0, G.box(0.0, 1.0, 2.0, 3.0))), t["cells"]
+    ).select("id", "bounds.bbox.*"),
+    oracle(
+        "cells",
+        """SELECT raster_id AS id, CASE WHEN raster_id % 2 = 0 THEN 0 ELSE xmin END AS xmin, CASE WHEN raster_id % 2 = 0 THEN 1 ELSE ymin END AS ymin,
+              CASE WHEN raster_id % 2 = 0 THEN 2 ELSE xmax END AS xmax, CASE WHEN raster_id % 2 = 0 THEN 3 ELSE ymax END AS ymax FROM ext""",
+        ext=_EXT,
+    ),
+)
 add(
     "raster_metadata",
     lambda t: files.raster_metadata(
