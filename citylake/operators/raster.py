@@ -122,12 +122,12 @@ def grid_tiles(bounds: DataFrame, res: float, keys: Sequence[str] = ("raster_id"
     )
 
 
-def fill_tiles(t: DataFrame, res: float, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def fill_tiles(t: DataFrame, res: float, keys: Sequence[str]) -> DataFrame:
     span = lambda i, n: F.sequence(F.col(i) * TILE, F.least(F.col(i) * TILE + TILE, F.col(n)) - 1)
     cells = t.withColumn("row", F.explode(span("_ty", "_ny"))).withColumn("col", F.explode(span("_tx", "_nx")))
     return cells.select(
         *keys, "tile", "col", "row", (F.col("xmin") + F.col("col") * res).alias("x"),
-        (F.col("ymin") + F.col("row") * res).alias("y"), *carry,
+        (F.col("ymin") + F.col("row") * res).alias("y"),
     )
 
 
@@ -180,32 +180,26 @@ def station_chunks(values: DataFrame, keys: Sequence[str], cols: Sequence[str])
     )
 
 
-def _cells_with_stations(
-    bounds: DataFrame, chunks: DataFrame, res: float, keys: Sequence[str]
-) -> DataFrame:
-    """Grid positions with the station chunks of their raster; tiles of one raster are spread by salt."""
-    tiles = grid_tiles(bounds, res, keys).repartition(*keys, "tile")
-    tiles = tiles.withColumn("_salt", F.pmod(F.col("tile"), F.lit(TILE_SALTS)).cast("int"))
-    return fill_tiles(tiles.join(chunks, [*keys, "_salt"]), res, keys, ["stations"])
-
-
 def interpolate_idw(bounds: DataFrame, values: DataFrame, res: float, keys: Sequence[str] = ("raster_id",)) -> DataFrame:
     """Inverse-distance weighting over all stations of the raster, power 1.
 
-    Tiles of the grid meet chunks of stations on the raster key; the sums over a chunk are
-    taken inside an expression, so no (cell, station) row exists, and the chunks of a cell are
-    added by a partial aggregate. A raster with very many cells or stations is spread by tile.
+    Tiles of the grid meet chunks of stations on the raster key and a salt. The sums of a tile's cells over a
+    chunk are taken inside one expression, before the cells are rows, so stations are copied for each tile and
+    not for each cell; the chunks of a cell are added by a partial aggregate.
     """
     keys = list(keys)
     chunks = station_chunks(values, keys, ["x", "y", "value"])
-    cells = _cells_with_stations(bounds, chunks, res, keys)
-    weight = "1 / (hypot(x - s.x, y - s.y) + 1e-10D)"
+    tiles = grid_tiles(bounds, res, keys).repartition(*keys, "tile")
+    tiles = tiles.withColumn("_salt", F.pmod(F.col("tile"), F.lit(TILE_SALTS)).cast("int"))
+    x, y = f"(xmin + col * {G.num(res)})", f"(ymin + row * {G.num(res)})"
+    weight = f"1 / (hypot({x} - s.x, {y} - s.y) + 1e-10D)"
     add = G.let("w", weight, "named_struct('w', acc.w + w, 'v', acc.v + w * s.value)")
     sums = f"aggregate(stations, named_struct('w', 0D, 'v', 0D), (acc, s) -> {add})"
-    part = cells.selectExpr(*keys, "col", "row", "x", "y", f"{sums} AS _s")
-    return part.groupBy(*keys, "col", "row", "x", "y").agg(
-        (F.sum("_s.v") / F.sum("_s.w")).alias("value")
-    )
+    span = lambda i, n: f"sequence({i} * {TILE}, least({i} * {TILE} + {TILE}, {n}) - 1)"
+    cell = f"named_struct('col', col, 'row', row, 'x', {x}, 'y', {y}, '_s', {sums})"
+    cells = f"inline(flatten(transform({span('_ty', '_ny')}, row -> transform({span('_tx', '_nx')}, col -> {cell}))))"
+    part = tiles.join(chunks, [*keys, "_salt"]).selectExpr(*keys, cells)
+    return part.groupBy(*keys, "col", "row", "x", "y").agg((F.sum("_s.v") / F.sum("_s.w")).alias("value"))
 
 
 def raster_summary(cells: DataFrame, values: DataFrame, meta: DataFrame) -> DataFrame:
