@@ -199,7 +199,7 @@ def loss_rules() -> dict[str, Column]:
 
 def stress_category_rules() -> dict[str, Column]:
     filled = lambda c: F.coalesce(F.length(F.col(c)) > 0, F.lit(False))
-    return {"category must have a name": filled("category"), "category must have a description": filled("description")}
+    return {"a stress category lacks its name": filled("category"), "a stress category lacks its description": filled("description")}
 
 
 def upload_rules() -> dict[str, Column]:

@@ -304,8 +304,8 @@ add(
              SELECT 'per-capita consumption must not be negative' AS rule, count(*) AS n FROM consumption_capita WHERE l_per_day - 110 < 0
              UNION ALL SELECT 'loss category does not fit the loss type', count(*) FROM (SELECT category, CASE WHEN id % 17 = 0 THEN 'A' ELSE type END AS type FROM loss)
                WHERE NOT (CASE type WHEN 'A' THEN category IN ('CM', 'UA', 'DE', 'OT') ELSE category IN ('LP', 'LS', 'LM', 'OT') END)
-             UNION ALL SELECT 'category must have a name', count(*) FROM part WHERE p_partkey % 5 = 0
-             UNION ALL SELECT 'category must have a description', count(*) FROM part WHERE p_partkey % 3 = 0
+             UNION ALL SELECT 'a stress category lacks its name', count(*) FROM part WHERE p_partkey % 5 = 0
+             UNION ALL SELECT 'a stress category lacks its description', count(*) FROM part WHERE p_partkey % 3 = 0
              UNION ALL SELECT 'unsupported file extension', count(*) FROM customer WHERE c_custkey % 2 <> 0
              UNION ALL SELECT 'EPSG code out of range', count(*) FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT BETWEEN 1000 AND 100000
              UNION ALL SELECT 'type is not an allowed value', count(*) FROM zoning_area WHERE type = 'other') WHERE n > 0""",

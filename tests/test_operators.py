@@ -234,3 +234,13 @@ def test_nothing_is_cross_joined(spark):
     df = HI.with_scenarios(HI.with_global(p, one_row, "g"), [1.0, 2.0], "sc")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_box_filters_reach_the_stored_layer(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    spark.range(20).select("id", F.expr("CAST(id * 1000 AS DOUBLE) AS x")).select("id", G.box("x", "x", "x + 10", "x + 10").alias("geom")).write.parquet(path)
+    near = L.clip_to_box(spark.read.parquet(path), (2500.0, 2500.0, 5500.0, 5500.0), G.RD, G.RD)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert all(f"geom.bbox.{side}" in plan.split("PushedFilters")[1] for side in ("xmin", "xmax", "ymin", "ymax"))
+    assert sorted(r.id for r in near.collect()) == [3, 4, 5]
