@@ -182,7 +182,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(frames):
         own = codec(path)
-        for doc_ids, texts in tokens.text_batches(frames):
+        for doc_ids, texts in tokens.text_batches(frames, 6 << 20):  # larger batches hold fewer distinct parts
             ids, offsets = own.encoder.batch(texts)
             for first in range(0, len(doc_ids), 256):
                 rows = []

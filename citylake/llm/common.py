@@ -35,8 +35,12 @@ def _shipped(application: str, spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the tasks of a session, once; workers need not have it installed."""
+    """Send this package to the tasks of a session, once; workers need not have it installed. Texts are long
+    rows, so a session that has not chosen the size of its batches for Python gets smaller ones."""
     _shipped(spark.sparkContext.applicationId, spark)
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, None) == usual:
+        spark.conf.set(key, "4194304b")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -122,10 +126,10 @@ def in_block_pairs(df: DataFrame, keys: Sequence[str], item: str, block: int) ->
 
     A key with n items is cut into n / block parts by the item's hash. Each row gets its ``part`` and is
     listed for every pair (lo, hi) of parts that it belongs to, so any two items of a key meet in just one
-    group (key, lo, hi): that of their own parts. A group has about 2 * block rows, whatever n is. Keys
-    with one item are dropped before rows move.
+    group (key, lo, hi): that of their own parts. A group has about 2 * block rows, whatever n is. The
+    counts are a table of their own, so that Spark can split a hot key where rows meet them.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counts = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "counts")
     parts = F.ceil(F.col("_n") / block).cast("int")
     rows = df.join(counts, list(keys)).withColumn("_parts", parts).drop("_n")
     rows = rows.withColumn("part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))

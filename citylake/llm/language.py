@@ -20,7 +20,7 @@ BITS = 21  # of a code point; three fit into a long
 def grams(text: str, orders: Sequence[int] = (1, 2, 3)) -> np.ndarray:
     """n-grams of a text's lower-case words, each word between blanks, as longs. Empty if it has no letter."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):
         return np.zeros(0, np.int64)
     codes = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype(np.int64) + 1
     out = []
@@ -63,7 +63,7 @@ def profiles(docs: DataFrame, label: str = "lang", size: int = 400, orders: Sequ
                 keys = grams(text, orders)
                 held.setdefault(lang, []).append(keys)
                 waiting += len(keys)
-                if waiting > 8_000_000:
+                if waiting > 1_000_000:
                     yield from out()
                     held, waiting = {}, 0
         yield from out()
@@ -119,6 +119,7 @@ def predict(docs: DataFrame, learned: DataFrame, size: int = 400, orders: Sequen
         out = [made[0].predict(grams(t, orders)) if isinstance(t, str) else (UNKNOWN, 0.0) for t in text]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
+    judge = judge.asNondeterministic()  # so that a filter on its result does not run it a second time
     marked = docs.select(as_row(docs), judge(F.col("text").cast("string")).alias("out"))
     return marked.select(*of_row(docs, ["lang_pred", "score"]), "out.*")
 

@@ -116,6 +116,7 @@ def pack(
         for doc_ids, texts in tokens.text_batches(frames):
             ids, offsets = encode(texts)
             raw, at = ids.tobytes(), (4 * offsets).tolist()
+            del ids, texts
             rows = []
             for k, doc_id in enumerate(doc_ids):
                 rows.extend(packer.add((doc_id,), raw[at[k] : at[k + 1]] + end))

@@ -123,6 +123,7 @@ def judge(
             out.append((*statistics(t), float(table.value[at].mean()) if len(at) else 0.0))
         return pd.DataFrame(out, columns=[*names, "llr"])
 
+    measure = measure.asNondeterministic()  # so that a filter on its result does not run it a second time
     marked = docs.select(as_row(docs), measure(F.col("text").cast("string")).alias("out"))
     marked = marked.select(*of_row(docs, [*names, "llr", "base_failed", "kept"]), "out.*")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))

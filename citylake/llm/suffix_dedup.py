@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citylake.llm.common import as_row, of_row, stored, whole_groups
+from citylake.llm.common import as_row, group_starts, of_row, stored, whole_groups
 
 GRAM = 24  # bytes of the first digit
-SLICE = 1 << 20  # window starts that are hashed at once
-PART = 1 << 14  # runs with one first digit that a task compares at once
+SLICE = 1 << 18  # window starts that are hashed at once
+PART = 1 << 12  # runs with one first digit that a task compares at once
 
 _rng = np.random.default_rng(20240229)
 #: Byte values and multipliers of the two rolling hashes.
@@ -127,8 +127,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     pass, groups of one are dropped: nothing else holds their windows. What agrees in all digits is a
     repeated window. Digits are pairs of independent 64-bit hashes.
 
-    Counting is combined before each shuffle, and rows meet counts in joins whose large keys Spark can
-    split, so a passage that most documents share does not fill a task.
+    Counting is combined before each shuffle, and rows meet counts, tables of their own, in joins whose
+    large keys Spark can split, so a passage that most documents share does not fill a task.
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text"))
@@ -146,6 +146,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pd.DataFrame({"g": _signed(g), "f": _signed(f), "doc_id": own["doc_id"], "h": own["h"], "s": s + shift, "e": e + shift})
 
     shared = keyed.select("text").mapInPandas(digits, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    shared = stored(shared, "digits")
     every = keyed.mapInPandas(runs, f"g long, f long, doc_id {kind}, h long, s long, e long")
     kept = stored(every.join(shared, "g"), "runs")
 
@@ -153,8 +154,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     classes = stored(classes, "classes")
     alike = classes.where("n > 1").select("g", "f")
     whole = kept.join(alike, ["g", "f"]).select("doc_id", "h", "s", (F.col("e") + length - 1).alias("e"))
-    mixed_groups = classes.groupBy("g").agg(F.min("n").alias("n")).where("n = 1").select("g")
-    open_ = classes.join(mixed_groups, "g").groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    open_ = classes.groupBy("g").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).where("n = 1 and k > 1")
+    open_ = stored(open_.select("g", "k"), "open")
     todo = classes.join(open_, "g").select("one.*", F.col("g"), (F.col("n") == 1).alias("ask"))
     todo = todo.groupBy("doc_id", "h").agg(F.collect_list(F.struct("g", "s", "e", "ask")).alias("runs"))
     opened = stored(_opened(keyed, todo, length, kind), "opened").join(open_, "g")
@@ -165,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     found = stored(_matched(opened, length, kind), "matched")
     across = found.where("g is not null")
     twice = across.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w")
-    hits = across.where("ask").join(twice, ["g", "w"]).select("doc_id", "h", "s", "e")
+    hits = across.where("ask").join(stored(twice, "twice"), ["g", "w"]).select("doc_id", "h", "s", "e")
     return whole.unionByName(found.where("g is null").select("doc_id", "h", "s", "e")).unionByName(hits)
 
 
@@ -192,7 +193,7 @@ def _matched(opened: DataFrame, length: int, kind: str) -> DataFrame:
     single in a part (ask), and each of the others once."""
 
     def run(frames):
-        for frame in whole_groups(frames, ["g", "part"]):
+        for frame in _in_turn(whole_groups(frames, ["g", "part"])):
             sizes = frame["bytes"].map(len).to_numpy() - length + 1
             first = np.append(0, np.cumsum(sizes + length - 1))[:-1]
             row = np.repeat(np.arange(len(frame)), sizes)
@@ -218,6 +219,16 @@ def _matched(opened: DataFrame, length: int, kind: str) -> DataFrame:
     return opened.mapInPandas(run, f"doc_id {kind}, h long, s long, e long, g long, w long, ask boolean")
 
 
+def _in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of the frames again, about 2048 rows at a time, to hold the windows of few rows at once."""
+    for frame in frames:
+        begin = 0
+        for end in group_starts(frame, ["g", "part"])[1:]:
+            if end - begin >= 2048 or end == len(frame):
+                yield frame.iloc[begin:end].reset_index(drop=True)
+                begin = end
+
+
 def _placed(frame, row, s, e, g=None, w=None, ask=None) -> pd.DataFrame:
     kinds = {"g": "Int64", "w": "Int64", "ask": "boolean"}
     own = frame[["doc_id", "h"]].iloc[row].reset_index(drop=True)
@@ -243,6 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_cut(*row) for row in zip(text, starts, ends)], columns=out)
 
+    cut = cut.asNondeterministic()  # so that a filter on its result does not run it a second time
     marked = rows.select("row", cut(F.col("row.text").cast("string"), "cut.s", "cut.e").alias("out"))
     return marked.select(*of_row(docs, out), "out.*")
 

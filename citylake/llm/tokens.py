@@ -123,7 +123,7 @@ class Encoder:
         return flat, offsets
 
 
-def text_batches(frames: Iterable[pd.DataFrame], chars: int = 12 << 20) -> Iterator[tuple[list, list[str]]]:
+def text_batches(frames: Iterable[pd.DataFrame], chars: int = 3 << 20) -> Iterator[tuple[list, list[str]]]:
     """(doc ids, texts) of the rows, null ids as None and null texts as empty, in batches of about
     ``chars`` characters; a longer text is a batch of its own."""
     ids: list = []

@@ -382,6 +382,7 @@ def test_language_of_awkward_rows(spark, odd, none):
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert len(got) == len(awkward()) and by_id[16]["lang_pred"] == "de" and by_id[17]["lang_pred"] == "en"
     assert {by_id[i]["lang_pred"] for i in (1, 2, 3, 7)} == {"und"} and by_id[1]["score"] == 0.0
+    assert not len(language.grams("½ ² 12 _")) and len(language.grams("½ é"))
     assert language.predict(none, learned).count() == 0
     assert {r["lang_pred"] for r in language.predict(odd, language.profiles(none)).collect()} == {"und"}
 
