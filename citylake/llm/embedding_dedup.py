@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citylake.llm.common import components, forest, group_starts, in_block_pairs, stored, whole_groups
@@ -26,16 +26,37 @@ def vectors(rows: DataFrame) -> DataFrame:
     return keyed.groupBy(*SPACE, "key").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
 
 
-def pivots(distinct: DataFrame) -> DataFrame:
+def pivots(distinct: DataFrame, least: float) -> DataFrame:
     """(label, width, pivot, pvec): the reference points, a sample of each label's different vectors: about four
-    times the root of their number, at most MOST_PIVOTS, those whose keys hash lowest."""
+    times the root of their number, at most MOST_PIVOTS, those whose keys hash lowest and that lie apart.
+
+    No two are within twice the link angle, so the vectors around which others link are described by one pivot
+    or a few, however many they are: in proportion to density, a large group of near copies would get hundreds,
+    its members would choose different ones and not meet.
+    """
     counts = distinct.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("m", F.least(F.lit(MOST_PIVOTS), F.ceil(4 * F.sqrt("n"))).cast("long"))
     # about twice as many as wanted are drawn; only they are ranked, not a whole label
     share = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     near = distinct.join(counts, SPACE).where(share < (2.0 * F.col("m") + 32.0) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy(*SPACE).orderBy(share, "key"))
-    return near.withColumn("pivot", rank.cast("int")).where(F.col("pivot") <= F.col("m")).select(*SPACE, "pivot", F.col("vec").alias("pvec"))
+    most = 2 * least * least - 1 if least > 0 else -1.0  # cosine of twice the angle
+
+    def run(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values(["share", "key"])
+        unit, m, taken = _unit(np.stack(some["vec"].to_list())), int(some["m"].iloc[0]), []
+        held = np.zeros((min(m, len(unit)), unit.shape[1]))
+        for k, v in enumerate(unit):
+            if len(taken) == len(held):
+                break
+            if not taken or (held[: len(taken)] @ v).max() < most:
+                held[len(taken)] = v
+                taken.append(k)
+        out = some.iloc[taken]
+        return out[SPACE].assign(pivot=np.arange(1, len(out) + 1, dtype=np.int32), pvec=out["vec"])
+
+    kind = distinct.schema["label"].dataType.simpleString()
+    drawn = near.select(*SPACE, "m", share.alias("share"), "key", "vec")
+    return drawn.groupBy(*SPACE).applyInPandas(run, f"label {kind}, width int, pivot int, pvec array<double>")
 
 
 def described(distinct: DataFrame, points: DataFrame, nearest: int) -> DataFrame:
@@ -138,10 +159,11 @@ def near_duplicates(
 
     Every link that is reported is exact; a link is found if the two share ``shared`` of their ``nearest``
     pivots (recall is measured in the tests and the README). Copies are one vector in the index. The number
-    of pivots grows with the root of a label's vectors, so lists and descriptions grow alike.
+    of pivots grows with the root of a label's vectors, so lists and descriptions grow alike; a large group of
+    near copies has long lists, which are tested by pairs of blocks.
     """
     distinct = stored(vectors(rows), "vectors")
-    index = stored(described(distinct, pivots(distinct), nearest), "index")
+    index = stored(described(distinct, pivots(distinct, least), nearest), "index")
     found = stored(search(index, least, shared, block), "found")
     roots = components(found.where("kind = 1").select("key", "other"))
     sums = found.where("kind = 0").groupBy("key").agg(F.sum("weight").alias("to_others"))

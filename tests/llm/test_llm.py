@@ -552,6 +552,21 @@ def test_embeddings_against_brute_force(spark, block):
     assert np.mean([got[i]["component_id"] == c for i, _, c in want]) > 0.97
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+@pytest.mark.parametrize("cosine", [0.93, 0.97])
+def test_embeddings_of_a_dense_group(spark, n, cosine):
+    """Near, not equal, copies that are a third of a label."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    centre = rng.normal(size=64)
+    x[::3] = centre / np.linalg.norm(centre) + rng.normal(size=(len(x[::3]), 64)) * math.sqrt((1 / cosine - 1) / 64)
+    docs = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist(), "label": 0})).repartition(3)
+    got = embedding_dedup.near_duplicates(docs).orderBy("vec_id").toPandas().n_links.to_numpy()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert want.sum() > 50_000 and (got <= want).all() and got.sum() / want.sum() > 0.99
+
+
 def test_embeddings_of_awkward_rows(spark):
     rows = [
         (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], None), (4, None, 0), (5, [0.0, 0.0], 0), (6, [float("nan"), 1.0], 0),
