@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citylake.llm import automaton, class_lm, codes, common, embedding_dedup, language, packing, quality, secrets, simhash, suffix_dedup, tokens
+from citylake.llm import automaton, class_lm, codes, common, embedding_dedup, language, packing, quality, secrets, shingles, simhash, suffix_dedup, tokens
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -616,6 +616,36 @@ def test_pipeline(spark, table, tokenizer):
     assert sum(got.values()) > 0 and {i for i, _, _ in got} == set(rows)
 
 
+def similar_groups(texts, ids, width=5, least=0.8):
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in map(words, texts)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [ids[find(k)] for k in range(len(sets))]
+
+
+def test_near_copies_of_the_pipeline(spark, table):
+    """Texts with a word or some changed, just on either side of 0.8, and all documents of the table."""
+    rng = random.Random(9)
+    texts = table.text.tolist()
+    for _ in range(60):
+        own = [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(rng.randrange(40, 200))]
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03):
+            texts.append(" ".join(w if rng.random() > share else "changed" for w in own))
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()}
+    assert kept == set(similar_groups(texts, ids))
+
+
 def test_pipeline_of_awkward_rows(spark, odd, none):
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     for start in (odd.select(cols), none.select(cols)):
