@@ -653,3 +653,10 @@ def test_pipeline_of_awkward_rows(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES:
             rows = common.stored(stage(spark, rows, SF), name)
         assert (rows.count() > 0) == (start.count() > 0)
+
+
+def test_scripts_nobody_learned_leave_the_pipeline(spark):
+    rows = [(1, "the dog and the cat", "en"), (2, "der Hund und die Katze", "de"), (3, "собака и кошка", None), (4, "a dog", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.by_language(spark, docs, SF).collect()}
+    assert got == {1: "en", 2: "de", 4: "en"}
