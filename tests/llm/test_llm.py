@@ -660,3 +660,11 @@ def test_scripts_nobody_learned_leave_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.by_language(spark, docs, SF).collect()}
     assert got == {1: "en", 2: "de", 4: "en"}
+
+
+def test_two_texts_under_one_id(spark):
+    """The one that copies a smaller id goes, the other stays."""
+    one, other = "one text of some words here and there", "quite another text that nobody else has at all"
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (None, one)], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    assert got == Counter([(1, one), (5, other), (None, one)])
