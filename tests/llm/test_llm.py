@@ -668,3 +668,13 @@ def test_two_texts_under_one_id(spark):
     docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (None, one)], "doc_id long, text string").repartition(3)
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
     assert got == Counter([(1, one), (5, other), (None, one)])
+
+
+def test_stages_keep_columns_with_names_of_the_operators(spark):
+    names = ["lang_pred", "score", "n_bytes", "n_removed", "n_spans", "kept", "spans", "row"]
+    docs = spark.createDataFrame([(1, "the dog token=abcdefgh1", "en", 0, *names)], "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = common.stored(stage(spark, rows, SF), name)
+        assert rows.columns == docs.columns and [rows.first()[n] for n in names] == names
+    assert rows.first()["text"] == "the dog [SECRET]" and rows.first()["n_chars"] == 16
