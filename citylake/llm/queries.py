@@ -14,6 +14,7 @@ from citylake.llm.common import documents, ship
 from citylake.llm.packing import pack
 from citylake.llm.simhash import near_duplicates
 from citylake.llm.suffix_dedup import remove_repeats
+from citylake.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +97,8 @@ def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.perplexities(documents(spark, sf_dir))
+
+
+@register
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), limit=512)
