@@ -12,6 +12,7 @@ from citylake.llm.automaton import round_trip
 from citylake.llm.codes import read_codes, write_codes
 from citylake.llm.common import documents, ship
 from citylake.llm.packing import pack
+from citylake.llm.periodic_runs import longest, periodic_runs, planted
 from citylake.llm.simhash import near_duplicates
 from citylake.llm.suffix_dedup import remove_repeats
 from citylake.llm.token_counts import count_tokens
@@ -102,3 +103,14 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), limit=512)
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(planted(documents(spark, sf_dir))).withColumn("best", longest())
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
