@@ -14,6 +14,7 @@ from citylake.llm.common import documents, ship
 from citylake.llm.packing import pack
 from citylake.llm.periodic_runs import longest, periodic_runs, planted
 from citylake.llm.simhash import near_duplicates
+from citylake.llm.spelling import misspelled_words, variants
 from citylake.llm.suffix_dedup import remove_repeats
 from citylake.llm.token_counts import count_tokens
 
@@ -105,6 +106,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), limit=512)
 
 
+@register
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(misspelled_words(documents(spark, sf_dir)))
+
+
 @register
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = periodic_runs(planted(documents(spark, sf_dir))).withColumn("best", longest())
