@@ -83,14 +83,15 @@ def layer_rows(
 def import_layer(
     spark: SparkSession, name: str, path: str, target: DataFrame, bbox: tuple | None = None, srid: int = G.RD,
     limit: int | None = None, dry_run: bool = False, multiline: bool = True, max_errors: int | None = None,
+    delivery: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(snapshot, report) of one landed vector layer, upserted by the layer's unique column.
 
-    The last feature of a repeated key wins, by file and place in it. Rows with errors are in the report
+    The feature of a repeated key that arrived last wins, see ``sources.files.arrival_order``. Rows with errors are in the report
     only; the others are written, unless the caller sets ``max_errors`` and more rows than that fail.
     """
     spec = LAYERS[name]
-    rows = layer_rows(files.read_geojson(spark, path, srid, multiline), spec, bbox, srid=srid, limit=limit)
+    rows = layer_rows(files.read_geojson(spark, path, srid, multiline, delivery=delivery), spec, bbox, srid=srid, limit=limit)
     compare = [c for c in (*spec.columns.values(), "geom") if c != spec.unique]
     return run_import(
         target, rows, [spec.unique], compare, "arrival", dry_run, required_geom="geom", errors="errors",

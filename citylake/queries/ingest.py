@@ -340,14 +340,14 @@ add(
 
 
 def _deliveries(t):
-    """Two landed deliveries; the later one corrects half of the cities downward."""
+    """Two landed deliveries of many pages; the tenth corrects half of the cities of the ninth downward."""
     path = landing(t, "odata")
-    for name, where, supply, demand in (("a", "true", "o_custkey % 30 + 1000", "o_custkey % 30 + 2000"), ("b", "o_custkey % 2 = 0", "o_custkey % 30", "o_custkey % 30 + 1")):
+    for name, where, supply, demand in (("delivery-9", "true", "o_custkey % 30 + 1000", "o_custkey % 30 + 2000"), ("delivery-10", "o_custkey % 2 = 0", "o_custkey % 30", "o_custkey % 30 + 1")):
         row = f"""concat('{{"Gebruiksfunctie":"', {_USE}, '","RegioS":"', {_REG}, '","Perioden":"', {_PER}, '","EindstandVoorraad_22":', {supply}, ',"VergundeNieuwbouw_2":', {demand}, '}}')"""
         rows = t.base("orders").where(where).selectExpr("floor(o_orderkey / 500) AS page", f"{row} AS r")
         pages = rows.groupBy("page").agg(F.concat(F.lit('{"value":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
         pages.select("value").write.text(f"{path}/{name}")
-    return files.read_odata(t.spark, [f"{path}/a", f"{path}/b"], multiline=False, select=_ODATA_COLS)
+    return files.read_odata(t.spark, f"{path}/*", multiline=False, select=_ODATA_COLS)
 
 
 def _layer(t):

@@ -23,37 +23,57 @@ def _with_geom(df: DataFrame, srid: int, order: Sequence[Column]) -> DataFrame:
     return df.select(F.col("_f.properties").alias("properties"), geom.alias("geom"), *order)
 
 
-def read_geojson(spark: SparkSession, path: str | Sequence[str], srid: int = G.WGS84, multiline: bool = True, pages: bool = False) -> DataFrame:
+def read_geojson(
+    spark: SparkSession, path: str | Sequence[str], srid: int = G.WGS84, multiline: bool = True, pages: bool = False,
+    delivery: str | None = None,
+) -> DataFrame:
     """Features as (properties map, geom). With ``multiline`` each file is one FeatureCollection (a page),
-    with ``pages`` each line is one; without them each line is one Feature, which also splits large files. ``arrival`` orders the features: by
-    file, and by place in it; of lines, by the part of the file and the place in that part."""
+    with ``pages`` each line is one; without them each line is one Feature, which also splits large files.
+    ``arrival`` orders the features, see ``arrival_order``; those of one page by their place in it."""
     if multiline or pages:
         read = spark.read.schema(f"features array<struct<{_FEATURE}>>").option("multiLine", not pages).json(path)
-        rows = read.select(_line_order().alias("_o"), F.posexplode("features").alias("_pos", "_f"))
+        rows = read.select(arrival_order(delivery).alias("_o"), F.posexplode("features").alias("_pos", "_f"))
         return _with_geom(rows, srid, [F.struct("_o", F.col("_pos").alias("row")).alias("arrival")])
     lines = spark.read.schema(_FEATURE).json(path)
-    rows = lines.select(F.struct("geometry", "properties").alias("_f"), _line_order().alias("_o"))
+    rows = lines.select(F.struct("geometry", "properties").alias("_f"), arrival_order(delivery).alias("_o"))
     return _with_geom(rows, srid, [F.col("_o").alias("arrival")])
 
 
-def _line_order() -> Column:
-    """File, start of the block that a task reads, and the row's number in the task, which only grows."""
+def arrival_order(delivery: str | None = None) -> Column:
+    """A value of each row read from files that grows with its arrival: by delivery, by the time at which the
+    file was last written, by the file's name, and by the row's place in it.
+
+    ``delivery`` is a pattern whose first group is a number in the file's path, for files whose times say
+    nothing (copies, say); files without one come first. Numbers in names count as numbers, so page-10 comes
+    after page-9. A place is the start of the block that a task reads and the row's number in the task, which
+    only grows.
+    """
+    path = F.col("_metadata.file_path")
+    given = F.lit(None) if delivery is None else F.regexp_extract(path, delivery, 1)
     return F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("position"),
+        given.try_cast("decimal(38,0)").alias("delivery"), F.col("_metadata.file_modification_time").alias("time"), _natural(path).alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("position"),
     )
 
 
+def _natural(name: Column) -> Column:
+    """A name as an array of its texts and numbers, in which the numbers are led by their count of digits."""
+    parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))).otherwise(p))
+
+
 def read_odata(
     spark: SparkSession, path: str | Sequence[str], where: Column | None = None, select: Sequence[str] | None = None,
-    multiline: bool = True,
+    multiline: bool = True, delivery: str | None = None,
 ) -> DataFrame:
     """Rows of landed OData pages as a map column ``properties``, or as the selected text columns.
 
-    A page is a file, or a line when ``multiline`` is off. ``arrival`` orders the rows by file, page and row.
+    A page is a file, or a line when ``multiline`` is off. ``arrival`` orders the rows, see ``arrival_order``;
+    those of one page by their place in it.
     """
     rows = spark.read.schema("value array<map<string,string>>").option("multiLine", multiline).json(path)
-    rows = rows.select(_line_order().alias("_o"), F.posexplode("value").alias("_pos", "properties"))
+    rows = rows.select(arrival_order(delivery).alias("_o"), F.posexplode("value").alias("_pos", "properties"))
     arrival = F.struct("_o", F.col("_pos").alias("row")).alias("arrival")
     if select is not None:
         rows = rows.select(*[F.col("properties")[c].alias(c) for c in select], arrival)
