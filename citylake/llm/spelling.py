@@ -59,23 +59,35 @@ class _Places:
     def prefix(self, depth: np.ndarray) -> np.ndarray:
         return self.stretch(self.start, depth)
 
-    def node(self, depth: np.ndarray) -> np.ndarray:
-        x = (self.prefix(depth) + self.length.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-    def labels(self, skip: int) -> pa.Array:
-        """For each place the hashes of what follows it and ``skip`` more code points, cut into levels."""
-        left, values, held, level = self.length - self.depth - skip, [], [], 0
-        while _begin(level) < max(1, left.max(initial=0)):
+    def node(self, depth: np.ndarray, longer: int = 0) -> np.ndarray:
+        """Nodes of words of the own length, or of longer ones."""
+        return _mixed(self.prefix(depth) + (self.length + longer).astype(np.uint64))
+
+    def skipped(self, longer: int = 0) -> np.ndarray:
+        """Hash of the node at each place and of the first level behind one more code point of a word of the
+        own length, or of a longer one that has it inserted there."""
+        skip = 1 - longer
+        size = np.minimum(FIRST, self.length - self.depth - skip)
+        return _mixed(self.node(self.depth, longer) + self.stretch(self.at + skip, size) * np.uint64(BASE))
+
+    def rest(self, skip: int) -> pa.Array:
+        """For each place the hashes of the levels after the first, ``skip`` code points on; null without any."""
+        left, values, held, level = self.length - self.depth - skip, [], [], 1
+        while level == 1 or _begin(level) < left.max(initial=0):
             held.append(left > _begin(level))
             at = np.where(held[-1], self.at + skip + _begin(level), 0)
             values.append(self.stretch(at, np.where(held[-1], np.minimum(FIRST << level, left - _begin(level)), 0)))
             level += 1
         held, values = np.array(held).T, np.array(values).T
-        offsets = np.append(0, np.cumsum(held.sum(1))).astype(np.int32)
+        offsets = pa.array(np.append(0, np.cumsum(held.sum(1))).astype(np.int32), mask=np.append(~held[:, 0], False))
         return pa.ListArray.from_arrays(offsets, _long(values[held]))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -96,31 +108,35 @@ def _mapped(words: DataFrame, schema: str, columns: Callable[[list[str], pa.Arra
 
 
 def _starts(words: DataFrame, backward: bool) -> DataFrame:
-    """A walk for each place of a word from its middle on, yet without an edit: the prefix that it stands at,
-    the next code point (-1 at the end), and what would follow a replaced or an inserted one."""
+    """Walks that are about to spend their edit, at each place of a word from its middle on: by a replaced code
+    point, and by one inserted before the place. ``ch`` is the word's own there (-1 at its end)."""
 
     def columns(texts, n):
-        p = _Places(texts, backward, lambda x: (x + backward) // 2, 1)
-        which = pa.array(p.which)
-        char = np.where(p.depth < p.length, p.codes[np.minimum(p.at, len(p.codes) - 1)], -1)
-        own = [pa.array(texts, pa.string()).take(which), n.take(which), pa.array(p.length.astype(np.int32)), pa.array(char.astype(np.int32))]
-        return [_long(p.prefix(p.depth)), *own, p.labels(1), p.labels(0)]
+        parts = []
+        for longer in (0, 1):
+            p = _Places(texts, backward, lambda x: (x + backward) // 2, longer)
+            which = pa.array(p.which)
+            char = np.where(p.depth < p.length, p.codes[p.at], -1).astype(np.int32)
+            own = [pa.array(texts, pa.string()).take(which), n.take(which), pa.array(char), pa.array(np.full(len(which), longer == 1))]
+            parts.append([_long(p.skipped(longer)), *own, p.rest(1 - longer)])
+        return [pa.concat_arrays(c) for c in zip(*parts)]
 
-    return _mapped(words, "at long, word string, n long, len int, ch int, replaced array<long>, inserted array<long>", columns)
+    return _mapped(words, "key long, word string, n long, ch int, inserted boolean, rest array<long>", columns)
 
 
 def _branches(words: DataFrame, backward: bool) -> DataFrame:
-    """Edges of one code point: prefix, code point, length of the words beyond, and the node it leads to."""
+    """Edges of any one code point and the first level behind it."""
 
     def columns(texts, n):
         p = _Places(texts, backward, lambda x: (x - 1) // 2, 0)
-        return [_long(p.prefix(p.depth)), pa.array(p.codes[p.at].astype(np.int32)), pa.array(p.length.astype(np.int32)), _long(p.node(p.depth + 1))]
+        size = 1 + np.minimum(FIRST, p.length - p.depth - 1)
+        return [_long(p.skipped()), pa.array(p.codes[p.at].astype(np.int32)), _long(p.node(p.depth + size))]
 
-    return _mapped(words, "at long, ch int, len int, child long", columns)
+    return _mapped(words, "key long, other int, node long", columns)
 
 
 def _hops(words: DataFrame, backward: bool, level: int) -> DataFrame:
-    """Edges of a level: node, hash of the code points taken, and the node they lead to."""
+    """Edges of a later level: node, hash of the code points taken, and the node they lead to."""
 
     def columns(texts, n):
         p = _Places(texts, backward, lambda x: np.maximum((x - 1) // 2, 0) + 1 + _begin(level), 0)
@@ -143,15 +159,13 @@ def _ends(words: DataFrame, backward: bool) -> DataFrame:
 def _walked(words: DataFrame, backward: bool, levels: int) -> DataFrame:
     """Pairs (word, n, near, near_n) with an edit in the second half of the word (backward: in the first), each
     once: ``near`` has a larger code point at one place, or one code point more."""
-    nodes = _branches(words, backward).groupBy("at").agg(F.collect_set(F.struct("ch", "len", "child")).alias("next"))
-    edits = """
-        concat(transform(filter(next, x -> x.len = len AND ch >= 0 AND x.ch > ch), x -> named_struct('node', x.child, 'rest', replaced)),
-               transform(filter(next, x -> x.len = len + 1 AND x.ch <> ch), x -> named_struct('node', x.child, 'rest', inserted)))"""
-    states = _starts(words, backward).join(nodes, "at").select("word", "n", F.expr(f"inline({edits})"))
-    for level in range(levels):
-        edges = _hops(words, backward, level).groupBy("node", "label").agg(F.min("child").alias("child"))
-        live = F.size("rest") > level  # others have arrived; their keys meet no edge and lie apart
-        states = states.withColumn("label", F.when(live, F.get("rest", F.lit(level))).otherwise(F.xxhash64("word", "node")))
+    edges = stored(_branches(words, backward).distinct(), "edges")
+    other = F.when(F.col("inserted"), F.col("other") != F.col("ch")).otherwise(F.col("other") > F.col("ch"))
+    states = _starts(words, backward).join(edges, "key").where(other).select("word", "n", "node", "rest")
+    for level in range(1, levels):
+        edges = stored(_hops(words, backward, level).distinct(), "edges")
+        live = F.coalesce(F.size("rest"), F.lit(0)) >= level  # others have arrived; their keys meet no edge and lie apart
+        states = states.withColumn("label", F.when(live, F.get("rest", F.lit(level - 1))).otherwise(F.xxhash64("word", "node")))
         states = states.join(edges, ["node", "label"], "left").where(~live | F.col("child").isNotNull())
         states = states.select("word", "n", F.when(live, F.col("child")).otherwise(F.col("node")).alias("node"), "rest")
     pairs = states.drop("rest").join(_ends(words, backward), "node").where(F.levenshtein("word", "near", 1) == 1)
@@ -169,14 +183,14 @@ def near_words(words: DataFrame) -> DataFrame:
     A state is a walk through the trie: a word, how far it is read, a node, and whether the edit is spent. States
     and edges meet in joins. Walks start at a word's own prefixes from its middle on, since before it words share
     too few nodes: with an edit in the first half the words are walked from their ends, in a trie of its own. The
-    first join spends the edit on another code point (or one more); each later one takes the next stretch of the
-    word, 4 code points, then 8, 16 and so on, so that the joins are few however long a word is. A walk that stands
-    at the end of a word is a pair, compared exactly, so that no collision of hashes counts. A pair is walked once,
-    from its shorter or lesser word. States of one node meet at most one row, its edges, at most one for each code
-    point and length; Spark splits a node at which very many words stand.
+    first join spends the edit on another code point (or one more) and takes the 4 that follow; each later one takes
+    the next stretch of the word, 8 code points, then 16 and so on, so that the joins are few however long a word is.
+    A walk that stands at the end of a word is a pair, compared exactly, so that no collision of hashes counts. A
+    pair is walked once, from its shorter or lesser word. A state meets at most one edge for each code point; the
+    edges are tables, so that Spark can split a node at which very many words stand.
     """
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    levels = 0
+    levels = 1
     while _begin(levels) < (longest + 1) // 2 + 1:
         levels += 1
     found = [stored(_walked(words, backward, levels), "near") for backward in (False, True)]
@@ -223,8 +237,9 @@ def misspelled_words(docs: DataFrame, least_length: int = 7, least: int = 2) ->
     words; words of null ids stay as they are. Counts are added up before the shuffle.
     """
     lower = F.translate(F.col("run"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    runs = F.expr("explode(regexp_extract_all(text, '[A-Za-z\\\\u00C0-\\\\u00FF]+', 0))")
-    rows = docs.select("doc_id", F.col("text").cast("string")).select("doc_id", runs.alias("run")).where(F.length("run") >= least_length)
+    # a run is found whole, from its first letter on, if it is long enough
+    runs = F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z\\u00C0-\\u00FF]{{{least_length},}}"), F.lit(0)))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", runs.alias("run"))
     rows = rows.select(lower.alias("run"), F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), lower).cast("binary")).alias("h"))
     cut: Column = F.expr("CAST(h % length(run) AS INT)")
     without = F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.length("run")))
