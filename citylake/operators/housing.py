@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citylake.functions import scalars as S
@@ -14,13 +14,18 @@ from citylake.operators.select import first_by
 # Zone types and stress levels that are reported.
 ZONE_TYPES = ("residential", "commercial", "industrial", "mixed")
 STRESS_LEVELS = ("low", "moderate", "high")
+# measure → reported mean
+AFFORDABILITY = {
+    "index": "avg_affordability_index", "income": "avg_median_income", "expenditure": "avg_median_expenditure",
+    "disposable": "avg_median_disposable", "price": "avg_median_house_price", "rent": "avg_median_rent", "mortgage": "avg_median_mortgage",
+}
 
 
 def _in_years(df: DataFrame, years: Sequence[int]) -> DataFrame:
     return df.where(F.col("year").isin(*[int(y) for y in years]))
 
 
-def _balance(supply, demand, digits):
+def balance(supply: Column, demand: Column, digits: int | None = 1) -> tuple[Column, ...]:
     deficit = demand - supply
     return (
         supply.alias("supply_units"), demand.alias("demand_units"), deficit.alias("deficit"),
@@ -54,7 +59,7 @@ def supply_demand_city(sd: DataFrame, city: DataFrame, years: Sequence[int], dig
     rows = _in_years(sd, years).where(F.col("city_id").isNotNull())
     first = first_by(rows.select("city_id", "year", "id", "supply", "demand"), ["city_id", "year"])
     out = spine(city, years, name="city_id").join(first, ["city_id", "year"], "left")
-    return out.select("city_id", "year", *_balance(S.or_zero("supply"), S.or_zero("demand"), digits))
+    return out.select("city_id", "year", *balance(S.or_zero("supply"), S.or_zero("demand"), digits))
 
 
 def supply_demand(
@@ -63,7 +68,7 @@ def supply_demand(
     """Sums over the cities of each province."""
     t = by_city(_in_years(sd, years), city, {"_s": F.sum("supply"), "_d": F.sum("demand")}, ["year"])
     return from_provinces(province, t, years).select(
-        "province_id", "year", *_balance(S.or_zero("_s"), S.or_zero("_d"), digits)
+        "province_id", "year", *balance(S.or_zero("_s"), S.or_zero("_d"), digits)
     )
 
 
@@ -172,38 +177,40 @@ def _named(measures: dict, prefix: str) -> list:
     return [c.alias(f"{prefix}{k}") for k, c in measures.items()]
 
 
-def estate_indicators(
-    mortgage: DataFrame, rental: DataFrame, prop: DataFrame, building: DataFrame, bridge: DataFrame, province: DataFrame,
-    digits: tuple = (2, 1),
-) -> DataFrame:
-    """Loan, rent, market and vacancy columns of each province in one climb: loans and rents are summed by
-    property, properties by building, buildings by neighborhood, and each table is read once."""
+def estate_sums(mortgage: DataFrame, rental: DataFrame, prop: DataFrame, building: DataFrame) -> DataFrame:
+    """Sums and counts of loans, rents, prices and vacancy, one row a building with its neighborhood: loans and
+    rents are summed by property, properties by building, and each table is read once."""
     sums = lambda df, *keys: [F.sum(c).alias(c) for c in df.columns if c not in keys]
     m = mortgage.groupBy(F.col("property_id").alias("id")).agg(*_named(_loan_sums(), "m"))
     r = rental.groupBy(F.col("property_id").alias("id")).agg(*_named(_rent_sums(), "r"))
     p = prop.groupBy("building_id", "id").agg(*_named(_market_sums(), "p")).join(m, "id", "left").join(r, "id", "left").drop("id")
     p = p.groupBy(F.col("building_id").alias("id")).agg(*sums(p, "building_id"))
-    b = building.groupBy("neighborhood_id", "id").agg(*_named(_vacancy_sums(), "b")).join(p, "id", "left").drop("id")
-    b = b.groupBy("neighborhood_id").agg(*sums(b, "neighborhood_id"))
-    up = b.join(bridge.select("neighborhood_id", "province_id"), "neighborhood_id").drop("neighborhood_id")
-    up = up.groupBy("province_id").agg(*sums(up, "province_id"))
-    return from_provinces(province, up).select(
-        "province_id", *_loan_columns(digits[0], "m"), *_rent_columns(digits, "r"), *_market_columns(digits, "p"),
-        *_vacancy_columns(digits[1], "b"),
-    )
+    return building.groupBy("neighborhood_id", "id").agg(*_named(_vacancy_sums(), "b")).join(p, "id", "left").drop("id")
+
+
+def estate_columns(digits: tuple = (2, 1)) -> list[Column]:
+    return [*_loan_columns(digits[0], "m"), *_rent_columns(digits, "r"), *_market_columns(digits, "p"), *_vacancy_columns(digits[1], "b")]
 
 
 def credit_terms(policy: DataFrame, credit: DataFrame, province: DataFrame, years: Sequence[int]) -> DataFrame:
     """First policy and credit record of each province and year."""
     keys = ["province_id", "year"]
-    pol = first_by(_in_years(policy, years).select(*keys, "id", "rate", "ltv", "lti"), keys)
-    pol = pol.select(*keys, F.col("rate").alias("interest_rate"), F.col("ltv").alias("ltv_limit"), F.col("lti").alias("lti_limit"))
-    cre = first_by(_in_years(credit, years).select(*keys, "id", "rate", "approval", "down_payment"), keys)
-    cre = cre.select(
+    return from_provinces(province, policy_terms(policy, years), years).join(credit_records(credit, years), keys, "left")
+
+
+def policy_terms(policy: DataFrame, years: Sequence[int]) -> DataFrame:
+    keys = ["province_id", "year"]
+    first = first_by(_in_years(policy, years).select(*keys, "id", "rate", "ltv", "lti"), keys)
+    return first.select(*keys, F.col("rate").alias("interest_rate"), F.col("ltv").alias("ltv_limit"), F.col("lti").alias("lti_limit"))
+
+
+def credit_records(credit: DataFrame, years: Sequence[int]) -> DataFrame:
+    keys = ["province_id", "year"]
+    first = first_by(_in_years(credit, years).select(*keys, "id", "rate", "approval", "down_payment"), keys)
+    return first.select(
         *keys, F.col("rate").alias("mortgage_rate"), F.col("approval").alias("approval_rate"),
         F.col("down_payment").alias("avg_down_payment_pct"),
     )
-    return from_provinces(province, pol, years).join(cre, keys, "left")
 
 
 def mortgage_indicators(
@@ -228,14 +235,12 @@ def house_price_index(
     prev = t.select("province_id", (F.col("year") + 1).alias("year"), F.col("_avg").alias("_prev"))
     keys = ["province_id", "year"]
     out = from_provinces(province, t, years).join(prev, keys, "left")
-    change = F.when(
-        (F.col("_avg") != 0) & (F.col("_prev") > 0),
-        S.rounded(S.ratio(F.col("_avg") - F.col("_prev"), F.col("_prev")) * 100, digits),
-    )
-    return out.select(
-        *keys, S.round_or_null("_avg", digits).alias("avg_index"), change.alias("yoy_change_pct"),
-        S.or_zero("_n").alias("neighborhoods_reported"),
-    )
+    return out.select(*keys, *index_columns(F.col("_avg"), F.col("_prev"), digits), S.or_zero("_n").alias("neighborhoods_reported"))
+
+
+def index_columns(value: Column, previous: Column, digits: int | None = 1) -> list[Column]:
+    change = F.when((value != 0) & (previous > 0), S.rounded(S.ratio(value - previous, previous) * 100, digits))
+    return [S.round_or_null(value, digits).alias("avg_index"), change.alias("yoy_change_pct")]
 
 
 def rent_indicators(
@@ -272,41 +277,47 @@ def zoning(zones: DataFrame, bridge: DataFrame, province: DataFrame, digits: tup
         measures[f"_s_b_{t}"] = F.sum(F.when(hit, F.col("benchmark")))
         measures[f"_n_b_{t}"] = F.count(F.when(hit, F.col("benchmark")))
     rows = from_provinces(province, by_neighborhood(zones, bridge, measures))
+    return rows.select("province_id", *zone_columns("_area", "_a_{}", "_n_{}", lambda t: _mean(f"b_{t}"), digits))
+
+
+def zone_columns(
+    total: str, area: str, count: str, benchmark: Callable[[str], Column], digits: tuple = (1, 2)
+) -> list[Column]:
+    """Columns of each zone type, from the columns named by these patterns."""
     zero = F.lit(0.0)
-    total = F.coalesce("_area", zero)
+    total = F.coalesce(F.col(total), zero)
     cols = [total.alias("total_area_sqm")]
     for t in ZONE_TYPES:
-        a = F.coalesce(f"_a_{t}", zero)
+        a = F.coalesce(F.col(area.format(t)), zero)
         cols += [
             a.alias(f"{t}_area_sqm"),
-            S.or_zero(f"_n_{t}").alias(f"{t}_count"),
+            S.or_zero(count.format(t)).alias(f"{t}_count"),
             F.coalesce(S.percent(a, total, digits[0]), zero).alias(f"{t}_area_pct"),
-            S.round_or_null(_mean(f"b_{t}"), digits[1]).alias(f"{t}_avg_benchmark"),
+            S.round_or_null(benchmark(t), digits[1]).alias(f"{t}_avg_benchmark"),
         ]
-    return rows.select("province_id", *cols)
+    return cols
 
 
 def affordability(
     aff: DataFrame, bridge: DataFrame, province: DataFrame, years: Sequence[int], digits: int | None = 2
 ) -> DataFrame:
     """Means of the yearly records with the number of neighborhoods at each stress level."""
-    names = {
-        "index": "avg_affordability_index", "income": "avg_median_income", "expenditure": "avg_median_expenditure",
-        "disposable": "avg_median_disposable", "price": "avg_median_house_price", "rent": "avg_median_rent",
-        "mortgage": "avg_median_mortgage",
-    }
-    measures = {**_means(list(names)), "_n": F.count("*")}
+    measures = {**_means(list(AFFORDABILITY)), "_n": F.count("*")}
     for level in STRESS_LEVELS:
         measures[f"_l_{level}"] = F.count_if(F.col("stress") == level)
     t = by_neighborhood(_in_years(aff, years), bridge, measures, ["year"])
     return from_provinces(province, t, years).select(
-        "province_id", "year",
-        *[S.round_or_null(_mean(c), digits).alias(n) for c, n in names.items()],
-        *[S.or_zero(f"_l_{lv}").alias(f"stress_{lv}") for lv in STRESS_LEVELS],
-        S.or_zero("_n").alias("neighborhoods_reported"),
+        "province_id", "year", *affordability_columns(digits), S.or_zero("_n").alias("neighborhoods_reported")
     )
 
 
+def affordability_columns(digits: int | None = 2) -> list[Column]:
+    return [
+        *[S.round_or_null(_mean(c), digits).alias(n) for c, n in AFFORDABILITY.items()],
+        *[S.or_zero(f"_l_{lv}").alias(f"stress_{lv}") for lv in STRESS_LEVELS],
+    ]
+
+
 def stress_distribution(aff_row: DataFrame) -> DataFrame:
     """The stress counts as one map per row; empty when nothing was reported."""
     pairs = F.map_from_arrays(

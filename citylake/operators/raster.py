@@ -36,7 +36,11 @@ def zonal_stats(
 ) -> DataFrame:
     """min, max, mean, population stddev and count of the cells whose centre lies in the zone; nodata is left out."""
     hit = J.point_join(with_value(cells, "value"), zones, zone_id, cell=cell, alias=zone_id)
-    return hit.groupBy(zone_id, *by).agg(
+    return statistics(hit, [zone_id, *by], digits)
+
+
+def statistics(cells: DataFrame, by: Sequence[str], digits: int | None = 2) -> DataFrame:
+    return cells.groupBy(*by).agg(
         S.rounded(F.min("value"), digits).alias("min"),
         S.rounded(F.max("value"), digits).alias("max"),
         S.rounded(F.avg("value"), digits).alias("mean"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citylake.functions import geometry as G
@@ -32,9 +32,11 @@ def _year_rows(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
 def consumption_capita(cc: DataFrame, city: DataFrame, province: DataFrame, years: Sequence[int]) -> DataFrame:
     """Unweighted mean of the cities' litres per person and day; 0 without records."""
     t = by_city(_years(cc, years), city, {"_s": F.sum("l_per_day"), "_n": F.count("l_per_day")}, ["year"])
-    return from_provinces(province, t, years).select(
-        "province_id", "year", F.coalesce(mean("_s", "_n"), F.lit(0.0)).alias("consumption_capita")
-    )
+    return from_provinces(province, t, years).select("province_id", "year", consumption_column("_s", "_n"))
+
+
+def consumption_column(total: str, count: str) -> Column:
+    return F.coalesce(mean(total, count), F.lit(0.0)).alias("consumption_capita")
 
 
 def total_demand(cc: DataFrame, city: DataFrame, province: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -100,18 +102,24 @@ def well_env_cost(well: DataFrame, costs: DataFrame) -> DataFrame:
 
 def well_totals(wells: DataFrame, province: DataFrame, cell: float = J.CELL) -> DataFrame:
     """Flow, pump energy and CO₂ of the active wells of each province: one spatial join for all three."""
-    w = active(wells).withColumn("_kwh", F.col("kwh_h") * F.col("hours"))
+    w = pumping(wells)
     p = province.select(F.col("id").alias("province_id"), "geom")
     pairs = J.spatial_join(w, p, "id", "province_id", keep=["flow_m3_s", "_kwh", "co2_day"], cell=cell)
     t = pairs.groupBy("province_id").agg(
         F.sum("flow_m3_s").alias("_flow"), F.sum("_kwh").alias("_kwh"), F.sum("co2_day").alias("_co2")
     )
-    return from_provinces(province, t).select(
-        "province_id",
-        (S.or_zero("_flow") * S.SECONDS_PER_DAY).alias("extraction_m3_d"),
-        S.or_zero("_kwh").alias("pump_kwh_d"),
-        S.or_zero("_co2").alias("co2_kg_d"),
-    )
+    return from_provinces(province, t).select("province_id", *well_columns("_flow", "_kwh", "_co2"))
+
+
+def pumping(wells: DataFrame) -> DataFrame:
+    """Active wells with their pump energy of a day."""
+    return active(wells).withColumn("_kwh", F.col("kwh_h") * F.col("hours"))
+
+
+def well_columns(flow: str, kwh: str, co2: str) -> list[Column]:
+    return [
+        (S.or_zero(flow) * S.SECONDS_PER_DAY).alias("extraction_m3_d"), S.or_zero(kwh).alias("pump_kwh_d"), S.or_zero(co2).alias("co2_kg_d"),
+    ]
 
 
 def total_extraction(wells: DataFrame, province: DataFrame) -> DataFrame:
@@ -173,15 +181,18 @@ def water_quality(treatment: DataFrame, years: Sequence[int] | None = None, digi
         F.avg("efficiency").alias("_eff"),
         F.avg("acceptance").alias("_acc"),
     )
-    taken, ok = S.or_zero("_taken"), S.or_zero("_ok")
-    return _year_rows(t, years).select(
-        "year",
+    return _year_rows(t, years).select("year", *quality_columns("_taken", "_ok", F.col("_eff"), F.col("_acc"), digits))
+
+
+def quality_columns(taken: str, passed: str, efficiency: Column, acceptance: Column, digits: int | None = 1) -> list[Column]:
+    taken, passed = S.or_zero(taken), S.or_zero(passed)
+    return [
         taken.alias("samples_taken"),
-        ok.alias("samples_ok"),
-        S.percent(ok, taken, digits).alias("compliance_pct"),
-        S.round_or_null("_eff", digits).alias("treatment_efficiency"),
-        S.round_or_null("_acc", digits).alias("acceptance_rate"),
-    )
+        passed.alias("samples_ok"),
+        S.percent(passed, taken, digits).alias("compliance_pct"),
+        S.round_or_null(efficiency, digits).alias("treatment_efficiency"),
+        S.round_or_null(acceptance, digits).alias("acceptance_rate"),
+    ]
 
 
 def _meters_up(meters: DataFrame, users: DataFrame, bridge: DataFrame, measures: dict) -> DataFrame:
@@ -195,9 +206,11 @@ def collection_ratio(
     meters: DataFrame, users: DataFrame, bridge: DataFrame, province: DataFrame, digits: int | None = 1
 ) -> DataFrame:
     t = _meters_up(meters, users, bridge, {"_i": F.sum("installed"), "_c": F.sum("collected")})
-    return from_provinces(province, t).select(
-        "province_id", S.percent(S.or_zero("_c"), S.or_zero("_i"), digits).alias("collection_ratio")
-    )
+    return from_provinces(province, t).select("province_id", collection_column("_c", "_i", digits))
+
+
+def collection_column(collected: str, installed: str, digits: int | None = 1) -> Column:
+    return S.percent(S.or_zero(collected), S.or_zero(installed), digits).alias("collection_ratio")
 
 
 def meter_recovery(meters: DataFrame, users: DataFrame, bridge: DataFrame, cc: DataFrame) -> DataFrame:
@@ -230,28 +243,23 @@ def opex_recovery(
     return _recovered(from_provinces(province, revenue), opex, years, digits)
 
 
-def meter_indicators(
-    meters: DataFrame, users: DataFrame, bridge: DataFrame, opex: DataFrame, province: DataFrame,
-    years: Sequence[int], digits: tuple = (2, 1),
-) -> DataFrame:
-    """``collection_ratio`` and ``opex_recovery`` from one climb of the meters."""
-    sums = {"_i": F.sum("installed"), "_c": F.sum("collected"), "_rev": F.sum("recovery")}
-    base = from_provinces(province, _meters_up(meters, users, bridge, sums))
-    base = base.withColumn("collection_ratio", S.percent(S.or_zero("_c"), S.or_zero("_i"), digits[1]))
-    return _recovered(base.drop("_i", "_c"), opex, years, digits, "collection_ratio")
+def _recovered(base: DataFrame, opex: DataFrame, years: Sequence[int], digits: tuple) -> DataFrame:
+    base = base.withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
+    return base.join(first_opex(opex, years), "year", "left").select("province_id", "year", *recovery_columns("_rev", "_opex", digits))
 
 
-def _recovered(base: DataFrame, opex: DataFrame, years: Sequence[int], digits: tuple, *more: str) -> DataFrame:
-    first = first_by(_years(opex, years).select("year", "id", "total"), ["year"]).select("year", F.col("total").alias("_opex"))
-    base = base.withColumn("year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
-    rev = S.or_zero("_rev")
-    opex_ok = F.when(F.col("_opex") > 0, F.col("_opex"))
-    return base.join(first, "year", "left").select(
-        "province_id", "year", *more,
+def first_opex(opex: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Total of the first OPEX record of each year."""
+    return first_by(_years(opex, years).select("year", "id", "total"), ["year"]).select("year", F.col("total").alias("_opex"))
+
+
+def recovery_columns(revenue: str, opex: str, digits: tuple = (2, 1)) -> list[Column]:
+    rev, known = S.or_zero(revenue), F.when(F.col(opex) > 0, F.col(opex))
+    return [
         S.rounded(rev, digits[0]).alias("revenue_eur"),
-        S.rounded(opex_ok, digits[0]).alias("total_opex_eur"),
-        S.percent(rev, opex_ok, digits[1]).alias("recovery_pct"),
-    )
+        S.rounded(known, digits[0]).alias("total_opex_eur"),
+        S.percent(rev, known, digits[1]).alias("recovery_pct"),
+    ]
 
 
 def unit_opex(wells: DataFrame, meters: DataFrame) -> DataFrame:
@@ -278,14 +286,17 @@ def opex_total(wells: DataFrame, imports: DataFrame, province: DataFrame) -> Dat
 
 def coverage(cov: DataFrame, city: DataFrame, province: DataFrame, digits: tuple = (2, 1)) -> DataFrame:
     t = by_city(cov, city, {"_a": F.sum("area_km2"), "_c": F.sum("covered"), "_t": F.sum("total")})
-    covered, total = S.or_zero("_c"), S.or_zero("_t")
-    return from_provinces(province, t).select(
-        "province_id",
-        S.rounded(F.coalesce(F.col("_a"), F.lit(0.0)), digits[0]).alias("covered_area_km2"),
+    return from_provinces(province, t).select("province_id", *coverage_columns("_a", "_c", "_t", digits))
+
+
+def coverage_columns(area: str, covered: str, total: str, digits: tuple = (2, 1)) -> list[Column]:
+    covered, total = S.or_zero(covered), S.or_zero(total)
+    return [
+        S.rounded(F.coalesce(F.col(area), F.lit(0.0)), digits[0]).alias("covered_area_km2"),
         covered.alias("households_covered"),
         total.alias("households_total"),
         S.percent(covered, total, digits[1]).alias("coverage_pct"),
-    )
+    ]
 
 
 def city_pipes(city: DataFrame, pipes: DataFrame, users: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -378,11 +389,11 @@ def drought_area(drought: DataFrame, province: DataFrame, years: Sequence[int],
     t = _years(drought, years).groupBy("province_id", "year").agg(
         F.sum("area_km2").alias("_a"), F.max("level").alias("_l")
     )
-    return from_provinces(province, t, years).select(
-        "province_id", "year",
-        S.rounded(F.coalesce("_a", F.lit(0.0)), digits).alias("drought_area_km2"),
-        S.or_zero("_l").alias("max_sensibility"),
-    )
+    return from_provinces(province, t, years).select("province_id", "year", *drought_columns("_a", "_l", digits))
+
+
+def drought_columns(area: str, level: str, digits: int | None = 2) -> list[Column]:
+    return [S.rounded(F.coalesce(F.col(area), F.lit(0.0)), digits).alias("drought_area_km2"), S.or_zero(level).alias("max_sensibility")]
 
 
 def source_production(

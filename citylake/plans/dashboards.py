@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from citylake.functions import scalars as S
 from citylake.operators import heat as U
 from citylake.operators import housing as H
+from citylake.operators import spatial as J
 from citylake.operators import water as W
-from citylake.operators.hierarchy import with_global, with_scenarios
+from citylake.operators.hierarchy import mean, with_scenarios
+from citylake.plans.facts import AFTER, BEFORE, PREVIOUS, Facts, greatest, means, number, number_if, total
 
 # Service hours of a full day and display limits.
 FULL_HOURS, MAX_OPEX_EUR, MAX_CONSUMPTION = 24.0, 10_000_000, 300
@@ -29,30 +31,62 @@ def _join(base: DataFrame, *parts: DataFrame) -> DataFrame:
 # --- water ----------------------------------------------------------------------------
 
 def water_base(t: Tables, years: Sequence[int]) -> DataFrame:
-    """Everything the water dashboard reads, one row per province and year."""
-    p = t["province"]
-    wells = W.well_totals(t["well"], p)
-    imp = W._imported_day(t["imported_water"])
-    wt = t["water_treatment"].agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("e"))
-    opex = W.active(t["well"]).agg(F.coalesce(F.avg("opex_m3"), F.lit(0.0)).alias("v"))
-    fixed = with_global(with_global(with_global(wells, imp, "_imp"), wt, "_wt"), opex, "_opex").select(
-        "province_id", "extraction_m3_d", "co2_kg_d",
-        (F.col("extraction_m3_d") + F.col("_imp.m3_d")).alias("supply_m3_d"),
-        (F.col("pump_kwh_d") + F.col("_wt.e") * 1000).alias("energy_kwh_d"),
-        F.col("_opex.v").alias("_avg_opex"),
+    """Everything the water dashboard reads, one row per province and year: one pass over all facts, another over
+    those without a place, and the records that count only as the first or latest of a year."""
+    facts = Facts(years)
+    facts.add("consumption", t["consumption_capita"], "city_id", means(["l_per_day"]), "year")
+    facts.add("coverage", t["coverage"], "city_id", {"_area": total("area_km2"), "_covered": total("covered"), "_total": total("total")})
+    facts.add("drought", t["drought_area"], "province_id", {"_drought": total("area_km2"), "_level": greatest("level")}, "year")
+    facts.add(
+        "meters", t["metered_residential"], "users_location_id",
+        {"_installed": total("installed"), "_collected": total("collected"), "_revenue": total("recovery")},
     )
-    pop = p.select(F.col("id").alias("province_id"), F.col("name").alias("province"), S.or_zero("population").alias("population"))
-    base = W.consumption_capita(t["consumption_capita"], t["city"], p, years).join(pop, "province_id")
-    return _join(
-        base, fixed,
-        W.available_freshwater(t["fresh_water"], p),
-        W.network_length(t["pipe"], p),
-        W.nrw(t["loss"], years),
-        W.water_quality(t["water_treatment"], years),
-        W.meter_indicators(t["metered_residential"], t["users_location"], t["bridge"], t["opex"], p, years),
-        W.coverage(t["coverage"], t["city"], p),
-        W.drought_area(t["drought_area"], p, years),
+    facts.add("network", J.clip_length(t["pipe"], t["province"].select(F.col("id").alias("province_id"), "geom"), "id", "province_id"), "province_id", {"_length": total("length")})
+    facts.place("wells", W.pumping(t["well"]), {"_flow": total("flow_m3_s"), "_kwh": total("_kwh"), "_co2": total("co2_day")})
+    facts.place("fresh water", t["fresh_water"], {"_fresh": total("quantity_mm3")})
+    name = [F.col("name").alias("province"), S.or_zero("population").alias("population")]
+    parents = [("users_location_id", t["users_location"], "id", "neighborhood_id"), *climbed(t)]
+    base = facts.wide(t["province"], parents, name)
+
+    # a treatment counts for the quality of its year, and in all years for the energy
+    everywhere = F.lit("").alias("everywhere")
+    uses = F.expr("array(named_struct('year', CAST(year AS INT), 'always', false), named_struct('year', CAST(NULL AS INT), 'always', true))")
+    treated = t["water_treatment"].withColumn("_use", F.explode(uses)).where("_use.always OR _use.year IS NOT NULL")
+    only = lambda always, c: F.when(F.col("_use.always") == always, F.col(c)).alias(c)
+    treated = treated.select(
+        everywhere, "_use.year", *[only(False, c) for c in ("samples_taken", "samples_ok", "efficiency", "acceptance")], only(True, "energy")
     )
+    measures = {"_taken": total("samples_taken"), "_ok": total("samples_ok"), **means(["efficiency", "acceptance"]), "_energy": total("energy")}
+    shared = Facts(years)
+    shared.add("treatment", treated, "everywhere", measures, "year")
+    shared.add("imports", W.active(t["imported_water"]).withColumn("everywhere", everywhere), "everywhere", {"_imported": total("m3_d")})
+    shared.add("opex", W.active(t["well"]).withColumn("everywhere", everywhere), "everywhere", means(["opex_m3"]))
+    base = _join(base, shared.overall(), W.first_opex(t["opex"], years), W.nrw(t["loss"], years))
+
+    well = W.well_columns("_flow", "_kwh", "_co2")
+    zero = F.lit(0.0)
+    return base.withColumns({"extraction_m3_d": well[0], "pump_kwh_d": well[1], "co2_kg_d": well[2]}).select(
+        "province_id", "province", "year", "population", "extraction_m3_d", "co2_kg_d", "nrw_m3_d", "apparent_m3_d", "real_m3_d", "ili",
+        W.consumption_column("_s_l_per_day", "_n_l_per_day"),
+        (F.col("extraction_m3_d") + F.coalesce("_imported", zero)).alias("supply_m3_d"),
+        (F.col("pump_kwh_d") + F.coalesce("_energy", zero) * 1000).alias("energy_kwh_d"),
+        F.coalesce(mean("_s_opex_m3", "_n_opex_m3"), zero).alias("_avg_opex"),
+        F.coalesce("_fresh", zero).alias("available_mm3"),
+        F.coalesce(F.col("_length") / 1000, zero).alias("network_km"),
+        *W.quality_columns("_taken", "_ok", mean("_s_efficiency", "_n_efficiency"), mean("_s_acceptance", "_n_acceptance")),
+        W.collection_column("_collected", "_installed"),
+        *W.recovery_columns("_revenue", "_opex"),
+        *W.coverage_columns("_area", "_covered", "_total"),
+        *W.drought_columns("_drought", "_level"),
+    )
+
+
+def climbed(t: Tables) -> list[tuple[str, DataFrame, str, str]]:
+    """The hierarchy above the neighborhoods, level by level."""
+    return [
+        ("neighborhood_id", t["neighborhood"], "id", "district_id"), ("district_id", t["district"], "id", "city_id"),
+        ("city_id", t["city"], "id", "province_id"),
+    ]
 
 
 def water_row(base: DataFrame, consumption: Column | None = None) -> DataFrame:
@@ -111,18 +145,45 @@ def water_scenarios(t: Tables, years: Sequence[int], consumption: Sequence[float
 # --- housing --------------------------------------------------------------------------
 
 def housing_base(t: Tables, years: Sequence[int]) -> DataFrame:
-    p, n = t["province"], t["bridge"]
-    name = p.select(F.col("id").alias("province_id"), F.col("name").alias("province"))
-    aff = H.affordability(t["affordability"], n, p, years).withColumnRenamed("neighborhoods_reported", "_aff_n")
-    hpi = H.house_price_index(t["house_price_index"], n, p, years).withColumnRenamed("neighborhoods_reported", "hpi_neighborhoods")
-    return _join(
-        H.supply_demand(t["housing_supply_demand"], t["city"], p, years).join(name, "province_id"),
-        H.new_units(t["housing_project"], n, p, years),
-        H.credit_terms(t["central_bank_policy"], t["credit_supply"], p, years),
-        H.estate_indicators(t["mortgage"], t["rental"], t["property"], t["building"], n, p),
-        hpi,
-        H.zoning(t["zoning_area"], n, p),
-        aff,
+    """Everything the housing dashboard reads, one row per province and year, in one pass over all facts; only
+    the first policy and credit records are joined to it."""
+    wanted = sorted({int(y) for y in years} | {int(y) - 1 for y in years})
+    in_years = lambda df, ys: df.where(F.col("year").isin([int(y) for y in ys]))
+    facts = Facts(years)
+    facts.add("supply and demand", in_years(t["housing_supply_demand"], years), "city_id", {"_s": total("supply"), "_d": total("demand")}, "year")
+    facts.add(
+        "projects", t["housing_project"].where("year_completion IS NOT NULL"), "neighborhood_id",
+        {
+            "_done_u": total("units", BEFORE), "_done_n": number(at=BEFORE), "_planned_u": total("units", AFTER), "_planned_n": number(at=AFTER),
+        },
+        "year_completion",
+    )
+    facts.add(
+        "price index", in_years(t["house_price_index"], wanted), "neighborhood_id",
+        {**means(["value"]), "_n_hpi": number(), **means(["value"], "p", PREVIOUS)}, "year",
+    )
+    zones = {"_zone": total("area")}
+    for z in H.ZONE_TYPES:
+        of = lambda c, z=z: F.when(F.col("type") == z, F.col(c))
+        zones |= {f"_zone_{z}": total(of("area")), f"_zone_n_{z}": number_if(F.col("type") == z)}
+        zones |= {f"_zone_s_{z}": total(of("benchmark")), f"_zone_c_{z}": number(of("benchmark"))}
+    facts.add("zoning", t["zoning_area"], "neighborhood_id", zones)
+    stress = {f"_l_{lv}": number_if(F.col("stress") == lv) for lv in H.STRESS_LEVELS}
+    facts.add("affordability", in_years(t["affordability"], years), "neighborhood_id", {**means(list(H.AFFORDABILITY)), "_n_aff": number(), **stress}, "year")
+    estate = H.estate_sums(t["mortgage"], t["rental"], t["property"], t["building"])
+    facts.add("estate", estate, "neighborhood_id", {c: total(c) for c in estate.columns if c != "neighborhood_id"})
+    base = facts.wide(t["province"], climbed(t), [F.col("name").alias("province")])
+    base = _join(base, H.policy_terms(t["central_bank_policy"], years), H.credit_records(t["credit_supply"], years))
+
+    return base.select(
+        "province_id", "province", "year", "interest_rate", "ltv_limit", "lti_limit", "mortgage_rate", "approval_rate",
+        *H.balance(S.or_zero("_s"), S.or_zero("_d")),
+        S.or_zero("_done_u").alias("completed_units"), S.or_zero("_done_n").alias("completed_projects"),
+        S.or_zero("_planned_u").alias("pipeline_units"), S.or_zero("_planned_n").alias("pipeline_projects"),
+        *H.estate_columns(),
+        *H.index_columns(mean("_s_value", "_n_value"), mean("p_s_value", "p_n_value")), S.or_zero("_n_hpi").alias("hpi_neighborhoods"),
+        *H.zone_columns("_zone", "_zone_{}", "_zone_n_{}", lambda z: mean(f"_zone_s_{z}", f"_zone_c_{z}")),
+        *H.affordability_columns(), S.or_zero("_n_aff").alias("_aff_n"),
     )
 
 
@@ -174,15 +235,24 @@ def housing_scenarios(t: Tables, years: Sequence[int], rates: Sequence[float]) -
 # --- heat -----------------------------------------------------------------------------
 
 def heat_indicators(t: Tables) -> DataFrame:
-    p = t["province"]
-    thermal = U.thermal_wide(U.thermal_indices(t["cells"], t["heat_raster"], p), p)
-    name = p.select(F.col("id").alias("province_id"), F.col("name").alias("province"))
+    p, once = t["province"], 0  # no fact has a year
+    facts = Facts([once])
+    facts.place("parks", t["park"], {"_park": total("area")})
+    facts.place("buildings", t["building"], {"_nb": number(), **means(["height"]), "_hmax": greatest("height"), "_foot": total("footprint")})
+    facts.place("streets", t["street"], {"_ns": number(), **means(["width"])})
+    facts.place("green polygons", t["nbs_polygon"], {"_np": number(), "_np_area": total("area")})
+    facts.place("green points", t["nbs_point"], {"_npt": number()})
+    facts.add("land cover", U.green_cover(t["land_cover"], t["land_cover_class"]), "province_id", {"_pct": total("_pct")})
+    base = facts.wide(p, more=[F.col("name").alias("province"), F.col("area_km2").alias("_km2")])
+    green = U.green_columns("_park", "_pct", "_km2")
+    base = base.select(
+        "province_id", "province", *green, U.vegetation_column(green[2], "_km2"),
+        *U.morphology_columns("_nb", mean("_s_height", "_n_height"), "_hmax", "_foot", "_ns", mean("_s_width", "_n_width")),
+        *U.nbs_columns("_np", "_npt", "_np_area"),
+    )
     b = _join(
-        thermal.join(name, "province_id"),
-        U.vegetation_coverage(t["park"], t["land_cover"], t["land_cover_class"], p),
-        U.urban_morphology(t["building"], t["street"], p),
-        U.nbs_coverage(t["nbs_polygon"], t["nbs_point"], p),
-        U.latest_meteorology(t["measurement"], t["station"], p),
+        base, U.thermal_wide(U.thermal_indices(t["cells"], t["heat_raster"], p)),
+        U.station_weather(t["measurement"], t["station"], p),
     )
     share = lambda c, limit: F.coalesce(F.when(F.col(c) != 0, S.capped_pct(c, limit, 1)), F.lit(0.0))
     three = lambda k: [F.col(f"{k}_{m}") for m in ("mean", "min", "max")]
