@@ -220,9 +220,35 @@ def _edge_boxes_meet(a: str, b: str) -> str:
     return f"{one('x')} AND {one('y')}"
 
 
+def _all_touch(a: str, b: str) -> str:
+    return f"exists({a}, ta -> exists({b}, tb -> {_edge_boxes_meet('ta', 'tb')} AND {segments_touch.sql('ta', 'tb')}))"
+
+
+@expression
+def sweep(a: str, b: str) -> str:
+    """struct<hit, tests>: do two arrays of edges share a point, and how many pairs of edges were compared.
+
+    A line sweeps up over the edges of both, by their lower y, with the edges of either array that it still
+    meets in a list. An edge is compared with those in the other list, that is, only with edges whose range of
+    y overlaps its own; the sweep rests at the first hit.
+    """
+    mark = lambda of, edges: f"transform({edges}, we -> named_struct('lo', least(we.y1, we.y2), 'hi', greatest(we.y1, we.y2), 'of', {of}, 'e', we))"
+    in_turn = f"array_sort(concat({mark(0, a)}, {mark(1, b)}), (wl, wr) -> CASE WHEN wl.lo < wr.lo THEN -1 WHEN wl.lo > wr.lo THEN 1 ELSE 0 END)"
+    none = "CAST(array() AS ARRAY<STRUCT<hi: DOUBLE, of: INT, e: STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>>)"
+    start = f"named_struct('live', {none}, 'hit', false, 'tests', 0)"
+    other = "filter(wk, wo -> wo.of <> wn.of)"
+    hit = f"exists(wx, wo -> {_edge_boxes_meet('wo.e', 'wn.e')} AND {segments_touch.sql('wo.e', 'wn.e')})"
+    after = f"""named_struct('live', concat(wk, array(named_struct('hi', wn.hi, 'of', wn.of, 'e', wn.e))),
+        'hit', {hit}, 'tests', ws.tests + size(wx))"""
+    step = let("wk", "filter(ws.live, wo -> wo.hi >= wn.lo)", let("wx", other, after))
+    end = "wf -> named_struct('hit', wf.hit, 'tests', wf.tests)"
+    return f"aggregate({in_turn}, {start}, (ws, wn) -> CASE WHEN ws.hit THEN ws ELSE {step} END, {end})"
+
+
 @expression
 def edges_touch(a: str, b: str) -> str:
-    return f"exists({a}, ta -> exists({b}, tb -> {_edge_boxes_meet('ta', 'tb')} AND {segments_touch.sql('ta', 'tb')}))"
+    """Do two arrays of edges share a point. Few edges are compared one by one, more by a sweep."""
+    return f"CASE WHEN size({a}) * size({b}) <= 256 THEN {_all_touch(a, b)} ELSE {sweep.sql(a, b)}.hit END"
 
 
 @expression

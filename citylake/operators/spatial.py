@@ -185,9 +185,20 @@ def segments_sql(source: str, id_col: str, geom: str) -> str:
 
 
 def _segment_cells_sql(segments: str, cell: float, d: float = 0.0) -> str:
-    """Segments repeated for every cell of their box grown by d."""
-    span = lambda c: cells_between(f"least(e.{c}1, e.{c}2) - {G.num(d)}", f"greatest(e.{c}1, e.{c}2) + {G.num(d)}", cell)
-    return f"SELECT *, {span('y')} AS cy FROM (SELECT id, e, {span('x')} AS cx FROM ({segments}))"
+    """Segments repeated for every cell within d of them (and few more), found by walking the grid: for each row
+    of cells the stretch of the segment that comes within d of the row gives the columns, so a long diagonal
+    costs the cells along it and not its box."""
+    slack = d + cell * 1e-9  # for the rounding of where a segment crosses a grid line
+    rows = cells_between(f"least(e.y1, e.y2) - {G.num(slack)}", f"greatest(e.y1, e.y2) + {G.num(slack)}", cell)
+
+    def at(y: str, default: str) -> str:
+        part = f"coalesce(try_divide({y} - e.y1, e.y2 - e.y1), {default})"
+        return f"e.x1 + greatest(0D, least(1D, {part})) * (e.x2 - e.x1)"
+
+    enters, leaves = at(f"{low('cy', cell)} - {G.num(slack)}", "0D"), at(f"{low('cy + 1', cell)} + {G.num(slack)}", "1D")
+    reach = f"SELECT *, {enters} AS xa, {leaves} AS xb FROM (SELECT id, e, {rows} AS cy FROM ({segments}))"
+    columns = cells_between(f"least(xa, xb) - {G.num(slack)}", f"greatest(xa, xb) + {G.num(slack)}", cell)
+    return f"SELECT id, e, cy, {columns} AS cx FROM ({reach})"
 
 
 def distance_join(
