@@ -32,10 +32,10 @@ STATION_CHUNK = 512
 
 def zonal_stats(
     cells: DataFrame, zones: DataFrame, zone_id: str = "zone_id", by: Sequence[str] = ("raster_id",),
-    digits: int | None = 2, cell: float = J.CELL,
+    digits: int | None = 2, grid: J.Cells | None = None,
 ) -> DataFrame:
     """min, max, mean, population stddev and count of the cells whose centre lies in the zone; nodata is left out."""
-    hit = J.point_join(with_value(cells, "value"), zones, zone_id, cell=cell, alias=zone_id)
+    hit = J.point_join(with_value(cells, "value"), zones, zone_id, cells=grid, alias=zone_id)
     return statistics(hit, [zone_id, *by], digits)
 
 
@@ -348,7 +348,7 @@ def mosaic_least_cloud(
 
 def composite_mean(
     cells: DataFrame, date_from: Column | None = None, date_to: Column | None = None,
-    region: DataFrame | None = None, region_id: str = "id", band: str | None = None, cell: float = J.CELL,
+    region: DataFrame | None = None, region_id: str = "id", band: str | None = None, grid: J.Cells | None = None,
 ) -> DataFrame:
     """Temporal mean per cell and band.
 
@@ -361,5 +361,5 @@ def composite_mean(
     if band is not None:
         c = c.where(F.col("band") == band)
     if region is not None:
-        c = J.points_within(c, region, region_id, cell=cell)
+        c = J.points_within(c, region, region_id, cells=grid)
     return c.groupBy("band", "col", "row").agg(F.avg("value").alias("value"))

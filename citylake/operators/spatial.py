@@ -11,15 +11,21 @@ carries only what a test inside that cell needs:
 
 Two features share a point iff their boundaries touch (seen in the cell of the touching
 point) or an anchor of one lies inside the other (seen in the anchor's cell), so the tests
-are exact whatever the cell size. A polygon with 10 000 edges ships a few hundred of them
+are exact whatever the cells are. A polygon with 10 000 edges ships a few hundred of them
 per cell, and the join is an ordinary equi-join: Catalyst broadcasts the tile side when its
-size is below the session's threshold, and otherwise shuffles it on (cell, salt), where the
-salt spreads a cell that holds a large share of all features.
+size is below the session's threshold, and otherwise shuffles it on the cell.
+
+Cells follow density. ``cells_for`` counts the features of both sides and splits a cell that
+holds too many into 4 x 4, and those again, down to some metres: a tree whose leaves both
+sides share. Splits are a bounded list of cell numbers inside the query text, so finding the
+leaves of a feature is a hash lookup a level and no join. A smallest cell that is still full
+(features on one spot) is salted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,95 @@ from citylake.functions import geometry as G
 
 CELL = 5000.0
 SALTS = 4
+FAN = 4  # a cell is split into FAN x FAN
+STEPS = 4  # times that a cell can be split, down to about 20 m
+CAPACITY = 4096  # features of both sides from which a cell is split
+MOST_SPLITS = 1024  # cells split in one step: those that hold most
+
+
+@dataclass(frozen=True)
+class Cells:
+    """A grid whose cells are split where many features are: by step, the numbers of the cells to split; ``hot``
+    are cells of the last step that hold too many still. Every side of a join must be cut by the same cells."""
+
+    cell: float = CELL
+    splits: tuple[tuple[int, ...], ...] = ()
+    hot: tuple[int, ...] = ()
+    salts: int = 1  # of all cells
+    hot_salts: int = 16
+
+    def size(self, step: int) -> float:
+        return self.cell / FAN**step
+
+    def of_point(self, x: str, y: str) -> str:
+        """Text of the leaf that holds a point: struct<step, x, y, size>."""
+        cases = ""
+        for step, split in enumerate(self.splits):
+            if split:
+                cases += f" WHEN NOT ({_number(index(x, self.size(step)), index(y, self.size(step)))} IN ({_listed(split)})) THEN {self._at(step, x, y)}"
+        last = self._at(len(self.splits), x, y)
+        return f"CASE{cases} ELSE {last} END" if cases else last
+
+    def _at(self, step: int, x: str, y: str) -> str:
+        return _cell(step, index(x, self.size(step)), index(y, self.size(step)), self.size(step))
+
+    def children(self, step: int, c: str, box: str) -> str:
+        """Text of the cells that a cell ``c`` stands for after a step: those inside it that the box meets if it
+        is split, else itself."""
+        size = self.size(step + 1)
+        span = lambda a, v: (
+            f"sequence(greatest({c}.{a} * {FAN}, {index(f'{box}.{v}min', size)}), least({c}.{a} * {FAN} + {FAN - 1}, {index(f'{box}.{v}max', size)}))"
+        )
+        inner = f"flatten(transform({span('x', 'x')}, sx -> transform({span('y', 'y')}, sy -> {_cell(step + 1, 'sx', 'sy', size)})))"
+        return f"CASE WHEN {c}.step = {step} AND {_number(f'{c}.x', f'{c}.y')} IN ({_listed(self.splits[step])}) THEN {inner} ELSE array({c}) END"
+
+    def salts_of(self, c: str) -> str:
+        """Text of how many salts a cell has."""
+        if not self.hot:
+            return str(self.salts)
+        return f"CASE WHEN {c}.step = {STEPS} AND {_number(f'{c}.x', f'{c}.y')} IN ({_listed(self.hot)}) THEN {max(self.salts, self.hot_salts)} ELSE {self.salts} END"
+
+    @property
+    def salted(self) -> bool:
+        return self.salts > 1 or bool(self.hot)
+
+
+def _number(x: str, y: str) -> str:
+    return f"(({x}) * 4294967296 + ({y}))"
+
+
+def _listed(numbers: Sequence[int]) -> str:
+    return ", ".join(f"{n}L" for n in numbers)
+
+
+def _cell(step: int, x: str, y: str, size: float) -> str:
+    return f"named_struct('step', {step}, 'x', {x}, 'y', {y}, 'size', {G.num(size)})"
+
+
+def cells_for(*sides: tuple[DataFrame, str], cell: float = CELL, capacity: int = CAPACITY, most: int = MOST_SPLITS, steps: int = STEPS) -> Cells:
+    """Cells for a join of tables given as (table, its geometry column), or (table, "x y") for points.
+
+    Counts features by the cell of their box's middle, once over all, then once for each step inside the cells
+    that were split before. What comes to the driver are cells with more than ``capacity``, at most ``most`` a
+    step.
+    """
+    spark = sides[0][0].sparkSession
+    names = {f"side{k}": df for k, (df, _) in enumerate(sides)}
+    middle = []
+    for name, (_, geom) in zip(names, sides):
+        x, y = geom.split() if " " in geom else (f"({geom}.bbox.xmin + {geom}.bbox.xmax) / 2", f"({geom}.bbox.ymin + {geom}.bbox.ymax) / 2")
+        middle.append(f"SELECT {x} AS x, {y} AS y FROM {{{name}}}")
+    splits: list[tuple[int, ...]] = []
+    for step in range(steps + 1):
+        size = cell / FAN**step
+        inside = f"AND {_number(index('x', size * FAN), index('y', size * FAN))} IN ({_listed(splits[-1])})" if step else ""
+        text = f"""SELECT n, count(*) AS k FROM (SELECT {_number(index('x', size), index('y', size))} AS n FROM ({' UNION ALL '.join(middle)})
+            WHERE x IS NOT NULL AND y IS NOT NULL {inside}) GROUP BY n HAVING k > {int(capacity)} ORDER BY k DESC, n LIMIT {int(most)}"""
+        full = tuple(sorted(r["n"] for r in spark.sql(text, **names).collect()))
+        if not full:
+            return Cells(cell, tuple(splits))
+        splits.append(full)
+    return Cells(cell, tuple(splits[:-1]), splits[-1])
 
 
 def index(v: str, cell: float) -> str:
@@ -42,40 +137,44 @@ def cells_between(a: str, b: str, cell: float) -> str:
     return f"explode(sequence({index(a, cell)}, {index(b, cell)}))"
 
 
-def tiles_sql(source: str, id_col: str, geom: str, cell: float, keep: Sequence[str] = (), salts: int = 1) -> str:
-    """Query text for the tiles of a table: id, cx, cy, area, box, full, anchors, near, far, odd, kept (a struct), salt.
+def tiles_sql(source: str, id_col: str, geom: str, cells: Cells, keep: Sequence[str] = (), repeat: bool = False) -> str:
+    """Query text for the tiles of a table: id, c (the cell), area, box, full, anchors, near, far, odd, kept (a
+    struct), and with ``repeat`` salt: every tile once for each salt of its cell.
 
-    Rows of cells come first: the band of edges is cut once per row, not once per cell. With salts
-    every tile is repeated once for each of them.
+    Rows of cells come first: the band of edges is cut once per row, not once per cell.
     """
     kept = ", kept" if keep else ""
     pack = f", struct({', '.join(keep)}) AS kept" if keep else ""
-    x0, x1, y0, y1 = low("cx", cell), low("cx + 1", cell), low("cy", cell), low("cy + 1", cell)
+    size = cells.size(0)
+    x0, x1, y0, y1 = "(c.x * c.size)", "((c.x + 1) * c.size)", "(c.y * c.size)", "((c.y + 1) * c.size)"
+    in_row = f"greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}"
     spans = f"least(e.y1, e.y2) <= {y0} AND greatest(e.y1, e.y2) >= {y1}"
-    near = f"filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1})"
-    beyond = f"CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1}) END"
+    near = f"filter(band, e -> greatest(e.x1, e.x2) >= {x0} AND least(e.x1, e.x2) <= {x1} AND {in_row})"
+    beyond = f"CASE WHEN area THEN filter(band, e -> least(e.x1, e.x2) > {x1} AND {in_row}) END"
     odd = f"size(filter(bd, e -> {spans})) % 2"
     far = f"transform(filter(bd, e -> NOT ({spans})), e -> named_struct('a', e.y1, 'b', e.y2))"
-    anchors = f"filter(first, p -> {index('p[0]', cell)} = cx AND {index('p[1]', cell)} = cy)"
-    middle = f"{y0} + {G.num(cell / 2)}"
+    anchors = f"filter(first, p -> {index('p[0]', 'c.size')} = c.x AND {index('p[1]', 'c.size')} = c.y)"
+    middle = f"{y0} + c.size / 2"
     full = f"area AND size(nr) = 0 AND (size({_straddling('fa', middle)}) + od) % 2 = 1"
-    fields = f"""named_struct('cx', cx, 'near', nr, 'anchors', {anchors}, 'odd', od, 'full', fu, 'far', CASE WHEN fu THEN slice(fa, 1, 0) ELSE fa END)"""
-    # everything of one cell is built by the generator, so later filters cannot make it run twice
+    fields = f"""named_struct('near', nr, 'anchors', {anchors}, 'odd', od, 'full', fu, 'far', CASE WHEN fu THEN slice(fa, 1, 0) ELSE fa END)"""
+    # everything of one cell is built at once, so later filters cannot make it run twice
     one = G.let("nr", near, G.let("bd", beyond, G.let("od", odd, G.let("fa", far, G.let("fu", full, fields)))))
     rows = f"""
         SELECT {id_col} AS id{pack}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
-               {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', cell)} AS cy
+               {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', size)} AS cy
         FROM {source} WHERE {geom} IS NOT NULL"""
-    bands = f"""
-        SELECT id{kept}, area, first, cy, box, filter(edges, e -> greatest(e.y1, e.y2) >= {y0} AND least(e.y1, e.y2) <= {y1}) AS band
-        FROM ({rows})"""
-    cells = f"""
-        SELECT id{kept}, area, cy, box, explode(transform(sequence({index('box.xmin', cell)}, {index('box.xmax', cell)}), cx -> {one})) AS t
-        FROM ({bands})"""
-    salt = f", explode(sequence(0, {salts - 1})) AS salt" if salts > 1 else ""
+    lowest, highest = low("cy", size), low("cy + 1", size)
+    band = f"filter(edges, e -> greatest(e.y1, e.y2) >= {lowest} AND least(e.y1, e.y2) <= {highest})"
+    columns = f"id{kept}, area, first, box, band"
+    found = f"transform(sequence({index('box.xmin', size)}, {index('box.xmax', size)}), cx -> {_cell(0, 'cx', 'cy', size)})"
+    found = f"SELECT {columns}, {found} AS cs FROM (SELECT id{kept}, area, first, cy, box, {band} AS band FROM ({rows}))"
+    for step, split in enumerate(cells.splits):
+        found = f"SELECT {columns}, flatten(transform(cs, c -> {cells.children(step, 'c', 'box')})) AS cs FROM ({found})"
+    tiles = f"SELECT id{kept}, area, box, explode(transform(cs, c -> named_struct('c', c, 't', {one}))) AS u FROM ({found})"
+    salt = f", explode(sequence(0, {cells.salts_of('u.c')} - 1)) AS salt" if repeat and cells.salted else ""
     return f"""
-        SELECT id{kept}, area, box, t.cx, cy, t.near, t.anchors, t.odd, t.full, t.far{salt}
-        FROM ({cells}) WHERE size(t.near) > 0 OR t.full OR size(t.anchors) > 0"""
+        SELECT id{kept}, area, box, u.c, u.t.near, u.t.anchors, u.t.odd, u.t.full, u.t.far{salt}
+        FROM ({tiles}) WHERE size(u.t.near) > 0 OR u.t.full OR size(u.t.anchors) > 0"""
 
 
 def _straddling(far: str, y: str) -> str:
@@ -90,17 +189,17 @@ def _inside(t: str, x: str, y: str, strict: bool = False) -> str:
     return f"({t}.full OR {f'({inside} AND NOT {edge})' if strict else f'{inside} OR {edge}'})"
 
 
-def _salt_of(key: str, salts: int) -> str:
-    return f"CAST(pmod(xxhash64({key}), {salts}) AS INT) AS salt" if salts > 1 else "0 AS salt"
+def _salt_of(key: str, cells: Cells, c: str = "c") -> str:
+    return f", CAST(pmod(xxhash64({key}), {cells.salts_of(c)}) AS INT) AS salt" if cells.salted else ""
 
 
-def _same_cell(a: str, b: str, salts: int) -> str:
-    same = f"{a}.cx = {b}.cx AND {a}.cy = {b}.cy"
-    return f"{same} AND {a}.salt = {b}.salt" if salts > 1 else same
+def _same_cell(a: str, b: str, cells: Cells) -> str:
+    same = " AND ".join(f"{a}.c.{k} = {b}.c.{k}" for k in (("step", "x", "y") if cells.splits else ("x", "y")))
+    return f"{same} AND {a}.salt = {b}.salt" if cells.salted else same
 
 
-def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cell: float = CELL) -> DataFrame:
-    return df.sparkSession.sql(tiles_sql("{df}", id_col, geom_col, cell), df=df)
+def tiles(df: DataFrame, id_col: str, geom_col: str = "geom", cells: Cells = Cells()) -> DataFrame:
+    return df.sparkSession.sql(tiles_sql("{df}", id_col, geom_col, cells), df=df)
 
 
 def point_join(
@@ -111,36 +210,36 @@ def point_join(
     y: str = "y",
     geom: str = "geom",
     strict: bool = False,
-    cell: float = CELL,
-    salts: int = SALTS,
+    cells: Cells | None = None,
     alias: str = "zone_id",
 ) -> DataFrame:
     """Every point row with the id of each zone that holds it (boundary included unless strict).
 
-    A point has one cell, so no pair can come out twice and nothing is shuffled afterwards.
+    A point has one cell, so no pair can come out twice and nothing is shuffled afterwards. Without ``cells``
+    the points are counted first, see ``cells_for``.
     """
-    return _point_query(points, zones, zone_id, x, y, geom, strict, cell, salts, alias)
+    return _point_query(points, zones, zone_id, x, y, geom, strict, cells, alias)
 
 
-def _point_query(points, zones, zone_id, x, y, geom, strict, cell, salts, alias) -> DataFrame:
+def _point_query(points, zones, zone_id, x, y, geom, strict, cells, alias) -> DataFrame:
+    cells = cells or cells_for((points, f"{x} {y}"))
     # a few plain columns spread rows that share one coordinate
     plain = [f.name for f in points.schema.fields if f.dataType.typeName() in ("long", "integer", "string")][:2]
     columns = ", ".join(f"p.`{c}`" for c in points.columns)
     text = f"""
         SELECT {columns}{f', z.id AS {alias}' if alias else ''}
-        FROM (SELECT *, {index(x, cell)} AS cx, {index(y, cell)} AS cy, {_salt_of(', '.join([x, y, *plain]), salts)}
-              FROM {{points}} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) p
-        {'JOIN' if alias else 'LEFT SEMI JOIN'} ({tiles_sql('{zones}', zone_id, geom, cell, salts=salts)}) z
-          ON {_same_cell('p', 'z', salts)} AND (z.full OR size(z.near) > 0) AND {_inside('z', f'p.{x}', f'p.{y}', strict)}"""
+        FROM (SELECT *{_salt_of(', '.join([x, y, *plain]), cells)}
+              FROM (SELECT *, {cells.of_point(x, y)} AS c FROM {{points}} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)) p
+        {'JOIN' if alias else 'LEFT SEMI JOIN'} ({tiles_sql('{zones}', zone_id, geom, cells, repeat=True)}) z
+          ON {_same_cell('p', 'z', cells)} AND (z.full OR size(z.near) > 0) AND {_inside('z', f'p.{x}', f'p.{y}', strict)}"""
     return points.sparkSession.sql(text, points=points, zones=zones)
 
 
 def points_within(
-    points: DataFrame, zones: DataFrame, zone_id: str, x: str = "x", y: str = "y", geom: str = "geom",
-    cell: float = CELL, salts: int = SALTS,
+    points: DataFrame, zones: DataFrame, zone_id: str, x: str = "x", y: str = "y", geom: str = "geom", cells: Cells | None = None,
 ) -> DataFrame:
     """Points that lie in at least one zone, each once. A semi join, so overlapping zones need no clean-up."""
-    return _point_query(points, zones, zone_id, x, y, geom, False, cell, salts, None)
+    return _point_query(points, zones, zone_id, x, y, geom, False, cells, None)
 
 
 def spatial_join(
@@ -151,15 +250,18 @@ def spatial_join(
     left_geom: str = "geom",
     right_geom: str = "geom",
     keep: Sequence[str] = (),
-    cell: float = CELL,
-    salts: int = SALTS,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """Distinct pairs (left_id, right_id) of features that share at least one point.
 
     Works for any mix of points, lines and polygons. A feature that crosses two zones is
     paired with both. ``keep`` names left columns (measures) to carry along, which saves a join
-    back to the left table. ``right`` is the side whose tiles are repeated for each salt.
+    back to the left table. ``right`` is the side whose tiles are repeated for each salt. Without ``cells``
+    the features of both sides are counted first, see ``cells_for``.
+
+    Features are dealt over all tasks before they are cut, since a table in few files would be cut by few.
     """
+    cells = cells or cells_for((left, left_geom), (right, right_geom))
     out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
     kept = "".join(f", a.kept.{k} AS {k}" for k in keep)
     tests = [
@@ -171,11 +273,12 @@ def spatial_join(
     ]
     text = f"""
         SELECT a.id AS {out_left}, b.id AS {out_right}{kept}
-        FROM (SELECT *, {_salt_of('id', salts)} FROM ({tiles_sql('{left}', left_id, left_geom, cell, keep)})) a
-        JOIN ({tiles_sql('{right}', right_id, right_geom, cell, salts=salts)}) b ON {_same_cell('a', 'b', salts)}
+        FROM (SELECT *{_salt_of('id', cells)} FROM ({tiles_sql('{left}', left_id, left_geom, cells, keep)})) a
+        JOIN ({tiles_sql('{right}', right_id, right_geom, cells, repeat=True)}) b ON {_same_cell('a', 'b', cells)}
           AND a.box.xmin <= b.box.xmax AND b.box.xmin <= a.box.xmax AND a.box.ymin <= b.box.ymax AND b.box.ymin <= a.box.ymax
         WHERE {' OR '.join(tests)}"""
-    pairs = left.sparkSession.sql(text, left=left, right=right)
+    used = left.select(left_id, left_geom, *[k for k in dict.fromkeys(keep) if k not in (left_id, left_geom)])
+    pairs = left.sparkSession.sql(text, left=used.repartition(left_id), right=right.select(right_id, right_geom).repartition(right_id))
     return pairs.dropDuplicates([out_left, out_right])
 
 
@@ -210,12 +313,13 @@ def distance_join(
     A segment inside a zone is found in the cell of its start; any other near one in the cell of
     the zone's nearest edge point.
     """
-    start_here = f"{index('s.e.x1', cell)} = s.cx AND {index('s.e.y1', cell)} = s.cy"
+    cells = Cells(cell, salts=salts)
+    start_here = f"{index('s.e.x1', cell)} = s.c.x AND {index('s.e.y1', cell)} = s.c.y"
     close = f"exists(z.near, f -> {G.segments_within.sql('s.e', 'f', d)})"
     text = f"""
         SELECT DISTINCT s.id AS {line_id}, z.id AS {zone_id}
-        FROM (SELECT *, {_salt_of('id, e', salts)} FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell, d)})) s
-        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cell, salts=salts)}) z ON {_same_cell('s', 'z', salts)}
+        FROM (SELECT *, {_cell(0, 'cx', 'cy', cell)} AS c{_salt_of('id, e', cells)} FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell, d)})) s
+        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cells, repeat=True)}) z ON {_same_cell('s', 'z', cells)}
         WHERE ({start_here} AND {_inside('z', 's.e.x1', 's.e.y1')}) OR {close}"""
     return lines.sparkSession.sql(text, lines=lines, zones=zones)
 
@@ -232,6 +336,8 @@ def clip_length(
     midpoint, so nothing is counted twice.
     """
 
+    cells = Cells(cell, salts=salts)
+
     def enter_leave(c):
         a = f"try_divide({low(f'c{c}', cell)} - e.{c}1, d{c})"
         b = f"try_divide({low(f'c{c} + 1', cell)} - e.{c}1, d{c})"
@@ -250,22 +356,22 @@ def clip_length(
     share = f"zip_with(slice(k, 1, {n}), slice(k, 2, {n}), (a, b) -> CASE WHEN {G.let('m', '(a + b) / 2', inside)} THEN b - a ELSE 0D END)"
     text = f"""
         SELECT z.id AS {zone_id}, sum({G.let('k', stops, f'aggregate({share}, 0D, (u, v) -> u + v)')} * hypot(s.dx, s.dy)) AS length
-        FROM (SELECT *, {_salt_of('id, e', salts)} FROM ({pieces}) WHERE {own}) s
-        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cell, salts=salts)}) z ON {_same_cell('s', 'z', salts)}
+        FROM (SELECT *, {_cell(0, 'cx', 'cy', cell)} AS c{_salt_of('id, e', cells)} FROM ({pieces}) WHERE {own}) s
+        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cells, repeat=True)}) z ON {_same_cell('s', 'z', cells)}
         GROUP BY z.id"""
     return lines.sparkSession.sql(text, lines=lines, zones=zones)
 
 
 def assign_by_centroid(
     features: DataFrame, zones: DataFrame, feature_id: str, zone_id: str,
-    geom: str = "geom", zone_geom: str = "geom", cell: float = CELL, salts: int = SALTS,
+    geom: str = "geom", zone_geom: str = "geom", cells: Cells | None = None,
 ) -> DataFrame:
     """(feature_id, zone_id, matches, error): the zone that strictly holds the feature's centroid.
 
     Exactly one zone must match; none or several leave zone_id NULL and name the error.
     """
     c = features.selectExpr(feature_id, f"{G.centroid.sql(geom)} AS _c").select(feature_id, "_c.x", "_c.y")
-    found = point_join(c, zones, zone_id, geom=zone_geom, strict=True, cell=cell, salts=salts, alias="_zone")
+    found = point_join(c, zones, zone_id, geom=zone_geom, strict=True, cells=cells, alias="_zone")
     per_feature = found.groupBy(feature_id).agg(F.count("*").alias("matches"), F.min("_zone").alias("_zone"))
     out = features.select(feature_id).join(per_feature, feature_id, "left")
     n = F.coalesce(F.col("matches"), F.lit(0))

@@ -100,11 +100,11 @@ def well_env_cost(well: DataFrame, costs: DataFrame) -> DataFrame:
     ).drop("_price")
 
 
-def well_totals(wells: DataFrame, province: DataFrame, cell: float = J.CELL) -> DataFrame:
+def well_totals(wells: DataFrame, province: DataFrame, cells: J.Cells | None = None) -> DataFrame:
     """Flow, pump energy and CO₂ of the active wells of each province: one spatial join for all three."""
     w = pumping(wells)
     p = province.select(F.col("id").alias("province_id"), "geom")
-    pairs = J.spatial_join(w, p, "id", "province_id", keep=["flow_m3_s", "_kwh", "co2_day"], cell=cell)
+    pairs = J.spatial_join(w, p, "id", "province_id", keep=["flow_m3_s", "_kwh", "co2_day"], cells=cells)
     t = pairs.groupBy("province_id").agg(
         F.sum("flow_m3_s").alias("_flow"), F.sum("_kwh").alias("_kwh"), F.sum("co2_day").alias("_co2")
     )

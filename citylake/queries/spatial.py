@@ -161,7 +161,7 @@ add(
 )
 add(
     "join_parks_buildings",
-    lambda t: J.spatial_join(t["building"], t["park"].select(F.col("id").alias("park_id"), "geom"), "id", "park_id", cell=1000.0),
+    lambda t: J.spatial_join(t["building"], t["park"].select(F.col("id").alias("park_id"), "geom"), "id", "park_id"),
     oracle(
         "building park",
         """SELECT b.id, k.id AS park_id FROM building b JOIN park k

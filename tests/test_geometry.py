@@ -83,7 +83,7 @@ def test_point_join(spark, shapes, cell, salts):
     rows, df = shapes
     rnd = random.Random(9)
     pts = [(i, rnd.random() * 1000, rnd.random() * 1000) for i in range(400)]
-    got = {(r.id, r.zone_id) for r in J.point_join(spark.createDataFrame(pts, "id long, x double, y double"), df, "id", cell=cell, salts=salts).collect()}
+    got = {(r.id, r.zone_id) for r in J.point_join(spark.createDataFrame(pts, "id long, x double, y double"), df, "id", cells=J.Cells(cell, salts=salts)).collect()}
     want = {(i, z) for i, x, y in pts for z, parts in rows if inside(x, y, [r for p in parts for r in p])}
     assert got == want
 
@@ -92,7 +92,7 @@ def test_point_join(spark, shapes, cell, salts):
 def test_polygon_join_equals_pairwise_test(shapes, cell):
     _, df = shapes
     a, b = df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b")
-    got = [(r.a, r.b) for r in J.spatial_join(a, b, "a", "b", cell=cell).collect()]
+    got = [(r.a, r.b) for r in J.spatial_join(a, b, "a", "b", cells=J.Cells(cell)).collect()]
     want = a.selectExpr("a", "geom AS g").join(b.selectExpr("b", "geom AS h")).where(G.intersects("g", "h")).collect()
     assert len(got) == len(set(got))
     assert set(got) == {(r.a, r.b) for r in want}
@@ -101,17 +101,17 @@ def test_polygon_join_equals_pairwise_test(shapes, cell):
 def test_boundary(spark):
     zone = spark.range(1).select(F.lit(7).alias("zone"), G.box(0, 0, 10, 10).alias("geom"))
     pts = spark.createDataFrame([(1, 10.0, 5.0), (2, 0.0, 0.0), (3, 5.0, 5.0), (4, 10.1, 5.0)], "id int, x double, y double")
-    loose = {r.id for r in J.point_join(pts, zone, "zone", cell=4.0).collect()}
-    strict = {r.id for r in J.point_join(pts, zone, "zone", cell=4.0, strict=True).collect()}
+    loose = {r.id for r in J.point_join(pts, zone, "zone", cells=J.Cells(4.0)).collect()}
+    strict = {r.id for r in J.point_join(pts, zone, "zone", cells=J.Cells(4.0), strict=True).collect()}
     assert loose == {1, 2, 3} and strict == {3}
-    assert {r.id for r in J.spatial_join(pts.select("id", G.point("x", "y").alias("geom")), zone, "id", "zone", cell=4.0).collect()} == {1, 2, 3}
+    assert {r.id for r in J.spatial_join(pts.select("id", G.point("x", "y").alias("geom")), zone, "id", "zone", cells=J.Cells(4.0)).collect()} == {1, 2, 3}
 
 
 def test_polygon_in_a_hole_does_not_touch(spark):
     ring = spark.range(1).select(F.lit(1).alias("a"), G.polygon([(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [[(2, 2), (2, 7), (7, 7), (7, 2), (2, 2)]]).alias("geom"))
     inner = spark.range(1).select(F.lit(2).alias("b"), G.box(3, 3, 6, 6).alias("geom"))
-    assert J.spatial_join(inner, ring, "b", "a", cell=2.0).count() == 0
-    assert J.spatial_join(inner, ring, "b", "a", cell=100.0).count() == 0
+    assert J.spatial_join(inner, ring, "b", "a", cells=J.Cells(2.0)).count() == 0
+    assert J.spatial_join(inner, ring, "b", "a", cells=J.Cells(100.0)).count() == 0
 
 
 def test_clip_length(spark):
@@ -157,7 +157,7 @@ def test_hot_cell_keeps_every_pair(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = J.point_join(pts, zones, "zone", cell=20.0, salts=4).groupBy("zone_id").count().collect()
+        got = J.point_join(pts, zones, "zone", cells=J.Cells(20.0, salts=4)).groupBy("zone_id").count().collect()
         plain = pts.selectExpr("explode(filter(array(IF(x <= 60, 1, 0), IF(x BETWEEN 50 AND 110, 2, 0), IF(x BETWEEN 100 AND 160, 3, 0)), z -> z > 0)) AS zone_id").groupBy("zone_id").count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -167,4 +167,4 @@ def test_hot_cell_keeps_every_pair(spark):
 def test_points_within_overlapping_zones_come_once(spark):
     zones = spark.createDataFrame([(1, 0.0), (2, 5.0)], "zone int, x double").select("zone", G.box("x", 0, "x + 10", 10).alias("geom"))
     pts = spark.createDataFrame([(1, 7.0, 5.0), (2, 1.0, 1.0), (3, 20.0, 1.0)], "id int, x double, y double")
-    assert sorted(r.id for r in J.points_within(pts, zones, "zone", cell=3.0).collect()) == [1, 2]
+    assert sorted(r.id for r in J.points_within(pts, zones, "zone", cells=J.Cells(3.0)).collect()) == [1, 2]

@@ -83,3 +83,48 @@ def test_the_walk_misses_no_cell(spark, d):
             assert (math.floor(x / 10), math.floor(y / 10)) in got
         far = [c for c in got if distance(c[0] * 10 + 5, c[1] * 10 + 5, x1, y1, x2, y2) > (d + 8) * 2.5]
         assert not far
+
+
+# ---- cells that follow density
+
+
+def crowded(spark, n=8_000):
+    """Half of all features in one city block of 150 m, the others over 60 km; every tenth is a larger polygon."""
+    block = "id % 2 = 0"
+    x = f"IF({block}, 30000 + pmod(id * 7919, 1500) / 10, pmod(id * 104729, 600000) / 10D)"
+    y = f"IF({block}, 20000 + pmod(id * 15485863, 1500) / 10, pmod(id * 32452843, 600000) / 10D)"
+    rows = spark.range(n).selectExpr("id", f"CAST({x} AS DOUBLE) AS x", f"CAST({y} AS DOUBLE) AS y", "IF(id % 10 = 3, 900D, IF(id % 2 = 0, 2D, 20D)) AS w")
+    return rows.select("id", "x", "y", "w", G.box("x", "y", "x + w", "y + w").alias("geom"))
+
+
+def test_a_city_block_is_split_and_pairs_stay_the_same(spark):
+    a = crowded(spark).cache()
+    b = crowded(spark).selectExpr("id AS b", "x", "y", "w", "geom").cache()
+    cells = J.cells_for((a, "geom"), (b, "geom"), capacity=300)
+    assert len(cells.splits) >= 2
+    tiles = J.tiles(a, "id", cells=cells).groupBy("c").count()
+    most = tiles.agg(F.max("count")).first()[0]
+    in_one = J.tiles(a, "id", cells=J.Cells()).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert in_one > 4_000 and most < 400  # features in one cell, so pairs fall from 16 million to some hundred thousand
+    got = J.spatial_join(a, b, "id", "b", cells=cells)
+    meets = "a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w"
+    spark.conf.set("spark.sql.crossJoin.enabled", "true")
+    want = a.alias("a").where("id % 8 < 2").join(b.alias("b"), F.expr(meets)).select(F.xxhash64("id", "b").alias("h"))
+    total = lambda df: df.agg(F.count("*"), F.bit_xor("h")).first()
+    assert total(got.where("id % 8 < 2").select(F.xxhash64("id", "b").alias("h"))) == total(want)
+    assert got.count() == got.distinct().count()
+
+
+def test_points_in_a_crowd_meet_the_same_zones(spark):
+    pts = crowded(spark, 6000).select("id", "x", "y").unionByName(spark.range(10**6, 10**6 + 2000).selectExpr("id", "30020.5D AS x", "20020.5D AS y"))
+    zones = spark.range(40).select("id", G.polygon([("id * 1500", 0), ("id * 1500 + 4000", 30000), ("id * 1500", 60000), ("id * 1500", 0)]).alias("geom"))
+    cells = J.cells_for((pts, "x y"), capacity=300)
+    assert len(cells.splits) == J.STEPS and len(cells.hot) == 1  # points on one spot cannot be told apart: salts
+    key = F.xxhash64("id", "zone_id").alias("h")
+    one = lambda c: J.point_join(pts, zones, "id", cells=c).select(key).agg(F.count("*"), F.bit_xor("h")).first()
+    assert one(cells) == one(J.Cells()) and one(cells)[0] > 8000
+
+
+def test_cells_without_a_crowd_stay_whole(spark):
+    few = crowded(spark, 100)
+    assert J.cells_for((few, "geom"), (few, "x y")) == J.Cells()
