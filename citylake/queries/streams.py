@@ -28,9 +28,9 @@ class Run:
     def __init__(self, t: City):
         self.t, self.root = t, f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
 
-    def table(self, name: str, df: DataFrame) -> str:
+    def table(self, name: str, df: DataFrame, bucket: str = "id", keys: list[str] | None = None) -> str:
         path = f"{self.root}/{name}"
-        T.write_batch(df, path, -1)
+        T.write_batch(df, path, -1, bucket, keys)
         return path
 
     def arrive(self, df: DataFrame, slices: list[str], start) -> None:
@@ -83,10 +83,10 @@ add(
 def _consumption(t):
     r = Run(t)
     cities = r.table("city", t["city"].select("id", "population"))
-    cc = r.table("cc", W.city_consumption_yr(t["consumption_capita"], t["city"]))
+    cc = r.table("cc", W.city_consumption_yr(t["consumption_capita"], t["city"]), "city_id", ["id", "city_id"])
     change = t["city"].select("id", (F.col("population") * 2).alias("population"), F.lit(1).alias("seq"))
     r.go(change, THIRDS, T.consumption_handler(t.spark, cities, cc))
-    return T.current(t.spark, cc, ["id"]).select("id", "m3_yr")
+    return T.current(t.spark, cc, ["city_id", "id"]).select("id", "m3_yr")
 
 
 add(
@@ -103,7 +103,7 @@ def _latest(t):
         "id", "kind", F.when(F.year("date") < 1998, F.col("name")).alias("name"), "date", F.col("created_at").cast("timestamp").alias("created_at")
     )
     rasters = r.table("rasters", meta.limit(0))
-    latest = r.table("latest", meta.withColumn("display_name", F.col("name")).limit(0))
+    latest = r.table("latest", meta.withColumn("display_name", F.col("name")).limit(0), "kind")
     slices = ["year(date) < 1995", "year(date) BETWEEN 1995 AND 1997", "year(date) > 1997"]
     feed = meta.withColumn("seq", F.lit(1)).withColumn("_deleted", F.lit(False))
     r.go(feed, slices, T.latest_raster_handler(t.spark, rasters, latest))
@@ -124,7 +124,7 @@ add(
 
 def _overviews(t):
     r = Run(t)
-    done = r.table("exports", t["heat_raster"].where("kind = 'svf'").select(F.col("id").alias("raster_id"), F.lit("old").alias("path")))
+    done = r.table("exports", t["heat_raster"].where("kind = 'svf'").select(F.col("id").alias("raster_id"), F.lit("old").alias("path")), "raster_id")
     r.go(t["heat_raster"].select("id"), THIRDS, T.overview_handler(t.spark, t["cells"], done, f"{r.root}/pyramids"))
     return t.spark.read.parquet(f"{r.root}/pyramids").drop("batch")
 

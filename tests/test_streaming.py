@@ -60,7 +60,7 @@ def test_latest_raster_is_one_row_whole(spark, tmp_path):
     rasters, latest = str(tmp_path / "r"), str(tmp_path / "l")
     first = spark.createDataFrame([row(1, "A", 1)], kinds)
     T.write_batch(first.drop("seq").limit(0), rasters, -1)
-    T.write_batch(first.drop("seq").withColumn("display_name", F.lit("")).limit(0), latest, -1)
+    T.write_batch(first.drop("seq").withColumn("display_name", F.lit("")).limit(0), latest, -1, "kind")
     handle = T.latest_raster_handler(spark, rasters, latest)
     handle(first, 0)
     handle(spark.createDataFrame([row(2, None, 2)], kinds), 1)
@@ -73,7 +73,43 @@ def test_latest_raster_is_one_row_whole(spark, tmp_path):
 def test_overviews_only_for_new_rasters(spark, tmp_path):
     cells = spark.range(16).selectExpr("id % 2 AS raster_id", "id div 2 AS col", "0L AS row", "CAST(id AS DOUBLE) AS value")
     done = str(tmp_path / "x")
-    T.write_batch(spark.createDataFrame([(1, "old")], "raster_id long, path string"), done, -1)
+    T.write_batch(spark.createDataFrame([(1, "old")], "raster_id long, path string"), done, -1, "raster_id")
     T.overview_handler(spark, cells, done, str(tmp_path / "o"), 2)(spark.createDataFrame([(0,), (1,)], "id long"), 0)
     assert {r.raster_id for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {0}
     assert T.current(spark, done, ["raster_id"]).count() == 2
+
+
+def _read_files(df):
+    return df.select(F.input_file_name().alias("f")).distinct().count()
+
+
+def test_a_batch_reads_and_writes_its_own_buckets(spark, tmp_path):
+    """Whatever came before: a table of 2,000 rows, and many batches of one row."""
+    rows = spark.range(2000).selectExpr("concat('n', id) AS id", "concat('D', id % 40) AS district_id", "id AS population")
+    t = T.Table(spark, str(tmp_path / "t"), buckets=16).create(rows)
+    one = lambda k, n: spark.createDataFrame([(f"n{k}", "D1", n)], "id string, district_id string, population long")
+    for batch in range(6):
+        t.put(one(7, 1000 + batch), batch)
+    near = one(7, 0)
+    assert _read_files(t._files(near)) == 1  # of 16, after six batches
+    files = [f for f in (tmp_path / "t").glob("bucket=*/*.parquet") if "bucket=-1" not in str(f)]
+    assert len(files) == 16
+    mine = t.read(near).where("id = 'n7'")
+    assert mine.first().population == 1005 and t.read(near, before=5).where("id = 'n7'").first().population == 1004
+    before = {f: f.stat().st_mtime_ns for f in files}
+    t.put(one(7, 5), 6)
+    left = [f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]]
+    assert len(left) == 15 and t.read().count() == 2000
+
+
+def test_a_batch_run_again_after_a_part_of_it(spark, tmp_path):
+    """As if the job had ended between two tables."""
+    n, d, c, p = _tables(spark, str(tmp_path))
+    rows = "id string, district_id string, population long, seq long, _deleted boolean"
+    T.population_handler(spark, n, d, c, p)(spark.createDataFrame([("c", "D1", 7, 1, False)], rows), 0)
+    batch = spark.createDataFrame([("a", "D2", 10, 1, False), ("c", "D2", 7, 1, True)], rows)
+    T.Table(spark, n).put(T.newest(batch, ["id"], "seq"), 1)
+    for _ in range(2):
+        T.population_handler(spark, n, d, c, p)(batch, 1)
+    read = lambda path: {r.id: r.population for r in T.current(spark, path, ["id"]).collect()}
+    assert read(d) == {"D1": 20, "D2": 10} and read(c) == {1: 20, 2: 10} and read(p) == {1: 30}
