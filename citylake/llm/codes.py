@@ -111,20 +111,21 @@ def write_codes(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
 
     Rows are dealt by range of (doc_id, text hash), so neither a doc_id nor a source can fill one task.
     A file is one range; its rows are segments of whole documents, of at least ``segment`` ids but for the
-    last: part (the file's number, ascending), segment, doc_ids, starts (a document's first id in the
-    segment, one more at the end), n_tokens and codes (``Codes`` bytes).
+    last: part (the file's number, ascending), segment, before (ids of the file's segments before it),
+    doc_ids, starts (a document's first id in the segment, one more at the end), n_tokens and codes
+    (``Codes`` bytes).
     """
     path = vocabulary or tokens.default_vocabulary()
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType(
         [
-            T.StructField("part", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)),
+            T.StructField("part", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("before", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)),
             T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType()), T.StructField("codes", T.BinaryType()),
         ]
     )
 
     def run(frames):
-        encode, part, number = tokens.encoder(path).batch, TaskContext.get().partitionId(), 0
+        encode, part, number, before = tokens.encoder(path).batch, TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4")
         held: list[np.ndarray] = []
         doc_ids: list = []
@@ -132,7 +133,7 @@ def write_codes(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
 
         def out():
             codes = Codes.of(np.concatenate(held)).to_bytes()
-            return pd.DataFrame([(part, number, list(doc_ids), list(starts), starts[-1], codes)], columns=schema.names)
+            return pd.DataFrame([(part, number, before, list(doc_ids), list(starts), starts[-1], codes)], columns=schema.names)
 
         for batch_ids, texts in tokens.text_batches(frames):
             ids, offsets = encode(texts)
@@ -142,7 +143,7 @@ def write_codes(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
                 starts.append(starts[-1] + int(offsets[k + 1] - offsets[k]) + 1)
                 if starts[-1] >= segment:
                     yield out()
-                    number += 1
+                    number, before = number + 1, before + starts[-1]
                     held, doc_ids, starts = [], [], [0]
         if doc_ids:
             yield out()
@@ -156,19 +157,16 @@ def write_codes(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
 def read_codes(files: DataFrame) -> DataFrame:
     """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids.
 
-    The ids before a segment are summed in two steps: over the segments of a file, and over the files'
-    totals, of which there is one row for each file.
+    The ids before a segment are those of its file, which it knows, and of the files before: a total for each
+    file, added up over their numbers. The codes themselves stay where they are read; only the totals, one row
+    a file, are joined to them.
     """
     from pyspark.sql import Window
 
-    in_file = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.select("part", "segment", "n_tokens")
-    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_file"))
-    begins = sizes.select("part", "segment", F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0)).alias("_seg"))
-    begins = begins.join(totals, "part").select("part", "segment", (F.col("_file") + F.col("_seg")).alias("base"))
-    rows = files.join(begins, ["part", "segment"]).select("base", "doc_ids", "starts", "codes")
+    rows = files.join(F.broadcast(totals), "part").select((F.col("_file") + F.col("before")).alias("base"), "doc_ids", "starts", "codes")
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
