@@ -600,8 +600,8 @@ def test_pipeline(spark, table, tokenizer):
         kept = common.stored(stage(spark, kept, SF), name)
         assert kept.columns == docs.columns
     rows = {r["doc_id"]: r for r in kept.collect()}
-    fps = simhashes(table.text)
-    first = {i for i, c in zip(table.doc_id, groups(fps, table.doc_id.tolist())) if i == c}
+    ids = table.doc_id.tolist()
+    first = {i for i, c in zip(ids, similar_groups(table.text, ids)) if i == c}
     assert set(rows) == first
     before = table[table.doc_id.isin(first)]
     for i, t, (n, removed, _, left) in zip(before.doc_id, before.text, without_repeats(before.text)):
