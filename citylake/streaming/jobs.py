@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType
 
 from citylake.functions.scalars import density
 from citylake.operators.raster import overviews
@@ -23,7 +24,7 @@ from citylake.operators.water import city_consumption_yr
 # Raster kinds that have a latest view (wind has none).
 LATEST_KINDS = ("temperature", "precipitation", "humidity")
 DELETED = "_deleted"
-BUCKETS = 64  # more for larger tables, so that a bucket stays at a file of some hundred MB
+BUCKETS = 16  # more for larger tables, so that a bucket stays at a file of some hundred MB
 
 
 def run(changes: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -38,6 +39,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, bucket: str = "id", keys: Sequence[str] | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.by, self.keys, self.buckets = spark, path, bucket, list(keys or [bucket]), buckets
+        self.schema = None  # read once: to infer it is a job of its own
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.by)), F.lit(self.buckets)).cast("int")
@@ -58,7 +60,9 @@ class Table:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def _files(self, near: DataFrame | None) -> DataFrame:
-        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        if self.schema is None:
+            self.schema = self.spark.read.parquet(f"{self.path}/bucket=-1").schema.add("bucket", IntegerType())
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path)
         if near is not None:  # at most ``buckets`` numbers reach the driver
             rows = rows.where(F.col("bucket").isin([r[0] for r in near.select(self._bucket()).distinct().collect()]))
         return rows.drop("bucket")
@@ -76,12 +80,13 @@ class Table:
             rows = rows.where(F.col("batch") < before)
         return self._latest(rows).drop(DELETED, "batch")
 
-    def put(self, rows: DataFrame, batch: int) -> None:
-        """Rows that a batch sets, whole; those with ``_deleted`` take their key away. Once a batch."""
+    def put(self, rows: DataFrame, batch: int, near: DataFrame | None = None) -> None:
+        """Rows that a batch sets, whole; those with ``_deleted`` take their key away. Once a batch. ``near`` names
+        the values of their bucket column, where those are known at less cost than from the rows."""
         if DELETED not in rows.columns:
             rows = rows.withColumn(DELETED, F.lit(False))
         rows = rows.withColumn("batch", F.lit(batch).cast("long"))
-        old = self._latest(self._files(rows).where(F.col("batch") < batch))
+        old = self._latest(self._files(rows if near is None else near).where(F.col("batch") < batch))
         self._write(old.unionByName(rows.select(old.columns)))
 
 
@@ -127,9 +132,10 @@ def population_handler(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # what later steps ask again for is kept while the batch runs; all of it can be read anew
         rows = newest(batch, ["id"], "seq").persist()
         steps[0][0].put(rows, batch_id)
-        ids = rows.select("id")
+        ids, kept = rows.select("id"), [rows]
         for level, parents, key in steps:
             own = ["id", key, "population"]
             children = Table(spark, f"{level.path}-children", key, ["id", key], buckets)
@@ -137,15 +143,19 @@ def population_handler(
                 children.create(level.read(before=batch_id).select(own))
             of = lambda before: level.read(ids, before).join(ids, "id", "left_semi").select(own)
             was, now = of(batch_id).withColumn(DELETED, F.lit(True)), of(batch_id + 1).withColumn(DELETED, F.lit(False))
+            moves = was.unionByName(now).persist()
+            was, now = moves.where(DELETED), moves.where(f"NOT {DELETED}")
             # a child that stays under its parent is one row, as it is now
             gone = was.join(now, (was["id"] == now["id"]) & was[key].eqNullSafe(now[key]), "left_anti")
-            children.put(gone.unionByName(now), batch_id)
-            touched = was.unionByName(now).where(F.col(key).isNotNull()).select(key).distinct()
+            children.put(gone.unionByName(now), batch_id, moves)
+            touched = moves.where(F.col(key).isNotNull()).select(key).distinct().persist()
+            kept += [moves, touched]
             as_id = touched.select(F.col(key).alias("id"))
             rest = children.read(touched, batch_id + 1).join(touched, key, "left_semi")
-            parents.put(refresh_parents(rest, parents.read(as_id, batch_id).join(as_id, "id", "left_semi"), key), batch_id)
+            parents.put(refresh_parents(rest, parents.read(as_id, batch_id).join(as_id, "id", "left_semi"), key), batch_id, as_id)
             ids = as_id
-        rows.unpersist()
+        for df in kept:
+            df.unpersist()
 
     return handle
 
@@ -160,7 +170,7 @@ def consumption_handler(spark: SparkSession, cities: str, consumption: str, buck
         city.put(rows, batch_id)
         touched = rows.select(F.col("id").alias("city_id"))
         before = records.read(touched, batch_id)
-        records.put(city_consumption_yr(before.join(touched, "city_id", "left_semi"), rows).select(before.columns), batch_id)
+        records.put(city_consumption_yr(before.join(touched, "city_id", "left_semi"), rows).select(before.columns), batch_id, touched)
         rows.unpersist()
 
     return handle
