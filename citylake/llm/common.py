@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInPandas that gives its memory back at the end of each task. Python workers outlive
+    their tasks, and what their allocators keep would stand beside the memory of the stages after them."""
+
+    def whole(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Regroup the frames of a sorted partition so that no group of equal keys is cut."""
     rest: list[pd.DataFrame] = []
@@ -121,17 +141,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[root[away]]
 
 
-def in_block_pairs(df: DataFrame, keys: Sequence[str], item: str, block: int) -> DataFrame:
+def in_block_pairs(df: DataFrame, keys: Sequence[str], item: str, block: int, join: str | None = None) -> DataFrame:
     """Rows of keys that hold two or more items, for tests inside each key by blocks of about ``block`` rows.
 
     A key with n items is cut into n / block parts by the item's hash. Each row gets its ``part`` and is
     listed for every pair (lo, hi) of parts that it belongs to, so any two items of a key meet in just one
     group (key, lo, hi): that of their own parts. A group has about 2 * block rows, whatever n is. The
-    counts are a table of their own, so that Spark can split a hot key where rows meet them.
+    counts are a table of their own, so that Spark can split a hot key where rows meet them. ``join`` names a
+    join strategy, where the rows are made anew by a broadcast join's repeated scan, say.
     """
     counts = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "counts")
     parts = F.ceil(F.col("_n") / block).cast("int")
-    rows = df.join(counts, list(keys)).withColumn("_parts", parts).drop("_n")
+    rows = (df if join is None else df.hint(join)).join(counts, list(keys)).withColumn("_parts", parts).drop("_n")
     rows = rows.withColumn("part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     rows = rows.withColumns({"lo": F.least("part", "_o"), "hi": F.greatest("part", "_o")}).drop("_o", "_parts")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citylake.llm.common import as_row, of_row
+from citylake.llm.common import as_row, of_row, released
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -69,9 +69,11 @@ def profiles(docs: DataFrame, label: str = "lang", size: int = 400, orders: Sequ
         yield from out()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang")).dropna()
-    counts = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInPandas(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # a limit on the row number itself is applied before the shuffle, so no task sorts all n-grams of a language
+    first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Ranker:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citylake.llm.common import as_row, group_starts, of_row, stored, whole_groups
+from citylake.llm.common import as_row, group_starts, of_row, released, stored, whole_groups
 
 GRAM = 24  # bytes of the first digit
 SLICE = 1 << 18  # window starts that are hashed at once
@@ -145,9 +145,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             own = pd.DataFrame(rows).iloc[text].reset_index(drop=True)
             yield pd.DataFrame({"g": _signed(g), "f": _signed(f), "doc_id": own["doc_id"], "h": own["h"], "s": s + shift, "e": e + shift})
 
-    shared = keyed.select("text").mapInPandas(digits, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    shared = keyed.select("text").mapInPandas(released(digits), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
     shared = stored(shared, "digits")
-    every = keyed.mapInPandas(runs, f"g long, f long, doc_id {kind}, h long, s long, e long")
+    every = keyed.mapInPandas(released(runs), f"g long, f long, doc_id {kind}, h long, s long, e long")
     kept = stored(every.join(shared, "g"), "runs")
 
     classes = kept.groupBy("g", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "s", "e")).alias("one"))
@@ -171,12 +171,18 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
 
 def _opened(keyed: DataFrame, todo: DataFrame, length: int, kind: str) -> DataFrame:
-    """The bytes of the runs to open; a run has at most length - GRAM + 1 windows."""
+    """The bytes of the runs to open; a run has at most length - GRAM + 1 windows. Repeated rows meet in the tasks
+    of the join, where one of them is opened."""
 
     def run(frames):
+        seen = set()
         for frame in frames:
             out = []
             for doc_id, h, text, *lists in frame.itertuples(index=False):
+                same = None if pd.isna(doc_id) else doc_id, h
+                if same in seen:
+                    continue
+                seen.add(same)
                 raw = text.encode()
                 out += [(g, doc_id, h, s, ask, raw[s : e + length - 1]) for g, s, e, ask in zip(*lists)]
             yield pd.DataFrame(out, columns=["g", "doc_id", "h", "s", "ask", "bytes"])
@@ -184,7 +190,7 @@ def _opened(keyed: DataFrame, todo: DataFrame, length: int, kind: str) -> DataFr
     key = [keyed["doc_id"].eqNullSafe(todo["doc_id"]), keyed["h"] == todo["h"]]
     lists = [F.col(f"runs.{k}").alias(name) for k, name in (("g", "gs"), ("s", "starts"), ("e", "ends"), ("ask", "asks"))]
     rows = keyed.join(todo, key).select(keyed["doc_id"], keyed["h"], "text", *lists)
-    return rows.mapInPandas(run, f"g long, doc_id {kind}, h long, s long, ask boolean, bytes binary")
+    return rows.mapInPandas(released(run), f"g long, doc_id {kind}, h long, s long, ask boolean, bytes binary")
 
 
 def _matched(opened: DataFrame, length: int, kind: str) -> DataFrame:
@@ -216,7 +222,7 @@ def _matched(opened: DataFrame, length: int, kind: str) -> DataFrame:
                 if len(some):
                     yield _placed(frame, row[some], s[some], s[some] + length, g[row[some]], _signed(w[some]), asks)
 
-    return opened.mapInPandas(run, f"doc_id {kind}, h long, s long, e long, g long, w long, ask boolean")
+    return opened.mapInPandas(released(run), f"doc_id {kind}, h long, s long, e long, g long, w long, ask boolean")
 
 
 def _in_turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     are copies of each other and lose all. Null doc_ids are ids like any other. Columns of docs may have
     any names; those with a result's name are replaced. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("cut"))
+    spans = repeated_spans(docs, length).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("cut"))  # copies repeat their spans
     left = docs.select(as_row(docs), F.xxhash64(F.col("text").cast("string")).alias("own"))
     rows = left.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("h")), "left")
     out = ["n_bytes", "n_removed", "n_spans", "kept", "spans"]
