@@ -54,14 +54,20 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(run, f"doc_id {kind}, fp long")
 
 
-def _places(matches: int) -> np.ndarray:
-    return np.array(list(combinations(range(BYTES), matches)))
+def _indexed(max_bits: int) -> int:
+    """Byte positions in the index. One of the eight can be left out while a match elsewhere stays certain."""
+    return BYTES - 1 if max_bits < BYTES - 1 else BYTES
 
 
-def postings(fps: DataFrame, matches: int) -> DataFrame:
-    """The index: for each fingerprint one entry (key, fp) for every choice of ``matches`` positions with the
-    bytes there. Fingerprints that share that many positional bytes meet under at least one key."""
-    places = _places(matches)
+def _places(positions: int, matches: int) -> np.ndarray:
+    return np.array(list(combinations(range(positions), matches)))
+
+
+def postings(fps: DataFrame, positions: int, matches: int) -> DataFrame:
+    """The index: for each fingerprint one entry (key, fp) for every choice of ``matches`` of the first
+    ``positions`` bytes, with the bytes there. Fingerprints that share that many of them meet under at least one
+    key. The fingerprints are dealt over all tasks first: they are few bytes, their entries are many."""
+    places = _places(positions, matches)
 
     def run(frames):
         for frame in frames:
@@ -74,14 +80,15 @@ def postings(fps: DataFrame, matches: int) -> DataFrame:
                 key |= np.arange(len(places)) << 8 * matches
                 yield pd.DataFrame({"key": key.ravel(), "fp": np.repeat(fp, len(places))})
 
-    return fps.select("fp").mapInPandas(run, "key long, fp long")
+    return fps.select("fp").repartition("fp").mapInPandas(run, "key long, fp long")
 
 
 def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     """Links (a, b) that connect the same distinct fingerprints as all pairs within ``max_bits`` would.
 
     Two fingerprints of 8 bytes that differ in at most max_bits bits share at least 8 - max_bits bytes at
-    their places. Under each key of the index the shared bytes of every pair are tallied; pairs with the
+    their places, and of any 7 places at least one less. The index holds 7 places, so that it has half the
+    entries. Under each of its keys the shared bytes of every pair, all 8, are tallied; pairs with the
     guaranteed count are verified by Hamming distance. A pair is taken up under one key only, the first of
     those that its shared bytes make. Keys with many fingerprints are tested by pairs of blocks. What
     leaves a task is a spanning forest of its links, not the links.
@@ -89,7 +96,9 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     matches = BYTES - max_bits
     if not 1 <= matches < BYTES:
         raise ValueError("max_bits must be 1 to 7: fingerprints further apart need not share a byte")
-    places = _places(matches)
+    positions = _indexed(max_bits)
+    chosen = positions - max_bits
+    places = _places(positions, chosen)
     masks = (1 << places).sum(axis=1)
     canonical = np.array([next((k for k, m in enumerate(masks) if m & e == m), -1) for e in range(256)])
     bit = (1 << np.arange(BYTES)).astype(np.uint8)
@@ -97,7 +106,7 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     def near(a, b, key):
         """Of candidate pairs under a key: those that it has to report."""
         shared = ((a ^ b).view(np.uint8).reshape(-1, BYTES) == 0) @ bit
-        first = canonical[shared] == key >> 8 * matches
+        first = canonical[shared] == key >> 8 * chosen
         return (np.bitwise_count(shared) >= matches) & first & (np.bitwise_count(a ^ b) <= max_bits)
 
     def run(frames):
@@ -128,7 +137,7 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
             a, b = forest(*np.concatenate(found, axis=1))
             yield pd.DataFrame({"a": a, "b": b})
 
-    rows = in_block_pairs(postings(fps, matches), ["key"], "fp", block)
+    rows = in_block_pairs(postings(fps, positions, chosen), ["key"], "fp", block, "merge")
     return rows.select("key", "lo", "hi", "part", "fp").mapInPandas(run, "a long, b long").distinct()
 
 
