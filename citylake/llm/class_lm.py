@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citylake.llm.common import stored
+from citylake.llm.common import released, stored
 from citylake.llm.tokens import text_batches
 
 END = b""  # no word is empty, so the end token has this name
@@ -28,9 +28,18 @@ def words(text: str) -> list[bytes]:
 
 def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Tokens of the texts as numbers, the number of tokens of each text, and the words by number."""
-    lists = [words(t) for t in texts]
-    coded = pa.array([w for x in lists for w in x], pa.large_binary()).dictionary_encode()
-    return coded.indices.to_numpy(), np.array([len(x) for x in lists], np.int64), coded.dictionary.to_pylist()
+    sizes, parts, held, size = [], [], [], 0
+    for text in texts:
+        own = words(text)
+        held += own
+        sizes.append(len(own))
+        size += len(text)
+        if size >= 1 << 20:  # so that few tokens are objects of their own at a time
+            parts.append(pa.array(held, pa.large_binary()))
+            held, size = [], 0
+    parts.append(pa.array(held, pa.large_binary()))
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    return coded.indices.to_numpy(), np.array(sizes, np.int64), coded.dictionary.to_pylist()
 
 
 def blocks(docs: DataFrame, chars: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +78,7 @@ def blocks(docs: DataFrame, chars: int = 10 << 20) -> tuple[DataFrame, DataFrame
             number += 1
 
     schema = f"block long, doc_ids array<{kind}>, sizes array<long>, held array<boolean>, codes binary, number int, word binary, n long"
-    both = stored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "held").mapInPandas(run, schema), "blocks")
+    both = stored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "held").mapInPandas(released(run), schema), "blocks")
     return both.where("codes is not null").select("block", "doc_ids", "sizes", "held", "codes"), both.where("word is not null").select("block", "number", "word", "n")
 
 
