@@ -1,22 +1,25 @@
-"""Brown class-based bigram language model."""
+"""Brown class-based bigram language model: every word seen in training has a class."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citylake.llm.common import released, stored
+from citylake.llm.common import group_starts, released, stored, whole_groups
 from citylake.llm.tokens import text_batches
 
 END = b""  # no word is empty, so the end token has this name
+SEED = 42  # of the XXH64 keys, that of Spark's xxhash64
 
 
 def words(text: str) -> list[bytes]:
@@ -42,13 +45,19 @@ def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return coded.indices.to_numpy(), np.array(sizes, np.int64), coded.dictionary.to_pylist()
 
 
-def blocks(docs: DataFrame, chars: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
+def key_of(word: bytes) -> int:
+    """A word's key as a signed number, as Spark's xxhash64 gives it."""
+    k = xxhash.xxh64_intdigest(word, SEED)
+    return k - (1 << 64) if k >> 63 else k
+
+
+def blocks(docs: DataFrame, chars: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
     """The corpus as two tables in the shared folder.
 
-    Texts by blocks of about ``chars`` characters of one task's rows: (block, doc_ids, sizes, held, codes),
-    the tokens as numbers of the block's own word list, deflated. And the word lists: (block, number, word,
-    n), n the word's count in the block's training texts. docs: doc_id, text and held, whether a document
-    is held out.
+    Texts by blocks of about ``chars`` characters of one task's rows: (block, doc_ids, sizes, held, codes, keys),
+    the tokens as numbers of the block's own word list, deflated, and the keys of that list. And the word lists:
+    (block, number, word, n), n the word's count in the block's training texts. docs: doc_id, text and held,
+    whether a document is held out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -66,77 +75,95 @@ def blocks(docs: DataFrame, chars: int = 10 << 20) -> tuple[DataFrame, DataFrame
             del held["next"][: len(doc_ids)]
             codes, sizes, names = _coded(texts)
             n = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(names))
+            keys = np.fromiter(map(key_of, names), np.int64, len(names))
             raw = zlib.compress(codes.astype("<i4").tobytes(), 1)
             yield pd.DataFrame(
-                {"block": [number], "doc_ids": [doc_ids], "sizes": [sizes], "held": [out], "codes": [raw], "number": None, "word": None, "n": None}
+                {
+                    "block": [number], "doc_ids": [doc_ids], "sizes": [sizes], "held": [out], "codes": [raw],
+                    "keys": [keys.astype("<i8").tobytes()], "number": None, "word": None, "n": None,
+                }
             ).astype({"number": "object", "word": "object", "n": "object"})
             for k in range(0, len(names), 50_000):
                 part = names[k : k + 50_000]
-                yield pd.DataFrame(
-                    {"block": number, "doc_ids": None, "sizes": None, "held": None, "codes": None, "number": np.arange(k, k + len(part)), "word": part, "n": n[k : k + len(part)]}
-                )
+                empty = dict.fromkeys(["doc_ids", "sizes", "held", "codes", "keys"])
+                yield pd.DataFrame({"block": number, **empty, "number": np.arange(k, k + len(part)), "word": part, "n": n[k : k + len(part)]})
             number += 1
 
-    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, held array<boolean>, codes binary, number int, word binary, n long"
+    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, held array<boolean>, codes binary, keys binary, number int, word binary, n long"
     both = stored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "held").mapInPandas(released(run), schema), "blocks")
-    return both.where("codes is not null").select("block", "doc_ids", "sizes", "held", "codes"), both.where("word is not null").select("block", "number", "word", "n")
+    texts = both.where("codes is not null").select("block", "doc_ids", "sizes", "held", "codes", "keys")
+    return texts, both.where("word is not null").select("block", "number", "word", "n")
 
 
 @dataclass
 class Model:
-    """Counts of a class bigram model. Classes: 0 the end of a text, 1 to K those of frequent words, K + 1 all
-    other words, seen or not. ``names`` are the frequent words, the end first."""
+    """Counts of a class bigram model. Classes: 0 the end of a text, 1 to K those of words, K + 1 words unseen
+    in training. ``names`` are the most frequent words, the end first, and ``classes`` their classes, followed
+    by the number of the last class, K + 1."""
 
     names: list[bytes]
     classes: np.ndarray
-    follows: np.ndarray  # log10 P(class | class before)
-    emits: np.ndarray  # log10 P(word | its class) of the frequent words
-    other: float  # number of tokens of other words, and of their kinds, with one kind for all unseen words
     tokens: int
     kinds: int
+    between: np.ndarray  # how often a class follows another, all but the most frequent words in class K + 1
+    follows: np.ndarray | None = None  # log10 P(class | class before)
+    of_class: np.ndarray | None = None  # training tokens of each class
+
+    @property
+    def last(self) -> int:
+        return int(self.classes[-1])
+
 
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1))
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
+
+def _by_row(size: int, row: np.ndarray, col: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(1, size))
+    return list(zip(np.split(col[order], cuts), np.split(n[order], cuts)))
+
+
+def exchange(size: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Classes of words by exchange: each word in turn goes to the class that gives the bigrams the highest
     likelihood, until no word moves or for ``rounds`` rounds.
 
-    pairs[a, b]: how often word b follows word a. The first and the last word keep classes of their own
-    (the end, and all other words). Returns each word's class, those two 0 and classes + 1. Words start in
-    turn, by frequency; ties go to the lowest class.
+    Word b follows word a n times; pairs that are not listed never occur. Of the ``size`` words the first and
+    the last keep classes of their own (the end, and all words that are not clustered). Returns each word's
+    class, those two 0 and classes + 1, and how often a class follows another. Words start in turn, by
+    frequency; ties go to the lowest class.
     """
-    size = len(pairs)
     own = np.zeros(size, np.int64)
     own[1:-1] = 1 + np.arange(size - 2) % max(1, classes)
     own[-1] = classes + 1
     k = classes + 2
-    ones = np.eye(k)[own]
-    between = ones.T @ pairs @ ones
-    log = lambda x: x * np.log(np.maximum(x, 1))
+    at = np.arange(k)
+    n = n.astype(float)
+    after, before = _by_row(size, a, b, n), _by_row(size, b, a, n)
+    selves = np.bincount(a[a == b], n[a == b], size)
+    between = np.bincount(own[a] * k + own[b], n, k * k).reshape(k, k)
     for _ in range(rounds):
         moved = 0
         for w in range(1, size - 1):
-            old = own[w]
-            to, from_, self_ = np.bincount(own, pairs[w], k), np.bincount(own, pairs[:, w], k), pairs[w, w]
+            old, self_ = own[w], selves[w]
+            to = np.bincount(own[after[w][0]], after[w][1], k)
+            from_ = np.bincount(own[before[w][0]], before[w][1], k)
             to[old] -= self_
             from_[old] -= self_
-            without = between.copy()
-            without[old] -= to
-            without[:, old] -= from_
-            without[old, old] -= self_
-            rows, cols = without.sum(1) + from_, without.sum(0) + to
+            between[old] -= to
+            between[:, old] -= from_
+            between[old, old] -= self_
             # what joining a class adds: its row and column change, the corner by both
+            rows, cols = between.sum(1) + from_, between.sum(0) + to
             n_to, n_from = to.sum() + self_, from_.sum() + self_
-            row = (log(without + to[None, :]) - log(without)).sum(1)
-            col = (log(without + from_[:, None]) - log(without)).sum(0)
-            at = np.arange(k)
-            corner = without[at, at]
-            gain = row + col - (log(corner + to[at]) - log(corner)) - (log(corner + from_[at]) - log(corner))
-            gain += log(corner + to[at] + from_[at] + self_) - log(corner)
-            gain -= log(rows + n_to) - log(rows) + log(cols + n_from) - log(cols)
+            now, corner = _xlogx(between), between[at, at]
+            gain = _xlogx(between + to[None, :]).sum(1) + _xlogx(between + from_[:, None]).sum(0) - now.sum(1) - now.sum(0)
+            gain -= _xlogx(corner + to[at]) + _xlogx(corner + from_[at]) - _xlogx(corner)
+            gain += _xlogx(corner + to[at] + from_[at] + self_)
+            gain -= _xlogx(rows + n_to) - _xlogx(rows) + _xlogx(cols + n_from) - _xlogx(cols)
             new = 1 + int(np.argmax(gain[1 : classes + 1]))
             if gain[new] <= gain[old] + 1e-9:
                 new = old
-            between = without
             between[new] += to
             between[:, new] += from_
             between[new, new] += self_
@@ -144,90 +171,237 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 20) -> np.ndarray:
             own[w] = new
         if not moved:
             break
-    return own
+    return own, between
+
 
+def joining(between: np.ndarray, words: int, word: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class from 1 to K that each of ``words`` words would join by the gain of ``exchange``, every word
+    judged by itself against the same table ``between`` of the clustered words' classes.
 
-def bigrams(docs: DataFrame, names: list[bytes]) -> DataFrame:
+    Rows: the word's number (ascending), the classes before and after it, and how often. Gains that differ by
+    less than a millionth are ties, which go to the lowest class.
+    """
+    k = len(between)
+    best = k - 1
+    gain = np.zeros((words, best - 1))
+    table, n = between[1:best], n.astype(float)
+    for other, counts in ((after, table), (before, between[:, 1:best].T)):
+        code, at = np.unique(word * k + other, return_inverse=True)
+        m = np.bincount(at, n)
+        for lo in range(0, len(code), 20_000):
+            part = code[lo : lo + 20_000]
+            x = counts[:, part % k].T
+            add = _xlogx(x + m[lo : lo + 20_000, None]) - _xlogx(x)
+            starts = np.flatnonzero(np.append(True, np.diff(part // k) != 0))
+            gain[(part // k)[starts]] += np.add.reduceat(add, starts)
+    to = np.bincount(word * k + after, n, words * k).reshape(words, k)[:, 1:best]
+    from_ = np.bincount(word * k + before, n, words * k).reshape(words, k)[:, 1:best]
+    corner = between[np.arange(1, best), np.arange(1, best)]
+    gain += _xlogx(corner + to + from_) - _xlogx(corner + to) - _xlogx(corner + from_) + _xlogx(corner)
+    total = np.bincount(word, n, words)[:, None]
+    for sums, more in ((between.sum(1)[1:best], from_), (between.sum(0)[1:best], to)):
+        gain -= _xlogx(sums + more + total) - _xlogx(sums + more)
+    return 1 + np.argmax(np.round(gain, 6), axis=1)
+
+
+def _numbers(row, heads: np.ndarray, values: np.ndarray, rest: int) -> np.ndarray:
+    """For the words of a block the value of their key in ``heads`` (sorted), else ``rest``."""
+    keys = np.frombuffer(row.keys, "<i8")
+    at = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
+    return np.where(heads[at] == keys, values[at], rest)
+
+
+def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's tokens as numbers of its word list, the tokens' first places by text, the texts' sizes, and
+    whether a token is in a training text."""
+    codes, sizes = np.frombuffer(zlib.decompress(row.codes), "<i4"), np.asarray(row.sizes)
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    return codes, starts, sizes, np.repeat(~np.asarray(row.held, bool), sizes)
+
+
+def _before(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The value of the token before each token; before a text's first stands the end, 0."""
+    out = np.append(0, values[:-1])
+    out[starts] = 0
+    return out
+
+
+def bigrams(texts: DataFrame, names: list[bytes]) -> DataFrame:
     """(a, b, n) over all training texts: numbers of neighbouring tokens, a text's first after the end token.
     Words that are not in ``names`` share the number after the last. Counted in each task first."""
-    number = {w: k for k, w in enumerate(names)}
-    size = len(names) + 1
+    keys = np.array([key_of(w) for w in names])
+    order = np.argsort(keys)
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], order))
+    rest = len(names)
 
     def run(frames: Iterator[pd.DataFrame]):
-        total = np.zeros(size * size, np.int64)
-        get, rest = number.get, len(names)
+        heads, numbers = shared.value
+        sums: dict[str, np.ndarray] = {"at": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
         for frame in frames:
-            for text in frame["text"]:
-                ids = np.array([0, *[get(w, rest) for w in words(text if isinstance(text, str) else "")]], np.int64)
-                np.add.at(total, ids[:-1] * size + ids[1:], 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"a": at // size, "b": at % size, "n": total[at]})
+            for row in frame.itertuples(index=False):
+                codes, starts, _, train = _tokens(row)
+                ids = _numbers(row, heads, numbers, rest)[codes]
+                at, n = np.unique((_before(ids, starts) * (rest + 1) + ids)[train], return_counts=True)
+                all_, back = np.unique(np.append(sums["at"], at), return_inverse=True)
+                sums = {"at": all_, "n": np.bincount(back, np.append(sums["n"], n), len(all_)).astype(np.int64)}
+        yield pd.DataFrame({"a": sums["at"] // (rest + 1), "b": sums["at"] % (rest + 1), "n": sums["n"]})
 
-    rows = docs.where("not held").select(F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = texts.select("sizes", "held", "codes", "keys")
+    return rows.mapInPandas(released(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lists: DataFrame, frequent: int = 1000, classes: int = 32) -> tuple[Model, DataFrame]:
-    """The model, and the word lists with each word's count: (block, number, c, head), head its number among
-    the ``frequent`` words that exchange clustering is for, else -1.
+def fit(texts: DataFrame, lists: DataFrame, head: float = 2.0, classes: float = 2.0) -> Model:
+    """Exchange clustering of the most frequent training words: ``head`` times the root of the number V of
+    different ones, into ``classes`` times the fourth root of V classes; both grow with the corpus.
 
-    Words are counted over all training texts. Only the frequent words, the bigrams among them and the
-    totals reach the driver: bounded by (frequent + 2) squared.
+    Only these words and the bigrams among them reach the driver, at most head² * V pairs and in practice
+    those that occur; every other word gets its class in ``known``.
     """
     counts = stored(lists.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"] or 0), int(total["v"])
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(frequent).collect()
-    ends = counts.where(F.length("word") == 0).collect()
+    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(math.ceil(head * math.sqrt(kinds))).collect()
     names = [END, *[bytes(r["word"]) for r in top]]
-    c = np.array([ends[0]["c"] if ends else 0, *[r["c"] for r in top]], np.float64)
-    size = len(names) + 1
-    pairs = np.zeros((size, size))
-    for r in bigrams(docs, names).collect():
-        pairs[r["a"], r["b"]] = r["n"]
-    k = min(classes, len(top))
-    own = exchange(pairs, k)
-    ones = np.eye(k + 2)[own]
-    between = ones.T @ pairs @ ones + 0.5
-    follows = np.log10(between / between.sum(1, keepdims=True))
-    of_class = np.bincount(own[:-1], c, k + 2)
-    emits = np.log10(np.maximum(c, 1) / np.maximum(of_class[own[:-1]], 1))
-    rest = (tokens - c.sum()) + (kinds - int((c > 0).sum())) + 1
-    model = Model(names, own, follows, emits, float(rest), tokens, kinds)
-    spark = docs.sparkSession
-    heads = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word binary, head int")
-    known = counts.join(F.broadcast(heads), "word", "left")  # frequent + 1 rows
-    return model, lists.select("block", "number", "word").join(known, "word", "left").select("block", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("head", F.lit(-1)).alias("head"))
-
-
-def score(texts: DataFrame, counted: DataFrame, model: Model, mix: float = 0.9) -> DataFrame:
+    pairs = bigrams(texts, names).toPandas()
+    k = min(math.ceil(classes * kinds**0.25), len(top))
+    own, between = exchange(len(names) + 1, pairs["a"].to_numpy(np.int64), pairs["b"].to_numpy(np.int64), pairs["n"].to_numpy(), k)
+    return Model(names, own, tokens, kinds, between)
+
+
+def known(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, class, c) of every word of the training texts, and of the end.
+
+    A word that was not clustered takes the class with the best exchange gain by its own counts of (class
+    before, class after), summed over the corpus; words are told apart by 64-bit keys. A word's rows are at
+    most one for each pair of classes and block.
+    """
+    spark, k = texts.sparkSession, len(model.between)
+    keys = np.array([key_of(w) for w in model.names])
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], model.classes[:-1][order], order))
+    between = spark.sparkContext.broadcast(model.between)
+    last = model.last
+
+    def contexts(frames):
+        heads, own, order = shared.value
+        clustered = np.zeros(len(heads), np.int64)
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                codes, starts, _, train = _tokens(row)
+                keys = np.frombuffer(row.keys, "<i8")
+                class_ = _numbers(row, heads, own, last)[codes]
+                before = _before(class_, starts)
+                rare = np.flatnonzero(train & (class_ == last))  # never the last token: that is the end
+                at, n = np.unique((codes[rare].astype(np.int64) * k + before[rare]) * k + class_[np.minimum(rare + 1, len(codes) - 1)], return_counts=True)
+                # the clustered words' counts, in rows of their own
+                number = _numbers(row, heads, order, -1)[codes[train]]
+                clustered += np.bincount(number[number >= 0], minlength=len(heads))
+                for lo in range(0, len(at), 200_000):
+                    part = at[lo : lo + 200_000]
+                    yield pd.DataFrame({"key": keys[part // (k * k)], "code": part % (k * k), "n": n[lo : lo + 200_000]})
+        seen = np.flatnonzero(clustered)
+        inverse = np.empty(len(heads), np.int64)
+        inverse[order] = np.arange(len(heads))
+        yield pd.DataFrame({"key": heads[inverse[seen]], "code": -1, "n": clustered[seen]})
+
+    def run(frames):
+        heads, own, _ = shared.value
+        for frame in whole_groups(frames, ["key"]):
+            starts = group_starts(frame, ["key"])
+            key, code, n = (frame[c].to_numpy() for c in ("key", "code", "n"))
+            word = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            own_keys = key[starts[:-1]]
+            first = code[starts[:-1]] < 0
+            at = np.minimum(np.searchsorted(heads, own_keys), len(heads) - 1)
+            class_ = np.where(first, own[at], 0)
+            rare = code >= 0
+            if rare.any():
+                number = np.cumsum(~first) - 1
+                class_[~first] = joining(between.value, int((~first).sum()), number[word[rare]], code[rare] // k, code[rare] % k, n[rare])
+            yield pd.DataFrame({"key": own_keys, "class": class_, "c": np.add.reduceat(n, starts[:-1])})
+
+    rows = texts.select("sizes", "held", "codes", "keys").mapInPandas(released(contexts), "key long, code int, n long")
+    rows = rows.repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "code")
+    return stored(rows.mapInPandas(released(run), "key long, class int, c long"), "classes")
+
+
+def classed(texts: DataFrame, lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The blocks with the count (``c``) and class of each word of their lists; words unseen in training have
+    count 0 and class -1. A table in the shared folder."""
+    rows = lists.select("block", "number", F.xxhash64("word").alias("key")).join(vocabulary, "key", "left")
+    rows = rows.select("block", F.struct("number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class")).alias("w"))
+    by_block = rows.groupBy("block").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    by_block = by_block.select("block", F.col("w.c").alias("c"), F.col("w.class").alias("class"))
+    return stored(texts.drop("keys").join(by_block, "block"), "classed")
+
+
+def transitions(rows: DataFrame, last: int) -> DataFrame:
+    """(a, b, n) over all training texts: how often class b follows class a. Words that occur once count in
+    their class and, ``last`` + 1 classes further on, as what an unseen word would have been."""
+    size = 2 * (last + 1)
+
+    def run(frames):
+        total = np.zeros(size * size, np.int64)
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                codes, starts, _, train = _tokens(row)
+                class_, c = np.asarray(row[-1]), np.asarray(row.c)
+                marked = np.where((c == 1) & (class_ > 0), class_ + last + 1, class_)[codes]
+                total += np.bincount((_before(marked, starts) * size + marked)[train], minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"a": at // size, "b": at % size, "n": total[at]})
+
+    return rows.select("sizes", "held", "codes", "c", "class").mapInPandas(released(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def completed(model: Model, rows: DataFrame) -> Model:
+    """The model with the transitions of all classes, over every token of the training texts.
+
+    An unseen word follows a class as often as words that occur just once do, and is followed by what follows
+    those. The other classes share the rest, by counts of which each class that has words has 0.5 more.
+    """
+    last = model.last
+    size = last + 1
+    n = np.zeros((2 * size, 2 * size))
+    for r in transitions(rows, last).collect():
+        n[r["a"], r["b"]] = r["n"]
+    once_before = n[size:].sum(0)
+    columns = n[:size] + n[size:]
+    columns[last] = once_before  # in place of the unseen words, which training texts do not have
+    unseen = (columns[:, size:].sum(1) + 0.5) / (columns.sum(1) + 1)
+    counts = columns[:, :size] + columns[:, size:]
+    of_class = (n[:, :size] + n[:, size:]).sum(0)
+    used = of_class[:last] > 0
+    if not used.any():  # no training texts: all is unseen
+        unseen[:] = 1
+    share = np.where(used, counts[:, :last] + 0.5, 0.0)
+    share /= np.maximum(share.sum(1, keepdims=True), 0.5)
+    p = np.column_stack([(1 - unseen)[:, None] * share, unseen])
+    with np.errstate(divide="ignore"):
+        return replace(model, follows=np.log10(p), of_class=of_class)
+
+
+def score(rows: DataFrame, model: Model, mix: float = 0.9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text of the blocks.
 
     A token's probability is mix * P(class | class before) * P(token | class) + (1 - mix) * P(token), the
-    latter (c + 1) / (N + V + 1); all words outside the frequent ones share a class, in which a word has
-    (c + 1) / (their tokens + their kinds + 1). base_score is by the latter alone. Logarithms to base 10.
+    latter (c + 1) / (N + V + 1); a word's share of its class is c over the class's tokens, and all words
+    unseen in training are one kind. base_score is by the latter alone. Logarithms to base 10.
     """
-    kind = texts.schema["doc_ids"].dataType.elementType.simpleString()
-    by_block = counted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", "c", "head"))).alias("w"))
-    rows = texts.join(by_block.select("block", F.col("w.c").alias("c"), F.col("w.head").alias("head")), "block")
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         m = shared.value
         for frame in frames:
             for row in frame.itertuples(index=False):
-                codes, sizes = np.frombuffer(zlib.decompress(row.codes), "<i4"), np.asarray(row.sizes)
-                c = np.asarray(row.c, np.float64)
-                head = np.asarray(row.head)
+                codes, starts, sizes, train = _tokens(row)
+                c, own = np.asarray(row.c, np.float64), np.asarray(row[-1])
                 base = np.log10((c + 1) / (m.tokens + (m.kinds + 1)))
-                rare = head < 0
-                emit = np.where(rare, np.log10((c + 1) / m.other), m.emits[np.maximum(head, 0)])
-                own = np.where(rare, m.classes[-1], m.classes[np.maximum(head, 0)])
+                own = np.where(own < 0, m.last, own)
+                emit = np.log10(np.where(c > 0, c / np.maximum(m.of_class[own], 1), 1.0))
                 class_ = own[codes]
-                before = np.append(0, class_[:-1])
-                starts = np.append(0, np.cumsum(sizes)[:-1])
-                before[starts] = 0
-                p = mix * 10.0 ** (m.follows[before, class_] + emit[codes]) + (1 - mix) * 10.0 ** base[codes]
+                p = mix * 10.0 ** (m.follows[_before(class_, starts), class_] + emit[codes]) + (1 - mix) * 10.0 ** base[codes]
                 out = pd.DataFrame(
                     {
                         "doc_id": list(row.doc_ids), "held_out": np.asarray(row.held, bool), "n_tokens": sizes,
@@ -238,8 +412,8 @@ def score(texts: DataFrame, counted: DataFrame, model: Model, mix: float = 0.9)
                 out["doc_id"] = out["doc_id"].astype(object)
                 yield out
 
-    return rows.mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.select("doc_ids", "sizes", "held", "codes", "c", "class").mapInPandas(
+        released(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
@@ -248,15 +422,15 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def perplexities(docs: DataFrame, frequent: int = 1000, classes: int = 32) -> DataFrame:
-    """Learn from the documents that are not held out, and score all; see ``score``.
+def perplexities(docs: DataFrame, head: float = 2.0, classes: float = 2.0) -> DataFrame:
+    """Learn from the documents that are not held out, and score all; see ``fit``, ``known`` and ``score``.
 
     docs: doc_id and text; other columns are left out. A null or empty text is the end token alone. Repeated
     rows and null ids are scored like any others. An empty table gives no rows; if all are held out, N and V
-    are 0. Word counts cover all training texts, whatever their number; a word that every text has is one
-    row from each block, and copies are counted as they are.
+    are 0 and every word is unseen. Word counts, classes and transitions cover all training texts, whatever
+    their number; a word that every text has is one row from each block, and copies are counted as they are.
     """
-    marked = docs.select("doc_id", "text", held_out().alias("held"))
-    texts, lists = blocks(marked)
-    model, counted = fit(marked, lists, frequent, classes)
-    return score(texts, counted, model)
+    texts, lists = blocks(docs.select("doc_id", "text", held_out().alias("held")))
+    model = fit(texts, lists, head, classes)
+    rows = classed(texts, lists, known(texts, model))
+    return score(rows, completed(model, rows))

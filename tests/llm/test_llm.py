@@ -455,33 +455,125 @@ def test_language_model_query(spark, table):
 
 
 def test_language_model_of_awkward_rows(spark, odd, none):
-    got = class_lm.perplexities(odd, frequent=5, classes=2).collect()
-    lm_holds(got, [(r[0], r[1]) for r in awkward()])
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    for head, classes in ((2.0, 2.0), (0.1, 0.3)):
+        got = class_lm.perplexities(odd, head, classes).collect()
+        lm_holds(got, [(r[0], r[1]) for r in awkward()])
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert class_lm.perplexities(none).count() == 0
+    unlearned = odd.where(class_lm.held_out())
+    got = class_lm.perplexities(unlearned).collect()
+    assert got and all(r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0 for r in got)  # one kind, sure to come
+
+
+def scored(spark, train, probes, head, classes):
+    """The model, each word's class, and the scores of the probes by text."""
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(1000 + i, t, True) for i, t in enumerate(probes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    texts, lists = class_lm.blocks(docs, chars=40)
+    model = class_lm.fit(texts, lists, head, classes)
+    vocabulary = class_lm.known(texts, model)
+    by_key = {r["key"]: (r["class"], r["c"]) for r in vocabulary.collect()}
+    found = {w: by_key[class_lm.key_of(w)] for t in train for w in class_lm.words(t)}
+    assert len(found) == len(by_key) == model.kinds
+    table = class_lm.classed(texts, lists, vocabulary)
+    model = class_lm.completed(model, table)
+    scores = {r["doc_id"]: r["score"] for r in class_lm.score(table, model).collect()}
+    return model, found, {t: scores[1000 + i] for i, t in enumerate(probes)}
 
 
 def test_language_model_adds_up_to_one(spark):
     """Over all tokens that can follow: the end, every known word, and one unseen word."""
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "c c d", "e a b"])], "doc_id long, text string")
-    marked = docs.withColumn("held", F.lit(False))
-    texts, lists = class_lm.blocks(marked)
-    model, counted = class_lm.fit(marked, lists, frequent=2, classes=2)
-    probes = spark.createDataFrame([(i, t, True) for i, t in enumerate(["", "a", "b", "c", "d", "e", "zz"])], "doc_id long, text string, held boolean")
-    all_texts, all_lists = class_lm.blocks(marked.unionByName(probes.withColumn("doc_id", F.col("doc_id") + 100)))
-    model, counted = class_lm.fit(marked, all_lists, frequent=2, classes=2)
-    scores = {r["doc_id"] - 100: r["score"] for r in class_lm.score(all_texts, counted, model).where("doc_id >= 100").collect()}
-    # P(end after start) + sum of P(word, end) / P(end after word), the latter by the word's class
-    c = Counter("a b a c b a c c d e a b".split())
-    n, v = 16, 6
-    base = lambda k: (k + 1) / (n + v + 1)
-    names = [bytes(w).decode() for w in model.names]
-    total = 10 ** scores[0]
-    for k, w in enumerate(["a", "b", "c", "d", "e", "zz"], 1):
-        class_ = model.classes[names.index(w)] if w in names else model.classes[-1]
-        end = 0.9 * 10 ** model.follows[class_, 0] + 0.1 * base(4)
-        total += 10 ** scores[k] / end
-    assert sum(c.values()) + 4 == n and abs(total - 1) < 1e-9
+    known = ["a", "b", "c", "d", "e"]
+    model, found, scores = scored(spark, ["a b a c", "b a", "c c d", "e a b"], ["", *known, "zz"], 0.8, 1.0)
+    assert len(model.names) == 3 and found[b"a"][1] == 4 and found[b"d"][0] > 0
+    total = 10 ** scores[""]  # P(end after start) + sum of P(word, end) / P(end after word), the latter by the word's class
+    for w in [*known, "zz"]:
+        class_ = found[w.encode()][0] if w != "zz" else model.last
+        total += 10 ** scores[w] / (0.9 * 10 ** model.follows[class_, 0] + 0.1 * 5 / (16 + 6 + 1))
+    assert abs(total - 1) < 1e-9 and np.allclose((10**model.follows).sum(1), 1)
+
+
+def likelihood(n):
+    log = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return log(n) - log(n.sum(0)) - log(n.sum(1))
+
+
+def test_language_model_against_brute_force(spark):
+    """Classes of all words and whole scores, counted text by text in dictionaries."""
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    pick = lambda some: some[int(60 * rng.random() ** 2.5)]
+    texts = [" ".join(pick(nouns if k % 2 else verbs) for k in range(int(rng.integers(0, 14)))) for _ in range(120)]
+    train, probes = texts[:90], sorted({*texts[90:], "n0 unseen v0", "unseen", ""})
+    model, found, scores = scored(spark, train, probes, 1.5, 1.0)
+    c = Counter(w for t in train for w in class_lm.words(t))
+    size, last = math.ceil(1.5 * math.sqrt(len(c))), model.last
+    assert last == math.ceil(len(c) ** 0.25) + 1 and len(model.names) == size + 1 < len(c) - 20
+    top = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:size]
+    assert model.names == [b"", *top]
+    number = {w: k for k, w in enumerate(model.names)}
+    pairs = Counter()
+    for t in train:
+        ids = [0, *(number.get(w, size + 1) for w in class_lm.words(t))]
+        pairs.update(zip(ids, ids[1:]))
+    a, b = np.array(list(pairs)).T
+    own, _ = class_lm.exchange(size + 2, a, b, np.array(list(pairs.values())), last - 1)
+    assert {w: found[w][0] for w in model.names} == {w: own[k] for w, k in number.items()}
+    between = np.zeros((last + 1, last + 1))
+    for (x, y), n in pairs.items():
+        between[own[x], own[y]] += n
+    contexts = {}
+    for t in train:
+        ws = [b"", *class_lm.words(t)]
+        classes = [own[number.get(w, size + 1)] for w in ws]
+        for i in range(1, len(ws)):
+            if ws[i] not in number:
+                contexts.setdefault(ws[i], []).append((classes[i - 1], classes[i + 1]))
+    for w, around in contexts.items():  # each other word where it raises the likelihood most
+        gains = []
+        for k in range(1, last):
+            n = between.copy()
+            for x, y in around:
+                n[x, k] += 1
+                n[k, y] += 1
+            gains.append(likelihood(n))
+        assert gains[found[w][0] - 1] > max(gains) - 1e-5
+    class_of = {w: k for w, (k, _) in found.items()}
+    assert {w: n for w, (_, n) in found.items()} == c
+    follow, once_after, once_before, of_class = Counter(), Counter(), Counter(), Counter()
+    unseen_twice = 0
+    for t in train:
+        ws = [b"", *class_lm.words(t)]
+        of_class.update(class_of[w] for w in ws[1:])
+        for x, y in zip(ws, ws[1:]):
+            follow[class_of[x], class_of[y]] += 1
+            once_after[class_of[x]] += c[y] == 1
+            if c[x] == 1:
+                once_before[class_of[y]] += 1
+                unseen_twice += c[y] == 1
+    used = [k for k in range(last) if of_class[k]]
+
+    def p(x, y):
+        n = once_before if x is None else Counter({k: follow[x, k] for k in used})
+        total = sum(n.values())
+        new = ((unseen_twice if x is None else once_after[x]) + 0.5) / (total + 1)
+        return new if y is None else (1 - new) * (n[y] + 0.5) / (total + 0.5 * len(used))
+
+    total = sum(c.values())
+    for t in probes:
+        want, x = 0.0, 0
+        for w in class_lm.words(t):
+            y = class_of.get(w)
+            emit = c[w] / of_class[y] if y is not None else 1
+            want += math.log10(0.9 * p(x, y) * emit + 0.1 * (c[w] + 1) / (total + len(c) + 1))
+            x = y
+        assert abs(scores[t] - want) < 1e-9, t
+
+
+def test_keys_are_those_of_spark(spark):
+    some = [b"", b"a", b"word", "naïve".encode(), b"x" * 100]
+    rows = spark.createDataFrame([(w,) for w in some], "w binary").select("w", F.xxhash64("w").alias("k")).collect()
+    assert {bytes(r["w"]): r["k"] for r in rows} == {w: class_lm.key_of(w) for w in some}
 
 
 def test_exchange_never_loses_likelihood():
@@ -490,20 +582,20 @@ def test_exchange_never_loses_likelihood():
     pairs[1:6, 6:11] += 200
     pairs[6:11, 1:6] += 200
 
-    def likelihood(own):
+    def of(own):
         ones = np.eye(4)[own]
-        n = ones.T @ pairs @ ones
-        log = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        return log(n) - log(n.sum(0)) - log(n.sum(1))
+        return likelihood(ones.T @ pairs @ ones)
 
     start = np.array([0, *(1 + np.arange(10) % 2), 3])
-    own = class_lm.exchange(pairs, 2)
-    assert likelihood(own) >= likelihood(start) and len(set(own[1:6])) == 1 and len(set(own[6:11])) == 1
+    a, b = np.nonzero(pairs)
+    own, between = class_lm.exchange(12, a, b, pairs[a, b], 2)
+    assert (between == np.eye(4)[own].T @ pairs @ np.eye(4)[own]).all()
+    assert of(own) >= of(start) and len(set(own[1:6])) == 1 and len(set(own[6:11])) == 1
     for w in range(1, 11):  # no single move is better
         for k in (1, 2):
             other = own.copy()
             other[w] = k
-            assert likelihood(other) <= likelihood(own) + 1e-6
+            assert of(other) <= of(own) + 1e-6
 
 
 # ---- embeddings
