@@ -29,20 +29,28 @@ def words(text: str) -> list[bytes]:
     return tokens
 
 
-def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Tokens of the texts as numbers, the number of tokens of each text, and the words by number."""
+def _coded(texts: list[str], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens of the texts as numbers, the number of tokens of each text, and the words by number. About ``piece``
+    characters at a time, so that few tokens are objects of their own."""
+    numbers: dict[bytes, int] = {}
     sizes, parts, held, size = [], [], [], 0
+
+    def add():
+        coded = pa.array(held, pa.large_binary()).dictionary_encode()
+        own = [numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()]
+        parts.append(np.array(own, np.int32)[coded.indices.to_numpy()])
+
     for text in texts:
         own = words(text)
         held += own
         sizes.append(len(own))
         size += len(text)
-        if size >= 1 << 20:  # so that few tokens are objects of their own at a time
-            parts.append(pa.array(held, pa.large_binary()))
+        if size >= piece:
+            add()
             held, size = [], 0
-    parts.append(pa.array(held, pa.large_binary()))
-    coded = pa.concat_arrays(parts).dictionary_encode()
-    return coded.indices.to_numpy(), np.array(sizes, np.int64), coded.dictionary.to_pylist()
+    if held:
+        add()
+    return np.concatenate(parts), np.array(sizes, np.int64), list(numbers)
 
 
 def key_of(word: bytes) -> int:
@@ -51,13 +59,12 @@ def key_of(word: bytes) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def blocks(docs: DataFrame, chars: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
-    """The corpus as two tables in the shared folder.
+def blocks(docs: DataFrame, chars: int = 16 << 20) -> DataFrame:
+    """The corpus as a table in the shared folder: (block, doc_ids, sizes, held, codes, words, n).
 
-    Texts by blocks of about ``chars`` characters of one task's rows: (block, doc_ids, sizes, held, codes, keys),
-    the tokens as numbers of the block's own word list, deflated, and the keys of that list. And the word lists:
-    (block, number, word, n), n the word's count in the block's training texts. docs: doc_id, text and held,
-    whether a document is held out.
+    A block is about ``chars`` characters of one task's rows: the tokens as numbers of the block's own word
+    list, deflated, that list, and each word's count in the block's training texts. docs: doc_id, text and
+    held, whether a document is held out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -75,24 +82,17 @@ def blocks(docs: DataFrame, chars: int = 6 << 20) -> tuple[DataFrame, DataFrame]
             del held["next"][: len(doc_ids)]
             codes, sizes, names = _coded(texts)
             n = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(names))
-            keys = np.fromiter(map(key_of, names), np.int64, len(names))
             raw = zlib.compress(codes.astype("<i4").tobytes(), 1)
-            yield pd.DataFrame(
-                {
-                    "block": [number], "doc_ids": [doc_ids], "sizes": [sizes], "held": [out], "codes": [raw],
-                    "keys": [keys.astype("<i8").tobytes()], "number": None, "word": None, "n": None,
-                }
-            ).astype({"number": "object", "word": "object", "n": "object"})
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                empty = dict.fromkeys(["doc_ids", "sizes", "held", "codes", "keys"])
-                yield pd.DataFrame({"block": number, **empty, "number": np.arange(k, k + len(part)), "word": part, "n": n[k : k + len(part)]})
+            yield pd.DataFrame({"block": [number], "doc_ids": [doc_ids], "sizes": [sizes], "held": [out], "codes": [raw], "words": [names], "n": [n]})
             number += 1
 
-    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, held array<boolean>, codes binary, keys binary, number int, word binary, n long"
-    both = stored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "held").mapInPandas(released(run), schema), "blocks")
-    texts = both.where("codes is not null").select("block", "doc_ids", "sizes", "held", "codes", "keys")
-    return texts, both.where("word is not null").select("block", "number", "word", "n")
+    schema = f"block long, doc_ids array<{kind}>, sizes array<long>, held array<boolean>, codes binary, words array<binary>, n array<long>"
+    return stored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "held").mapInPandas(released(run), schema), "blocks")
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """What the counts of a block's tokens need: its word list as keys."""
+    return texts.select("block", "sizes", "held", "codes", F.transform("words", lambda w: F.xxhash64(w)).alias("keys"), "n")
 
 
 @dataclass
@@ -138,7 +138,6 @@ def exchange(size: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: in
     own[-1] = classes + 1
     k = classes + 2
     at = np.arange(k)
-    n = n.astype(float)
     after, before = _by_row(size, a, b, n), _by_row(size, b, a, n)
     selves = np.bincount(a[a == b], n[a == b], size)
     between = np.bincount(own[a] * k + own[b], n, k * k).reshape(k, k)
@@ -184,7 +183,7 @@ def joining(between: np.ndarray, words: int, word: np.ndarray, before: np.ndarra
     k = len(between)
     best = k - 1
     gain = np.zeros((words, best - 1))
-    table, n = between[1:best], n.astype(float)
+    table = between[1:best]
     for other, counts in ((after, table), (before, between[:, 1:best].T)):
         code, at = np.unique(word * k + other, return_inverse=True)
         m = np.bincount(at, n)
@@ -206,7 +205,7 @@ def joining(between: np.ndarray, words: int, word: np.ndarray, before: np.ndarra
 
 def _numbers(row, heads: np.ndarray, values: np.ndarray, rest: int) -> np.ndarray:
     """For the words of a block the value of their key in ``heads`` (sorted), else ``rest``."""
-    keys = np.frombuffer(row.keys, "<i8")
+    keys = np.asarray(row.keys)
     at = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
     return np.where(heads[at] == keys, values[at], rest)
 
@@ -246,93 +245,92 @@ def bigrams(texts: DataFrame, names: list[bytes]) -> DataFrame:
                 sums = {"at": all_, "n": np.bincount(back, np.append(sums["n"], n), len(all_)).astype(np.int64)}
         yield pd.DataFrame({"a": sums["at"] // (rest + 1), "b": sums["at"] % (rest + 1), "n": sums["n"]})
 
-    rows = texts.select("sizes", "held", "codes", "keys")
-    return rows.mapInPandas(released(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _keyed(texts).mapInPandas(released(run), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, lists: DataFrame, head: float = 2.0, classes: float = 2.0) -> Model:
+def fit(texts: DataFrame, head: float = 1.0, classes: float = 2.0) -> Model:
     """Exchange clustering of the most frequent training words: ``head`` times the root of the number V of
     different ones, into ``classes`` times the fourth root of V classes; both grow with the corpus.
 
     Only these words and the bigrams among them reach the driver, at most head² * V pairs and in practice
     those that occur; every other word gets its class in ``known``.
     """
+    lists = texts.select(F.explode(F.arrays_zip("words", "n")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.n").alias("n"))
     counts = stored(lists.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"] or 0), int(total["v"])
     top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(math.ceil(head * math.sqrt(kinds))).collect()
     names = [END, *[bytes(r["word"]) for r in top]]
-    pairs = bigrams(texts, names).toPandas()
+    pairs = bigrams(texts, names).toArrow()
     k = min(math.ceil(classes * kinds**0.25), len(top))
-    own, between = exchange(len(names) + 1, pairs["a"].to_numpy(np.int64), pairs["b"].to_numpy(np.int64), pairs["n"].to_numpy(), k)
+    own, between = exchange(len(names) + 1, *(pairs[c].to_numpy() for c in ("a", "b", "n")), k)
     return Model(names, own, tokens, kinds, between)
 
 
 def known(texts: DataFrame, model: Model) -> DataFrame:
-    """(key, class, c) of every word of the training texts, and of the end.
+    """(block, number, key, c, class) of every word of every block's list: its count in the training texts, and
+    its class.
 
     A word that was not clustered takes the class with the best exchange gain by its own counts of (class
-    before, class after), summed over the corpus; words are told apart by 64-bit keys. A word's rows are at
-    most one for each pair of classes and block.
+    before, class after), summed over the corpus; words are told apart by 64-bit keys. Each block sends one
+    row for a word, with the word's contexts in it, so the hottest word has as many rows as there are blocks.
     """
-    spark, k = texts.sparkSession, len(model.between)
+    spark, k, last = texts.sparkSession, len(model.between), model.last
     keys = np.array([key_of(w) for w in model.names])
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], model.classes[:-1][order], order))
-    between = spark.sparkContext.broadcast(model.between)
-    last = model.last
+    shared = spark.sparkContext.broadcast((keys[order], model.classes[:-1][order], model.between))
+    code = np.dtype("<u2" if k * k < 1 << 16 else "<u4")
 
     def contexts(frames):
-        heads, own, order = shared.value
-        clustered = np.zeros(len(heads), np.int64)
+        heads, own, _ = shared.value
         for frame in frames:
             for row in frame.itertuples(index=False):
                 codes, starts, _, train = _tokens(row)
-                keys = np.frombuffer(row.keys, "<i8")
                 class_ = _numbers(row, heads, own, last)[codes]
                 before = _before(class_, starts)
                 rare = np.flatnonzero(train & (class_ == last))  # never the last token: that is the end
-                at, n = np.unique((codes[rare].astype(np.int64) * k + before[rare]) * k + class_[np.minimum(rare + 1, len(codes) - 1)], return_counts=True)
-                # the clustered words' counts, in rows of their own
-                number = _numbers(row, heads, order, -1)[codes[train]]
-                clustered += np.bincount(number[number >= 0], minlength=len(heads))
-                for lo in range(0, len(at), 200_000):
-                    part = at[lo : lo + 200_000]
-                    yield pd.DataFrame({"key": keys[part // (k * k)], "code": part % (k * k), "n": n[lo : lo + 200_000]})
-        seen = np.flatnonzero(clustered)
-        inverse = np.empty(len(heads), np.int64)
-        inverse[order] = np.arange(len(heads))
-        yield pd.DataFrame({"key": heads[inverse[seen]], "code": -1, "n": clustered[seen]})
+                rare = rare[np.argsort(codes[rare], kind="stable")]
+                raw = (before[rare] * k + class_[rare + 1]).astype(code).tobytes()
+                n = np.asarray(row.n)
+                ends = np.cumsum(np.bincount(codes[rare], minlength=len(n))) * code.itemsize
+                begins = np.append(0, ends[:-1])
+                for lo in range(0, len(n), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    cut = [raw[i:j] for i, j in zip(begins[part].tolist(), ends[part].tolist())]
+                    yield pd.DataFrame({"block": row.block, "number": np.arange(lo, lo + len(cut)), "key": np.asarray(row.keys)[part], "n": n[part], "around": cut})
 
     def run(frames):
-        heads, own, _ = shared.value
+        heads, own, between = shared.value
         for frame in whole_groups(frames, ["key"]):
             starts = group_starts(frame, ["key"])
-            key, code, n = (frame[c].to_numpy() for c in ("key", "code", "n"))
-            word = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            own_keys = key[starts[:-1]]
-            first = code[starts[:-1]] < 0
-            at = np.minimum(np.searchsorted(heads, own_keys), len(heads) - 1)
-            class_ = np.where(first, own[at], 0)
-            rare = code >= 0
+            sizes = np.diff(starts)
+            keys, n = frame["key"].to_numpy()[starts[:-1]], np.add.reduceat(frame["n"].to_numpy(), starts[:-1])
+            at = np.minimum(np.searchsorted(heads, keys), len(heads) - 1)
+            class_ = np.where((heads[at] == keys) & (n > 0), own[at], last)
+            rare = (heads[at] != keys) & (n > 0)
             if rare.any():
-                number = np.cumsum(~first) - 1
-                class_[~first] = joining(between.value, int((~first).sum()), number[word[rare]], code[rare] // k, code[rare] % k, n[rare])
-            yield pd.DataFrame({"key": own_keys, "class": class_, "c": np.add.reduceat(n, starts[:-1])})
+                around = np.frombuffer(b"".join(frame["around"]), code).astype(np.int64)
+                many = np.add.reduceat(frame["around"].str.len().to_numpy(), starts[:-1])[rare] // code.itemsize
+                both, m = np.unique(np.repeat(np.arange(len(many)), many) * (k * k) + around, return_counts=True)
+                class_[rare] = joining(between, len(many), both // (k * k), both % (k * k) // k, both % k, m)
+            yield pd.DataFrame(
+                {
+                    "block": frame["block"].to_numpy(), "number": frame["number"].to_numpy(), "key": frame["key"].to_numpy(),
+                    "c": np.repeat(n, sizes), "class": np.repeat(class_, sizes),
+                }
+            )
 
-    rows = texts.select("sizes", "held", "codes", "keys").mapInPandas(released(contexts), "key long, code int, n long")
-    rows = rows.repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "code")
-    return stored(rows.mapInPandas(released(run), "key long, class int, c long"), "classes")
+    rows = _keyed(texts).mapInPandas(released(contexts), "block long, number int, key long, n long, around binary")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    return rows.mapInPandas(released(run), "block long, number int, key long, c long, class int")
 
 
-def classed(texts: DataFrame, lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The blocks with the count (``c``) and class of each word of their lists; words unseen in training have
-    count 0 and class -1. A table in the shared folder."""
-    rows = lists.select("block", "number", F.xxhash64("word").alias("key")).join(vocabulary, "key", "left")
-    rows = rows.select("block", F.struct("number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class")).alias("w"))
-    by_block = rows.groupBy("block").agg(F.sort_array(F.collect_list("w")).alias("w"))
+def classed(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The blocks with the count (``c``) and class of each word of their lists, as ``known`` gives them. A table
+    in the shared folder."""
+    by_block = vocabulary.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", "c", "class"))).alias("w"))
     by_block = by_block.select("block", F.col("w.c").alias("c"), F.col("w.class").alias("class"))
-    return stored(texts.drop("keys").join(by_block, "block"), "classed")
+    return stored(texts.drop("words", "n").join(by_block, "block"), "classed")
 
 
 def transitions(rows: DataFrame, last: int) -> DataFrame:
@@ -346,7 +344,7 @@ def transitions(rows: DataFrame, last: int) -> DataFrame:
             for row in frame.itertuples(index=False):
                 codes, starts, _, train = _tokens(row)
                 class_, c = np.asarray(row[-1]), np.asarray(row.c)
-                marked = np.where((c == 1) & (class_ > 0), class_ + last + 1, class_)[codes]
+                marked = np.where((c == 1) & (class_ > 0) & (class_ < last), class_ + last + 1, class_)[codes]
                 total += np.bincount((_before(marked, starts) * size + marked)[train], minlength=size * size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"a": at // size, "b": at % size, "n": total[at]})
@@ -398,7 +396,6 @@ def score(rows: DataFrame, model: Model, mix: float = 0.9) -> DataFrame:
                 codes, starts, sizes, train = _tokens(row)
                 c, own = np.asarray(row.c, np.float64), np.asarray(row[-1])
                 base = np.log10((c + 1) / (m.tokens + (m.kinds + 1)))
-                own = np.where(own < 0, m.last, own)
                 emit = np.log10(np.where(c > 0, c / np.maximum(m.of_class[own], 1), 1.0))
                 class_ = own[codes]
                 p = mix * 10.0 ** (m.follows[_before(class_, starts), class_] + emit[codes]) + (1 - mix) * 10.0 ** base[codes]
@@ -422,7 +419,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def perplexities(docs: DataFrame, head: float = 2.0, classes: float = 2.0) -> DataFrame:
+def perplexities(docs: DataFrame, head: float = 1.0, classes: float = 2.0) -> DataFrame:
     """Learn from the documents that are not held out, and score all; see ``fit``, ``known`` and ``score``.
 
     docs: doc_id and text; other columns are left out. A null or empty text is the end token alone. Repeated
@@ -430,7 +427,7 @@ def perplexities(docs: DataFrame, head: float = 2.0, classes: float = 2.0) -> Da
     are 0 and every word is unseen. Word counts, classes and transitions cover all training texts, whatever
     their number; a word that every text has is one row from each block, and copies are counted as they are.
     """
-    texts, lists = blocks(docs.select("doc_id", "text", held_out().alias("held")))
-    model = fit(texts, lists, head, classes)
-    rows = classed(texts, lists, known(texts, model))
+    texts = blocks(docs.select("doc_id", "text", held_out().alias("held")))
+    model = fit(texts, head, classes)
+    rows = classed(texts, known(texts, model))
     return score(rows, completed(model, rows))

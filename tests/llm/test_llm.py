@@ -469,13 +469,13 @@ def scored(spark, train, probes, head, classes):
     """The model, each word's class, and the scores of the probes by text."""
     rows = [(i, t, False) for i, t in enumerate(train)] + [(1000 + i, t, True) for i, t in enumerate(probes)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
-    texts, lists = class_lm.blocks(docs, chars=40)
-    model = class_lm.fit(texts, lists, head, classes)
+    texts = class_lm.blocks(docs, chars=40)
+    model = class_lm.fit(texts, head, classes)
     vocabulary = class_lm.known(texts, model)
-    by_key = {r["key"]: (r["class"], r["c"]) for r in vocabulary.collect()}
+    by_key = {r["key"]: (r["class"], r["c"]) for r in vocabulary.select("key", "class", "c").where("c > 0").distinct().collect()}
     found = {w: by_key[class_lm.key_of(w)] for t in train for w in class_lm.words(t)}
     assert len(found) == len(by_key) == model.kinds
-    table = class_lm.classed(texts, lists, vocabulary)
+    table = class_lm.classed(texts, vocabulary)
     model = class_lm.completed(model, table)
     scores = {r["doc_id"]: r["score"] for r in class_lm.score(table, model).collect()}
     return model, found, {t: scores[1000 + i] for i, t in enumerate(probes)}
