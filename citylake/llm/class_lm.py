@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -53,6 +52,18 @@ def _coded(texts: list[str], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(parts), np.array(sizes, np.int64), list(numbers)
 
 
+def _deflated(codes: np.ndarray) -> bytes:
+    """Token numbers by planes of their bytes, the low bytes first, compressed; with their number before."""
+    planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return len(codes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _inflated(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], 4 * size), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def key_of(word: bytes) -> int:
     """A word's key as a signed number, as Spark's xxhash64 gives it."""
     k = xxhash.xxh64_intdigest(word, SEED)
@@ -82,7 +93,7 @@ def blocks(docs: DataFrame, chars: int = 16 << 20) -> DataFrame:
             del held["next"][: len(doc_ids)]
             codes, sizes, names = _coded(texts)
             n = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(names))
-            raw = zlib.compress(codes.astype("<i4").tobytes(), 1)
+            raw = _deflated(codes)
             yield pd.DataFrame({"block": [number], "doc_ids": [doc_ids], "sizes": [sizes], "held": [out], "codes": [raw], "words": [names], "n": [n]})
             number += 1
 
@@ -213,7 +224,7 @@ def _numbers(row, heads: np.ndarray, values: np.ndarray, rest: int) -> np.ndarra
 def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's tokens as numbers of its word list, the tokens' first places by text, the texts' sizes, and
     whether a token is in a training text."""
-    codes, sizes = np.frombuffer(zlib.decompress(row.codes), "<i4"), np.asarray(row.sizes)
+    codes, sizes = _inflated(row.codes), np.asarray(row.sizes)
     starts = np.append(0, np.cumsum(sizes)[:-1])
     return codes, starts, sizes, np.repeat(~np.asarray(row.held, bool), sizes)
 
@@ -256,7 +267,7 @@ def fit(texts: DataFrame, head: float = 1.0, classes: float = 2.0) -> Model:
     those that occur; every other word gets its class in ``known``.
     """
     lists = texts.select(F.explode(F.arrays_zip("words", "n")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    counts = stored(lists.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+    counts = stored(lists.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = int(total["n"] or 0), int(total["v"])
     top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(math.ceil(head * math.sqrt(kinds))).collect()
@@ -328,8 +339,10 @@ def known(texts: DataFrame, model: Model) -> DataFrame:
 def classed(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The blocks with the count (``c``) and class of each word of their lists, as ``known`` gives them. A table
     in the shared folder."""
-    by_block = vocabulary.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("number", "c", "class"))).alias("w"))
-    by_block = by_block.select("block", F.col("w.c").alias("c"), F.col("w.class").alias("class"))
+    at = F.shiftleft(F.col("number").cast("long"), 32) + F.col("class")  # one number moves for both
+    by_block = vocabulary.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "c"))).alias("w"))
+    class_ = F.transform("w.at", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    by_block = by_block.select("block", F.col("w.c").alias("c"), class_.alias("class"))
     return stored(texts.drop("words", "n").join(by_block, "block"), "classed")
 
 
