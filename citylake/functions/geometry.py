@@ -74,6 +74,15 @@ def make_geom(kind: str, srid: str | int, parts: str) -> str:
     return let("gp", f"CAST({parts} AS {PARTS_TYPE})", f"CASE WHEN {some} THEN {built} END")
 
 
+def _built(kind: str, srid: str | int, vertices: list, parts: str) -> str:
+    """Geometry whose vertices are known one by one: no lambda, so that the box is plain arithmetic and a query
+    that reads only the box builds nothing else."""
+    xs, ys = ([f"CAST({num(v[k])} AS DOUBLE)" for v in vertices] for k in (0, 1))
+    pick = lambda f, v: f"{f}({', '.join(v)})" if len(v) > 1 else v[0]
+    box = f"named_struct('xmin', {pick('least', xs)}, 'ymin', {pick('least', ys)}, 'xmax', {pick('greatest', xs)}, 'ymax', {pick('greatest', ys)})"
+    return f"named_struct('kind', '{kind}', 'srid', CAST({srid} AS INT), 'parts', {parts}, 'bbox', {box})"
+
+
 def _xy(x, y) -> str:
     return f"array(CAST({num(x)} AS DOUBLE), CAST({num(y)} AS DOUBLE))"
 
@@ -84,7 +93,7 @@ def _ring(xys: list) -> str:
 
 @expression
 def point(x, y, srid: int = RD) -> str:
-    return make_geom.sql(f"'{POINT}'", srid, f"array(array(array({_xy(x, y)})))")
+    return _built(POINT, srid, [(x, y)], f"array(array(array({_xy(x, y)})))")
 
 
 @expression
@@ -94,13 +103,13 @@ def multipoint(xys: list, srid: int = RD) -> str:
 
 @expression
 def line(xys: list, srid: int = RD) -> str:
-    return make_geom.sql(f"'{LINE}'", srid, f"array(array({_ring(xys)}))")
+    return _built(LINE, srid, xys, f"array(array({_ring(xys)}))")
 
 
 @expression
 def polygon(shell: list, holes: list | None = None, srid: int = RD) -> str:
-    rings = ", ".join(_ring(r) for r in [shell, *(holes or [])])
-    return make_geom.sql(f"'{POLYGON}'", srid, f"array(array({rings}))")
+    every = [shell, *(holes or [])]
+    return _built(POLYGON, srid, [v for r in every for v in r], f"array(array({', '.join(_ring(r) for r in every)}))")
 
 
 @expression
@@ -260,6 +269,20 @@ def distance2_to_edge(x: str, y: str, e: str) -> str:
     return let("dt", t, let("dd", off, "dd.u * dd.u + dd.v * dd.v"))
 
 
+@expression
+def nearby(a: str, b: str, d: float) -> str:
+    """``segments_within`` without a lambda, for rows that each hold one pair: compiled as plain arithmetic."""
+    def distance2(x, y, e):
+        dx, dy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+        t = f"greatest(0D, least(1D, coalesce(try_divide(({x} - {e}.x1) * {dx} + ({y} - {e}.y1) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D)))"
+        u, v = f"({x} - ({e}.x1 + {t} * {dx}))", f"({y} - ({e}.y1 + {t} * {dy}))"
+        return f"{u} * {u} + {v} * {v}"
+
+    ends = [(b, a, 1), (b, a, 2), (a, b, 1), (a, b, 2)]
+    near = " OR ".join(f"{distance2(f'{p}.x{i}', f'{p}.y{i}', q)} <= {num(float(d) ** 2)}" for q, p, i in ends)
+    return f"({near} OR {segments_touch.sql(a, b)})"
+
+
 @expression
 def segments_within(a: str, b: str, d: float) -> str:
     d2 = num(float(d) ** 2)
