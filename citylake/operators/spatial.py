@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citylake.functions import geometry as G
@@ -141,7 +141,8 @@ def tiles_sql(source: str, id_col: str, geom: str, cells: Cells, keep: Sequence[
     """Query text for the tiles of a table: id, c (the cell), area, box, full, anchors, near, far, odd, kept (a
     struct), and with ``repeat`` salt: every tile once for each salt of its cell.
 
-    Rows of cells come first: the band of edges is cut once per row, not once per cell.
+    Rows of cells come first: the band of edges is cut once per row, not once per cell. A feature whose box lies
+    inside one leaf is its own tile: all its edges are near, none is beyond, and nothing needs to be cut.
     """
     kept = ", kept" if keep else ""
     pack = f", struct({', '.join(keep)}) AS kept" if keep else ""
@@ -159,18 +160,31 @@ def tiles_sql(source: str, id_col: str, geom: str, cells: Cells, keep: Sequence[
     fields = f"""named_struct('near', nr, 'anchors', {anchors}, 'odd', od, 'full', fu, 'far', CASE WHEN fu THEN slice(fa, 1, 0) ELSE fa END)"""
     # everything of one cell is built at once, so later filters cannot make it run twice
     one = G.let("nr", near, G.let("bd", beyond, G.let("od", odd, G.let("fa", far, G.let("fu", full, fields)))))
+    box = f"{geom}.bbox"
+    corners = [cells.of_point(f"{box}.x{m}", f"{box}.y{m}") for m in ("min", "max")]
     rows = f"""
-        SELECT {id_col} AS id{pack}, {geom}.kind = '{G.POLYGON}' AS area, {geom}.bbox AS box, {G.anchors.sql(geom)} AS first,
-               {G.edges.sql(geom)} AS edges, {cells_between(f'{geom}.bbox.ymin', f'{geom}.bbox.ymax', size)} AS cy
+        SELECT {id_col} AS id{pack}, {geom}.kind = '{G.POLYGON}' AS area, {box} AS box, {G.anchors.sql(geom)} AS first,
+               {G.edges.sql(geom)} AS edges, {corners[0]} AS leaf, {corners[1]} AS last, {cells_between(f'{box}.ymin', f'{box}.ymax', size)} AS cy
         FROM {source} WHERE {geom} IS NOT NULL"""
     lowest, highest = low("cy", size), low("cy + 1", size)
     band = f"filter(edges, e -> greatest(e.y1, e.y2) >= {lowest} AND least(e.y1, e.y2) <= {highest})"
-    columns = f"id{kept}, area, first, box, band"
+    known = "filter(edges, e -> e.x1 + e.y1 + e.x2 + e.y2 IS NOT NULL)"
+    single = "leaf.x = last.x AND leaf.y = last.y AND leaf.step = last.step"
+    columns = f"id{kept}, area, first, box, band, leaf, single"
+    own = lambda mine, cut: f"CASE WHEN single THEN {mine} ELSE {cut} END"
+    rows = f"SELECT *, coalesce({single}, false) AS single FROM ({rows})"
+    rows = f"SELECT id{kept}, area, first, cy, box, leaf, single, {own(known, band)} AS band FROM ({rows})"
     found = f"transform(sequence({index('box.xmin', size)}, {index('box.xmax', size)}), cx -> {_cell(0, 'cx', 'cy', size)})"
-    found = f"SELECT {columns}, {found} AS cs FROM (SELECT id{kept}, area, first, cy, box, {band} AS band FROM ({rows}))"
+    found = f"SELECT {columns}, {own('array(leaf)', found)} AS cs FROM ({rows})"
     for step, split in enumerate(cells.splits):
-        found = f"SELECT {columns}, flatten(transform(cs, c -> {cells.children(step, 'c', 'box')})) AS cs FROM ({found})"
-    tiles = f"SELECT id{kept}, area, box, explode(transform(cs, c -> named_struct('c', c, 't', {one}))) AS u FROM ({found})"
+        inner = f"flatten(transform(cs, c -> {cells.children(step, 'c', 'box')}))"
+        found = f"SELECT {columns}, {own('cs', inner)} AS cs FROM ({found})"
+    points = "filter(first, p -> p[0] IS NOT NULL AND p[1] IS NOT NULL)"
+    none = "CAST(array() AS ARRAY<STRUCT<a: DOUBLE, b: DOUBLE>>)"
+    whole = f"named_struct('near', band, 'anchors', {points}, 'odd', 0, 'full', false, 'far', {none})"
+    cut = f"transform(cs, c -> named_struct('c', c, 't', {one}))"
+    listed = own(f"array(named_struct('c', leaf, 't', {whole}))", cut)
+    tiles = f"SELECT id{kept}, area, box, explode({listed}) AS u FROM ({found})"
     salt = f", explode(sequence(0, {cells.salts_of('u.c')} - 1)) AS salt" if repeat and cells.salted else ""
     return f"""
         SELECT id{kept}, area, box, u.c, u.t.near, u.t.anchors, u.t.odd, u.t.full, u.t.far{salt}
@@ -263,25 +277,37 @@ def spatial_join(
     """
     cells = cells or cells_for((left, left_geom), (right, right_geom))
     out_left, out_right = (left_id, right_id) if left_id != right_id else (f"left_{left_id}", f"right_{right_id}")
-    kept = "".join(f", a.kept.{k} AS {k}" for k in keep)
+    kept = "".join(f", pair.a.kept.{k} AS {k}" for k in keep)
     tests = [
-        "(a.full AND b.full)",
-        f"exists(a.anchors, p -> {_inside('b', 'p[0]', 'p[1]')})",
-        f"exists(b.anchors, p -> {_inside('a', 'p[0]', 'p[1]')})",
-        "coalesce(arrays_overlap(a.anchors, b.anchors), false)",
-        G.edges_touch.sql("a.near", "b.near"),
+        "(pair.a.full AND (pair.b.full OR size(pair.b.anchors) > 0))",
+        "(pair.b.full AND size(pair.a.anchors) > 0)",
+        f"exists(pair.a.anchors, p -> {_inside('pair.b', 'p[0]', 'p[1]')})",
+        f"exists(pair.b.anchors, p -> {_inside('pair.a', 'p[0]', 'p[1]')})",
+        "coalesce(arrays_overlap(pair.a.anchors, pair.b.anchors), false)",
+        G.edges_touch.sql("pair.a.near", "pair.b.near"),
     ]
+    side = lambda s, more="": f"named_struct({', '.join(repr(c) + f', {s}.{c}' for c in ('id', 'area', 'near', 'anchors', 'odd', 'full', 'far'))}{more})"
+    pack = ", 'kept', a.kept" if keep else ""
+    # the join compares boxes alone, in compiled code; a row of its own keeps the tests of edges out of its condition
     text = f"""
-        SELECT a.id AS {out_left}, b.id AS {out_right}{kept}
-        FROM (SELECT *{_salt_of('id', cells)} FROM ({tiles_sql('{left}', left_id, left_geom, cells, keep)})) a
-        JOIN ({tiles_sql('{right}', right_id, right_geom, cells, repeat=True)}) b ON {_same_cell('a', 'b', cells)}
-          AND a.box.xmin <= b.box.xmax AND b.box.xmin <= a.box.xmax AND a.box.ymin <= b.box.ymax AND b.box.ymin <= a.box.ymax
+        SELECT pair.a.id AS {out_left}, pair.b.id AS {out_right}{kept} FROM (
+          SELECT explode(array(named_struct('a', {side('a', pack)}, 'b', {side('b')}))) AS pair
+          FROM (SELECT *{_salt_of('id', cells)} FROM ({tiles_sql('{left}', left_id, left_geom, cells, keep)})) a
+          JOIN ({tiles_sql('{right}', right_id, right_geom, cells, repeat=True)}) b ON {_same_cell('a', 'b', cells)}
+            AND a.box.xmin <= b.box.xmax AND b.box.xmin <= a.box.xmax AND a.box.ymin <= b.box.ymax AND b.box.ymin <= a.box.ymax)
         WHERE {' OR '.join(tests)}"""
     used = left.select(left_id, left_geom, *[k for k in dict.fromkeys(keep) if k not in (left_id, left_geom)])
     pairs = left.sparkSession.sql(text, left=used.repartition(left_id), right=right.select(right_id, right_geom).repartition(right_id))
     return pairs.dropDuplicates([out_left, out_right])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over all tasks. Few bytes can stand for much work: a table in one small file would be one task's,
+    and adaptive execution would put its shuffled rows together again if the number were left open."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def segments_sql(source: str, id_col: str, geom: str) -> str:
     """One row per edge of every line: id, e."""
     return f"SELECT {id_col} AS id, explode({G.edges.sql(geom)}) AS e FROM {source} WHERE {geom} IS NOT NULL"
@@ -306,22 +332,32 @@ def _segment_cells_sql(segments: str, cell: float, d: float = 0.0) -> str:
 
 def distance_join(
     lines: DataFrame, zones: DataFrame, line_id: str, zone_id: str, d: float,
-    line_geom: str = "geom", zone_geom: str = "geom", cell: float = CELL, salts: int = SALTS,
+    line_geom: str = "geom", zone_geom: str = "geom", cell: float = CELL, salts: int = SALTS, within: str | None = None,
 ) -> DataFrame:
     """Distinct pairs of a line and a polygon at most ``d`` apart (exact, no buffer polygon).
 
     A segment inside a zone is found in the cell of its start; any other near one in the cell of
-    the zone's nearest edge point.
+    the zone's nearest edge point. Boxes are compared before edges, and then one segment with one edge a row by
+    compiled arithmetic; the inside is asked for once, beside a zone's first edge. ``within`` names a column of the zones that must equal ``line_id``: a zone then
+    meets only the lines of its own group.
     """
     cells = Cells(cell, salts=salts)
-    start_here = f"{index('s.e.x1', cell)} = s.c.x AND {index('s.e.y1', cell)} = s.c.y"
-    close = f"exists(z.near, f -> {G.segments_within.sql('s.e', 'f', d)})"
+    same = f" AND s.id = z.kept.{within}" if within else ""
+    reach = G.num(d * (1 + 1e-9) + cell * 1e-9)
+    boxes = " AND ".join(
+        f"least(s.e.{v}1, s.e.{v}2) <= z.box.{v}max + {reach} AND greatest(s.e.{v}1, s.e.{v}2) >= z.box.{v}min - {reach}" for v in "xy"
+    )
+    start_here = f"{index('e.x1', cell)} = z.c.x AND {index('e.y1', cell)} = z.c.y"
+    in_box = "e.x1 BETWEEN z.box.xmin AND z.box.xmax AND e.y1 BETWEEN z.box.ymin AND z.box.ymax"
+    inside = f"CASE WHEN coalesce(k, 0) = 0 AND {start_here} AND {in_box} THEN {_inside('z', 'e.x1', 'e.y1')} ELSE false END"
     text = f"""
-        SELECT DISTINCT s.id AS {line_id}, z.id AS {zone_id}
-        FROM (SELECT *, {_cell(0, 'cx', 'cy', cell)} AS c{_salt_of('id, e', cells)} FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell, d)})) s
-        JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cells, repeat=True)}) z ON {_same_cell('s', 'z', cells)}
-        WHERE ({start_here} AND {_inside('z', 's.e.x1', 's.e.y1')}) OR {close}"""
-    return lines.sparkSession.sql(text, lines=lines, zones=zones)
+        SELECT DISTINCT line AS {line_id}, z.id AS {zone_id} FROM (
+          SELECT s.id AS line, s.e, z.*
+          FROM (SELECT *, {_cell(0, 'cx', 'cy', cell)} AS c{_salt_of('id, e', cells)} FROM ({_segment_cells_sql(segments_sql('{lines}', line_id, line_geom), cell, d)})) s
+          JOIN ({tiles_sql('{zones}', zone_id, zone_geom, cells, [within] if within else (), repeat=True)}) z ON {_same_cell('s', 'z', cells)}{same} AND {boxes}) z
+        LATERAL VIEW OUTER posexplode(near) AS k, f WHERE {G.nearby.sql('e', 'f', d)} OR {inside}"""
+    used = dict.fromkeys([zone_id, zone_geom, *([within] if within else [])])
+    return lines.sparkSession.sql(text, lines=dealt(lines.select(line_id, line_geom)), zones=dealt(zones.select(*used)))
 
 
 def clip_length(
@@ -370,7 +406,9 @@ def assign_by_centroid(
 
     Exactly one zone must match; none or several leave zone_id NULL and name the error.
     """
-    c = features.selectExpr(feature_id, f"{G.centroid.sql(geom)} AS _c").select(feature_id, "_c.x", "_c.y")
+    cells = cells or cells_for((features, geom))  # boxes tell where features are, without their centroids
+    # a row of its own for the centroid, so that no filter or column above it computes it again
+    c = dealt(features.select(feature_id, geom)).selectExpr(feature_id, f"explode(array({G.centroid.sql(geom)})) AS _c").select(feature_id, "_c.x", "_c.y")
     found = point_join(c, zones, zone_id, geom=zone_geom, strict=True, cells=cells, alias="_zone")
     per_feature = found.groupBy(feature_id).agg(F.count("*").alias("matches"), F.min("_zone").alias("_zone"))
     out = features.select(feature_id).join(per_feature, feature_id, "left")
@@ -383,34 +421,51 @@ def assign_by_centroid(
     )
 
 
-def buffer_cells(lines: DataFrame, group: str, d: float, step: float, geom: str = "geom") -> DataFrame:
-    """Distinct grid cells (group, col, row) whose centre is within ``d`` of a line of the group.
+def buffer_runs(lines: DataFrame, group: str, d: float, step: float, geom: str = "geom") -> DataFrame:
+    """Runs (group, row, a, b) of neighbouring grid cells, columns a to b of a row, whose centres are within ``d``
+    of a line of the group; runs of several segments may overlap.
 
-    A row of cells is cut to the reach of the segment before its columns are listed, so a long
-    diagonal costs its own corridor and not its bounding box. Distinct runs on (group, col, row),
-    which spreads a group with many lines over all tasks.
+    A row of cells is cut to the reach of the segment before its columns are looked at, so a long
+    diagonal costs its own corridor and not its bounding box, and what leaves a task is a row for each segment and
+    row of cells, not one for each cell.
     """
     d_ = G.num(d)
     # x of the segment where it enters and leaves the band that is within d of the row
     at = lambda sign, default: (
         f"e.x1 + greatest(0D, least(1D, coalesce(try_divide(yc {sign} {d_} - e.y1, e.y2 - e.y1), {default}))) * (e.x2 - e.x1)"
     )
-    xc = f"{low('col', step)} + {G.num(step / 2)}"
     rows = f"""SELECT id, e, {cells_between(f'least(e.y1, e.y2) - {d_}', f'greatest(e.y1, e.y2) + {d_}', step)} AS row
         FROM ({segments_sql('{lines}', group, geom)})"""
     reach = f"SELECT *, {at('-', '0D')} AS xa, {at('+', '1D')} AS xb FROM (SELECT *, {low('row', step)} + {G.num(step / 2)} AS yc FROM ({rows}))"
-    cells = f"SELECT *, {cells_between(f'least(xa, xb) - {d_}', f'greatest(xa, xb) + {d_}', step)} AS col FROM ({reach})"
-    text = f"SELECT DISTINCT id AS {group}, col, row FROM ({cells}) WHERE {G.distance2_to_edge.sql(xc, 'yc', 'e')} <= {G.num(float(d) ** 2)}"
-    return lines.sparkSession.sql(text, lines=lines)
+    span = f"sequence({index(f'least(xa, xb) - {d_}', step)}, {index(f'greatest(xa, xb) + {d_}', step)})"
+    # squared distance to the segment; what is the same for a row is computed once
+    fixed = "e.x2 - e.x1 AS dx, e.y2 - e.y1 AS dy, (yc - e.y1) * (e.y2 - e.y1) AS up, (e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1) AS dd"
+    xc = f"({low('col', step)} + {G.num(step / 2)})"
+    t = f"greatest(0D, least(1D, coalesce(try_divide(({xc} - e.x1) * dx + up, dd), 0D)))"
+    u, v = f"({xc} - (e.x1 + {t} * dx))", f"(yc - (e.y1 + {t} * dy))"
+    near = f"filter(span, col -> {u} * {u} + {v} * {v} <= {G.num(float(d) ** 2)})"
+    run = lambda a, b: f"named_struct('a', {a}, 'b', {b})"
+    # the cells of a row within d of a segment lie together, but for rounding
+    runs = f"""CASE WHEN size(cs) = 0 THEN slice(array({run('0L', '0L')}), 1, 0)
+        WHEN element_at(cs, -1) - cs[0] = size(cs) - 1 THEN array({run('cs[0]', 'element_at(cs, -1)')}) ELSE transform(cs, c -> {run('c', 'c')}) END"""
+    text = f"""SELECT id AS {group}, row, run.a, run.b FROM (
+        SELECT id, row, explode({G.let('cs', near, runs)}) AS run FROM (SELECT id, e, row, yc, {fixed}, {span} AS span FROM ({reach})))"""
+    return lines.sparkSession.sql(text, lines=dealt(lines.select(group, geom)))
+
+
+def buffer_cells(lines: DataFrame, group: str, d: float, step: float, geom: str = "geom") -> DataFrame:
+    """Distinct grid cells (group, col, row) whose centre is within ``d`` of a line of the group."""
+    return buffer_runs(lines, group, d, step, geom).select(group, F.explode(F.sequence("a", "b")).alias("col"), "row").distinct()
 
 
 def buffer_area(lines: DataFrame, group: str, d: float, step: float, geom: str = "geom") -> DataFrame:
     """Area of the dissolved buffer of width ``d`` around each group's lines: (group, area).
 
-    Counted on a grid of ``step``; the error is about perimeter * step / 2.
+    Counted on a grid of ``step``; the error is about perimeter * step / 2. No cell is listed: the runs of a row
+    are merged in order, each adding the columns beyond those before it.
     """
-    return (
-        buffer_cells(lines, group, d, step, geom)
-        .groupBy(group)
-        .agg((F.count("*") * F.lit(float(step) ** 2)).alias("area"))
-    )
+    runs = buffer_runs(lines, group, d, step, geom).distinct()
+    before = Window.partitionBy(group, "row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max("b").over(before), F.col("a") - 1)
+    added = runs.select(group, F.greatest(F.col("b") - seen, F.lit(0)).alias("n"))
+    return added.groupBy(group).agg((F.sum("n") * F.lit(float(step) ** 2)).alias("area"))

@@ -322,7 +322,8 @@ def build_coverage(
     homes = bridge.select("neighborhood_id", "city_id").join(homes, "neighborhood_id")
     total = homes.groupBy("city_id").agg(F.sum("_u").alias("_total"))
     zones = neighborhood.select(F.col("id").alias("neighborhood_id"), "geom")
-    near = J.distance_join(lines, zones, "city_id", "neighborhood_id", d)
+    zones = zones.join(homes.select("neighborhood_id", "city_id").distinct(), "neighborhood_id")
+    near = J.distance_join(lines, zones, "city_id", "neighborhood_id", d, within="city_id")
     covered = homes.join(near, ["neighborhood_id", "city_id"]).groupBy("city_id").agg(F.sum("_u").alias("_cov"))
     out = city.select(F.col("id").alias("city_id")).join(area, "city_id", "left").join(total, "city_id", "left").join(covered, "city_id", "left")
     cov, tot = S.or_zero("_cov"), S.or_zero("_total")
