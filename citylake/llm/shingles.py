@@ -86,7 +86,8 @@ def components_of(docs: DataFrame, width: int = 5, least: float = 0.8, block: in
     shared = posted.groupBy("band").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     roots = components(posted.join(shared, "band").where("key > first").select("key", "first"))
     members = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
-    own = stored(texts.join(members, F.col("key") == F.col("node")).select("key", "text", "root").dropDuplicates(["key"]), "candidates")
+    # the same plan at every size: the members of large inputs outgrow a broadcast
+    own = stored(texts.hint("merge").join(members, F.col("key") == F.col("node")).select("key", "text", "root").dropDuplicates(["key"]), "candidates")
     by = ["root", "lo", "hi"]
 
     def test(frames):
