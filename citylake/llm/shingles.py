@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: a MinHash index finds them, whole texts decide."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and a MinHash index find them, whole texts decide."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citylake.llm import simhash
 from citylake.llm.common import components, forest, group_starts, in_block_pairs, released, stored, whole_groups
 
 BANDS, ROWS = 20, 5  # two texts of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8
@@ -67,24 +68,39 @@ def _similar(sets: list[np.ndarray], least: float):
         yield i, np.flatnonzero(ok)
 
 
-def components_of(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 512) -> DataFrame:
+def near_prints(marked: DataFrame, max_bits: int) -> DataFrame:
+    """Links (key, first) between texts, given as (key, fp), whose SimHash fingerprints differ in at most
+    ``max_bits`` bits: texts of one fingerprint with the smallest of them, and these with each other."""
+    prints = stored(marked.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    same = marked.join(prints, "fp").where("key > first").select("key", "first")
+    one = prints.select(F.col("fp").alias("a"), F.col("first").alias("key"))
+    other = prints.select(F.col("fp").alias("b"), "first")
+    return same.unionByName(simhash.links(prints, max_bits).join(one, "a").join(other, "b").select("key", "first"))
+
+
+def components_of(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 512, max_bits: int = 4) -> DataFrame:
     """(node, root): the ``text_key`` of every text that is linked to one with a smaller key, and the smallest
     key it reaches. Texts link if the Jaccard similarity of their word shingles is at least ``least``.
 
-    Equal word lists are one text. Texts that share a band are connected, unproven; inside each connected set
+    Equal word lists are one text. Texts whose SimHash fingerprints, of the same shingles, differ in at most
+    ``max_bits`` bits and texts that share a band are connected, unproven; inside each connected set
     all pairs are tested exactly on the whole texts, in pairs of blocks. So no false link is possible, and a
-    link is missed only if no chain of shared bands joins the two. What leaves a task is a spanning forest.
+    link is missed only if no chain of near fingerprints and shared bands joins the two. What leaves a task is a
+    spanning forest.
     """
     texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text"))
 
     def index(frames):
         for frame in frames:
-            yield pd.DataFrame({"key": frame["key"], "bands": [bands(shingles(t, width)) for t in frame["text"]]})
+            prints = np.array([simhash.fingerprint(t if isinstance(t, str) else "", width) for t in frame["text"]], np.uint64)
+            found = [bands(shingles(t, width)) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "fp": prints.view(np.int64), "bands": found})
 
-    listed = stored(texts.mapInPandas(released(index), "key long, bands array<long>").dropDuplicates(["key"]), "bands")
+    listed = stored(texts.mapInPandas(released(index), "key long, fp long, bands array<long>").dropDuplicates(["key"]), "bands")
     posted = listed.select("key", F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    roots = components(posted.join(shared, "band").where("key > first").select("key", "first"))
+    banded = posted.join(shared, "band").where("key > first").select("key", "first")
+    roots = components(banded.unionByName(near_prints(listed.select("key", "fp"), max_bits)))
     members = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
     # the same plan at every size: the members of large inputs outgrow a broadcast
     own = stored(texts.hint("merge").join(members, F.col("key") == F.col("node")).select("key", "text", "root").dropDuplicates(["key"]), "candidates")

@@ -738,6 +738,23 @@ def test_near_copies_of_the_pipeline(spark, table):
     assert kept == set(similar_groups(texts, ids))
 
 
+def test_fingerprints_connect_texts_of_the_pipeline(spark, monkeypatch):
+    """The stage's SimHash step finds near-copies by itself, without a shared band."""
+    rng = random.Random(3)
+    own = [[rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(900)] for _ in range(12)]
+    texts = [" ".join(w) for w in own] + [" ".join([*w[:-1], "changed"]) for w in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    near = {i for i in range(12) if (prints[i] ^ prints[i + 12]).bit_count() <= 4}
+    marked = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)]
+    links = shingles.near_prints(spark.createDataFrame(marked, "key long, fp long"), 4).collect()
+    assert near and {frozenset((r["key"], r["first"])) for r in links} == {frozenset((i, i + 12)) for i in near}
+    counted = iter(range(1 << 30))
+    monkeypatch.setattr(shingles, "near_prints", lambda *a, f=shingles.near_prints: next(counted) and None or f(*a))
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()}
+    assert kept == set(range(12)) and next(counted) == 1  # the stage takes the step, once
+
+
 def test_pipeline_of_awkward_rows(spark, odd, none):
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     for start in (odd.select(cols), none.select(cols)):
