@@ -107,6 +107,13 @@ def _mapped(words: DataFrame, schema: str, columns: Callable[[list[str], pa.Arra
     return words.select("word", "n").mapInArrow(run, schema)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows to be met in a sort-merge join, at every size. Spark sizes them by the compressed bytes of the table
+    they are made from, and takes ``mapInArrow`` to give a row for each word, not one for each of its places; by
+    that it would broadcast many times its threshold, through the driver."""
+    return rows.hint("merge")
+
+
 def _starts(words: DataFrame, backward: bool) -> DataFrame:
     """Walks that are about to spend their edit, at each place of a word from its middle on: by a replaced code
     point, and by one inserted before the place. ``ch`` is the word's own there (-1 at its end)."""
@@ -161,14 +168,14 @@ def _walked(words: DataFrame, backward: bool, levels: int) -> DataFrame:
     once: ``near`` has a larger code point at one place, or one code point more."""
     edges = stored(_branches(words, backward).distinct(), "edges")
     other = F.when(F.col("inserted"), F.col("other") != F.col("ch")).otherwise(F.col("other") > F.col("ch"))
-    states = _starts(words, backward).join(edges, "key").where(other).select("word", "n", "node", "rest")
+    states = _starts(words, backward).join(_merged(edges), "key").where(other).select("word", "n", "node", "rest")
     for level in range(1, levels):
         edges = stored(_hops(words, backward, level).distinct(), "edges")
         live = F.coalesce(F.size("rest"), F.lit(0)) >= level  # others have arrived; their keys meet no edge and lie apart
         states = states.withColumn("label", F.when(live, F.get("rest", F.lit(level - 1))).otherwise(F.xxhash64("word", "node")))
-        states = states.join(edges, ["node", "label"], "left").where(~live | F.col("child").isNotNull())
+        states = states.join(_merged(edges), ["node", "label"], "left").where(~live | F.col("child").isNotNull())
         states = states.select("word", "n", F.when(live, F.col("child")).otherwise(F.col("node")).alias("node"), "rest")
-    pairs = states.drop("rest").join(_ends(words, backward), "node").where(F.levenshtein("word", "near", 1) == 1)
+    pairs = states.drop("rest").join(_merged(_ends(words, backward)), "node").where(F.levenshtein("word", "near", 1) == 1)
     if backward:  # an insertion into equal code points around the middle is found forward
         half = F.expr("length(word) DIV 2")
         pairs = pairs.where(F.substring("word", F.lit(1), half) != F.substring("near", F.lit(1), half))
@@ -204,7 +211,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("last"))
-        now = stored(now.join(on, "root", "left").select("word", F.coalesce("last", "root").alias("root"), F.col("last").isNotNull().alias("moved")), "roots")
+        now = stored(now.join(_merged(on), "root", "left").select("word", F.coalesce("last", "root").alias("root"), F.col("last").isNotNull().alias("moved")), "roots")
         if now.where("moved").isEmpty():
             return now.drop("moved")
         now = now.drop("moved")
@@ -224,7 +231,7 @@ def variants(words: DataFrame, factor: int = 10) -> DataFrame:
     usual = -F.col("best").getField("col1") >= F.lit(factor) * F.col("n")
     near = near.select("word", "n_near", F.when(usual, F.col("best.near")).alias("form"), F.when(usual, -F.col("best").getField("col1")).alias("form_n"))
     near = stored(near, "forms")
-    rows = known.join(near, "word", "left").join(roots(near.where("form is not null")), "word", "left")
+    rows = known.join(_merged(near), "word", "left").join(_merged(roots(near.where("form is not null"))), "word", "left")
     return rows.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
 
 

@@ -96,3 +96,20 @@ def test_variants_of_long_words(spark):
 def test_repeated_words_are_added_up(spark):
     words = spark.createDataFrame([("pattern", 40), ("pattern", 60), ("patern", 10), ("patterns", 11)], "word string, n long")
     assert listed(spelling.variants(words)) == grouped({"pattern": 100, "patern": 10, "patterns": 11})
+
+
+def test_no_join_broadcasts(spark, monkeypatch):
+    """Spark would size walks and ends by their words' compressed bytes, and send many times that through the driver."""
+    plans, stored = [], spelling.stored
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "stored", lambda df, name: stored(planned(df), name))
+    long = "ab" * 20
+    n = {"pattern": 100, "patern": 10, "paten": 1, "patterns": 1, long: 500, long + "a": 5, long[:9] + long[10:]: 7}
+    rows = spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long"))
+    assert listed(rows) == grouped(n)
+    planned(rows)
+    assert set(re.findall(r"\w+Join\b", "\n".join(plans))) == {"SortMergeJoin"}
